@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": mixing.query,
     "op7_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.query,
     "op7_quality_rules": quality_rules.oracle(),
 }
