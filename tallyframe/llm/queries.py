@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, suffix_dedup
+from . import fingerprints, mixing, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_fingerprints": fingerprints.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
