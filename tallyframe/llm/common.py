@@ -29,6 +29,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows per Arrow batch, so that a batch of long texts stays small beside an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder that the cluster names.
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_of
+from .common import documents, materialize, small_batches, text_of
 
 LENGTH = 400
 GRAM = 100
@@ -314,6 +314,7 @@ def texts_of(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
 
 def repeats_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each different text with something to remove: key, _spans, _n_removed, _kept."""
+    small_batches(docs.sparkSession)
     base, counted = texts_of(docs, text, key)
     runs = repeated_runs(base, counted).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     # A text that occurs twice or more is removed whole, by the same definition.
