@@ -43,7 +43,7 @@ GRAM = 100
 #: Bucket parts hold about this many sample positions.
 PART = 256
 #: Texts are scanned in pieces of this many bytes (with an overlap), so a task's arrays stay small.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -163,7 +163,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for s in samples:
                 out.append((s["gram"], s["part"], s["parts"], key, s["first"], raw[s["first"] : s["last"] + LENGTH]))
                 size += len(out[-1][-1])
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield pd.DataFrame(out, columns=["gram", "part", "parts", "key", "first", "bytes"])
                     out, size = [], 0
         if out:
