@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, mixing, quality_rules, suffix_dedup
+from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": lm_scoring.query,
+    "op4_ngram_join": ngram_join.query,
     "op5_mixing": mixing.query,
     "op7_quality_rules": quality_rules.query,
     "op8_fingerprints": fingerprints.query,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_lm_scoring": lm_scoring.query,
+    "op4_ngram_join": ngram_join.query,
     "op5_mixing": mixing.query,
     "op7_quality_rules": quality_rules.oracle(),
 }
