@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
+from . import fingerprints, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": lm_scoring.query,
     "op4_ngram_join": ngram_join.query,
     "op5_mixing": mixing.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_quality_rules": quality_rules.query,
     "op8_fingerprints": fingerprints.query,
     "op10_suffix_dedup": suffix_dedup.query,
