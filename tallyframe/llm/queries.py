@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, suffix_dedup
+from . import fingerprints, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": pii.query,
     "op3_lm_scoring": lm_scoring.query,
     "op4_ngram_join": ngram_join.query,
     "op5_mixing": mixing.query,
