@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup
+from . import fingerprints, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": pii.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": quality_classifier.query,
     "op7_quality_rules": quality_rules.query,
     "op8_fingerprints": fingerprints.query,
+    "op9_sentencepiece": sentencepiece_codec.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
