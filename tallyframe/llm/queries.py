@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
+from . import chat_format, fingerprints, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat_format.query,
     "op2_pii": pii.query,
     "op3_lm_scoring": lm_scoring.query,
     "op4_ngram_join": ngram_join.query,
@@ -24,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_lm_scoring": lm_scoring.query,
     "op4_ngram_join": ngram_join.query,
     "op5_mixing": mixing.query,
+    "op1_chat_format": chat_format.ORACLE,
     "op7_quality_rules": quality_rules.oracle(),
 }
