@@ -258,7 +258,8 @@ def repeated_runs(base: DataFrame, counted: DataFrame) -> DataFrame:
     """
     scanned = base.select("key", "text").mapInPandas(_scan, SCANNED)
     samples = materialize(scanned.distinct(), "samples")
-    shared = samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # Written out, so that the join reads two plain exchanges and Spark can split a very frequent gram.
+    shared = materialize(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     kept = samples.join(shared, "gram").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     kept = kept.withColumn("part", F.pmod(F.xxhash64("key", "place"), F.col("parts")).cast("int"))
     per_text = kept.groupBy("key").agg(F.collect_list(F.struct("gram", "part", "parts", "first", "last")).alias("samples"))
