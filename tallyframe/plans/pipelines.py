@@ -15,7 +15,7 @@ DRAW = "ev as (select symbol as key, date::timestamp as ts, close / max(close) o
 
 def drawdowns(t: Tables) -> DataFrame:
     peak = F.max("close").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return t.daily_points.select(F.col("symbol").alias("key"), F.col("date").cast("timestamp").alias("ts"), (F.col("close") / peak - 1).alias("drawdown"))
+    return t.daily_points.select(F.col("symbol").alias("key"), F.col("date").cast("timestamp_ntz").alias("ts"), (F.col("close") / peak - 1).alias("drawdown"))
 
 
 @query("stm01_breach_replay", f"""with {DRAW}, s as (select *, case when drawdown <= -0.5 + 1e-9 then 1 when drawdown > -0.48 - 1e-9 then 0 end as st from ev),

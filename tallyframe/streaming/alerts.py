@@ -76,5 +76,5 @@ def notify_once(batch: DataFrame, sent_path: str) -> DataFrame:
 
 def event_windows(events: DataFrame, late: str = "1 day", size: str = "1 day") -> DataFrame:
     """Counts and sums per type and event-time window, late rows dropped after the watermark (an extension)."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
