@@ -55,6 +55,13 @@ RULES = (
 )
 
 
+#: Columns that measure and apply_rules add.
+METRICS = (
+    "n_words word_chars n_symbols n_dup_lines n_lines n_stop_words n_different_words n_exclaims n_upper n_bullet_lines n_ellipsis_lines n_repeat_words "
+    "mean_word_chars symbol_ratio upper_ratio exclaim_ratio stop_ratio dup_line_ratio bullet_line_ratio ellipsis_line_ratio repeat_ratio base_failed kept"
+).split()
+
+
 def stop_word_list() -> list[str]:
     """All stop words, also with a capital initial."""
     words = {w for ws in STOP_WORDS.values() for w in ws}
@@ -101,7 +108,8 @@ def repeat_words(docs: DataFrame, words: str, out: str) -> DataFrame:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds every metric that a rule may name."""
+    """Adds every metric that a rule may name (in place of columns of the same names)."""
+    docs = docs.drop(*METRICS)
     docs = docs.withColumn("_text", text_of(text)).withColumn("_words", words_of(F.col("_text")))
     docs = docs.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != ""))
     docs = repeat_words(docs, "_words", "n_repeat_words")
