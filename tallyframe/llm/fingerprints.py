@@ -9,8 +9,8 @@ under ``SHORT`` code points use single code points as tokens instead; texts from
 carry both, so two texts of about one length always have a kind in common. A text of fewer than k tokens gives
 one hash of all of them, an empty one none.
 
-Likeness is the number of common hashes over the larger number of hashes, by words where both texts have them,
-else by code points; two texts without hashes are alike (1), one with and one without are not (0), as are two
+Likeness is the number of common hashes over the geometric mean of both numbers of hashes (so a repetitive text
+keeps its likeness when a richer passage is put in), by words where both texts have them, else by code points; two texts without hashes are alike (1), one with and one without are not (0), as are two
 texts that have no kind in common (their lengths then differ by half or more).
 
 Neighbours: the next document by ascending key comes from a window inside key ranges taken from the keys'
@@ -107,8 +107,8 @@ def likeness(a: str, b: str) -> Column:
     """Of two texts whose hash sets are in columns a + '_words', a + '_chars' and so on."""
 
     def share(x: str, y: str) -> Column:
-        most = F.greatest(F.size(x), F.size(y))
-        return F.when(most > 0, F.size(F.array_intersect(x, y)) / most).otherwise(F.lit(1.0))
+        both = F.size(x).cast("double") * F.size(y)
+        return F.when(both > 0, F.least(F.lit(1.0), F.size(F.array_intersect(x, y)) / F.sqrt(both))).otherwise((F.size(x) == F.size(y)).cast("double"))
 
     words, chars = (f"{a}_words", f"{b}_words"), (f"{a}_chars", f"{b}_chars")
     both = lambda p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull()

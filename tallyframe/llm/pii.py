@@ -174,10 +174,9 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [entities(t) for t in pdf["_text"]]
         keep = [i for i, f in enumerate(found) if f]
-        yield pd.DataFrame({
-            "_th": pdf["_th"].iloc[keep],
-            "found": [[{"kind": k, "start": s, "end": e, "entity": c} for k, s, e, c in found[i]] for i in keep],
-        })
+        if keep:
+            rows = [[{"kind": k, "start": s, "end": e, "entity": c} for k, s, e, c in found[i]] for i in keep]
+            yield pd.DataFrame({"_th": pdf["_th"].to_numpy()[keep], "found": rows})
 
 
 def _draw(key: bytes):

@@ -16,7 +16,7 @@ from tallyframe.llm import (
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LONG = " ".join(f"w{i * 7919 % 1013}" for i in range(6000))
+LONG = " ".join(f"w{i * i % 100_003}" for i in range(6000))
 COPY = "the quick brown fox jumps over the lazy dog and runs far away from here today again " * 3
 ODD = [
     (1, None, "a", 0), (2, "", "a", 0), (3, "   \n\t ", None, 0), (4, LONG, "b", 0), (5, COPY, "b", 0), (6, COPY, "b", 0), (6, COPY, "b", 0), (7, COPY + "tail words here", "c", 0),
@@ -147,7 +147,7 @@ def test_fingerprints_of_edited_texts(spark, sf_dir, texts):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         if len(t) > 200:
-            assert r.near_edited > 0.3
+            assert r.near_edited > max(0.25, r.near_next)
     prints = defaultdict(set)
     for d in ids:
         prints[texts[d]].add(got[d].fingerprint)
