@@ -113,7 +113,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumn("_text", text_of(text)).withColumn("_words", words_of(F.col("_text")))
     docs = docs.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != ""))
     docs = repeat_words(docs, "_words", "n_repeat_words")
-    stops = F.array(*map(F.lit, stop_word_list()))
+    stops = stop_word_list()
     docs = docs.select(
         *[c for c in docs.columns if c not in ("_text", "_words", "_lines")],
         F.size("_words").cast("long").alias("n_words"),
@@ -121,7 +121,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         count_chars(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.array_intersect("_words", stops)).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
         F.size(F.array_distinct("_words")).cast("long").alias("n_different_words"),
         count_chars(F.col("_text"), "!").cast("long").alias("n_exclaims"),
         count_chars(F.col("_text"), r"\p{Lu}").cast("long").alias("n_upper"),
@@ -134,7 +134,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "symbol_ratio": ratio("n_symbols", "n_words"),
         "upper_ratio": ratio("n_upper", "word_chars"),
         "exclaim_ratio": ratio("n_exclaims", "n_words"),
-        "stop_ratio": ratio("n_stop_words", "n_different_words"),
+        "stop_ratio": ratio("n_stop_words", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"),
         "ellipsis_line_ratio": ratio("n_ellipsis_lines", "n_lines"),
