@@ -14,8 +14,8 @@ What is gathered from the corpus, all of it growing with the input:
 2. id counts, from the table of words;
 3. counts of class pairs over all training texts: the pairs' log shares are the model's output bias by the
    last class, so attention learns only what they lack;
-4. training windows: of every training text one window in ``ONE_IN`` (chosen by hash). Tasks train on their
-   own windows by Adam from common weights; weights are averaged by a tree of groups; ``ROUNDS`` times.
+4. training windows: all windows of every training text. Tasks train on their own windows by Adam from common
+   weights, ``SHARD`` at a time; weights are averaged in the task, then by groups; ``ROUNDS`` times.
 
 Scoring cuts a text's ids into windows of ``WINDOW`` that overlap by ``OVERLAP``: masked attention runs over a
 batch of windows, and each id is scored once, by the window that shows most of what comes before it.
@@ -50,15 +50,14 @@ CLASSES = 512
 SINGLE = 480
 GROUP = 32
 GROUPS = CLASSES // GROUP
-WIDTH = 16
+WIDTH = 24
 PAD = 65535
-HIDDEN = 16
-WINDOW = 16
-OVERLAP = 3
-ONE_IN = 24
+HIDDEN = 32
+WINDOW = 32
+OVERLAP = 16
 ROUNDS = 2
 STEPS_ROWS = 64
-SHARE = 0.4
+SHARE = 0.5
 FREQUENT = 200_000
 CACHE = 400_000
 SHARD = 16384
@@ -394,7 +393,7 @@ def count_ids(path: str):
 
 
 def count_pairs(model: Model):
-    """Class pairs of all texts, a row for each first class, and the chosen windows, many in a row."""
+    """Class pairs of all texts, a row for each first class, and all windows, many in a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
@@ -408,8 +407,6 @@ def count_pairs(model: Model):
             pairs += np.bincount(first, minlength=CLASSES * CLASSES)
             pairs -= np.bincount(first[across], minlength=CLASSES * CLASSES)
             windows, _, _ = cut(seq, starts)
-            h = (windows.astype(np.uint64) * np.arange(3, 2 * WINDOW + 5, 2, dtype=np.uint64)).sum(1) * np.uint64(0x9E3779B97F4A7C15)
-            windows = windows[(h >> np.uint64(40)) % np.uint64(ONE_IN) == 0]
             for at in range(0, len(windows), 2048):
                 part = windows[at : at + 2048]
                 yield pd.DataFrame({"first": [-1], "n": [len(part)], "data": [part.tobytes()]})
@@ -449,20 +446,24 @@ def sum_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
 def train_shard(model: Model, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        total, n, part = 0.0, 0, 0
 
-        def step() -> pd.DataFrame:
+        def step() -> None:
+            nonlocal total, n, part
             windows = np.concatenate(held)
             held.clear()
-            w = flat(train(model.weights, model.pairs, windows, seed)).astype(np.float64) * len(windows)
-            return pd.DataFrame({"part": [int(windows[0].sum()) % 16], "n": [len(windows)], "data": [w.tobytes()]})
+            total = total + flat(train(model.weights, model.pairs, windows, seed)).astype(np.float64) * len(windows)
+            n, part = n + len(windows), int(windows[0].sum()) % 16
 
         for pdf in batches:
             for x in pdf["data"]:
                 held.append(np.frombuffer(x, np.uint16).reshape(-1, WINDOW + 1))
                 if sum(map(len, held)) >= SHARD:
-                    yield step()
+                    step()
         if held:
-            yield step()
+            step()
+        if n:
+            yield pd.DataFrame({"part": [part], "n": [n], "data": [total.tobytes()]})
 
     return run
 

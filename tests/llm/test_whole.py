@@ -3,7 +3,7 @@
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
+import pandas as pd
 
 from tallyframe.llm import lm_scoring, ngram_join, quality_rules, suffix_dedup
 
@@ -21,3 +21,19 @@ def test_stop_words_are_a_share_of_all_words(spark):
         n = sum(w in set(quality_rules.stop_word_list()) for w in words)
         assert x.n_stop_words == n and x.stop_ratio == n / len(words)
     assert {x.doc_id: x.kept for x in got} == {1: True, 2: False, 3: True}
+
+
+def test_the_model_trains_on_every_window():
+    assert lm_scoring.WINDOW >= 32 and 2 * lm_scoring.OVERLAP >= lm_scoring.WINDOW
+    texts = [" ".join(f"word{(i * k) % 50}" for i in range(40 * k)) for k in range(1, 30)]
+    model = lm_scoring.classes({i: 1 for i in range(400)}, len(texts), lm_scoring.VOCABULARY)
+    lists = [lm_scoring.words(t) for t in texts]
+    seq, starts = model.sequence(model.numbers(lists), np.array([len(ws) for ws in lists]))
+    windows, _, first = lm_scoring.cut(seq, starts)
+    assert set(first.tolist()) == {0, lm_scoring.OVERLAP}
+    rows = pd.concat(lm_scoring.count_pairs(model)(iter([pd.DataFrame({"text": texts})])))
+    held = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, lm_scoring.WINDOW + 1) for x in rows[rows["first"] < 0]["data"]])
+    assert np.array_equal(held, windows)
+    model.weights, model.pairs = lm_scoring.new_weights(), lm_scoring.output_bias(np.ones((lm_scoring.CLASSES, lm_scoring.CLASSES)))
+    (out,) = lm_scoring.train_shard(model, 0)(iter([rows[rows["first"] < 0]]))
+    assert out["n"].tolist() == [len(windows)]
