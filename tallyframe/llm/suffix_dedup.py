@@ -286,8 +286,6 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text, runs in zip(pdf["key"], pdf["text"], pdf["runs"], strict=True):
             raw = text.encode()
             spans: list[list[int]] = []
-            if runs is None:
-                runs = [{"first": 0, "last": len(raw) - LENGTH}]
             for first, last in sorted((r["first"], r["last"]) for r in runs):
                 if spans and first <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], last + LENGTH)
@@ -307,10 +305,10 @@ CUT = "key bigint, _spans array<struct<first:bigint,end:bigint>>, _n_removed big
 
 
 def texts_of(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(id, key, text) of the texts long enough, and (key, n, id) by text."""
+    """(id, key, text) of the texts long enough, and (key, n, bytes, id) by text."""
     base = docs.select(F.col(key).alias("id"), F.xxhash64(text_of(text), F.lit(17)).alias("key"), text_of(text).alias("text"))
     base = base.where(F.octet_length("text") >= LENGTH)
-    return base, materialize(base.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id")), "texts")
+    return base, materialize(base.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("bytes"), F.min("id").alias("id")), "texts")
 
 
 def repeats_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -318,11 +316,13 @@ def repeats_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     small_batches(docs.sparkSession)
     base, counted = texts_of(docs, text, key)
     runs = repeated_runs(base, counted).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    # A text that occurs twice or more is removed whole, by the same definition.
-    chosen = counted.join(runs, "key", "left").where("n > 1 or runs is not null")
+    # A text that occurs twice or more is removed whole, by the same definition, and needs none of its rows: they may
+    # have one id. Each of the others has one row.
+    span = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("bytes").alias("end")))
+    whole = counted.where("n > 1").select("key", span.alias("_spans"), F.col("bytes").alias("_n_removed"), F.lit(b"").alias("_kept"))
+    chosen = counted.where("n = 1").join(runs, "key")
     pairs = base.alias("t").join(chosen.alias("c"), (F.col("t.key") == F.col("c.key")) & F.col("t.id").eqNullSafe(F.col("c.id")))
-    pairs = pairs.select("t.key", "t.text", F.when(F.col("c.n") == 1, F.col("c.runs")).alias("runs"))
-    return pairs.mapInPandas(_cut, CUT)
+    return pairs.select("t.key", "t.text", "c.runs").mapInPandas(_cut, CUT).unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

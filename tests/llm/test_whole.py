@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from test_llm import brute_links, brute_removed
 
 from tallyframe.llm import lm_scoring, ngram_join, quality_rules, suffix_dedup
 
@@ -37,3 +38,28 @@ def test_the_model_trains_on_every_window():
     model.weights, model.pairs = lm_scoring.new_weights(), lm_scoring.output_bias(np.ones((lm_scoring.CLASSES, lm_scoring.CLASSES)))
     (out,) = lm_scoring.train_shard(model, 0)(iter([rows[rows["first"] < 0]]))
     assert out["n"].tolist() == [len(windows)]
+
+
+def repeated(spark):
+    """Texts of over 400 bytes: rows that are repeated and the least of their class, null ids, near copies and others."""
+    base = [f"word{i * i}" for i in range(120)]
+    near = [*base[:60], "other", *base[61:]]
+    more = [f"else{i * i}" for i in range(120)]
+    rows = [(1, base), (1, base), (4, base), (7, near), (None, more), (None, more), (None, more), (9, [*more, "tail"]), (11, [f"x{i ** 3}" for i in range(200)])]
+    rows = [(d, " ".join(ws)) for d, ws in rows]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_repeated_rows_are_cut_once(spark):
+    rows, df = repeated(spark)
+    want = brute_removed([t.encode() for _, t in rows])
+    got = [(r.doc_id, r.text, bytes(r._kept), r._n_removed) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((d, t, k, len(t.encode()) - len(k))) for (d, t), k in zip(rows, want))
+
+
+def test_repeated_rows_are_linked_once(spark):
+    rows, df = repeated(spark)
+    links, _ = brute_links([t for _, t in rows])
+    assert sum(map(len, links)) > 20
+    got = [(r.doc_id, r.n_links) for r in ngram_join.join(df).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((d, len(x))) for (d, _), x in zip(rows, links))
