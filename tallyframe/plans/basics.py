@@ -9,7 +9,7 @@ from ..operators import disclosures, risk, series
 from ..sources import files
 from ..sources.tables import Tables
 from .registry import query
-from .series import BOOK, GRID, MONTHS, book, grid_returns
+from .series import _VERSIONED, BOOK, GRID, MONTHS, book, grid_returns, model_returns
 
 
 @query("src01_scan", "select * from supplier")
@@ -189,10 +189,25 @@ c as (select month from x group by 1 having count(*) = (select count(distinct sy
 l as (select month from k where g = (select max_by(g, month) from k) order by month desc limit 36)
 select symbol, count(*) as n, round(exp(sum(ln(1 + r)) * 12 / count(*)) - 1, 8) as ann_return, round(stddev_samp(r) * sqrt(12::double), 8) as volatility from x join l using (month) group by 1""", "price_points")
 def _(t: Tables) -> DataFrame:
-    """Models on the months that all of them have: the latest unbroken run, its last 36 months at most."""
+    """The first six symbols as a sample; fin21_model_window_risk runs over all models."""
     r = grid_returns(t).where("r is not null")
     names = r.select("symbol").distinct().orderBy("symbol").limit(6)
-    x = r.join(F.broadcast(names), "symbol", "left_semi")
+    return common_window_risk(r.join(F.broadcast(names), "symbol", "left_semi"), names)
+
+
+@query("fin21_model_window_risk", f"""with {_VERSIONED}, x as (select model_key, month, r from mr join models using (model_key) where r is not null),
+c as (select month from x group by 1 having count(*) = (select count(*) from models)), k as (select month, year(month) * 12 + month(month) - row_number() over (order by month) as g from c),
+l as (select month from k where g = (select max_by(g, month) from k) order by month desc limit 36)
+select model_key, count(*) as n, round(exp(sum(ln(1 + r)) * 12 / count(*)) - 1, 8) as ann_return, round(stddev_samp(r) * sqrt(12::double), 8) as volatility from x join l using (month) group by 1""", "price_points versions version_holdings models")
+def _(t: Tables) -> DataFrame:
+    """All models, by their versioned monthly returns."""
+    names = t.models.select(F.col("model_key").alias("symbol"))
+    r = model_returns(t).where("r is not null").select(F.col("model_key").alias("symbol"), "month", "r")
+    return common_window_risk(r.join(names, "symbol", "left_semi"), names).withColumnRenamed("symbol", "model_key")
+
+
+def common_window_risk(x: DataFrame, names: DataFrame) -> DataFrame:
+    """Risk of all names on the months that all of them have: the latest unbroken run, its last 36 months at most."""
     n = names.agg(F.count("*").alias("all"))
     common = x.groupBy("month").agg(F.count("*").alias("m")).crossJoin(F.broadcast(n)).where("m = all").select("month", F.lit("").alias("symbol"))
     run = series.latest_run(common).select("first_month", "last_month")
