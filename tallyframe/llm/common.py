@@ -86,5 +86,5 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,8 +14,11 @@ it stands for. (2) Samples are counted by gram: a gram that occurs once cannot l
 twice, so all suffixes of its run are done. (3) The suffixes of the other samples are dealt into buckets by
 gram, each with the bytes its strings reach (at most 800). A task sorts a few whole buckets at a time, by two
 integers that name a string's 400 bytes, so no long tie is compared byte by byte and memory is bounded by the
-buckets at hand. A large bucket is dealt into parts: each part first settles strings that it holds twice and
-then passes on one row per string that it holds, so that the parts are joined by counts and never by pairs.
+buckets at hand. A bucket of over ``PART`` samples is not sorted but counted by longer and longer grams: a string's
+distance from its sample is a function of the string, so strings are put into bands by it. The bytes that all strings of
+a band share (its core) and those that a sample's strings of the band span (its reach) are named and counted: a reach
+that occurs twice settles the strings of its samples, and where a core has several reaches, one sample of each goes on to
+bands of the next width, down to single strings. So a passage that stands in very many texts costs a few rows for each sample.
 (4) The runs of one text are merged, and the text is cut.
 
 Names are rolling hashes of 64 bits; strings count as equal where two of them, seeded apart, agree.
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +44,10 @@ from .common import documents, materialize, small_batches, text_of
 
 LENGTH = 400
 GRAM = 100
-#: Bucket parts hold about this many sample positions.
-PART = 256
+#: Buckets of more sample positions than this are counted by bands.
+PART = 1024
+#: Widths of the bands, in starts; the last is a single string.
+BANDS = (49, 7, 1)
 #: Texts are scanned in pieces of this many bytes (with an overlap), so a task's arrays stay small.
 PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -155,24 +161,26 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes that a sample's strings reach, a row for each sample."""
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
     for pdf in batches:
         out: list[tuple] = []
         size = 0
         for key, text, samples in zip(pdf["key"], pdf["text"], pdf["samples"], strict=True):
             raw = text.encode()
             for s in samples:
-                out.append((s["gram"], s["part"], s["parts"], key, s["first"], raw[s["first"] : s["last"] + LENGTH]))
+                out.append((s["gram"], s["large"], key, s["place"], s["first"], s["last"], raw[s["first"] : s["last"] + LENGTH]))
                 size += len(out[-1][-1])
                 if size > 4_000_000:
-                    yield pd.DataFrame(out, columns=["gram", "part", "parts", "key", "first", "bytes"])
+                    yield pd.DataFrame(out, columns=names)
                     out, size = [], 0
         if out:
-            yield pd.DataFrame(out, columns=["gram", "part", "parts", "key", "first", "bytes"])
+            yield pd.DataFrame(out, columns=names)
 
 
-CONTEXT = "gram bigint, part int, parts int, key bigint, first bigint, bytes binary"
+CONTEXT = "gram bigint, large boolean, key bigint, place bigint, first bigint, last bigint, bytes binary"
 SCANNED = "key bigint, gram bigint, place bigint, first bigint, last bigint"
-FOUND = "gram bigint, a bigint, b bigint, key bigint, first bigint, last bigint, n int"
+FOUND = "key bigint, first bigint, last bigint"
+BANDED = "key bigint, place bigint, first bigint, last bigint, core binary, reach binary"
 _NAMERS: list[Hasher] = []
 
 
@@ -199,84 +207,99 @@ def _runs(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[first], start[first], start[np.concatenate((first[1:] - 1, [len(start) - 1]))]
 
 
-def _settle(gram: np.ndarray, parts: np.ndarray, keys: np.ndarray, firsts: np.ndarray, contexts: list[bytes]) -> pd.DataFrame:
-    """Sorts the strings of whole bucket parts: runs found twice here, and what other parts must know."""
+def _settle(keys: np.ndarray, firsts: np.ndarray, contexts: list[bytes]) -> pd.DataFrame | None:
+    """Sorts the strings of whole buckets: runs of those found twice."""
     a, b, which, inner = _names(contexts)
-    key, start = keys[which], firsts[which] + inner
     order = np.lexsort((b, a))
-    sa, sb = a[order], b[order]
-    head = np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))
-    group = np.cumsum(head) - 1
-    count = np.bincount(group)
-    twice = count[group] > 1
-    out = []
-    if twice.any():
-        k, f, last = _runs(key[order][twice], start[order][twice])
-        out.append(pd.DataFrame({"gram": 0, "a": 0, "b": 0, "key": k, "first": f, "last": last, "n": np.zeros(len(k), np.int32)}))
-    at = order[head]
-    split = parts[which[at]] > 1
-    if split.any():
-        at, n = at[split], np.minimum(count[split], 2).astype(np.int32)
-        out.append(
-            pd.DataFrame({
-                "gram": gram[which[at]], "a": a[at].view(np.int64), "b": b[at].view(np.int64),
-                "key": key[at], "first": start[at], "last": start[at], "n": n,
-            })
-        )
-    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
+    a, b = a[order], b[order]
+    head = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    del a, b
+    twice = order[~head | ~np.append(head[1:], True)]
+    if not len(twice):
+        return None
+    key, first, last = _runs(keys[which[twice]], firsts[which[twice]] + inner[twice])
+    return pd.DataFrame({"key": key, "first": first, "last": last})
 
 
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole bucket parts, which arrive in order, gathered up to a few megabytes."""
+    """Whole buckets, which arrive in order, gathered up to a megabyte."""
     held: list[pd.DataFrame] = []
     size = 0
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _settle(pdf["gram"].to_numpy(), pdf["parts"].to_numpy(), pdf["key"].to_numpy(), pdf["first"].to_numpy(), list(pdf["bytes"]))
+    def settle(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        found = _settle(pdf["key"].to_numpy(), pdf["first"].to_numpy(), list(pdf["bytes"]))
+        if found is not None:
+            yield found
 
     for pdf in batches:
         held.append(pdf)
         size += int(pdf["bytes"].map(len).sum())
-        if size < 2_000_000:
+        if size < 1_000_000:
             continue
         pdf = pd.concat(held, ignore_index=True)
-        gram, part = pdf["gram"].to_numpy(), pdf["part"].to_numpy()
-        same = (gram == gram[-1]) & (part == part[-1])
+        same = pdf["gram"].to_numpy() == pdf["gram"].iloc[-1]
         cut = len(pdf) - int(np.argmin(same[::-1])) if not same.all() else 0
         if cut:
-            yield settle(pdf.iloc[:cut])
+            yield from settle(pdf.iloc[:cut])
         held = [pdf.iloc[cut:]]
         size = int(held[0]["bytes"].map(len).sum())
     if held and sum(map(len, held)):
-        yield settle(pd.concat(held, ignore_index=True))
-
-
-def repeated_runs(base: DataFrame, counted: DataFrame) -> DataFrame:
-    """(key, first, last): runs of starts of 400-byte strings that start elsewhere too.
-
-    base: (id, key, text); counted: (key, n, id), the id of one row that holds the text.
-    """
+        yield from settle(pd.concat(held, ignore_index=True))
+
+
+def _bands(width: int):
+    """The bands of each sample's run (low to high), with the names of their cores and reaches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, place, first, low, high, raw in zip(pdf["key"], pdf["place"], pdf["first"], pdf["low"], pdf["high"], pdf["bytes"], strict=True):
+                for band in range((place - high) // width, (place - low) // width + 1):
+                    near, far = band * width, min(band * width + width - 1, LENGTH - GRAM)
+                    a, b = max(low, place - far), min(high, place - near)
+                    core = xxhash.xxh3_128_digest(raw[place - near - first : place - far + LENGTH - first], band)
+                    reach = xxhash.xxh3_128_digest(raw[a - first : b + LENGTH - first], (place - a) * LENGTH + place - b)
+                    out.append((key, place, a, b, core, reach))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BANDED.split(", ")])
+
+    return run
+
+
+def runs_of_large_buckets(contexts: DataFrame) -> DataFrame:
+    """(key, first, last) of the strings of large buckets that occur twice; see the module's text."""
+    left = contexts.select("key", "place", F.col("first").alias("low"), F.col("last").alias("high"))
+    settled = None
+    for width in BANDS:
+        bytes_of = contexts.select("key", "place", "first", "bytes").join(left, ["key", "place"])
+        bands = materialize(bytes_of.mapInPandas(_bands(width), BANDED), "bands")
+        spot = F.struct("key", "place", F.col("first").alias("low"), F.col("last").alias("high"))
+        # Written out, so that Spark can split a very frequent name in the joins.
+        classes = materialize(bands.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(spot).alias("spot")), "classes")
+        here = bands.join(classes.where("n > 1").select("reach"), "reach", "left_semi").select("key", "first", "last")
+        settled = here if settled is None else settled.unionByName(here)
+        # One sample of each reach goes on, settled or not: the others may share strings with it.
+        several = materialize(classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core"), "several")
+        left = classes.join(several, "core", "left_semi").select("spot.*")
+    return settled
+
+
+def repeated_runs(base: DataFrame) -> DataFrame:
+    """(key, first, last): runs of starts of 400-byte strings that start elsewhere too; base: (key, text)."""
     scanned = base.select("key", "text").mapInPandas(_scan, SCANNED)
     samples = materialize(scanned.distinct(), "samples")
     # Written out, so that the join reads two plain exchanges and Spark can split a very frequent gram.
     shared = materialize(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    kept = samples.join(shared, "gram").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    kept = kept.withColumn("part", F.pmod(F.xxhash64("key", "place"), F.col("parts")).cast("int"))
-    per_text = kept.groupBy("key").agg(F.collect_list(F.struct("gram", "part", "parts", "first", "last")).alias("samples"))
-    per_text = per_text.join(counted.select("key", "id"), "key")
-    texts = base.alias("t").join(
-        per_text.alias("p"), (F.col("t.key") == F.col("p.key")) & F.col("t.id").eqNullSafe(F.col("p.id"))
-    ).select("t.key", "t.text", "p.samples")
-    contexts = texts.mapInPandas(_contexts, CONTEXT)
-    dealt = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    found = materialize(dealt.mapInPandas(_buckets, FOUND), "found")
-    here = found.where("n = 0").select("key", "first", "last")
-    # Parts of one bucket: a string that two parts hold is repeated; a part that holds it twice has settled its own.
-    across = found.where("n > 0")
-    sums = across.groupBy("gram", "a", "b").agg(F.count("*").alias("held"), F.min("n").alias("least"))
-    sums = sums.where("held > 1 and least = 1").select("gram", "a", "b")
-    there = across.where("n = 1").join(sums, ["gram", "a", "b"], "left_semi").select("key", "first", "last")
-    return here.unionByName(there)
+    kept = samples.join(shared, "gram").withColumn("large", F.col("n") > PART)
+    per_text = kept.groupBy("key").agg(F.collect_list(F.struct("gram", "large", "place", "first", "last")).alias("samples"))
+    # One row for each text, combined before the shuffle, so that copies cost nothing after it.
+    texts = base.groupBy("key").agg(F.first("text").alias("text")).join(per_text, "key")
+    contexts = materialize(texts.mapInPandas(_contexts, CONTEXT), "contexts")
+    dealt = contexts.where("not large").select("gram", "key", "first", "bytes").repartition("gram").sortWithinPartitions("gram")
+    runs = materialize(dealt.mapInPandas(_buckets, FOUND), "found")
+    large = contexts.where("large")
+    if large.limit(1).count():
+        runs = runs.unionByName(runs_of_large_buckets(large))
+    return runs
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,7 +338,7 @@ def repeats_by_text(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """One row for each different text with something to remove: key, _spans, _n_removed, _kept."""
     small_batches(docs.sparkSession)
     base, counted = texts_of(docs, text, key)
-    runs = repeated_runs(base, counted).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = repeated_runs(base).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     # A text that occurs twice or more is removed whole, by the same definition, and needs none of its rows: they may
     # have one id. Each of the others has one row.
     span = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("bytes").alias("end")))

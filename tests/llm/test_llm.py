@@ -204,10 +204,13 @@ def test_repeats_in_large_buckets_and_pieces(spark, odd, none, monkeypatch):
     noise = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
     passage = noise(700)
     many = [noise(50 + i) + passage + noise(60) for i in range(40)] + ["ab" * 500, noise(2000), passage[:399], passage[:400]]
+    many += [noise(40) + passage[:500] + many[i][700:] for i in range(12)] + [many[3][:600] + noise(30)] * 2
     monkeypatch.setattr(suffix_dedup, "PART", 8)
     df = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
-    got = {x.doc_id: bytes(x._kept) for x in suffix_dedup.remove_repeats(df).collect()}
-    assert [got[i] for i in range(len(many))] == brute_removed([t.encode() for t in many])
+    for bands in ((49, 7, 1), (301, 1), (1,)):
+        monkeypatch.setattr(suffix_dedup, "BANDS", bands)
+        got = {x.doc_id: bytes(x._kept) for x in suffix_dedup.remove_repeats(df).collect()}
+        assert [got[i] for i in range(len(many))] == brute_removed([t.encode() for t in many]), bands
     out = suffix_dedup.remove_repeats(odd).collect()
     assert len(out) == len(ODD) and suffix_dedup.remove_repeats(none).count() == 0
     assert {(x.doc_id, len(x.text or "") - len(x._kept) if x.doc_id in (4, 1, 2) else 0) for x in out if x.doc_id in (1, 2, 4)} == {(1, 0), (2, 0), (4, 0)}
