@@ -5,19 +5,20 @@ pairs of character kinds (letters, capitals, digits, marks ...), and how often w
 top: an encoding layer, gated attention weights (tanh times sigmoid, soft-maximum over the document's
 passages) and a logistic score of the weighted mean, so a document is judged by the passages that tell.
 
-Fitting uses at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, whose crc32(id) mod 4 is not 2;
-their passages go to the driver (the documented bound). Scoring covers every row and every passage, inside
-Spark tasks. The label, language, source and id are never inputs of a score.
+Fitting uses at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, whose crc32(id) mod 4 is not 2, and of
+each at most ``FIT_PASSAGES`` passages, evenly spread: these go to the driver (the documented bound, 134 MB). Scoring
+covers every row and every passage, inside Spark tasks; a very long text is encoded in groups of ``GROUP_BYTES``. The label, language, source and id are never inputs of a score.
 
 Defined results: a null text is empty, and an empty text is one passage of zeros, scored like any other; rows
 without a label or with a null one teach nothing; repeated rows are scored each; without any label all scores
-are 0.5; a null id counts as the empty string in the division; an empty table gives no rows; extra columns are
-kept by :func:`score_documents`, except ones named like an added column (held_out, score, predicted).
+are 0.5; a null id counts as the empty string in the division, and ids of any type pass as they are; an empty table
+gives no rows; all columns are kept by :func:`score_documents`, except ones named like an added column (_held_out,
+_score, _predicted).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, text_of
+from .common import documents, map_columns, small_batches, text_of
 
 PASSAGE = 64
 FIT_ROWS = 4000
+FIT_PASSAGES = 64
 KEEP_FROM = 0.7
 KINDS = 16
 ENCODED = 24
@@ -209,11 +211,9 @@ def _encode_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = list(pdf["text"])
         labels = pdf["label"].to_numpy()
         for first, last, x, counts in bags(texts):
-            ends = np.cumsum(counts)
-            yield pd.DataFrame({
-                "label": labels[first:last], "n": counts,
-                "x": [x[e - c : e].astype(np.float16).tobytes() for c, e in zip(counts, ends, strict=True)],
-            })
+            bag = [x[e - c : e] for c, e in zip(counts, np.cumsum(counts), strict=True)]
+            bag = [b[np.linspace(0, len(b) - 1, FIT_PASSAGES).astype(int)] if len(b) > FIT_PASSAGES else b for b in bag]
+            yield pd.DataFrame({"label": labels[first:last], "n": [len(b) for b in bag], "x": [b.astype(np.float16).tobytes() for b in bag]})
 
 
 def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> Attention | None:
@@ -229,34 +229,34 @@ def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     return fit(x, np.array([g["n"] for g in got]), np.array([float(g["label"] == 1) for g in got]))
 
 
-def score_rows(model: Attention | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["_text"]]
+def scorer(model: Attention | None) -> Callable:
+    def prepare() -> Callable[[list[str]], dict[str, list]]:
+        def run(texts: list[str]) -> dict[str, list]:
             out = np.full(len(texts), 0.5)
             if model is not None:
                 for first, last, x, counts in bags(texts):
                     out[first:last] = model.score(x, counts)
-            yield pdf.drop(columns="_text").assign(score=out)
+            return {"_score": out}
 
-    return run
+        return run
+
+    return prepare
 
 
 def score_documents(docs: DataFrame, model: Attention | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The columns of docs and held_out, score (0 to 1) and predicted (1 from KEEP_FROM on)."""
+    """The columns of docs and _held_out, _score (0 to 1) and _predicted (1 from KEEP_FROM on)."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("held_out", "score", "predicted")
-    wide = docs.withColumn("_text", text_of(text))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "score double"])
-    out = wide.mapInPandas(score_rows(model), schema)
-    return out.withColumns({"held_out": is_held_out(F.col(key)), "predicted": (F.col("score") >= KEEP_FROM).cast("int")})
+    docs = docs.drop("_held_out", "_score", "_predicted")
+    wide = docs.withColumn("_scored_text", text_of(text))
+    out = map_columns(wide, scorer(model), ["_scored_text"], "_score double", ("_scored_text",))
+    return out.withColumns({"_held_out": is_held_out(F.col(key)), "_predicted": (F.col("_score") >= KEEP_FROM).cast("int")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     small_batches(spark)
     model = train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # Only the text goes to the tasks; what they return is numbers.
+    # Only the id and the text go to the tasks, and the text does not come back.
     rows = docs.select("doc_id", text_of().alias("_text"))
-    out = rows.mapInPandas(score_rows(model), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+    out = map_columns(rows, scorer(model), ["_text"], "_score double", ("_text",))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= KEEP_FROM).cast("int").alias("predicted"))
