@@ -3,20 +3,24 @@
 Targets. Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share the words of the whole
 table; a target stops at ``CAP`` times its source's words and the excess is shared anew by weight.
 
-Blocks. Every document has a keyed hash that permutes its source; the hash's leading bits deal the source
-into ``BLOCKS`` blocks. A mix takes whole passes over a source (``floor(target / size)``), then blocks in
-order, and of one last block the documents that bring the sum nearest the target. So each block of each pass
-is one unit, and no sum runs over more than one row per block or the documents of one block: a source with
-a third of all rows is spread over all its blocks. Where a block outgrows a task, raise ``blocks``.
-
-Shards. The units are split among the output shards by a binary tree: at each node every source's quota is
-divided by a hypergeometric draw (sources in turn, so the draws together are multivariate hypergeometric)
-until the leaves hold exact quotas. A leaf then takes the next units of the source's block permutation, so
-shards are disjoint; inside a shard, rows are ordered by a second hash. All draws come from a seed: reruns agree.
+Blocks. Every row has a keyed hash that permutes its source (rows that are equal in id and text are numbered first, so
+each has a hash of its own); the hash's leading bits deal the source into ``BLOCKS`` blocks. A mix takes whole passes
+over a source (``floor(target / size)``), then blocks in order, and of one last block the documents that bring the sum
+nearest the target. So each block of each pass is one unit. The cut inside the last block is found by the hash's next
+bits, ``CUT_BITS`` at a time: sums of finer and finer parts, until the last part is 2^-30 of a source; only its rows
+are put in order.
+
+Shards. The units are split among the output shards by a binary tree: at each node every source's quota is divided by
+a hypergeometric draw until the leaves hold exact quotas. The draws of a node are made down a tree of sources with
+``FAN`` branches: first for groups of groups, then inside each group, so that no row holds more than ``FAN`` sources
+and every level is one pass over all nodes; together they are multivariate hypergeometric. A leaf then takes the next
+units of the source's block permutation, so shards are disjoint; inside a shard, rows are ordered by a second hash. All
+draws come from a seed: reruns agree.
 
 Defined results: a null or empty text has size 0 and is never taken; a source without words has target 0;
-null is a source of its own, apart from the empty string; rows that are equal in id and text are separate
-rows; an empty table gives no rows; other columns are kept by :func:`mix` and may have any name that does not
+null is a source of its own, apart from the empty string; rows that are equal in id, text and source are separate
+rows, of which any may be taken; a very long text is one row and never cut; ids of any type and null ones are allowed; an
+empty table gives no rows; other columns are kept by :func:`mix` and may have any name that does not
 begin with an underscore.
 """
 
@@ -31,6 +35,8 @@ from .common import documents, materialize, text_of, words_of
 
 CAP = 3
 BLOCKS = 64
+CUT_BITS = (12, 12)
+FAN = 256
 SHARDS = 16
 SEED = 20240229
 WEIGHTS = (5, 2, 1)
@@ -63,69 +69,82 @@ def uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def hypergeometric(total: Column, good: Column, drawn: Column, u: Column, logs: Column) -> Column:
-    """How many of drawn units out of total are of the good ones, by inverting the distribution at u.
+# Ln k! of small k.
+_SMALL = [math.lgamma(k + 1) for k in range(16)]
+
+
+def log_factorial(k: Column) -> Column:
+    """ln k!, by Stirling's series from 16 on (its error is below 1e-11 there)."""
+    x = F.greatest(k, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(k < len(_SMALL), F.get(F.array(*map(F.lit, _SMALL)), k.cast("int"))).otherwise(series)
+
+
+def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
+    """How many of drawn units out of total are of the good ones.
 
-    logs[k] is ln k!; the weights are taken relative to the largest, so none vanish that matter.
+    The likeliest by weight plus Gumbel noise, which has the same distribution. Looked at are the values within 12
+    standard deviations of the mean: all others together have less than 1e-30.
     """
     low, high = F.greatest(F.lit(0), drawn - (total - good)), F.least(good, drawn)
-    fact = lambda k: F.get(logs, k.cast("int"))
+    share = good / F.greatest(total, F.lit(1))
+    mean = drawn * share
+    spread = 12 * F.sqrt(mean * (1 - share) + 1) + 2
+    low, high = F.greatest(low, F.floor(mean - spread)).cast("long"), F.least(high, F.ceil(mean + spread)).cast("long")
+    noise = lambda x: -F.log(-F.log(uniform(u, x)))
     weigh = F.transform(
         F.sequence(low, F.greatest(low, high)),
         lambda x: F.struct(
-            (-fact(x) - fact(good - x) - fact(drawn - x) - fact(total - good - drawn + x)).alias("w"), x.alias("x")
+            (noise(x) - log_factorial(x) - log_factorial(good - x) - log_factorial(drawn - x) - log_factorial(total - good - drawn + x)).alias("w"), x.alias("x")
         ),
     )
-    # Draws by the largest of weight plus Gumbel noise: the same distribution, without a running sum.
-    noise = lambda x: -F.log(-F.log(uniform(u, x)))
-    best = F.array_max(F.transform(weigh, lambda p: F.struct((p["w"] + noise(p["x"])).alias("w"), p["x"].alias("x"))))
-    return best["x"]
+    return F.array_max(weigh)["x"]
 
 
-def drawer(seed: int, level: int):
-    """One source's draw for the left half of a node; what is left of the total and the room goes on to the next source."""
+def draw_children(nodes: DataFrame, level: int, seed: int) -> DataFrame:
+    """(low, path, room, k: array of (part, n)) to one row for each part: (low, part, n, room), room the part's draw."""
 
     def step(acc: Column, s: Column) -> Column:
-        u = F.xxhash64(F.lit(seed), F.lit(level), F.col("low"), s["source"], s["last"])
-        got = hypergeometric(acc["total"], s["n"], acc["room"], u, F.col("logs"))
+        u = F.xxhash64(F.lit(seed), F.lit(level), F.col("low"), F.col("path"), s["part"])
+        got = hypergeometric(acc["total"], s["n"], acc["room"], u)
         return F.struct((acc["total"] - s["n"]).alias("total"), (acc["room"] - got).alias("room"), F.concat(acc["got"], F.array(got)).alias("got"))
 
-    return step
+    total = F.aggregate("k", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    start = F.struct(total.alias("total"), F.col("room").alias("room"), F.array().cast("array<bigint>").alias("got"))
+    drawn = nodes.withColumn("got", F.aggregate("k", start, step, lambda a: a["got"]))
+    parts = F.transform("k", lambda s, i: F.struct(s["part"].alias("part"), s["n"].alias("n"), F.get("got", i).alias("room")))
+    return drawn.select("low", F.inline(parts))
 
 
 def quotas(units: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(source, n_units) to (source, shard, quota): a splitting tree over the shards.
-
-    The table has one row for each source, the arrays one entry for each; no document is seen here.
-    """
-    depth = max(0, math.ceil(math.log2(shards)))
-    node = units.agg(
-        F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", F.col("n_units").alias("n")))).alias("k"),
-        F.coalesce(F.sum("n_units"), F.lit(0)).alias("total"),
-    )
-    logs = F.expr("aggregate(sequence(1, cast(total as int)), array(0D), (a, k) -> concat(a, array(element_at(a, -1) + ln(k))))")
-    logs = F.when(F.col("total") > 0, logs).otherwise(F.array(F.lit(0.0)))
-    node = node.select(F.lit(0).alias("low"), F.lit(shards).alias("width"), "k", logs.alias("logs"))
-    for level in range(depth):
-        total = F.aggregate("k", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-        left_width = F.ceil(F.col("width") / 2).cast("int")
-        node = node.withColumn("_total", total).withColumn("_room", F.floor(F.col("_total") * left_width / F.col("width")).cast("long"))
-
-        start = F.struct(F.col("_total").alias("total"), F.col("_room").alias("room"), F.array().cast("array<bigint>").alias("got"))
-        node = node.withColumn("_left", F.aggregate("k", start, drawer(seed, level), lambda a: a["got"]))
-        part = lambda left: F.transform(
-            "k",
-            lambda s, i: F.struct(
-                s["last"].alias("last"), s["source"].alias("source"), (F.get("_left", i) if left else s["n"] - F.get("_left", i)).alias("n")
-            ),
-        )
+    """(source, n_units) to (source, shard, quota): a splitting tree over the shards; no document is seen here."""
+    numbered = units.select("source", F.col("n_units").cast("long").alias("n"), (F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1).cast("long").alias("at"))
+    numbered = materialize(numbered, "numbered")  # one row for each source
+    most = numbered.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]
+    tiers = [1]  # sources in a part of each tier, the finest first
+    while tiers[-1] * FAN <= most:
+        tiers.append(tiers[-1] * FAN)
+    nodes = numbered.select("at", "n", F.lit(0).alias("low"), F.lit(shards).alias("width"))
+    for level in range(max(0, math.ceil(math.log2(shards)))):
+        left = F.ceil(F.col("width") / 2).cast("int")
+        rooms = nodes.groupBy("low", "width").agg(F.sum("n").alias("total")).withColumn("half", left)
+        rooms = rooms.select("low", "width", "half", F.lit(0).cast("long").alias("path"), F.floor(F.col("total") * F.col("half") / F.col("width")).cast("long").alias("room"))
+        rooms = materialize(rooms, "rooms")
+        above = rooms.select("low", "path", "room")
+        for tier in reversed(tiers):
+            # The parts of this tier, gathered by the part of the tier above.
+            own, up = F.floor(F.col("at") / tier).cast("long"), F.floor(F.col("at") / (tier * FAN)).cast("long")
+            parts = nodes.groupBy("low", up.alias("path"), own.alias("part")).agg(F.sum("n").alias("n"))
+            gathered = parts.groupBy("low", "path").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("k"))
+            above = materialize(draw_children(gathered.join(above, ["low", "path"]), level * 8 + len(tiers), seed).select("low", F.col("part").alias("path"), "n", "room"), "drawn")
+            above = above.select("low", "path", "room")
+        split = nodes.join(above.withColumnRenamed("path", "at"), ["low", "at"]).join(rooms.select("low", "half"), "low")
         halves = F.array(
-            F.struct(F.col("low").alias("low"), left_width.alias("width"), part(True).alias("k")),
-            F.struct((F.col("low") + left_width).alias("low"), (F.col("width") - left_width).alias("width"), part(False).alias("k")),
+            F.struct(F.col("low").alias("low"), F.col("half").alias("width"), F.col("room").alias("n")),
+            F.struct((F.col("low") + F.col("half")).alias("low"), (F.col("width") - F.col("half")).alias("width"), (F.col("n") - F.col("room")).alias("n")),
         )
-        node = node.select("logs", F.explode(halves).alias("h")).select("h.low", "h.width", "h.k", "logs").where("width > 0")
-        node = materialize(node, "node")
-    return node.select(F.col("low").alias("shard"), F.inline("k")).select("source", "shard", F.col("n").alias("quota"))
+        nodes = materialize(split.select("at", F.inline(halves)).where("width > 0"), "nodes")
+    return nodes.join(numbered.select("at", "source"), "at").select("source", F.col("low").alias("shard"), F.col("n").alias("quota"))
 
 
 def same(a: str, b: str) -> Column:
@@ -133,15 +152,56 @@ def same(a: str, b: str) -> Column:
 
 
 def weigh(docs: DataFrame, text: str, source: str, key: str, blocks: int, seed: int) -> DataFrame:
-    """Adds _source, _size, _hash (its place in the source's permutation) and _block."""
+    """Adds _source, _size, _hash (its place in the source's permutation) and _block.
+
+    Rows that are equal in id, text and source get numbers, counted in each partition and then across partitions, so
+    that no window holds all of them.
+    """
     out = docs.withColumns({
         "_size": F.size(words_of(text_of(text))).cast("long"),
         "_source": F.col(source).cast("string"),
-        "_hash": F.xxhash64(F.lit(seed), F.col(key), F.col(text)),
+        "_hash": F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(source)),
     })
+    several = materialize(out.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"), "equal")
+    if several.limit(1).count():
+        # Partition and row numbers are kept with the rows, as another reading could give others.
+        out = materialize(out.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "rows")
+        equal = out.select("_hash", "_part", "_row").join(several, "_hash", "left_semi")
+        inside = F.row_number().over(Window.partitionBy("_hash", "_part").orderBy("_row"))
+        before = F.sum("m").over(Window.partitionBy("_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = equal.groupBy("_hash", "_part").agg(F.count("*").alias("m")).select("_hash", "_part", F.coalesce(before, F.lit(0)).alias("before"))
+        numbers = equal.withColumn("inside", inside).join(parts, ["_hash", "_part"]).select("_row", (F.col("before") + F.col("inside")).alias("_nth"))
+        out = out.join(numbers, "_row", "left").withColumn("_hash", F.when(F.col("_nth") > 1, F.xxhash64("_hash", "_nth")).otherwise(F.col("_hash")))
+        out = out.drop("_part", "_row", "_nth")
     return out.withColumn("_block", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(blocks)).cast("int"))
 
 
+def cut_points(light: DataFrame, cut: DataFrame) -> DataFrame:
+    """(_s, _b, _cut): of each block of cut (_s, _b, left), the hash up to which documents bring the sum nearest left."""
+    inside = light.where("_size > 0").join(cut, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+    inside = materialize(inside.select("_s", "_b", "_hash", "_size", "left"), "inside")
+    done, keys = None, ["_s", "_b"]
+    # Order inside a block: the hash's low 40 bits, which the block does not use; the finest part is put in order itself.
+    place = F.col("_hash").bitwiseAND(F.lit((1 << 40) - 1))
+    inside, shift = inside.withColumn("place", place), 40
+    for bits in CUT_BITS:
+        shift -= bits
+        part = F.shiftrightunsigned("place", shift)
+        sums = inside.groupBy(*keys, "left", part.alias("part")).agg(F.sum("_size").alias("words"))
+        run = F.sum("words").over(Window.partitionBy(*keys).orderBy("part"))
+        sums = sums.withColumn("before", run - F.col("words"))
+        # The part in which the sum passes what is left; all before it go in whole.
+        at = sums.where("before <= left and before + words > left").select(*keys, F.col("part").alias("at"), (F.col("left") - F.col("before")).alias("rest"))
+        at = at.withColumnsRenamed({k: f"k{k}" for k in keys})
+        same_block = F.col("_s").eqNullSafe(F.col("k_s")) & (F.col("_b") == F.col("k_b"))
+        whole = inside.join(at, same_block & (part < F.col("at"))).groupBy("_s", "_b").agg(F.max("place").alias("_cut"))
+        done = whole if done is None else done.unionByName(whole)
+        inside = materialize(inside.join(at, same_block & (part == F.col("at"))).select("_s", "_b", "_hash", "_size", F.col("rest").alias("left"), "place"), "inside")
+    run = F.sum("_size").over(Window.partitionBy("_s", "_b").orderBy("place", "_hash")) - F.col("_size")
+    last = inside.withColumn("run", run).where(F.col("run") + F.col("_size") / 2 <= F.col("left")).groupBy("_s", "_b").agg(F.max("place").alias("_cut"))
+    return done.unionByName(last).groupBy("_s", "_b").agg(F.max("_cut").alias("_cut"))
+
+
 def plan_blocks(light: DataFrame, cap: int, shards: int, seed: int) -> DataFrame:
     """One row per source and block: what the mix takes of it, and to which shard each pass goes."""
     per_block = materialize(light.groupBy("_source", "_block").agg(F.sum("_size").alias("words")), "blocks")
@@ -164,11 +224,7 @@ def plan_blocks(light: DataFrame, cap: int, shards: int, seed: int) -> DataFrame
 
     # Of a block that is neither full nor empty: the hash up to which documents bring the sum nearest.
     cut = placed.where("left > 0 and left < words").select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "left")
-    inside = light.join(cut, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    inside = inside.groupBy("_s", "_b", "left", "_hash").agg(F.sum("_size").alias("size"))
-    run = F.sum("size").over(Window.partitionBy("_s", "_b").orderBy("_hash")) - F.col("size")
-    inside = inside.withColumn("run", run).where(F.col("run") + F.col("size") / 2 <= F.col("left"))
-    inside = inside.groupBy("_s", "_b").agg(F.max("_hash").alias("_cut"))
+    inside = cut_points(light, cut)
     placed = placed.join(inside, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
 
     units = placed.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("whole") + F.col("partial")).alias("n_units"))
@@ -188,8 +244,8 @@ def plan_blocks(light: DataFrame, cap: int, shards: int, seed: int) -> DataFrame
     full = F.col("left") >= F.col("words")
     out = placed.join(leaf, same("_source", "_leaf_source"), "left").select(
         F.col("_source").alias("_s"), F.col("_block").alias("_b"), F.col("whole").alias("_whole"),
-        # Documents up to this hash are in the last pass as well.
-        F.when(F.col("left") <= 0, F.lit(None)).when(full, F.lit((1 << 63) - 1)).otherwise(F.col("_cut")).cast("long").alias("_upto"),
+        # Documents up to this place (the low bits of the hash) are in the last pass as well.
+        F.when(F.col("left") <= 0, F.lit(None)).when(full, F.lit(1 << 40)).otherwise(F.col("_cut")).cast("long").alias("_upto"),
         F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), where.alias("_where"),
     )
     plan = materialize(out, "plan")
@@ -197,7 +253,7 @@ def plan_blocks(light: DataFrame, cap: int, shards: int, seed: int) -> DataFrame
     # What a source is still short of or over, and the one document whose size comes nearest to it: it is put
     # in or left out, so even a source of few, long documents ends near its target.
     rows = light.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).where("_size > 0")
-    rows = rows.withColumn("last", F.coalesce(F.col("_hash") <= F.col("_upto"), F.lit(False)))
+    rows = rows.withColumn("last", in_last_pass())
     gap = rows.groupBy(F.col("_s").alias("_gap_source")).agg(
         (F.first("_target") - F.sum(F.col("_size") * (F.col("_whole") + F.col("last").cast("long")))).alias("gap")
     )
@@ -207,12 +263,18 @@ def plan_blocks(light: DataFrame, cap: int, shards: int, seed: int) -> DataFrame
     return materialize(plan.join(flip, same("_s", "_flip_source"), "left").drop("_flip_source"), "flipped")
 
 
+def in_last_pass() -> Column:
+    return F.coalesce(F.col("_hash").bitwiseAND(F.lit((1 << 40) - 1)) <= F.col("_upto"), F.lit(False))
+
+
 def decide(rows: DataFrame, plan: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds what the mix takes of each row. The plan has one row per block: Spark broadcasts it while it is small."""
     out = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    last = F.coalesce(F.col("_hash") <= F.col("_upto"), F.lit(False)) != F.coalesce(F.col("_hash") == F.col("_flip"), F.lit(False))
+    last = in_last_pass() != F.coalesce(F.col("_hash") == F.col("_flip"), F.lit(False))
     out = out.withColumn("_times", F.when(F.col("_size") > 0, F.col("_whole") + last.cast("long")).otherwise(F.lit(0)).cast("int"))
-    extra = F.struct(F.col("_whole").alias("pass"), F.pmod("_hash", F.lit(shards)).cast("int").alias("shard"))
+    # A copy beyond the block's units (the one that is put in by itself) goes where the block's last unit does, or by hash.
+    after = F.coalesce(F.get("_where", F.size("_where") - 1)["shard"], F.pmod("_hash", F.lit(shards)).cast("int"))
+    extra = F.struct(F.col("_whole").alias("pass"), after.alias("shard"))
     spots = F.transform(
         F.slice(F.concat("_where", F.array(extra)), F.lit(1), F.col("_times")),
         lambda w: F.struct(w["pass"].alias("pass"), w["shard"].alias("shard"), F.xxhash64(F.lit(seed), w["pass"], w["shard"], F.col("_hash")).alias("place")),

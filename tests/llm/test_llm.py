@@ -125,10 +125,7 @@ def test_quotas_are_exact_and_balanced(spark):
 
 
 def test_draws_follow_the_hypergeometric_distribution(spark):
-    logs = [0.0]
-    for k in range(1, 21):
-        logs.append(logs[-1] + math.log(k))
-    df = spark.range(4000).select(mixing.hypergeometric(F.lit(20).cast("long"), F.lit(8).cast("long"), F.lit(10).cast("long"), F.xxhash64("id"), F.array(*map(F.lit, logs))).alias("x"))
+    df = spark.range(4000).select(mixing.hypergeometric(F.lit(20).cast("long"), F.lit(8).cast("long"), F.lit(10).cast("long"), F.xxhash64("id")).alias("x"))
     x = np.array([r.x for r in df.collect()])
     assert abs(x.mean() - 4.0) < 0.1 and abs(x.var() - 10 * 0.4 * 0.6 * 10 / 19) < 0.15
 

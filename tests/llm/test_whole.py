@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from test_llm import brute_links, brute_removed
 
-from tallyframe.llm import lm_scoring, ngram_join, quality_rules, suffix_dedup
+from tallyframe.llm import lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +63,25 @@ def test_repeated_rows_are_linked_once(spark):
     assert sum(map(len, links)) > 20
     got = [(r.doc_id, r.n_links) for r in ngram_join.join(df).collect()]
     assert sorted(map(repr, got)) == sorted(repr((d, len(x))) for (d, _), x in zip(rows, links))
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    rows = [(7, "w1 w2 w3 w4 w5 w6 w7", "a")] * 40 + [(8, "one two", "a"), (None, "x " * 30, "b"), (None, "x " * 30, "b"), ((1 << 60) + 1, "y " * 500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    runs = []
+    for _ in range(2):
+        out = mixing.mix(df).collect()
+        assert len(out) == len(rows) and all(r._taken in (0, r._size, 2 * r._size, 3 * r._size) for r in out)
+        for s in ("a", "b", None):
+            mine = [r for r in out if r.source == s]
+            assert abs(sum(r._taken for r in mine) - mine[0]._target) <= max(r._size for r in mine)
+        runs.append(sorted(repr((r.doc_id, r._taken)) for r in out))
+    assert runs[0] == runs[1] and (1 << 60) + 1 in {r.doc_id for r in out}
+
+
+def test_quotas_of_many_sources(spark):
+    df = spark.range(1500).selectExpr("concat('s', id) as source", "id % 7 as n_units")
+    got = mixing.quotas(df, 4).groupBy("source").sum("quota").join(df, "source")
+    assert got.count() == 1500 and got.where("n_units <> `sum(quota)`").count() == 0
+    shard = [r["q"] for r in mixing.quotas(df, 4).groupBy("shard").agg({"quota": "sum"}).withColumnRenamed("sum(quota)", "q").collect()]
+    assert len(shard) == 4 and max(shard) - min(shard) <= 3
