@@ -248,18 +248,20 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bands(width: int):
-    """The bands of each sample's run (low to high), with the names of their cores and reaches."""
+    """The bands of each sample's spans of starts (low to high), with the names of their cores and reaches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, place, first, low, high, raw in zip(pdf["key"], pdf["place"], pdf["first"], pdf["low"], pdf["high"], pdf["bytes"], strict=True):
-                for band in range((place - high) // width, (place - low) // width + 1):
-                    near, far = band * width, min(band * width + width - 1, LENGTH - GRAM)
-                    a, b = max(low, place - far), min(high, place - near)
-                    core = xxhash.xxh3_128_digest(raw[place - near - first : place - far + LENGTH - first], band)
-                    reach = xxhash.xxh3_128_digest(raw[a - first : b + LENGTH - first], (place - a) * LENGTH + place - b)
-                    out.append((key, place, a, b, core, reach))
+            for key, place, first, spans, raw in zip(pdf["key"], pdf["place"], pdf["first"], pdf["spans"], pdf["bytes"], strict=True):
+                for span in spans:
+                    low, high = span["low"], span["high"]
+                    for band in range((place - high) // width, (place - low) // width + 1):
+                        near, far = band * width, min(band * width + width - 1, LENGTH - GRAM)
+                        a, b = max(low, place - far), min(high, place - near)
+                        core = xxhash.xxh3_128_digest(raw[place - near - first : place - far + LENGTH - first], band)
+                        reach = xxhash.xxh3_128_digest(raw[a - first : b + LENGTH - first], (place - a) * LENGTH + place - b)
+                        out.append((key, place, a, b, core, reach))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in BANDED.split(", ")])
 
     return run
@@ -267,11 +269,10 @@ def _bands(width: int):
 
 def runs_of_large_buckets(contexts: DataFrame) -> DataFrame:
     """(key, first, last) of the strings of large buckets that occur twice; see the module's text."""
-    left = contexts.select("key", "place", F.col("first").alias("low"), F.col("last").alias("high"))
+    spans = contexts.select("key", "place", "first", "bytes", F.array(F.struct(F.col("first").alias("low"), F.col("last").alias("high"))).alias("spans"))
     settled = None
     for width in BANDS:
-        bytes_of = contexts.select("key", "place", "first", "bytes").join(left, ["key", "place"])
-        bands = materialize(bytes_of.mapInPandas(_bands(width), BANDED), "bands")
+        bands = materialize(spans.mapInPandas(_bands(width), BANDED), "bands")
         spot = F.struct("key", "place", F.col("first").alias("low"), F.col("last").alias("high"))
         # Written out, so that Spark can split a very frequent name in the joins.
         classes = materialize(bands.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(spot).alias("spot")), "classes")
@@ -279,7 +280,8 @@ def runs_of_large_buckets(contexts: DataFrame) -> DataFrame:
         settled = here if settled is None else settled.unionByName(here)
         # One sample of each reach goes on, settled or not: the others may share strings with it.
         several = materialize(classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core"), "several")
-        left = classes.join(several, "core", "left_semi").select("spot.*")
+        left = classes.join(several, "core", "left_semi").select("spot.*").groupBy("key", "place").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+        spans = contexts.select("key", "place", "first", "bytes").join(left, ["key", "place"])
     return settled
 
 
