@@ -46,8 +46,8 @@ LENGTH = 400
 GRAM = 100
 #: Buckets of more sample positions than this are counted by bands.
 PART = 1024
-#: Widths of the bands, in starts; the last is a single string.
-BANDS = (49, 7, 1)
+#: Widths of the bands, in starts: a whole run first, a single string last.
+BANDS = (301, 43, 7, 1)
 #: Texts are scanned in pieces of this many bytes (with an overlap), so a task's arrays stay small.
 PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
