@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import bound_of
+from .ranks import numbered
 
 MATCHABLE = ("stock", "etf", "fund")
 
@@ -58,9 +59,13 @@ def side_ranking(trades: DataFrame, top: int | None = 10) -> DataFrame:
         F.count("*").alias("trades"), F.countDistinct("person_key").alias("people"), F.coalesce(F.sum("low"), F.lit(0)).alias("sum_low"), F.coalesce(F.sum("high"), F.lit(0)).alias("sum_high"),
         F.count_if(F.col("low").isNotNull() & F.col("high").isNull()).alias("open_rows"), F.count("low").alias("known"), F.bool_or(F.col("asset_class").isin(*MATCHABLE)).alias("matchable"),
     )
-    w = Window.partitionBy("tx_type")
-    g = g.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("trades"), F.desc("people"), "ticker")).cast("long"), "side_tickers": F.count("*").over(w)})
-    return g.where(F.col("rank") <= top) if top else g
+    order = [F.desc("trades"), F.desc("people"), F.col("ticker")]
+    if top:
+        # A limit in each task first, then over the few rows that are left; the count is an aggregate.
+        ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy("tx_type").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    else:
+        ranked = numbered(g, order, by=["tx_type"])
+    return ranked.join(g.groupBy("tx_type").agg(F.count("*").alias("side_tickers")), "tx_type").select(*g.columns, "rank", "side_tickers")
 
 
 def net_columns() -> list[Column]:

@@ -86,14 +86,26 @@ def fund_new(holdings: DataFrame, share: float, cash: str = "CASH") -> DataFrame
 def tie_slices(rows: DataFrame, by: Sequence[str], amount: str, named: int = 12, cap: int = 16) -> DataFrame:
     """(by..., slice, n, total): the largest items named, equal amounts never parted, the rest as Other.
 
-    A group of equal amounts is named whole when it begins among the first `named` items and ends within `cap`.
+    Groups of equal amounts are taken from the largest on until there are `named` slices. A group that fits into what is
+    left of them, or into `cap` in all, is named item by item; a larger one becomes one slice of its own, and naming goes on.
+    Every group makes a slice at least, so the first `named` groups decide; a fold over their sizes does.
     """
-    w = Window.partitionBy(*by)
-    x = rows.withColumns({"_upto": F.count("*").over(w.orderBy(F.desc(amount)).rangeBetween(Window.unboundedPreceding, 0)), "_tied": F.count("*").over(Window.partitionBy(*by, amount))})
-    keep = (F.col("_upto") - F.col("_tied") < named) & (F.col("_upto") <= cap)
-    # Once one group does not fit, no later one is named.
-    x = x.withColumn("_keep", F.min(keep.cast("int")).over(w.orderBy(F.desc(amount)).rangeBetween(Window.unboundedPreceding, 0)) == 1)
-    return x.groupBy(*by, F.when(F.col("_keep"), F.col("item")).otherwise(F.lit("Other")).alias("slice")).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
+    groups = rows.groupBy(*by, amount).agg(F.count("*").alias("_size"))
+    groups = groups.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(amount)))).where(F.col("_rank") <= named)
+    sizes = groups.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_rank", F.col(amount).alias("_amount"), "_size"))).alias("_groups"))
+
+    def step(acc: Column, g: Column) -> Column:
+        whole = (g["_size"] <= named - acc["used"]) | (acc["used"] + g["_size"] <= cap)
+        kind = F.when(acc["used"] >= named, "other").when(whole, "item").otherwise("group")
+        used = acc["used"] + F.when(kind == "item", g["_size"]).when(kind == "group", 1).otherwise(0)
+        return F.struct(used.cast("long").alias("used"), F.concat(acc["kinds"], F.array(F.struct(g["_amount"].alias("_amount"), kind.alias("_kind")))).alias("kinds"))
+
+    kind = dict(rows.dtypes)[amount]
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<_amount:{kind},_kind:string>>").alias("kinds"))
+    kinds = sizes.select(*by, F.inline(F.aggregate("_groups", start, step, lambda acc: acc["kinds"])))
+    x = rows.join(kinds.withColumnRenamed("_amount", amount), [*by, amount], "left")
+    label = F.when(F.col("_kind") == "item", F.col("item")).when(F.col("_kind") == "group", F.concat(F.lit("Equal at "), F.col(amount).cast("string"))).otherwise("Other")
+    return x.groupBy(*by, label.alias("slice")).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
 
 
 def same_holdings(a: DataFrame, b: DataFrame, eps: float = 1e-6) -> DataFrame:

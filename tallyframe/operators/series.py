@@ -47,7 +47,7 @@ def strict_returns(levels: DataFrame) -> DataFrame:
 
 def blend(returns: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., month, r, coverage): weighted over what has a return; coverage is the share of weight that has."""
-    x = returns.join(F.broadcast(weights) if by is None else weights, "symbol")
+    x = returns.join(weights, "symbol")
     w = F.when(F.col("r").isNotNull(), F.col("weight"))
     return x.groupBy(*(by or []), "month").agg(
         F.try_divide(F.sum(F.col("weight") * F.col("r")), F.sum(w)).alias("r"),
@@ -116,25 +116,37 @@ def last_complete_month(as_of: Column) -> Column:
     return F.when(as_of >= F.last_day(as_of), F.trunc(as_of, "month")).otherwise(F.add_months(F.trunc(as_of, "month"), -1))
 
 
+TRADING_DAYS = 252
+THIN_FROM = 3
+
+
 def window_starts(as_of: Column) -> Column:
     """Starts of the standard windows of a date, as an array of (label, start)."""
     first = lambda unit: F.date_sub(F.trunc(as_of, unit), 1)
     back = lambda m: F.add_months(as_of, -m)
-    parts = [("1M", back(1)), ("3M", back(3)), ("6M", back(6)), ("MTD", first("month")), ("QTD", first("quarter")), ("YTD", first("year")), ("1Y", back(12)), ("3Y", back(36)), ("5Y", back(60))]
+    parts = [("MTD", first("month")), ("QTD", first("quarter")), ("YTD", first("year")), *((f"{y}Y", back(12 * y)) for y in (1, 3, 5, 10, 15, 20))]
     return F.array(*[F.struct(F.lit(a).alias("label"), b.alias("start")) for a, b in parts])
 
 
 def period_returns(points: DataFrame, as_of_dates: DataFrame) -> DataFrame:
-    """(symbol, label, start, base_date, end_date, ret, annualized): as-of level at both ends; null where the series starts later.
+    """(symbol, label, start, base_date, end_date, ret, annualized, estimate): as-of level at both ends; null where the series starts later.
 
-    as_of_dates: (symbol, as_of). Windows of more than a year are also annualised by their real span.
+    as_of_dates: (symbol, as_of). Windows of three years and more are annualised by their real span (and ret is their total
+    return). A window is an estimate where it has under 90 % of the trading days that its span makes expect.
     """
     asked = as_of_dates.select("symbol", "as_of", F.explode(window_starts(F.col("as_of"))).alias("w")).select("symbol", "as_of", "w.label", "w.start")
     start = as_of(asked, points, "start", "date", "close").withColumnsRenamed({"asof_date": "base_date", "asof_value": "base"})
     end = as_of(start, points, "as_of", "date", "close").withColumnsRenamed({"asof_date": "end_date", "asof_value": "top"})
-    ret = F.when((F.col("base") > 0) & F.col("top").isNotNull(), F.col("top") / F.col("base") - 1)
+    ret = F.when((F.col("base") != 0) & (F.col("end_date") > F.col("base_date")), F.col("top") / F.col("base") - 1)
     years = F.datediff("end_date", "base_date") / 365.25
-    return end.select("symbol", "label", "start", "base_date", "end_date", ret.alias("ret"), F.when(years > 1.0, F.pow(1 + ret, 1 / years) - 1).alias("annualized"))
+    long = F.col("label").isin("3Y", "5Y", "10Y", "15Y", "20Y") & (1 + ret >= 0)
+    # The places of both ends in the series give the number of points between them.
+    nth = points.select("symbol", F.col("date").alias("d"), F.row_number().over(Window.partitionBy("symbol").orderBy("date")).alias("nth"))
+    for name, date in (("i", "base_date"), ("j", "end_date")):
+        end = end.join(nth.select("symbol", F.col("d").alias(date), F.col("nth").alias(name)), ["symbol", date], "left")
+    expected = F.datediff("end_date", "base_date") * (TRADING_DAYS / 365.25)
+    thin = F.when(ret.isNotNull(), (expected >= THIN_FROM) & (F.col("j") - F.col("i") < 0.9 * expected))
+    return end.select("symbol", "label", "start", "base_date", "end_date", ret.alias("ret"), F.when(long, F.pow(1 + ret, 1 / years) - 1).alias("annualized"), thin.alias("estimate"))
 
 
 def sparkline(points: DataFrame, n: int = 40) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import disclosures, risk, series
+from ..operators import disclosures, ranks, risk, series
 from ..sources import files
 from ..sources.tables import Tables
 from .registry import query
@@ -145,12 +145,11 @@ def _(t: Tables) -> DataFrame:
     return x.groupBy("person_key").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.when(F.count_if(open_row) == 0, F.sum("high")).alias("high"), F.bool_or(open_row).alias("open_ended"))
 
 
-@query("agg28_queue_position", "select filing_id, row_number() over (order by filed_date, filing_id) as position, count(*) over () as queued from filings where parse_status = 'needs_manual_review' order by position limit 100", "filings")
+@query("agg28_queue_position", "select filing_id, row_number() over (order by filed_date, filing_id) as position, count(*) over () as queued from filings where parse_status = 'needs_manual_review'", "filings")
 def _(t: Tables) -> DataFrame:
     q = t.filings.where("parse_status = 'needs_manual_review'")
-    # The report shows the head of the queue, so only its rows are numbered.
-    head = q.orderBy("filed_date", "filing_id").limit(100).withColumn("position", F.row_number().over(Window.orderBy("filed_date", "filing_id")).cast("long"))
-    return head.crossJoin(F.broadcast(q.agg(F.count("*").alias("queued")))).select("filing_id", "position", "queued")
+    placed = ranks.numbered(q.select("filing_id", "filed_date"), ["filed_date", "filing_id"], "position")
+    return placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("queued")))).select("filing_id", "position", "queued")  # one row beside each
 
 
 @query("fin18_since_added", "with a as (select symbol, max(date) - 200 as added from price_points group by 1), b as (select symbol, added, max(date) as base from a join price_points p using (symbol) where date <= added group by 1, 2) select symbol, date, close from price_points join b using (symbol) where date >= base", "price_points")
@@ -184,15 +183,14 @@ def _(t: Tables) -> DataFrame:
     return risk.risk_metrics(r, ["side"]).select("side", "n", "ann_return", "volatility")
 
 
-@query("fin21_common_window_risk", f"""with {GRID}, x as (select symbol, month, r from rt where r is not null and symbol in (select symbol from (select distinct symbol from me order by symbol limit 6))),
+@query("fin21_common_window_risk", f"""with {GRID}, x as (select symbol, month, r from rt where r is not null and true),
 c as (select month from x group by 1 having count(*) = (select count(distinct symbol) from x)), k as (select month, year(month) * 12 + month(month) - row_number() over (order by month) as g from c),
 l as (select month from k where g = (select max_by(g, month) from k) order by month desc limit 36)
 select symbol, count(*) as n, round(exp(sum(ln(1 + r)) * 12 / count(*)) - 1, 8) as ann_return, round(stddev_samp(r) * sqrt(12::double), 8) as volatility from x join l using (month) group by 1""", "price_points")
 def _(t: Tables) -> DataFrame:
-    """The first six symbols as a sample; fin21_model_window_risk runs over all models."""
+    """All symbols by their own returns; fin21_model_window_risk runs over the models."""
     r = grid_returns(t).where("r is not null")
-    names = r.select("symbol").distinct().orderBy("symbol").limit(6)
-    return common_window_risk(r.join(F.broadcast(names), "symbol", "left_semi"), names)
+    return common_window_risk(r, r.select("symbol").distinct())
 
 
 @query("fin21_model_window_risk", f"""with {_VERSIONED}, x as (select model_key, month, r from mr join models using (model_key) where r is not null),

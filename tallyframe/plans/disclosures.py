@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import disclosures as d
+from ..operators import ranks
 from ..sources.tables import Tables
 from .registry import query
 
@@ -68,7 +69,8 @@ def _(t: Tables) -> DataFrame:
 select ticker, net_estimate, row_number() over (order by net_estimate desc nulls last, ticker) as rank, count(*) over () as total from n""", "bounded")
 def _(t: Tables) -> DataFrame:
     n = d.nets(recent(t), ["ticker"], both_sides=False)
-    return n.select("ticker", "net_estimate", F.row_number().over(Window.orderBy(F.col("net_estimate").desc_nulls_last(), "ticker")).cast("long").alias("rank"), F.count("*").over(Window.partitionBy()).alias("total"))
+    placed = ranks.numbered(n.select("ticker", "net_estimate"), [F.col("net_estimate").desc_nulls_last(), F.col("ticker")])
+    return placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("total"))))  # one row beside each
 
 
 @query("joi07_filings_without_ticker", "select f.filing_id, f.person_key from filings f where not exists (select 1 from trades t where t.filing_id = f.filing_id and t.ticker is not null)", "filings trades")

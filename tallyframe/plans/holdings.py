@@ -90,10 +90,12 @@ def _(t: Tables) -> DataFrame:
     return h.fund_new(current(t), 0.05)
 
 
-@query("win18_tie_slices", """with i as (select o_orderpriority as grp, n_name as item, count(*) as amount from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
-k as (select *, count(*) over (partition by grp order by amount desc) as upto, count(*) over (partition by grp, amount) as tied from i),
-q as (select *, min(case when upto - tied < 12 and upto <= 16 then 1 else 0 end) over (partition by grp order by amount desc) = 1 as keep from k)
-select grp, case when keep then item else 'Other' end as slice, count(*) as n, sum(amount)::bigint as total from q group by 1, 2""")
+@query("win18_tie_slices", """with recursive i as (select o_orderpriority as grp, n_name as item, count(*) as amount from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
+k as (select grp, amount, count(*) as size, row_number() over (partition by grp order by amount desc) as rk from i group by 1, 2),
+q as (select grp, rk, amount, case when size <= 12 or size <= 16 then 'item' else 'group' end as kind, case when size <= 16 then size else 1 end as used from k where rk = 1
+  union all select k.grp, k.rk, k.amount, case when q.used >= 12 then 'other' when k.size <= 12 - q.used or q.used + k.size <= 16 then 'item' else 'group' end,
+    q.used + case when q.used >= 12 then 0 when k.size <= 12 - q.used or q.used + k.size <= 16 then k.size else 1 end from q join k on k.grp = q.grp and k.rk = q.rk + 1)
+select i.grp, case q.kind when 'item' then item when 'group' then 'Equal at ' || i.amount else 'Other' end as slice, count(*) as n, sum(i.amount)::bigint as total from i join q on q.grp = i.grp and q.amount = i.amount group by 1, 2""")
 def _(t: Tables) -> DataFrame:
     x = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     x = x.groupBy(F.col("o_orderpriority").alias("grp"), F.col("n_name").alias("item")).agg(F.count("*").alias("amount"))

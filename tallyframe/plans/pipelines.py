@@ -18,7 +18,7 @@ def drawdowns(t: Tables) -> DataFrame:
     return t.daily_points.select(F.col("symbol").alias("key"), F.col("date").cast("timestamp_ntz").alias("ts"), (F.col("close") / peak - 1).alias("drawdown"))
 
 
-@query("stm01_breach_replay", f"""with {DRAW}, s as (select *, case when drawdown <= -0.5 + 1e-9 then 1 when drawdown > -0.48 - 1e-9 then 0 end as st from ev),
+@query("stm01_breach_replay", f"""with {DRAW}, s as (select *, case when 100 * drawdown <= -50 + 1e-9 then 1 when 100 * drawdown > -48 + 1e-9 then 0 end as st from ev),
 o as (select *, coalesce(last_value(st ignore nulls) over (partition by key order by ts rows unbounded preceding), 0) as now from s), p as (select *, coalesce(lag(now) over (partition by key order by ts), 0) as was from o),
 a as (select *, case when now = 1 and was = 0 then 'open' when now = 0 and was = 1 then 'recover' when now = 1 then 'update' else 'none' end as action from p)
 select key, ts, round(drawdown, 8) as drawdown, action, (sum(case when action = 'open' then 1 else 0 end) over (partition by key order by ts))::bigint as episode from a""", "daily_points")
@@ -67,7 +67,7 @@ def _(t: Tables) -> DataFrame:
     return extract.html_tables(t.nation.select(F.col("n_nationkey").alias("id"), page.alias("html")), "id", "html")
 
 
-@query("win22_text_lines", "select l_orderkey as doc, 1 as page, l_linenumber - 1 as line, string_agg(w, ' ' order by w) as text from (select l_orderkey, dense_rank() over (partition by l_orderkey order by l_linenumber) as l_linenumber, l_partkey::varchar as w from lineitem where l_orderkey < 2000) group by 1, 3")
+@query("win22_text_lines", "select l_orderkey as doc, 1 as page, l_linenumber - 1 as line, string_agg(w, ' ' order by w) as text from (select l_orderkey, dense_rank() over (partition by l_orderkey order by l_linenumber) as l_linenumber, l_partkey::varchar as w from lineitem) group by 1, 3")
 def _(t: Tables) -> DataFrame:
     li = t.lineitem.withColumn("nth", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
     words = li.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), (F.col("nth") * 10.0).alias("y"), F.col("l_partkey").cast("string").alias("x"), F.col("l_partkey").cast("string").alias("text"))

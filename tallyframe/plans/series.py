@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import risk, series
+from ..sources.kept import kept
 from ..sources.tables import Tables
 from .registry import query
 
@@ -18,14 +19,23 @@ BOOK = "bk as (select symbol, (9 - i) / 36.0::double as weight from (select dist
 
 def book(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Fixed weights: the first eight symbols by name, 8/36 down to 1/36; the benchmark: the next two, 0.6 and 0.4."""
-    s = t.price_points.select("symbol").distinct().withColumn("i", F.row_number().over(Window.orderBy("symbol")))
+    s = grid_returns(t).select("symbol").distinct().withColumn("i", F.row_number().over(Window.orderBy("symbol")))
     weights = s.where("i <= 8").select("symbol", ((9 - F.col("i")) / F.lit(36.0)).alias("weight"))
     bench = s.where("i in (9, 10)").select("symbol", F.when(F.col("i") == 9, 0.6).otherwise(0.4).alias("weight"))
     return weights, bench
 
 
+def month_levels(t: Tables) -> DataFrame:
+    """Month-end levels, a row for each symbol and month: written once for all parts of a query."""
+    if "month_levels" not in t.__dict__:
+        t.__dict__["month_levels"] = kept(series.month_end(t.price_points), "month_levels")
+    return t.__dict__["month_levels"]
+
+
 def grid_returns(t: Tables) -> DataFrame:
-    return series.monthly_returns(series.levels_on_grid(series.month_end(t.price_points)))
+    if "grid_returns" not in t.__dict__:
+        t.__dict__["grid_returns"] = kept(series.monthly_returns(series.levels_on_grid(month_levels(t))), "grid_returns")
+    return t.__dict__["grid_returns"]
 
 
 @query("src03_price_window", "select symbol, date, close from price_points where date >= date '1996-03-01' and date <= date '1996-06-30' and symbol >= 'N'", "price_points")
@@ -45,12 +55,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("win04_forward_fill", f"with {GRID} select symbol, month, level from lv", "price_points")
 def _(t: Tables) -> DataFrame:
-    return series.levels_on_grid(series.month_end(t.price_points))
+    return series.levels_on_grid(month_levels(t))
 
 
 @query("joi12_grid_join", f"with {GRID} select symbol, month, level from g left join me using (symbol, month)", "price_points")
 def _(t: Tables) -> DataFrame:
-    me = series.month_end(t.price_points)
+    me = month_levels(t)
     return series.month_grid(me).join(me, ["symbol", "month"], "left")
 
 
@@ -99,14 +109,16 @@ def _(t: Tables) -> DataFrame:
 
 
 _PERIODS = """with a as (select symbol, max(date) as as_of from price_points group by 1),
-w as (select symbol, as_of, unnest([{'l': '1M', 's': as_of - interval 1 month}, {'l': '3M', 's': as_of - interval 3 month}, {'l': '6M', 's': as_of - interval 6 month},
-  {'l': 'MTD', 's': date_trunc('month', as_of) - interval 1 day}, {'l': 'QTD', 's': date_trunc('quarter', as_of) - interval 1 day}, {'l': 'YTD', 's': date_trunc('year', as_of) - interval 1 day},
-  {'l': '1Y', 's': as_of - interval 12 month}, {'l': '3Y', 's': as_of - interval 36 month}, {'l': '5Y', 's': as_of - interval 60 month}]) as x from a),
+w as (select symbol, as_of, unnest([{'l': 'MTD', 's': date_trunc('month', as_of) - interval 1 day}, {'l': 'QTD', 's': date_trunc('quarter', as_of) - interval 1 day}, {'l': 'YTD', 's': date_trunc('year', as_of) - interval 1 day},
+  {'l': '1Y', 's': as_of - interval 12 month}, {'l': '3Y', 's': as_of - interval 36 month}, {'l': '5Y', 's': as_of - interval 60 month},
+  {'l': '10Y', 's': as_of - interval 120 month}, {'l': '15Y', 's': as_of - interval 180 month}, {'l': '20Y', 's': as_of - interval 240 month}]) as x from a),
 v as (select symbol, as_of, x.l as label, cast(x.s as date) as start from w),
 b as (select v.*, p.date as base_date, p.close as base from v asof left join price_points p on v.symbol = p.symbol and v.start >= p.date),
 e as (select b.*, p.date as end_date, p.close as top from b asof left join price_points p on b.symbol = p.symbol and b.as_of >= p.date),
-f as (select *, case when base > 0 then top / base - 1 end as q, date_diff('day', base_date, end_date) / 365.25 as yrs from e)
-select symbol, label, start, base_date, end_date, round(q, 8) as ret, round(case when yrs > 1 then pow(1 + q, 1 / yrs) - 1 end, 8) as annualized from f"""
+f as (select *, case when base <> 0 and end_date > base_date then top / base - 1 end as q, date_diff('day', base_date, end_date) as days from e),
+n as (select f.symbol, label, count(p.date) as points from f join price_points p on p.symbol = f.symbol and p.date > base_date and p.date <= end_date group by 1, 2)
+select f.symbol, f.label, start, base_date, end_date, round(q, 8) as ret, round(case when f.label in ('3Y', '5Y', '10Y', '15Y', '20Y') and 1 + q >= 0 then pow(1 + q, 365.25 / days) - 1 end, 8) as annualized,
+  case when q is not null then days * 252 / 365.25 >= 3 and coalesce(points, 0) < 0.9 * days * 252 / 365.25 end as estimate from f left join n on n.symbol = f.symbol and n.label = f.label"""
 
 
 @query("fin17_period_returns", _PERIODS, "price_points")
@@ -156,7 +168,7 @@ l as (select month, exp(sum(ln(1 + r)) over (order by month)) as lev from j), dd
 a as (select count(*) as n, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 as ann, stddev_samp(r) * sqrt(12::double) as vol, sqrt(avg(least(0, r - f) ** 2)) * sqrt(12::double) as dsemi,
   exp(sum(ln(1 + b)) * 12 / count(b)) - 1 as bann, exp(sum(case when b is not null then ln(1 + r) end) * 12 / count(b)) - 1 as jann, covar_samp(r, b) as cov, var_samp(case when b is not null then b end) as vb,
   stddev_samp(case when b is not null then r end) as sr, stddev_samp(b) as sb, stddev_samp(r - b) * sqrt(12::double) as te, avg(case when b is not null then r end) as mr, avg(b) as mb,
-  avg(case when b > 0 then r end) as ru, avg(case when b > 0 then b end) as bu, avg(case when b < 0 then r end) as rd, avg(case when b < 0 then b end) as bd, any_value(f) as f from j, k)
+  product(case when b > 0 then 1 + r end) - 1 as ru, product(case when b > 0 then 1 + b end) - 1 as bu, product(case when b < 0 then 1 + r end) - 1 as rd, product(case when b < 0 then 1 + b end) - 1 as bd, any_value(f) as f from j, k)
 select n, round(ann, 8) as ann_return, round(vol, 8) as volatility, round(dsemi, 8) as downside, round((ann - 0.04) / vol, 8) as sharpe, round((ann - 0.04) / dsemi, 8) as sortino, round(cov / vb, 8) as beta,
   round((mr - f - cov / vb * (mb - f)) * 12, 8) as alpha, round(cov / (sr * sb), 8) as correlation, round(te, 8) as tracking_error, round(bann, 8) as bench_return, round(jann - bann, 8) as active_return,
   round((jann - bann) / te, 8) as info_ratio, round(ru / bu, 8) as up_capture, round(rd / bd, 8) as down_capture, round(mdd, 8) as max_drawdown from a, dd"""
@@ -198,9 +210,13 @@ def version_of_month(t: Tables, months: DataFrame) -> DataFrame:
     """(model_key, month, effective_date): the version in force on a month's first day; before the first one, the first."""
     w = Window.partitionBy("model_key").orderBy("effective_date")
     v = t.versions.withColumns({"nxt": F.lead("effective_date").over(w), "i": F.row_number().over(w)})
-    # Versions per model are few; months are too.
-    x = v.join(months.distinct(), (F.col("month") >= F.col("effective_date")) | (F.col("i") == 1))
-    return x.where("nxt is null or month < nxt").select("model_key", "month", "effective_date")
+    span = months.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    # Each version's own months, then an equi-join: the one-row span is the only thing joined without a key.
+    start = F.when(F.col("i") == 1, F.col("lo")).otherwise(F.greatest("lo", F.trunc(F.add_months(F.date_sub("effective_date", 1), 1), "month")))
+    end = F.least("hi", F.coalesce(F.trunc(F.date_sub("nxt", 1), "month"), F.col("hi")))
+    v = v.crossJoin(F.broadcast(span)).withColumns({"start": start, "end": end}).where("start <= end")
+    x = v.select("model_key", "effective_date", F.explode(F.sequence("start", "end", F.expr("interval 1 month"))).alias("month"))
+    return x.join(months.distinct(), "month").select("model_key", "month", "effective_date")
 
 
 def model_returns(t: Tables) -> DataFrame:
@@ -213,7 +229,7 @@ def model_returns(t: Tables) -> DataFrame:
 
 @query("joi11_version_as_of", f"with {_VERSIONED} select model_key, month, effective_date from mv", "price_points versions version_holdings")
 def _(t: Tables) -> DataFrame:
-    return version_of_month(t, series.month_grid(series.month_end(t.price_points)).select("month"))
+    return version_of_month(t, series.month_grid(month_levels(t)).select("month"))
 
 
 @query("fin03_versioned_returns", f"with {_VERSIONED} select model_key, month, round(r, 8) as r, round(coverage, 8) as coverage from mr", "price_points versions version_holdings")
@@ -283,16 +299,32 @@ def _(t: Tables) -> DataFrame:
     return risk.mu_sigma(grid_returns(t))[1].withColumn("cov", F.round("cov", 8))
 
 
+def current_members(t: Tables) -> DataFrame:
+    last = t.versions.groupBy("model_key").agg(F.max("effective_date").alias("effective_date"))
+    return t.version_holdings.join(last, ["model_key", "effective_date"]).select("model_key", F.col("instrument").alias("symbol"), "weight")
+
+
 @query("fin15_max_sharpe")
 def _(t: Tables) -> DataFrame:
-    last = t.versions.groupBy("model_key").agg(F.max("effective_date").alias("effective_date"))
-    members = t.version_holdings.join(last, ["model_key", "effective_date"]).select("model_key", F.col("instrument").alias("symbol"))
-    return risk.max_sharpe(grid_returns(t), members)
+    return risk.max_sharpe(grid_returns(t), current_members(t))
+
+
+@query("fin16_optimize")
+def _(t: Tables) -> DataFrame:
+    """Caps by asset: half of the portfolio for symbols that begin with a letter up to M, a fifth for the others."""
+    cap = F.when(F.col("symbol") < "N", 0.5).otherwise(0.2)
+    return risk.optimize(grid_returns(t), current_members(t).withColumn("cap", cap))
+
+
+@query("fin16_optimize_stats")
+def _(t: Tables) -> DataFrame:
+    cap = F.when(F.col("symbol") < "N", 0.5).otherwise(0.2)
+    return risk.optimize(grid_returns(t), current_members(t).withColumn("cap", cap), stats=True)
 
 
 @query("set04_common_months", f"with {MONTHS} select month from me group by month having count(*) = (select count(distinct symbol) from me)", "price_points")
 def _(t: Tables) -> DataFrame:
-    me = series.month_end(t.price_points)
+    me = month_levels(t)
     n = me.select(F.countDistinct("symbol").alias("n"))
     return me.groupBy("month").agg(F.count("*").alias("m")).join(F.broadcast(n), F.col("m") == F.col("n")).select("month")
 

@@ -1,7 +1,8 @@
 """Breach and recovery with hysteresis: one rule, replayed in batch and run as keyed state on a stream.
 
-A series breaches at a drawdown of -threshold or lower, and recovers above -threshold + BAND (above 0 for
-thresholds within the band). An episode opens once; a breach after recovery opens a new one.
+A series breaches at a drawdown of -threshold or lower, and recovers above -threshold + BAND (not at it); where that is
+0 or more, it recovers at 0, as a drawdown is never above. A missing drawdown changes nothing. An episode opens once; a
+breach after recovery opens a new one. Drawdowns are compared in percent, with a tolerance of EPS.
 """
 
 from __future__ import annotations
@@ -13,17 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.kept import kept
+
 BAND = 0.02
 EPS = 1e-9
 EVENTS = "key string, ts timestamp, drawdown double, action string, episode bigint"
 
 
+def is_breached(drawdown: float | None, threshold: float) -> bool:
+    return drawdown is not None and drawdown == drawdown and 100 * drawdown <= -100 * threshold + EPS
+
+
+def is_recovered(drawdown: float | None, threshold: float) -> bool:
+    if drawdown is None or drawdown != drawdown:
+        return False
+    recover = 100 * (BAND - threshold)
+    return 100 * drawdown >= -EPS if recover >= 0 else 100 * drawdown > recover + EPS
+
+
 def step(active: bool, episode: int, drawdown: float, threshold: float) -> tuple[bool, int, str]:
     """(active, episode, action) after one observation: open, update, recover or none."""
-    if drawdown <= -threshold + EPS:
-        return (True, episode, "update") if active else (True, episode + 1, "open")
-    if active and drawdown > min(0.0, -threshold + BAND) - EPS:
+    if active and is_recovered(drawdown, threshold):
         return False, episode, "recover"
+    if is_breached(drawdown, threshold):
+        return (True, episode, "update") if active else (True, episode + 1, "open")
     return active, episode, "update" if active else "none"
 
 
@@ -36,7 +50,8 @@ def replay(events: DataFrame, threshold: float) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("key").orderBy("ts")
-    breach, calm = F.col("drawdown") <= -threshold + EPS, F.col("drawdown") > min(0.0, -threshold + BAND) - EPS
+    percent, recover = 100 * F.col("drawdown"), 100 * (BAND - threshold)
+    breach, calm = percent <= -100 * threshold + EPS, percent >= -EPS if recover >= 0 else percent > recover + EPS
     x = events.withColumn("_set", F.when(breach, 1).when(calm, 0))
     x = x.withColumn("_on", F.coalesce(F.last("_set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     x = x.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(0)))
@@ -62,15 +77,20 @@ def monitor(events: DataFrame, threshold: float) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(run, EVENTS, "active boolean, episode bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def notify_once(batch: DataFrame, sent_path: str) -> DataFrame:
-    """Rows of a micro-batch that were not sent before, by id; run inside foreachBatch, it then records them as sent."""
+def notify_once(batch: DataFrame, batch_id: int, sent_path: str) -> DataFrame:
+    """The rows of a micro-batch that no other batch has sent, by id, recorded as sent; run inside foreachBatch.
+
+    Ids are recorded with the batch's number, before anything is sent. A batch that is retried passes over its own records
+    and returns the same rows again, so the sender has to take (batch_id, id) for one message; rows that another batch has
+    recorded never come back.
+    """
     spark = batch.sparkSession
     rows = batch.dropDuplicates(["id"])
-    try:
-        rows = rows.join(spark.read.parquet(sent_path), "id", "left_anti")
-    except Exception as e:  # nothing was sent yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    record = rows.select("id", F.lit(batch_id).cast("long").alias("batch"))
+    record.limit(0).write.mode("append").parquet(sent_path)  # so that there is a table to read
+    sent = spark.read.schema(record.schema).parquet(sent_path)
+    rows = kept(rows.join(sent.where(F.col("batch") != batch_id).select("id"), "id", "left_anti"), "unsent")
+    rows.select("id", F.lit(batch_id).cast("long").alias("batch")).write.mode("append").parquet(sent_path)
     return rows
 
 
