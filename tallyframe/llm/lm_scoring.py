@@ -14,23 +14,28 @@ What is gathered from the corpus, all of it growing with the input:
 2. id counts, from the table of words;
 3. counts of class pairs over all training texts: the pairs' log shares are the model's output bias by the
    last class, so attention learns only what they lack;
-4. training windows: all windows of every training text. Tasks train on their own windows by Adam from common
-   weights, ``SHARD`` at a time; weights are averaged in the task, then by groups; ``ROUNDS`` times.
+4. training windows: the windows that tile every training text, so each of its ids is learned once. They are dealt
+   into ``ROUNDS`` equal parts; in a round each task trains on its own windows of one part, by Adam from common
+   weights with batches that grow from ``FIRST_BATCH`` to ``LAST_BATCH`` windows, and the weights are averaged.
 
 Scoring cuts a text's ids into windows of ``WINDOW`` that overlap by ``OVERLAP``: masked attention runs over a
-batch of windows, and each id is scored once, by the window that shows most of what comes before it.
+batch of windows, and each id is scored once, by the window that shows most of what comes before it; for ids of
+a window that an earlier one scores, only what others attend to is computed.
 
-The base's word counts: the ``FREQUENT`` most frequent words travel to the tasks (at most ``FREQUENT`` words
-of at most 64 bytes); all other words are joined with the table of counts.
+The base's word counts: words of at least some count go to the tasks in one broadcast table. The least count is found
+by an aggregate over powers of two to the quarter, such that at most ``FREQUENT`` words have it; a word of over 64
+bytes goes as its hash. All other words are joined with the table of counts, in which no other word is more frequent.
 
 Defined results: a null text is empty and has one token, its end; a null doc_id counts as the empty string in
-the division into training and held-out rows; repeated rows are scored each; an empty table gives no rows; a
-table without training rows gives uniform scores; other columns are not read.
+the division into training and held-out rows, and ids of any type pass as they are; repeated rows are scored each; very
+long texts are scored whole, a group of texts of ``GROUP_WORDS`` words (or one longer text) at a time; an empty table
+gives no rows; a table without training rows gives uniform scores; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,10 +43,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, small_batches, text_of
+from .common import documents, map_columns, materialize, small_batches, text_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words come one to a line, with a space before each; they hold neither.
@@ -55,12 +61,17 @@ PAD = 65535
 HIDDEN = 32
 WINDOW = 32
 OVERLAP = 16
-ROUNDS = 2
-STEPS_ROWS = 64
+ROUNDS = 4
+FIRST_BATCH = 16
+LAST_BATCH = 64
+#: A batch doubles after this many steps.
+GROWS_AFTER = 64
+RATE = 8e-3
 SHARE = 0.5
-FREQUENT = 200_000
-CACHE = 400_000
+FREQUENT = 100_000
+CACHE = 300_000
 SHARD = 16384
+GROUP_WORDS = 100_000
 
 
 def in_training(doc_id: Column) -> Column:
@@ -121,27 +132,35 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-_ONES = np.ones(WINDOW, np.float32)
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def attend(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Hidden states of a batch of windows (n, WINDOW) of classes; each place sees itself and those before it."""
-    h0 = w["emb"][x] + w["pos"]
+def attend(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None, start: int = 0) -> np.ndarray:
+    """Hidden states of a batch of windows (n, WINDOW) of classes, from place start on; each place sees itself and those before it."""
+    h0 = w["emb"][x]
+    h0 += w["pos"]
     rows = h0.reshape(-1, WIDTH)
-    q, k, v = ((rows @ w[name]).reshape(h0.shape) for name in "qkv")
+    k, v = ((rows @ w[name]).reshape(h0.shape) for name in "kv")
+    own = h0[:, start:]
+    q = (np.ascontiguousarray(own).reshape(-1, WIDTH) @ (w["q"] * np.float32(WIDTH**-0.5))).reshape(own.shape)
     a = q @ k.transpose(0, 2, 1)
-    a *= WIDTH**-0.5
+    a += _MASK[start:]
     np.minimum(a, 60, out=a)
-    a += _MASK
     np.exp(a, out=a)
-    a /= (a @ _ONES)[..., None]
-    c = a @ v
-    h1 = h0 + (c.reshape(-1, WIDTH) @ w["o"]).reshape(h0.shape)
-    t = np.tanh(h1.reshape(-1, WIDTH) @ w["w1"] + w["b1"]).reshape(*x.shape, HIDDEN)
+    total = a.sum(-1, keepdims=True)
+    if keep is None:
+        c = a @ v
+        c /= total
+    else:
+        a /= total
+        c = a @ v
+    h1 = own + (c.reshape(-1, WIDTH) @ w["o"]).reshape(own.shape)
+    t = h1.reshape(-1, WIDTH) @ w["w1"]
+    t += w["b1"]
+    np.maximum(t, 0, out=t)
     if keep is not None:
-        keep.update(x=x, h0=h0, q=q, k=k, v=v, a=a, c=c, h1=h1, t=t)
-    return h1 + (t.reshape(-1, HIDDEN) @ w["w2"]).reshape(h0.shape)
+        keep.update(x=x, h0=h0, q=q, k=k, v=v, a=a, c=c, h1=h1, t=t.reshape(*own.shape[:2], HIDDEN))
+    return h1 + (t @ w["w2"]).reshape(own.shape)
 
 
 def exponentials(z: np.ndarray) -> np.ndarray:
@@ -214,16 +233,17 @@ def gradients(w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], x:
     dh2 = np.zeros_like(h2)
     dh2[valid] = dh / n
     g["w2"] = two(m["t"]).T @ two(dh2)
-    dt = (dh2 @ w["w2"].T) * (1 - m["t"] ** 2)
+    dt = (two(dh2) @ w["w2"].T).reshape(m["t"].shape) * (m["t"] > 0)
     g["w1"], g["b1"] = two(m["h1"]).T @ two(dt), two(dt).sum(0)
-    dh1 = dh2 + dt @ w["w1"].T
+    dh1 = dh2 + (two(dt) @ w["w1"].T).reshape(dh2.shape)
     g["o"] = two(m["c"]).T @ two(dh1)
-    dc = dh1 @ w["o"].T
+    dc = (two(dh1) @ w["o"].T).reshape(dh1.shape)
     dv = m["a"].transpose(0, 2, 1) @ dc
     da = dc @ m["v"].transpose(0, 2, 1)
-    ds = m["a"] * (da - (da * m["a"]).sum(-1, keepdims=True)) * WIDTH**-0.5
-    dq, dk = ds @ m["k"], ds.transpose(0, 2, 1) @ m["q"]
-    dh0 = dh1 + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    ds = m["a"] * (da - (dc * m["c"]).sum(-1, keepdims=True))
+    # The kept queries are scaled already.
+    dq, dk = ds @ m["k"] * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ m["q"]
+    dh0 = dh1 + sum((two(d) @ w[name].T).reshape(dh1.shape) for name, d in (("q", dq), ("k", dk), ("v", dv)))
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = two(m["h0"]).T @ two(d)
     g["pos"] = dh0.sum(0)
@@ -234,29 +254,36 @@ def gradients(w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], x:
     return -float(logs.mean()) if len(logs) else 0.0, g
 
 
-def train(w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], windows: np.ndarray, seed: int, rate: float = 8e-3) -> dict[str, np.ndarray]:
-    """One pass of Adam over windows (n, WINDOW + 1) of classes; PAD marks places after a text's end."""
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(windows))
-    for step, at in enumerate(range(0, len(order), STEPS_ROWS)):
-        part = windows[order[at : at + STEPS_ROWS]]
-        valid = part[:, 1:] != PAD
-        part = np.where(part == PAD, 0, part).astype(np.int64)
-        _, g = gradients(w, pairs, part[:, :-1], part[:, 1:], valid)
-        for k in w:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] ** 2 - s[k])
-            w[k] -= rate * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(s[k] / (1 - 0.99 ** (step + 1))) + 1e-8)
-    return w
+class Trainer:
+    """Adam over batches of windows (n, WINDOW + 1) of classes; PAD marks places after a text's end."""
 
+    def __init__(self, w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], seed: int, rate: float = RATE):
+        self.w, self.pairs, self.rate, self.step = {k: v.copy() for k, v in w.items()}, pairs, rate, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.random = np.random.default_rng(seed)
 
-def cut(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of texts whose classes follow one another: (windows (n, WINDOW + 1), first scored place of each).
+    def learn(self, windows: np.ndarray) -> None:
+        order, at = self.random.permutation(len(windows)), 0
+        while at < len(order):
+            size = min(LAST_BATCH, FIRST_BATCH << (self.step // GROWS_AFTER))
+            part = windows[order[at : at + size]]
+            at += size
+            self.step += 1
+            valid = part[:, 1:] != PAD
+            part = np.where(part == PAD, 0, part).astype(np.int64)
+            _, g = gradients(self.w, self.pairs, part[:, :-1], part[:, 1:], valid)
+            for k, v in self.w.items():
+                self.m[k] += 0.1 * (g[k] - self.m[k])
+                self.s[k] += 0.01 * (g[k] ** 2 - self.s[k])
+                v -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.s[k] / (1 - 0.99**self.step)) + 1e-8)
+
+
+def cut(classes: np.ndarray, starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts whose classes follow one another: (windows (n, WINDOW + 1), text, first scored place of each).
 
     A text's row begins and ends with class 0, the end; places after its last end are PAD.
     """
-    stride = WINDOW - OVERLAP
+    stride = WINDOW - overlap
     n = np.diff(np.append(starts, len(classes))) - 1  # predictions of each text
     count = 1 + np.maximum(0, -(-(n - WINDOW) // stride))
     doc = np.repeat(np.arange(len(n)), count)
@@ -265,7 +292,12 @@ def cut(classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = at <= n[doc][:, None]
     out = np.full(at.shape, PAD, np.uint16)
     out[inside] = classes[(starts[doc][:, None] + at)[inside]]
-    return out, doc, np.where(nth > 0, OVERLAP, 0)
+    return out, doc, np.where(nth > 0, overlap, 0)
+
+
+def dictionary_key(word: bytes) -> bytes:
+    """A word, or the hash of a long one; no word holds a line end."""
+    return word if len(word) <= 64 else hashlib.md5(word).hexdigest().encode() + b"\n"
 
 
 @dataclass
@@ -275,11 +307,12 @@ class Model:
     log_id: np.ndarray  # natural log P(id | class), by id
     pairs: tuple[np.ndarray, np.ndarray] | None = None  # log shares of groups, and of classes in their group, by the last class
     weights: dict[str, np.ndarray] | None = None
-    frequent: dict[bytes, float] = field(default_factory=dict)
+    frequent: pa.Table | None = None  # word, logarithm of its count
+    known: dict[bytes, float] | None = None  # the same as a dictionary, made in a task
     cache: dict[bytes, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("sizes", "logs", "bases", "offsets", "pool", "used")} | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("sizes", "logs", "bases", "offsets", "pool", "used")} | {"cache": {}, "known": None}
 
     def learn(self, new: list[bytes]) -> None:
         """Puts words into the cache, all encoded in one call; what is known of them goes into arrays by their number."""
@@ -296,8 +329,11 @@ class Model:
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         self.pool[self.used : self.used + len(ids)] = self.class_of[ids]
         self.sizes[at], self.offsets[at], self.logs[at] = ends - starts, starts + self.used, logs[ends] - logs[starts]
-        get = self.frequent.get
-        self.bases[at] = [get(w, np.nan) for w in new]
+        if self.known is None:
+            t = self.frequent
+            self.known = {} if t is None else dict(zip(t["word"].to_pylist(), t["logs"].to_pylist(), strict=True))
+        get = self.known.get
+        self.bases[at] = [get(dictionary_key(w), np.nan) for w in new]
         self.used += len(ids)
         self.cache.update(zip(new, range(at.start, at.stop), strict=True))
 
@@ -327,15 +363,22 @@ class Model:
 
     def log_classes(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log P of each class of the texts in turn, each text's end included; batches of windows."""
-        out = []
-        windows, _, first = cut(classes, starts)
-        for at in range(0, len(windows), 384):
-            part, f = windows[at : at + 384], first[at : at + 384]
-            scored = (part[:, 1:] != PAD) & (np.arange(WINDOW) >= f[:, None])
-            part = np.where(part == PAD, 0, part)
-            h = attend(self.weights, part[:, :-1])
-            out.append(log_shares(self.weights, self.pairs, h[scored], part[:, :-1][scored], part[:, 1:][scored])[0])
-        return np.concatenate(out).astype(np.float64)
+        windows, doc, first = cut(classes, starts)
+        lengths = np.diff(np.append(starts, len(classes))) - 1
+        begin = (np.cumsum(lengths) - lengths)[doc]  # where the texts' predictions begin
+        nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        out = np.empty(int(lengths.sum()), np.float64)
+        for start in (0, OVERLAP):
+            own = np.flatnonzero(first == start)
+            for at in range(0, len(own), 128):
+                pick = own[at : at + 128]
+                part = windows[pick]
+                scored = part[:, 1 + start :] != PAD
+                part = np.where(part == PAD, 0, part)
+                h = attend(self.weights, part[:, :-1], start=start)
+                place = begin[pick][:, None] + nth[pick][:, None] * (WINDOW - OVERLAP) + np.arange(start, WINDOW)
+                out[place[scored]] = log_shares(self.weights, self.pairs, h[scored], part[:, start:-1][scored], part[:, 1 + start :][scored])[0]
+        return out
 
 
 def classes(counts: dict[int, int], ends: int, path: str) -> Model:
@@ -392,10 +435,11 @@ def count_ids(path: str):
     return run
 
 
-def count_pairs(model: Model):
-    """Class pairs of all texts, a row for each first class, and all windows, many in a row."""
+def count_pairs(shared):
+    """Class pairs of all texts, a row for each first class, and all tiling windows, many in a row; first is -1 - round there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, block = shared.value, 0
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for pdf in batches:
             texts = [words(t) for t in pdf["text"]]
@@ -406,10 +450,11 @@ def count_pairs(model: Model):
             across = starts[1:] - 1  # a text's end and the next one's beginning
             pairs += np.bincount(first, minlength=CLASSES * CLASSES)
             pairs -= np.bincount(first[across], minlength=CLASSES * CLASSES)
-            windows, _, _ = cut(seq, starts)
-            for at in range(0, len(windows), 2048):
-                part = windows[at : at + 2048]
-                yield pd.DataFrame({"first": [-1], "n": [len(part)], "data": [part.tobytes()]})
+            windows, _, _ = cut(seq, starts, 0)
+            for at in range(0, len(windows), 256):
+                part = windows[at : at + 256]
+                yield pd.DataFrame({"first": [-1 - block % ROUNDS], "n": [len(part)], "data": [part.tobytes()]})
+                block += 1
         table = pairs.reshape(CLASSES, CLASSES)
         used = np.flatnonzero(table.any(1))
         yield pd.DataFrame({"first": used, "n": table[used].sum(1), "data": [sparse(table[i]) for i in used]})
@@ -443,17 +488,19 @@ def sum_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"first": [pdf["first"].iloc[0]], "n": [int(total.sum())], "data": [sparse(total)]})
 
 
-def train_shard(model: Model, seed: int):
+def train_shard(shared, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
-        total, n, part = 0.0, 0, 0
+        trainer, n, part = None, 0, 0
 
         def step() -> None:
-            nonlocal total, n, part
+            nonlocal trainer, n, part
             windows = np.concatenate(held)
             held.clear()
-            total = total + flat(train(model.weights, model.pairs, windows, seed)).astype(np.float64) * len(windows)
-            n, part = n + len(windows), int(windows[0].sum()) % 16
+            if trainer is None:
+                trainer, part = Trainer(shared.value.weights, shared.value.pairs, seed, RATE / (1 + seed)), int(windows[0].sum()) % 16
+            trainer.learn(windows)
+            n += len(windows)
 
         for pdf in batches:
             for x in pdf["data"]:
@@ -462,8 +509,8 @@ def train_shard(model: Model, seed: int):
                     step()
         if held:
             step()
-        if n:
-            yield pd.DataFrame({"part": [part], "n": [n], "data": [total.tobytes()]})
+        if trainer is not None:
+            yield pd.DataFrame({"part": [part], "n": [n], "data": [(flat(trainer.w).astype(np.float64) * n).tobytes()]})
 
     return run
 
@@ -473,82 +520,118 @@ def sum_weights(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [int(pdf["n"].sum())], "data": [total.tobytes()]})
 
 
-def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[Model, DataFrame, int, int]:
-    """The trained model, the table of word counts (word, c), N and V; docs: training texts (text)."""
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[pa.Table, int]:
+    """(word, logs) of all words of at least some count, at most so many; and the level of that count."""
+    level = F.floor(F.log2("c") * 4 + 1e-9).cast("int")
+    sizes = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # 256 rows at most
+    least, total = 1 << 20, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            break
+        least = at
+    word = F.when(F.octet_length("word") <= 64, F.col("word")).otherwise(F.concat(F.md5("word"), F.lit("\n")).cast("binary"))
+    return counts.where(level >= least).select(word.alias("word"), F.log10(F.col("c") + 1).alias("logs")).toArrow(), least
+
+
+def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[Model, DataFrame, int, int, int]:
+    """The trained model, the table of word counts (word, c), N, V and the number of texts; docs: training texts (text)."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     counts = docs.mapInPandas(count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
     ends = docs.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ids = counts.mapInPandas(count_ids(path), "id bigint, c bigint").groupBy("id").agg(F.sum("c").alias("c"))
     model = classes({r["id"]: r["c"] for r in ids.collect()}, ends, path)  # one row for each id of the vocabulary at most
-    top = counts.where(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    model.frequent = {bytes(r["word"]): float(np.log10(r["c"] + 1)) for r in top}
-    seen = materialize(docs.mapInPandas(count_pairs(model), "first bigint, n bigint, data binary"), "windows")
+    seen = materialize(docs.mapInPandas(count_pairs(share(model)), "first bigint, n bigint, data binary"), "windows")
     pairs = np.zeros((CLASSES, CLASSES))
     for r in seen.where("first >= 0").groupBy("first").applyInPandas(sum_pairs, seen.schema).collect():
         pairs[r["first"]] = dense(r["data"])
     model.pairs = output_bias(pairs)
     model.weights = new_weights()
-    windows = seen.where("first < 0").select("data", "n")
     for r in range(ROUNDS):
-        parts = windows.mapInPandas(train_shard(model, r), "part int, n bigint, data binary")
+        windows = seen.where(F.col("first") == -1 - r).select("data", "n")
+        parts = windows.mapInPandas(train_shard(share(model), r), "part int, n bigint, data binary")
         sums = parts.groupBy("part").applyInPandas(sum_weights, parts.schema).collect()  # 16 rows at most
         if sums:
             total = sum(np.frombuffer(x["data"], np.float64) for x in sums)
             model.weights = unflat(total / sum(x["n"] for x in sums))
+    model.frequent = frequent_words(counts)[0]
     return model, counts, int(n) + ends, int(v) + (1 if ends else 0), ends
 
 
-def score_texts(model: Model, ends: int, size: float):
-    """Per row: number of tokens, the known words' part of the base and of the score, and the words to look up.
+SCORES = "n bigint, known bigint, base double, score double, own double, rare array<struct<word:binary,own:double>>"
+
+
+def groups(sizes: list[int]) -> Iterator[slice]:
+    """Runs of texts of about GROUP_WORDS words together."""
+    at = 0
+    while at < len(sizes):
+        stop, total = at, 0
+        while stop < len(sizes) and (stop == at or total + sizes[stop] <= GROUP_WORDS):
+            total += sizes[stop]
+            stop += 1
+        yield slice(at, stop)
+        at = stop
+
+
+def score_texts(shared, ends: int, size: float):
+    """Per row: number of tokens, the known words' part of the base and of the score, the attention's own score, and the words to look up.
 
     size is ln(N + V + 1).
     """
     end, half, other = float(np.log10(ends + 1)), np.log(SHARE), np.log(1 - SHARE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 128):
-                pdf = whole.iloc[at : at + 128]
-                texts = [words(t) for t in pdf["text"]]
-                n_words = np.array([len(ws) for ws in texts])
-                known_as = model.numbers(texts)
-                seq, starts = model.sequence(known_as, n_words)
-                logs = model.log_classes(seq, starts)
-                # An end after the words of each text.
-                closing = np.cumsum(n_words + 1) - 1
-                sizes = np.ones(int(closing[-1]) + 1, np.int64)
-                is_word = np.ones(len(sizes), bool)
-                is_word[closing] = False
-                sizes[is_word] = model.sizes[known_as]
-                owns = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-                owns[is_word] += model.logs[known_as]
-                bases = np.full(len(sizes), end)
-                bases[is_word] = model.bases[known_as]
-                rows, place = [], 0
-                for rid, key, held, ws in zip(pdf["rid"], pdf["doc_id"], pdf["held_out"], texts, strict=True):
-                    n = len(ws)
-                    own, base = owns[place : place + n + 1], bases[place : place + n + 1]
-                    place += n + 1
-                    known = ~np.isnan(base)
-                    mixed = np.logaddexp(own[known] + half, base[known] * np.log(10) - size + other)
-                    rare = [{"word": ws[i], "own": float(own[i])} for i in np.flatnonzero(~known)]
-                    rows.append((rid, key, held, n + 1, int(known.sum()) - (ends == 0), float(base[known].sum()), float(mixed.sum()), rare))
-                yield pd.DataFrame(rows, columns=["rid", "doc_id", "held_out", "n", "known", "base", "score", "rare"])
-
-    return run
+    def score_group(model: Model, texts: list[list[bytes]]) -> Iterator[tuple]:
+        n_words = np.array([len(ws) for ws in texts])
+        known_as = model.numbers(texts)
+        seq, starts = model.sequence(known_as, n_words)
+        logs = model.log_classes(seq, starts)
+        # An end after the words of each text.
+        closing = np.cumsum(n_words + 1) - 1
+        sizes = np.ones(int(closing[-1]) + 1, np.int64)
+        is_word = np.ones(len(sizes), bool)
+        is_word[closing] = False
+        sizes[is_word] = model.sizes[known_as]
+        owns = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+        owns[is_word] += model.logs[known_as]
+        bases = np.full(len(sizes), end)
+        bases[is_word] = model.bases[known_as]
+        place = 0
+        for ws in texts:
+            n = len(ws)
+            own, base = owns[place : place + n + 1], bases[place : place + n + 1]
+            place += n + 1
+            known = ~np.isnan(base)
+            mixed = np.logaddexp(own[known] + half, base[known] * np.log(10) - size + other)
+            rare = [{"word": ws[i], "own": float(own[i])} for i in np.flatnonzero(~known)]
+            yield n + 1, int(known.sum()) - (ends == 0), float(base[known].sum()), float(mixed.sum()), float(own.sum()), rare
+
+    def prepare():
+        model = shared.value
+        names = ["n", "known", "base", "score", "own", "rare"]
+
+        def run(texts: list[str]) -> dict[str, list]:
+            lists = [words(t) for t in texts]
+            rows = [row for at in groups([len(ws) for ws in lists]) for row in score_group(model, lists[at])]
+            return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+
+        return run
+
+    return prepare
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("doc_id"), (~in_training(F.col(key))).alias("held_out"), text_of(text).alias("text"))
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and attention_score (the model's without the words' shares) of every row."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(key).alias("doc_id"), (~in_training(F.col(key))).alias("held_out"), text_of(text).alias("text"))
     model, counts, n, v, ends = fit(rows.where(~F.col("held_out")).select("text"), path)
-    kind = dict(docs.dtypes)[key]
     size = float(np.log(n + v + 1))
-    schema = f"rid bigint, doc_id {kind}, held_out boolean, n bigint, known bigint, base double, score double, rare array<struct<word:binary,own:double>>"
-    scored = materialize(rows.mapInPandas(score_texts(model, ends, size), schema), "scored")
+    shared = spark.sparkContext.broadcast(model)
+    scored = map_columns(rows, score_texts(shared, ends, size), ["text"], SCORES, ("text",)).withColumn("rid", F.monotonically_increasing_id())
+    scored = materialize(scored, "scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.own").join(counts, "word", "left")
     # A word of the training texts has a share of both; one that they lack has the attention's alone.
     of_word = F.when(F.col("c").isNull(), F.col("own") + float(np.log(SHARE))).otherwise(
@@ -556,11 +639,11 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     )
     rare = rare.groupBy("rid").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"), F.sum(of_word).alias("scores"))
     out = scored.drop("rare").join(rare, "rid", "left")
-    zero = F.lit(0.0)
+    zero, ten = F.lit(0.0), float(np.log(10))
     return out.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", zero) - F.col("n") * (size / float(np.log(10)))).alias("base_score"),
-        ((F.col("score") + F.coalesce("scores", zero)) / float(np.log(10))).alias("score"),
+        (F.col("base") + F.coalesce("logs", zero) - F.col("n") * (size / ten)).alias("base_score"),
+        ((F.col("score") + F.coalesce("scores", zero)) / ten).alias("score"), (F.col("own") / ten).alias("attention_score"),
     )
 
 

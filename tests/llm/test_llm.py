@@ -255,8 +255,19 @@ def test_join_in_blocks_and_on_odd_rows(spark, odd, none, monkeypatch):
 
 
 def test_prefixes_reach_the_recall():
-    k = ngram_join.prefix_length()
-    assert 1 - (1 - 0.8**k) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** ngram_join.TREES
+    reach = [ngram_join.recall_of(k) for k in range(1, ngram_join.DEPTH + 1)]
+    assert reach == sorted(reach, reverse=True) and reach[4] >= ngram_join.RECALL > reach[5] and 0.6 < ngram_join.LINK < 0.7
+
+
+def test_chance_members_of_a_node_are_not_linked(spark):
+    """Two signatures that share one path alone are candidates, and no link."""
+    r = np.random.default_rng(3)
+    a = r.integers(0, 256, ngram_join.TREES * ngram_join.DEPTH, dtype=np.uint8)
+    b, c = r.integers(0, 256, a.size, dtype=np.uint8), a.copy()
+    b[: ngram_join.DEPTH] = a[: ngram_join.DEPTH]
+    c[100:120] = 255 - c[100:120]
+    df = spark.createDataFrame([(1, bytearray(a.tobytes())), (2, bytearray(b.tobytes())), (3, bytearray(c.tobytes()))], "cid long, signature binary")
+    assert {frozenset((x.a, x.b)) for x in ngram_join.forest_links(df).collect()} == {frozenset((1, 3))}
 
 
 # ---- personal data --------------------------------------------------------------------------------------
@@ -283,14 +294,31 @@ def test_surrogates_keep_type_format_and_identity(spark, odd, none):
 
 
 def test_collisions_are_drawn_again(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate", lambda kind, entity, attempt, key=b"": f"s{(len(entity) + attempt) % 7}")
-    found = spark.createDataFrame([("email", e) for e in ("a", "bb", "cc", "ddd", "s3")], "kind string, entity string").coalesce(1)
+    found = spark.createDataFrame([("email", e, "") for e in ("a", "bb", "cc", "ddd", "s3")], "kind string, entity string, gender string").coalesce(1)
     drawn = lambda key: lambda batches: (p.assign(new=[f"s{(len(e) + a) % 7}" for e, a in zip(p["entity"], p["attempt"])]) for p in batches)
     monkeypatch.setattr(pii, "_draw", drawn)
-    got = {r.entity: r.new for r in pii.distinct_surrogates(found).collect()}
+    got = {r.entity: r.new for r in pii.distinct_surrogates(found, b"key").collect()}
     assert len(got) == 5 and len(set(got.values())) == 5 and "s3" not in got.values()
 
 
+def test_every_script_and_spelling(spark):
+    rows = [
+        (1, "write to a.иванов@mail.ru or jörg.müller@web.de"), (2, "Mr Παπαδόπουλος and my name is John Smith. Dr. Anna Berg"), (3, "+1 706 555 3138"), (4, "(706) 555-3138"),
+        (5, "2001:db8::7 at 10:20:30"), (6, "2001:0DB8:0:0:0:0:0:7"), (7, "+49 30 1234567"), (8, "030 1234567"), (9, "Mrs Anna Berg"),
+    ]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key=b"k").collect()}
+    for d, words in ((1, "иванов jörg müller"), (2, "Παπαδόπουλος John Smith Anna Berg"), (3, "706 3138"), (5, "2001:db8::7"), (7, "1234567")):
+        assert not any(w in got[d] for w in words.split())
+    assert re.search("[а-я]", got[1]) and re.search("[α-ω]", got[2]) and got[5].endswith(" at 10:20:30")
+    assert re.sub(r"\D", "", got[3]) == "1" + re.sub(r"\D", "", got[4]) and got[3].startswith("+1 ")
+    assert got[5].split()[0] == got[6] and got[7].startswith("+49 ") and re.sub(r"\D", "", got[7])[2:] == re.sub(r"\D", "", got[8])[1:]
+    assert got[9].split()[1:] == got[2].split("Dr. ")[1].split()  # one person by either title
+    other = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key=b"other").collect()}
+    assert other[3] != got[3]
+    with pytest.raises(ValueError, match="reserved"):
+        pii.replace(spark.createDataFrame([(1, "x", 1)], "doc_id long, text string, _th long"))
+
+
 # ---- language model -------------------------------------------------------------------------------------
 
 
@@ -303,8 +331,13 @@ def test_base_scores_and_gain(spark, sf_dir, texts):
         r = got[d]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n) and r.held_out == (zlib.crc32(str(d).encode()) % 7 == 2)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9) and r.score < 0
-    held = [r for r in got.values() if r.held_out]
-    assert held and sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
+    assert all(r.attention_score < 0 for r in got.values())
+
+
+def test_held_out_texts_are_likelier_than_by_the_base(spark):
+    """On 3 million training tokens; README says how smaller ones do, where the base gives each unknown word a share that no distribution has."""
+    got = lm_scoring.query(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("attention_score"), F.sum("n_tokens")).first()
+    assert got[0] > got[1] and got[2] > got[1]
 
 
 def test_gradients_and_windows():
@@ -353,9 +386,9 @@ def test_held_out_quality(spark, odd, none):
     assert len(got) > 50 and right > 0.9
     model = quality_classifier.fit(np.random.default_rng(0).random((8, quality_classifier.FEATURES)).astype(np.float32), np.array([4, 4]), np.array([0.0, 1.0]))
     out = quality_classifier.score_documents(odd, model).collect()
-    assert len(out) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    assert len(out) == len(ODD) and all(0 <= r._score <= 1 and r._predicted == int(r._score >= 0.7) and r.score == 1 for r in out)
     assert quality_classifier.score_documents(none, model).count() == 0
-    assert {r.score for r in quality_classifier.score_documents(odd, None).collect()} == {0.5}
+    assert {r._score for r in quality_classifier.score_documents(odd, None).collect()} == {0.5}
 
 
 def test_passages_of_long_texts():

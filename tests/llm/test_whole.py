@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from test_llm import brute_links, brute_removed
 
-from tallyframe.llm import lm_scoring, mixing, ngram_join, quality_rules, suffix_dedup
+from tallyframe.llm import lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -24,20 +24,43 @@ def test_stop_words_are_a_share_of_all_words(spark):
     assert {x.doc_id: x.kept for x in got} == {1: True, 2: False, 3: True}
 
 
-def test_the_model_trains_on_every_window():
+class Shared:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_the_model_learns_every_id_once():
     assert lm_scoring.WINDOW >= 32 and 2 * lm_scoring.OVERLAP >= lm_scoring.WINDOW
     texts = [" ".join(f"word{(i * k) % 50}" for i in range(40 * k)) for k in range(1, 30)]
     model = lm_scoring.classes({i: 1 for i in range(400)}, len(texts), lm_scoring.VOCABULARY)
     lists = [lm_scoring.words(t) for t in texts]
     seq, starts = model.sequence(model.numbers(lists), np.array([len(ws) for ws in lists]))
-    windows, _, first = lm_scoring.cut(seq, starts)
-    assert set(first.tolist()) == {0, lm_scoring.OVERLAP}
-    rows = pd.concat(lm_scoring.count_pairs(model)(iter([pd.DataFrame({"text": texts})])))
-    held = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, lm_scoring.WINDOW + 1) for x in rows[rows["first"] < 0]["data"]])
-    assert np.array_equal(held, windows)
+    rows = pd.concat(lm_scoring.count_pairs(Shared(model))(iter([pd.DataFrame({"text": texts})])))
+    windows = rows[rows["first"] < 0]
+    held = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, lm_scoring.WINDOW + 1) for x in windows["data"]])
+    targets = held[:, 1:][held[:, 1:] != lm_scoring.PAD]
+    first = np.zeros(len(seq), bool)
+    first[starts] = True
+    assert np.array_equal(np.sort(targets), np.sort(seq[~first]))
     model.weights, model.pairs = lm_scoring.new_weights(), lm_scoring.output_bias(np.ones((lm_scoring.CLASSES, lm_scoring.CLASSES)))
-    (out,) = lm_scoring.train_shard(model, 0)(iter([rows[rows["first"] < 0]]))
-    assert out["n"].tolist() == [len(windows)]
+    learned = 0
+    for r in range(lm_scoring.ROUNDS):
+        for out in lm_scoring.train_shard(Shared(model), r)(iter([windows[windows["first"] == -1 - r]])):
+            learned += int(out["n"].iloc[0])
+    assert learned == len(held)
+
+
+def test_frequent_words_by_a_least_count(spark):
+    rows = [(f"w{i}".encode(), 1 + i) for i in range(300)] + [(b"x" * 100, 5000)]
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in rows], "word binary, c long")
+    table, _ = lm_scoring.frequent_words(df, 50)
+    got = dict(zip(table["word"].to_pylist(), table["logs"].to_pylist()))
+    assert 10 < len(got) <= 50 and lm_scoring.dictionary_key(b"x" * 100) in got
+    least = min(got.values())
+    assert all(lm_scoring.dictionary_key(w) in got for w, c in rows if np.log10(c + 1) >= least)
+    assert len(lm_scoring.frequent_words(df, 1000)[0]) == 301
 
 
 def repeated(spark):
@@ -85,3 +108,56 @@ def test_quotas_of_many_sources(spark):
     assert got.count() == 1500 and got.where("n_units <> `sum(quota)`").count() == 0
     shard = [r["q"] for r in mixing.quotas(df, 4).groupBy("shard").agg({"quota": "sum"}).withColumnRenamed("sum(quota)", "q").collect()]
     assert len(shard) == 4 and max(shard) - min(shard) <= 3
+
+
+def test_large_ids_beside_null_ones(spark):
+    """A key passes every operator as it is; nothing is lost that only looks like a copy of another."""
+    import corpus_pipeline
+
+    big = (1 << 60) + 1
+    near = " ".join(f"word{i * i}" for i in range(120))
+    rows = [(big, near), (big + 1, near.replace("word4 ", "other ")), (None, "a lone text of some words about nothing at all"), (big + 2, "write to ann.b7@mail.example.com today please"), (big + 2, "write to ann.b7@mail.example.com today please")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = sorted(map(str, (d for d, _ in rows)))
+    model = quality_classifier.fit(np.random.default_rng(0).random((8, quality_classifier.FEATURES)).astype(np.float32), np.array([4, 4]), np.array([0.0, 1.0]))
+    outs = {
+        "pii": pii.replace(df), "lm": lm_scoring.score(df), "join": ngram_join.join(df), "quality": quality_classifier.score_documents(df, model), "pieces": sentencepiece_codec.encode(df),
+        "giants": sentencepiece_codec.encode(df, giant=20, chunk=17), "suffix": suffix_dedup.remove_repeats(df), "mix": mixing.mix(df.selectExpr("*", "'s' as source")),
+    }
+    for name, out in outs.items():
+        assert sorted(str(r.doc_id) for r in out.collect()) == ids, name
+    links = {r.doc_id: r.n_links for r in outs["join"].collect()}
+    assert links[big] == links[big + 1] == 1 and links[big + 2] == 1 and links[None] == 0
+    assert sorted(str(r.doc_id) for r in ngram_join.keep_one(df).collect()) == sorted([str(big), "None", str(big + 2)])
+    full = df.selectExpr("doc_id", "text", "cast(null as string) as lang", "'s' as source", "cast(length(text) as long) as n_chars", "1 as score", "'x' as predicted", "2.5 as shard")
+    kept = corpus_pipeline.near_duplicates(spark, full, "")
+    assert kept.columns == full.columns and kept.count() == 3
+    private = corpus_pipeline.private(spark, full, "")
+    assert private.columns == full.columns and sorted(str(r.doc_id) for r in private.collect()) == ids
+    mixed = corpus_pipeline.mixed(spark, full, "")
+    assert mixed.columns == full.columns and {str(r.doc_id) for r in mixed.collect()} <= set(ids)
+
+
+def test_pieces_against_an_independent_search():
+    """Best sums over all segmentations, by a plain recursion on the vocabulary."""
+    v = sentencepiece_codec.vocabulary()
+    r = np.random.default_rng(5)
+    letters = list("aeiourstnl") + ["é", "ж", "日", "▁", "x1"]
+    words = ["".join(r.choice(letters, int(n))) for n in r.integers(1, 14, 400)] + ["y" * 80, "qz" * 60]
+
+    def best(w):
+        top = [(0, 0)]
+        for end in range(1, len(w) + 1):
+            arcs = [(top[s][0] + v.pieces[w[s:end]][1], end - s) for s in range(max(0, end - v.reach), end) if w[s:end] in v.pieces]
+            if w[end - 1] not in v.pieces:
+                arcs.append((top[end - 1][0] + v.unknown, 1))
+            top.append(max(arcs))
+        ids, at = [], len(w)
+        while at:
+            ids.append(w[at - top[at][1] : at])
+            at -= top[at][1]
+        return [i for p in ids[::-1] for i in v.ids(p)], top[-1][0]
+
+    for w in words:
+        ids, score = v.encode(w)
+        assert (ids.tolist(), score) == best(" " + w)
