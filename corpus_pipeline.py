@@ -1,4 +1,11 @@
-"""A corpus made ready for training: five stages, each written as Parquet and read again as the next one's input."""
+"""A corpus made ready for training: five stages, each written as Parquet and read again as the next one's input.
+
+Defined results of all stages: null texts count as empty (PII leaves them null); null ids, ids of any size, ties and
+repeated rows are allowed; very long texts are read whole; an empty table gives no rows; all stages but the last return the
+columns of their input, extra ones as they are, whatever their names (except those that the operators reserve, which begin
+with an underscore). The mix is dealt into shards and shuffled within them: as its columns are those of documents, the
+deal shows in the order of the written rows alone.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +21,7 @@ from tallyframe.llm.common import documents, materialize
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_classifier.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality_classifier.score_documents(docs, model).where("_predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +36,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy that it takes, dealt into shards and shuffled within them."""
-    return mixing.shard_rows(mixing.mix(docs)).select(*docs.columns)
+    return mixing.shard_rows(mixing.mix(docs), "_shard").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
