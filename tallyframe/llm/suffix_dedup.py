@@ -11,14 +11,15 @@ a string's sample rank (the gram's name) is a function of the string alone.
 
 Blockwise construction. (1) One scan per text emits its sample positions, each with the run of string starts
 it stands for. (2) Samples are counted by gram: a gram that occurs once cannot lie in a string that occurs
-twice, so all suffixes of its run are done. (3) The suffixes of the other samples are dealt into buckets by
-gram, each with the bytes its strings reach (at most 800). A task sorts a few whole buckets at a time, by two
-integers that name a string's 400 bytes, so no long tie is compared byte by byte and memory is bounded by the
-buckets at hand. A bucket of over ``PART`` samples is not sorted but counted by longer and longer grams: a string's
+twice, so all suffixes of its run are done. The other samples are counted by their reach, the bytes that the strings
+of their runs span (at most 700): one that occurs twice settles the whole run, and only one sample of each reach goes on,
+if its gram has several. (3) Their suffixes are dealt into buckets by gram. A task sorts a few whole buckets at a time, by
+two integers that name a string's 400 bytes, so no long tie is compared byte by byte and memory is bounded by the
+buckets at hand. A bucket of over ``PART`` reaches is not sorted but counted by longer and longer grams: a string's
 distance from its sample is a function of the string, so strings are put into bands by it. The bytes that all strings of
-a band share (its core) and those that a sample's strings of the band span (its reach) are named and counted: a reach
-that occurs twice settles the strings of its samples, and where a core has several reaches, one sample of each goes on to
-bands of the next width, down to single strings. So a passage that stands in very many texts costs a few rows for each sample.
+a band share (its core) and its reach are named and counted as before: a reach that occurs twice is settled, and where a
+core has several, one sample of each goes on to bands of the next width, down to single strings. So a passage that
+stands in very many texts costs a few rows for each sample.
 (4) The runs of one text are merged, and the text is cut.
 
 Names are rolling hashes of 64 bits; strings count as equal where two of them, seeded apart, agree.
@@ -44,10 +45,10 @@ from .common import documents, materialize, small_batches, text_of
 
 LENGTH = 400
 GRAM = 100
-#: Buckets of more sample positions than this are counted by bands.
+#: Buckets of more reaches than this are counted by bands.
 PART = 1024
-#: Widths of the bands, in starts: a whole run first, a single string last.
-BANDS = (301, 43, 7, 1)
+#: Widths of the bands, in starts; the last is a single string.
+BANDS = (43, 7, 1)
 #: Texts are scanned in pieces of this many bytes (with an overlap), so a task's arrays stay small.
 PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -159,6 +160,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield full()
 
 
+def _reach(place: int, first: int, last: int, span: bytes) -> bytes:
+    """The name of the bytes that a run of strings spans, by where they lie around their sample."""
+    return xxhash.xxh3_128_digest(span, (place - first) * LENGTH + place - last)
+
+
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bytes that a sample's strings reach, a row for each sample."""
     names = [c.split()[0] for c in CONTEXT.split(", ")]
@@ -168,8 +174,9 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text, samples in zip(pdf["key"], pdf["text"], pdf["samples"], strict=True):
             raw = text.encode()
             for s in samples:
-                out.append((s["gram"], s["large"], key, s["place"], s["first"], s["last"], raw[s["first"] : s["last"] + LENGTH]))
-                size += len(out[-1][-1])
+                mine = raw[s["first"] : s["last"] + LENGTH]
+                out.append((s["gram"], key, s["place"], s["first"], s["last"], _reach(s["place"], s["first"], s["last"], mine), mine))
+                size += len(mine)
                 if size > 4_000_000:
                     yield pd.DataFrame(out, columns=names)
                     out, size = [], 0
@@ -177,7 +184,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=names)
 
 
-CONTEXT = "gram bigint, large boolean, key bigint, place bigint, first bigint, last bigint, bytes binary"
+CONTEXT = "gram bigint, key bigint, place bigint, first bigint, last bigint, reach binary, bytes binary"
 SCANNED = "key bigint, gram bigint, place bigint, first bigint, last bigint"
 FOUND = "key bigint, first bigint, last bigint"
 BANDED = "key bigint, place bigint, first bigint, last bigint, core binary, reach binary"
@@ -260,8 +267,7 @@ def _bands(width: int):
                         near, far = band * width, min(band * width + width - 1, LENGTH - GRAM)
                         a, b = max(low, place - far), min(high, place - near)
                         core = xxhash.xxh3_128_digest(raw[place - near - first : place - far + LENGTH - first], band)
-                        reach = xxhash.xxh3_128_digest(raw[a - first : b + LENGTH - first], (place - a) * LENGTH + place - b)
-                        out.append((key, place, a, b, core, reach))
+                        out.append((key, place, a, b, core, _reach(place, a, b, raw[a - first : b + LENGTH - first])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in BANDED.split(", ")])
 
     return run
@@ -291,14 +297,20 @@ def repeated_runs(base: DataFrame) -> DataFrame:
     samples = materialize(scanned.distinct(), "samples")
     # Written out, so that the join reads two plain exchanges and Spark can split a very frequent gram.
     shared = materialize(samples.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    kept = samples.join(shared, "gram").withColumn("large", F.col("n") > PART)
-    per_text = kept.groupBy("key").agg(F.collect_list(F.struct("gram", "large", "place", "first", "last")).alias("samples"))
+    kept = samples.join(shared.select("gram"), "gram")
+    per_text = kept.groupBy("key").agg(F.collect_list(F.struct("gram", "place", "first", "last")).alias("samples"))
     # One row for each text, combined before the shuffle, so that copies cost nothing after it.
     texts = base.groupBy("key").agg(F.first("text").alias("text")).join(per_text, "key")
     contexts = materialize(texts.mapInPandas(_contexts, CONTEXT), "contexts")
-    dealt = contexts.where("not large").select("gram", "key", "first", "bytes").repartition("gram").sortWithinPartitions("gram")
-    runs = materialize(dealt.mapInPandas(_buckets, FOUND), "found")
-    large = contexts.where("large")
+    # Written out again, for the same reason.
+    classes = materialize(contexts.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("spot")), "classes")
+    runs = contexts.join(classes.where("n > 1").select("gram", "reach"), ["gram", "reach"], "left_semi").select("key", "first", "last")
+    several = materialize(classes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram", (F.col("m") > PART).alias("large")), "several")
+    chosen = classes.join(several, "gram").select("spot.key", "spot.place", "large")
+    rest = materialize(contexts.drop("reach").join(chosen, ["key", "place"]), "rest")
+    dealt = rest.where("not large").select("gram", "key", "first", "bytes").repartition("gram").sortWithinPartitions("gram")
+    runs = runs.unionByName(materialize(dealt.mapInPandas(_buckets, FOUND), "found"))
+    large = rest.where("large")
     if large.limit(1).count():
         runs = runs.unionByName(runs_of_large_buckets(large))
     return runs
