@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Written forms of a missing ticker.
-NO_TICKER = ("--", "N/A", "NA", "NONE", "NULL", "UNKNOWN")
+NO_TICKER = ("--", "-", "N/A", "NA", "NONE", "NULL", "UNKNOWN")
+# Words that look like tickers.
+TICKER_WORDS = ("INC", "LLC", "LTD", "CO", "CORP", "ETF", "ADR", "NEW", "THE", "AND", "FOR", "USD", "CAD", "NYSE", "NASDAQ")
 # Suffix of a listing, its currency and exchange.
 LISTINGS = ((".TO", "CAD", "TSX"), (".V", "CAD", "TSXV"), (".NE", "CAD", "NEO"), (".L", "GBP", "LSE"), (".PA", "EUR", "Paris"), (".DE", "EUR", "Xetra"))
 # Accented letters and their plain forms.
@@ -24,9 +26,9 @@ CLASS_RULES = (
 
 def canonical_ticker(raw: Column) -> Column:
     """Upper case without spaces, class marks as a dot; null where it is no ticker."""
-    s = F.regexp_replace(F.upper(F.trim(raw)), r"\s+", "")
-    s = F.regexp_replace(s, r"^([A-Z]+)[/-]([A-Z])$", "$1.$2")
-    return F.when(~s.isin(*NO_TICKER) & s.rlike(r"^[A-Z][A-Z0-9.]{0,11}$"), s)
+    bare = F.regexp_replace(F.upper(F.trim(raw)), r"\s+", "")
+    s = F.regexp_replace(bare, r"^([A-Z]{1,5})[/-]([A-Z])$", "$1.$2")
+    return F.when(~bare.isin(*NO_TICKER) & ~s.isin(*TICKER_WORDS) & s.rlike(r"^[A-Z][A-Z0-9.]{0,11}$"), s)
 
 
 def fold(name: Column) -> Column:
@@ -59,9 +61,10 @@ def listing_currency(symbol: Column) -> Column:
 
 
 def compact_dollars(x: Column) -> Column:
-    """$950, $12.3K, $4.5M, $1.2B."""
-    unit = lambda d, s: F.concat(F.lit("$"), F.format_string("%.1f", F.round(F.abs(x) / d, 1)), F.lit(s))
-    body = F.when(F.abs(x) >= 1e9, unit(1e9, "B")).when(F.abs(x) >= 1e6, unit(1e6, "M")).when(F.abs(x) >= 1e3, unit(1e3, "K")).otherwise(F.concat(F.lit("$"), F.format_string("%.0f", F.abs(x))))
+    """$950, $12.3K, $4.5M, $1.2B: of the number as it is written, halves away from zero."""
+    v = F.abs(x.cast("decimal(38,12)"))
+    unit = lambda d, s: F.concat(F.lit("$"), F.round((v / F.lit(d).cast("decimal(12,0)")).cast("decimal(38,12)"), 1).cast("decimal(20,1)").cast("string"), F.lit(s))
+    body = F.when(v >= 10**9, unit(10**9, "B")).when(v >= 10**6, unit(10**6, "M")).when(v >= 1000, unit(1000, "K")).otherwise(F.concat(F.lit("$"), F.round(v, 0).cast("long").cast("string")))
     return F.concat(F.when(x < 0, "-").otherwise(""), body)
 
 

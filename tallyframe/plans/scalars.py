@@ -10,18 +10,18 @@ from ..sources.tables import Tables
 from .registry import query
 
 
-@query("str01_canonical_ticker", r"""with r as (select p_partkey, case p_partkey % 6 when 0 then ' brk/' || chr(97 + cast(p_size % 26 as int)) when 1 then 'N/A' when 2 then lower(p_brand) when 3 then 'ry.to ' when 4 then '--' else p_type end as raw from part),
-s as (select p_partkey, regexp_replace(regexp_replace(upper(trim(raw)), '\s+', '', 'g'), '^([A-Z]+)[/-]([A-Z])$', '\1.\2') as s from r)
-select p_partkey, case when s not in ('--', 'N/A', 'NA', 'NONE', 'NULL', 'UNKNOWN') and regexp_full_match(s, '[A-Z][A-Z0-9.]{0,11}') then s end as ticker from s""")
+@query("str01_canonical_ticker", r"""with r as (select p_partkey, case p_partkey % 7 when 0 then ' brk/' || chr(97 + cast(p_size % 26 as int)) when 1 then 'N/A' when 2 then lower(p_brand) when 3 then 'ry.to ' when 4 then '--' when 5 then 'etf' else p_type end as raw from part),
+s as (select p_partkey, regexp_replace(upper(trim(raw)), '\s+', '', 'g') as b from r), c as (select *, case when regexp_full_match(b, '[A-Z]{1,5}[/-][A-Z]') then left(b, len(b) - 2) || '.' || right(b, 1) else b end as s from s)
+select p_partkey, case when b not in ('--', '-', 'N/A', 'NA', 'NONE', 'NULL', 'UNKNOWN') and s not in ('INC', 'LLC', 'LTD', 'CO', 'CORP', 'ETF', 'ADR', 'NEW', 'THE', 'AND', 'FOR', 'USD', 'CAD', 'NYSE', 'NASDAQ') and regexp_full_match(s, '[A-Z][A-Z0-9.]{0,11}') then s end as ticker from c""")
 def _(t: Tables) -> DataFrame:
-    m = F.col("p_partkey") % 6
-    raw = F.when(m == 0, F.concat(F.lit(" brk/"), F.char(F.lit(97) + F.col("p_size") % 26))).when(m == 1, "N/A").when(m == 2, F.lower("p_brand")).when(m == 3, "ry.to ").when(m == 4, "--").otherwise(F.col("p_type"))
+    m = F.col("p_partkey") % 7
+    raw = F.when(m == 0, F.concat(F.lit(" brk/"), F.char(F.lit(97) + F.col("p_size") % 26))).when(m == 1, "N/A").when(m == 2, F.lower("p_brand")).when(m == 3, "ry.to ").when(m == 4, "--").when(m == 5, "etf").otherwise(F.col("p_type"))
     return t.part.select("p_partkey", x.canonical_ticker(raw).alias("ticker"))
 
 
-@query("str05_fold_words", r"select doc_id, trim(regexp_replace(translate(lower(left(text, 200)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
+@query("str05_fold_words", r"select doc_id, trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", x.fold(F.left("text", F.lit(200))).alias("folded"))
+    return t.documents.select("doc_id", x.fold(F.col("text")).alias("folded"))
 
 
 @query("str06_person_key", r"select c_custkey, concat_ws(':', lower(c_mktsegment), replace(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), lower(left(c_mktsegment, 3))) as key from customer")
@@ -55,15 +55,16 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", x.asset_class(d.otherwise(F.col("p_type"))).alias("class"))
 
 
-@query("str13_compact_dollars", "select o_orderkey, case when o_totalprice >= 1e3 then '$' || format('{:.1f}', round(o_totalprice / 1000, 1)) || 'K' else '$' || format('{:.0f}', o_totalprice) end as s from orders where abs(o_totalprice / 100 - floor(o_totalprice / 100) - 0.5) > 0.01")
+@query("str13_compact_dollars", """with x as (select o_orderkey, (case o_orderkey % 3 when 0 then o_totalprice when 1 then o_totalprice * 1000 else o_totalprice / 1000 end)::varchar::decimal(38,12) as v from orders)
+select o_orderkey, case when v >= 1e6 then '$' || round(v / 1e6::decimal(10,0), 1)::decimal(20,1)::varchar || 'M' when v >= 1e3 then '$' || round(v / 1e3::decimal(10,0), 1)::decimal(20,1)::varchar || 'K' else '$' || round(v, 0)::bigint::varchar end as s from x""")
 def _(t: Tables) -> DataFrame:
-    o = t.orders.where(F.abs(F.col("o_totalprice") / 100 - F.floor(F.col("o_totalprice") / 100) - 0.5) > 0.01)
-    return o.select("o_orderkey", x.compact_dollars(F.col("o_totalprice")).alias("s"))
+    m, p = F.col("o_orderkey") % 3, F.col("o_totalprice")
+    return t.orders.select("o_orderkey", x.compact_dollars(F.when(m == 0, p).when(m == 1, p * 1000).otherwise(p / 1000)).alias("s"))
 
 
-@query("str22_escape_html", "select page_id, replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as s from pages")
+@query("str22_escape_html", "select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as s from pages")
 def _(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", x.escape_html(F.left("html", F.lit(300))).alias("s"))
+    return t.pages.select("page_id", x.escape_html(F.col("html")).alias("s"))
 
 
 @query("str17_listing", "select p_partkey, case p_size % 3 when 0 then 'CAD' when 1 then 'GBP' else 'USD' end as currency from part")
