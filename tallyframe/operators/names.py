@@ -21,19 +21,40 @@ def catalog_index(catalog: DataFrame) -> DataFrame:
     return c.where("n = 1").select("stem", "ticker")
 
 
+def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(stem, head, other, ticker): all pairs of one head that can be alike by least, and few that cannot.
+
+    A stem of m letters allows k = (1 - least) m / least edits at most. Of k + 1 pieces that it is cut into, one is
+    untouched, and lies in the like stem at most k places away: an equi-join by length, piece and its letters finds it.
+    """
+    edits = lambda m: F.floor((1 - least) * m / least + 1e-9).cast("int")
+    start = lambda i, m: F.floor(i * m / (edits(m) + 1)).cast("int")
+    m, i = F.col("m"), F.col("i")
+    size = start(i + 1, m) - start(i, m)
+    right = others.withColumn("m", F.length("other")).withColumn("i", F.explode(F.sequence(F.lit(0), edits(m))))
+    right = right.select("head", "m", "i", "other", "ticker", F.substring("other", start(i, m) + 1, size).alias("piece"))
+    n = F.length("stem")
+    left = stems.select("stem", "head", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m"))
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), edits(m)))).withColumn("d", F.explode(F.sequence(-edits(m), edits(m))))
+    at = start(i, m) + F.col("d")
+    left = left.where((at >= 0) & (at + size <= n)).select("stem", "head", "m", "i", F.substring("stem", at + 1, size).alias("piece")).distinct()
+    return left.join(right, ["head", "m", "i", "piece"]).select("stem", "head", "other", "ticker").distinct()
+
+
 def match_names(names: DataFrame, catalog: DataFrame, least: float = LEAST, gap: float = GAP) -> DataFrame:
     """(id, ticker, stage, confidence) of every name: exact, else fuzzy, else null.
 
     Fuzzy matches are looked for among stems with the same first token and a like length; the best must reach
-    `least` and lead the runner-up by `gap`. Names are matched by different stem, so copies cost nothing.
+    `least` and lead the runner-up by `gap`. Names are matched by different stem, so copies cost nothing. Stems that are
+    alike share a piece (see shared_pieces), so a first token that many names have is no block of all pairs.
     """
     index = catalog_index(catalog)
     n = names.select("id", asset_stem(F.col("name")).alias("stem"))
     stems = n.select("stem").distinct().join(index, "stem", "left")
     exact = stems.where("ticker is not null").select("stem", "ticker", F.lit("exact").alias("stage"), F.lit(100).cast("long").alias("confidence"))
     rest = stems.where("ticker is null and stem <> ''").select("stem", F.split("stem", " ")[0].alias("head"))
-    cand = rest.join(index.select(F.col("stem").alias("other"), "ticker", F.split("stem", " ")[0].alias("head")), "head")
-    cand = cand.where(F.abs(F.length("stem") - F.length("other")) <= F.ceil((1 - least) * F.greatest(F.length("stem"), F.length("other"))))
+    others = index.select(F.col("stem").alias("other"), "ticker", F.split("stem", " ")[0].alias("head"))
+    cand = shared_pieces(rest, others, least)
     cand = cand.withColumn("s", similarity(F.col("stem"), F.col("other"))).where(F.col("s") >= least)
     w = Window.partitionBy("stem").orderBy(F.desc("s"), "ticker")
     cand = cand.withColumns({"k": F.row_number().over(w), "runner": F.lead("s").over(w)}).where("k = 1")

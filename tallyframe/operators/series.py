@@ -149,6 +149,23 @@ def period_returns(points: DataFrame, as_of_dates: DataFrame) -> DataFrame:
     return end.select("symbol", "label", "start", "base_date", "end_date", ret.alias("ret"), F.when(long, F.pow(1 + ret, 1 / years) - 1).alias("annualized"), thin.alias("estimate"))
 
 
+PERIODS = (("1y", 12), ("3y", 36), ("5y", 60), ("max", 2))
+
+
+def available_periods(months: Column) -> Column:
+    """The periods that a run of so many months covers."""
+    return F.array_compact(F.array(*[F.when(months >= n, p) for p, n in PERIODS]))
+
+
+def resolved_period(months: Column, asked: str | None = None) -> Column:
+    """The asked period if it is covered, else null; without one three years, else five, one, or all there is."""
+    if asked:
+        if asked not in dict(PERIODS):
+            raise ValueError(f"period must be one of {', '.join(dict(PERIODS))}")
+        return F.when(months >= dict(PERIODS)[asked], asked)
+    return F.coalesce(*[F.when(months >= dict(PERIODS)[p], p) for p in ("3y", "5y", "1y", "max")])
+
+
 def sparkline(points: DataFrame, n: int = 40) -> DataFrame:
     """n evenly spaced points of each series (all of a shorter one)."""
     w = Window.partitionBy("symbol")

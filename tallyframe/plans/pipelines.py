@@ -26,6 +26,22 @@ def _(t: Tables) -> DataFrame:
     return alerts.replay(drawdowns(t), 0.5).withColumn("drawdown", F.round("drawdown", 8))
 
 
+_CHECK = """pv as (select symbol as key, case when ascii(symbol) % 2 = 0 then 'active' else 'recovered' end as status, date '2023-12-01' as opened from (select distinct symbol from daily_points)),
+lt as (select symbol as key, max(date) as seen, arg_max(close, date) as last, max(close) as peak from daily_points group by 1), ev as (select key, last / peak - 1 as drawdown, seen, length(key) % 3 = 0 as stale from lt),
+x as (select coalesce(pv.key, ev.key) as key, pv.status as was, opened, drawdown, seen, stale, coalesce(pv.key, ev.key) not in (select min(key) from lt) as held from pv full join ev on pv.key = ev.key)"""
+
+
+@query("stm02_check", f"""with {_CHECK} select key, case when not held and was = 'active' then 'closed' when not held then was when was = 'active' and 100 * drawdown > -48 + 1e-9 then 'recovered' when was = 'active' then 'active' when 100 * drawdown <= -50 + 1e-9 and not stale then 'active' else was end as status,
+case when not held and was = 'active' then 'close' when not held then 'none' when was = 'active' and 100 * drawdown > -48 + 1e-9 then 'recover' when was = 'active' then 'update' when 100 * drawdown <= -50 + 1e-9 and stale then 'blocked' when 100 * drawdown <= -50 + 1e-9 then 'open' else 'none' end as action,
+case when was = 'active' and held then opened when held and 100 * drawdown <= -50 + 1e-9 and not stale then seen else opened end as opened from x""", "daily_points")
+def _(t: Tables) -> DataFrame:
+    d = t.daily_points.groupBy(F.col("symbol").alias("key")).agg(F.max("date").alias("at"), F.max_by("close", "date").alias("last"), F.max("close").alias("peak"))
+    evaluated = d.select("key", (F.col("last") / F.col("peak") - 1).alias("drawdown"), "at", (F.length("key") % 3 == 0).alias("stale"))
+    prev = d.select("key", F.when(F.ascii("key") % 2 == 0, "active").otherwise("recovered").alias("status"), F.lit("2023-12-01").cast("date").alias("opened"))
+    held = d.select("key").join(d.agg(F.min("key").alias("key")), "key", "left_anti")
+    return alerts.check(prev, evaluated, held, 0.5)
+
+
 @query("stm03_event_windows", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(t: Tables) -> DataFrame:
     return alerts.event_windows(t.events).withColumn("total", F.round("total", 4))
@@ -44,7 +60,9 @@ def _(t: Tables) -> DataFrame:
 @query("ext03_numbered_trades", "select p_partkey as id, 1::bigint as row, p_name as asset, case when p_size % 2 = 0 then 'purchase' else 'sale' end as side, date '2024-03-09' as date, '$1,001 - $15,000' as amount, p_size % 3 <> 0 as reliable from part")
 def _(t: Tables) -> DataFrame:
     side = F.when(F.col("p_size") % 2 == 0, "Purchase").otherwise("Sale")
-    good = F.concat_ws(" ", F.lit("1"), "p_name", side, F.lit("3/9/2024 No $1,001 - $15,000"))
+    # One row in four is wrapped before its date, and a page break follows.
+    wrap = F.when(F.col("p_size") % 4 == 0, "\n").otherwise(" ")
+    good = F.concat(F.lit("1 "), "p_name", F.lit(" "), side, wrap, F.lit("3/9/2024 No $1,001 - $15,000\nPage 1 of 2"))
     bad = F.when(F.col("p_size") % 3 == 0, "2 something ourchasc 3/9/2024 $15,001")
     return extract.numbered_trades(t.part.select(F.col("p_partkey").alias("id"), F.concat_ws("\n", F.lit("Filer: A"), good, bad).alias("text")))
 
@@ -55,6 +73,24 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id"), F.inline(extract.labelled_percents(text)))
 
 
+_SENATE = ["Purchase", "Sale (Full)", "Sale (Partial)", "Exchange", "Gift"]
+
+
+@query("ext02_html_trades", """select n_nationkey as id, 1 as row, case n_nationkey % 3 when 0 then 'self' when 1 then 'spouse' else 'unknown' end as owner, case when n_nationkey % 2 = 0 then 'AB' || chr(65 + n_nationkey::int) end as ticker, n_name as asset, 'Stock' as kind,
+case n_nationkey % 5 when 0 then 'buy' when 1 then 'sell' when 2 then 'sell' when 3 then 'exchange' end as side, n_nationkey % 5 = 2 as partial, date '2024-03-01' + cast(n_nationkey as int) as date, case when n_nationkey % 4 <> 0 then '$1,001 - $15,000' end as amount from nation""")
+def _(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    heads = F.lit("<table><tr><th>x</th></tr><tr><td>other</td></tr></table><table><tr><th>#</th><th>Transaction Date</th><th>Owner</th><th>Ticker</th><th>Asset Name</th><th>Asset Type</th><th>Type</th><th>Amount</th><th>Comment</th></tr>")
+    row = F.concat(
+        F.lit("<tr><td>1</td>"), cell(F.date_format(F.date_add(F.lit("2024-03-01").cast("date"), k.cast("int")), "MM/dd/yyyy")), cell(pick(k, ["Self", "Spouse", "?"])),
+        cell(F.when(k % 2 == 0, F.concat(F.lit("<a href='x'>ab"), F.char(k + 65), F.lit("</a>"))).otherwise("--")), cell(F.col("n_name")), cell(F.lit("Stock")), cell(pick(k, _SENATE)),
+        cell(F.when(k % 4 != 0, "$1,001 - $15,000").otherwise("$1,001 - $2,000")), cell(F.lit("")), F.lit("</tr></table>"),
+    )
+    return extract.html_trades(extract.html_tables(t.nation.select(k.alias("id"), F.concat(heads, row).alias("html")), "id", "html"))
+
+
 @query("src13_embedded_array", "select n_nationkey as id, n_name as name, n_regionkey + 0.25::double as value from nation")
 def _(t: Tables) -> DataFrame:
     page = F.concat(F.lit('<script>var xData = [{"name":"'), "n_name", F.lit('","value":'), (F.col("n_regionkey") + F.lit(0.25)).cast("string"), F.lit("},];</script>"))

@@ -322,6 +322,15 @@ def _(t: Tables) -> DataFrame:
     return risk.optimize(grid_returns(t), current_members(t).withColumn("cap", cap), stats=True)
 
 
+@query("fin22_periods", f"""with {MONTHS}, s as (select symbol, month, lag(month) over (partition by symbol order by month) as pm from me), u as (select symbol, month, year(month) * 12 + month(month) - row_number() over (partition by symbol order by month) as k from s where pm = month - interval 1 month),
+r as (select symbol, count(*) as months from u group by symbol, k qualify row_number() over (partition by symbol order by max(month) desc) = 1)
+select symbol, months, list_filter([case when months >= 12 then '1y' end, case when months >= 36 then '3y' end, case when months >= 60 then '5y' end, case when months >= 2 then 'max' end], lambda p: p is not null) as available,
+  case when months >= 36 then '3y' when months >= 60 then '5y' when months >= 12 then '1y' when months >= 2 then 'max' end as period from r""", "price_points")
+def _(t: Tables) -> DataFrame:
+    run = series.latest_run(series.strict_returns(month_levels(t)))
+    return run.select("symbol", F.col("n").alias("months"), series.available_periods(F.col("n")).alias("available"), series.resolved_period(F.col("n")).alias("period"))
+
+
 @query("set04_common_months", f"with {MONTHS} select month from me group by month having count(*) = (select count(distinct symbol) from me)", "price_points")
 def _(t: Tables) -> DataFrame:
     me = month_levels(t)

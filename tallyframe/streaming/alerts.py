@@ -77,6 +77,27 @@ def monitor(events: DataFrame, threshold: float) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(run, EVENTS, "active boolean, episode bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def check(prev: DataFrame, evaluated: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(key, status, action, opened): one check of all holdings against the alerts of before.
+
+    prev: (key, status, opened); evaluated: (key, drawdown, at, stale), one row for each holding that has prices; held: (key).
+    An active alert recovers, is kept, or is closed when its holding is gone; a breach opens one, unless the price is stale,
+    which blocks it until there is a fresh one. Without a drawdown nothing changes.
+    """
+    x = prev.join(evaluated, "key", "full_outer").join(held.select("key", F.lit(True).alias("_held")).distinct(), "key", "left")
+    percent, recover = 100 * F.col("drawdown"), 100 * (BAND - threshold)
+    breach = F.coalesce(percent <= -100 * threshold + EPS, F.lit(False))
+    calm = F.coalesce(percent >= -EPS if recover >= 0 else percent > recover + EPS, F.lit(False))
+    active, gone = F.coalesce(F.col("status") == "active", F.lit(False)), F.col("_held").isNull()
+    action = (
+        F.when(gone & active, "close").when(gone, "none").when(active & calm, "recover").when(active, "update")
+        .when(breach & F.coalesce("stale", F.lit(False)), "blocked").when(breach, "open").otherwise("none")
+    )
+    x = x.withColumn("action", action)
+    status = F.when(F.col("action") == "close", "closed").when(F.col("action") == "recover", "recovered").when(F.col("action").isin("open", "update"), "active").otherwise(F.col("status"))
+    return x.select("key", status.alias("status"), "action", F.when(F.col("action") == "open", F.col("at")).otherwise(F.col("opened")).alias("opened"))
+
+
 def notify_once(batch: DataFrame, batch_id: int, sent_path: str) -> DataFrame:
     """The rows of a micro-batch that no other batch has sent, by id, recorded as sent; run inside foreachBatch.
 

@@ -170,6 +170,23 @@ def test_unread_amount_lines_make_a_filing_unreliable(spark):
     assert [(r.id, r.reliable) for r in extract.numbered_trades(df).orderBy("id").collect()] == [(1, False), (2, True)]
 
 
+def test_wrapped_rows_are_read(spark):
+    text = "Filer: A\n1 ACME CORP Purchase\n3/9/2024 No $1,001 -\n$15,000\nPage 1\n2 BETA Sale 3/10/2024 Yes Over $50,000,000\n\nnotes without a number"
+    got = rows(extract.numbered_trades(spark.createDataFrame([(1, text)], "id int, text string")), "row")
+    assert [g[1:4] + g[5:] for g in got] == [(1, "ACME CORP", "purchase", "$1,001 - $15,000", True), (2, "BETA", "sale", "Over $50,000,000", True)]
+    lost = spark.createDataFrame([(1, text + "\n$15,001 - $50,000")], "id int, text string")
+    assert {r.reliable for r in extract.numbered_trades(lost).collect()} == {False}
+
+
+def test_alike_names_share_a_piece(spark):
+    base = "alpha industries of the north"
+    other = ["alpha industriez of the north", "alpha industries of the nort", "xlpha industries of the north", "alpha 1ndustries of the nor h", "alpha something else entirely"]
+    stems = spark.createDataFrame([(base, "alpha")], "stem string, head string")
+    index = spark.createDataFrame([(o, o.split()[0], str(i)) for i, o in enumerate(other)], "other string, head string, ticker string")
+    got = {r.other for r in names.shared_pieces(stems, index, 0.94).collect()}
+    assert other[0] in got and other[1] in got and other[2] not in got and other[4] not in got
+
+
 def test_upsert_last_incoming_wins(spark):
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, None, 3)], "k int, v string, ord long")
