@@ -255,6 +255,7 @@ def test_join_in_blocks_and_on_odd_rows(spark, odd, none, monkeypatch):
 
 
 def test_prefixes_reach_the_recall():
+    assert ngram_join.shortest() == 5
     reach = [ngram_join.recall_of(k) for k in range(1, ngram_join.DEPTH + 1)]
     assert reach == sorted(reach, reverse=True) and reach[4] >= ngram_join.RECALL > reach[5] and 0.6 < ngram_join.LINK < 0.7
 
