@@ -7,21 +7,25 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read back, so its plan runs once and survives lost executors.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir.
 
     On a single machine that names no such folder a temporary one is set; on a cluster that is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tallyframe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tallyframe-{os.getpid()}-{uuid.uuid4().hex}/{name}"
+    return f"{root.rstrip('/')}/tallyframe-{os.getpid()}-{uuid.uuid4().hex}/{name}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new shared folder and read back, so its plan runs once and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
