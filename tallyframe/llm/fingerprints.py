@@ -17,7 +17,7 @@ Neighbours: the next document by ascending key comes from a window inside key ra
 quantiles; the first documents of each range also go, marked, into the range before it (the first range's
 into the last), so no window spans the table and each text is shuffled once.
 
-Defined results: a null text is empty; equal keys are ordered by text, null keys come last; the last document's
+Defined results: a null text is empty; equal keys are ordered by text, null keys come last, keys may be numbers or texts; the last document's
 next is the first, a single document's next is itself; rows that are equal in all are interchangeable; extra
 columns are kept unless named like an added one (all begin with an underscore); an empty table gives no rows.
 """
@@ -121,14 +121,23 @@ def as_string(a: str) -> Column:
     return F.concat(part(f"{a}_words"), F.lit("|"), part(f"{a}_chars"))
 
 
+def in_order(docs: DataFrame, key: str) -> Column:
+    """A number that grows with the key: the key itself, or the first seven bytes of a text."""
+    if dict(docs.dtypes)[key] in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.col(key)
+
+
 def with_ranges(docs: DataFrame, key: str) -> DataFrame:
     """Adds _range and _guest; the first documents of a range stand in the range before it as guests."""
+    docs = docs.withColumn("_order", in_order(docs, key))
+    key = "_order"
     n = docs.count()
     points = max(1, min(COARSE * COARSE, n // RANGE_ROWS))
     shares = [i / points for i in range(points)]
     found = docs.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(key), shares, 100_000))).alias("b")).first()["b"] or []
     if not found:
-        return docs.withColumns({"_range": F.lit(0), "_guest": F.explode(F.array(F.lit(0), F.lit(1)))})
+        return docs.withColumns({"_range": F.lit(0), "_guest": F.explode(F.array(F.lit(0), F.lit(1)))}).drop("_order")
     least = docs.agg(F.min(key)).first()[0]
     bounds = sorted({least, *found})
     all_bounds = F.array(*[F.lit(b) for b in bounds])
@@ -142,7 +151,7 @@ def with_ranges(docs: DataFrame, key: str) -> DataFrame:
     before = F.when(F.col("_range") == 0, F.lit(last)).otherwise(F.col("_range") - 1)
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("g"))
     spots = F.when(first, F.array(own, F.struct(before.alias("r"), F.lit(1).alias("g")))).otherwise(F.array(own))
-    return docs.withColumn("_spot", F.explode(spots)).withColumns({"_range": F.col("_spot.r"), "_guest": F.col("_spot.g")}).drop("_spot")
+    return docs.withColumn("_spot", F.explode(spots)).withColumns({"_range": F.col("_spot.r"), "_guest": F.col("_spot.g")}).drop("_spot", "_order")
 
 
 def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,12 +1,13 @@
 """Operators do the whole job: cases that earlier versions left out."""
 
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
 from test_llm import brute_links, brute_removed
 
-from tallyframe.llm import lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
+from tallyframe.llm import fingerprints, lm_scoring, mixing, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -161,3 +162,27 @@ def test_pieces_against_an_independent_search():
     for w in words:
         ids, score = v.encode(w)
         assert (ids.tolist(), score) == best(" " + w)
+
+
+def test_fingerprints_with_text_ids_and_their_likeness(spark, tmp_path):
+    """The next document by text ids; likeness against sets that are made by hand from the returned prints."""
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(f"id-{i:03d}" if i != 7 else None, " ".join(r.choice(words, int(r.integers(1, 700))))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in fingerprints.query(spark, str(tmp_path)).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or ""))
+    kinds = lambda p: [None if k == "-" else {h for h in k.split(".") if h} for k in p.split("|")]
+
+    def like(a, b):
+        for x, y in zip(kinds(a), kinds(b)):
+            if x is not None and y is not None:
+                return min(1.0, len(x & y) / (len(x) * len(y)) ** 0.5) if x and y else float(len(x) == len(y))
+        return 0.0
+
+    for i, (d, t) in enumerate(order):
+        nxt, x = order[(i + 1) % len(order)], got[d]
+        edited = t[: len(t) - len(t) // 4] + nxt[1][: len(t) // 4]
+        assert x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(x.near_next - like(x.fingerprint, got[nxt[0]].fingerprint)) < 1e-9
+        assert abs(x.near_edited - like(x.fingerprint, x.edited_fingerprint)) < 1e-9
