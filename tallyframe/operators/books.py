@@ -123,3 +123,45 @@ def merge_patch(current: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     x = x.withColumn("status", status)
     pick = lambda c: F.when(F.col("status") == "replaced", F.col(f"p.{c}")).when(F.col("status").isin("kept", "refused"), F.col(f"c.{c}")).alias(c)
     return x.select(key, pick("parts"), pick("as_of"), "status")
+
+
+def append_quote(points: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(symbol, date, close): a series with the day's quote as its last point; quotes: (symbol, date, price).
+
+    A quote of a stored day replaces its close; one that is not positive, or older than the last point, changes nothing.
+    """
+    last = points.groupBy("symbol").agg(F.max("date").alias("_last"))
+    q = quotes.where(F.col("price") > 0).join(last, "symbol", "left").where(F.col("_last").isNull() | (F.col("date") >= F.col("_last")))
+    q = q.select("symbol", "date", F.col("price").alias("close"))
+    return points.join(q.select("symbol", "date"), ["symbol", "date"], "left_anti").select("symbol", "date", "close").unionByName(q)
+
+
+def ingest_plan(index: DataFrame, stored: DataFrame, failed: DataFrame, cap: int) -> DataFrame:
+    """(key, plan) of an index: stored, resting (failed too often), fetch for the newest of the rest up to cap, else later.
+
+    index: (key, filed), stored: (key), failed: (key, strikes). What is left for later is the cursor of the next run.
+    """
+    x = index.join(stored.select("key", F.lit(True).alias("_stored")).distinct(), "key", "left").join(failed, "key", "left")
+    x = x.withColumn("plan", F.when(F.col("_stored"), "stored").when(F.coalesce("strikes", F.lit(0)) >= 3, "resting"))
+    chosen = x.where("plan is null").orderBy(F.col("filed").desc_nulls_last(), "key").limit(cap).select("key", F.lit("fetch").alias("_chosen"))
+    return x.join(chosen, "key", "left").select("key", F.coalesce("plan", "_chosen", F.lit("later")).alias("plan"))
+
+
+def revisit(rows: DataFrame, version: int, cap: int) -> DataFrame:
+    """The rows that an older parser has read, oldest version first, at most cap: one bounded pass of a revisit."""
+    return rows.where(F.coalesce("parser_version", F.lit(0)) < version).orderBy(F.coalesce("parser_version", F.lit(0)), F.col("filed").desc_nulls_last(), "key").limit(cap)
+
+
+def patched(current: DataFrame, quotes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """current with each field from its quote where there is one, it differs and the field is not locked (array `locked`)."""
+    q = quotes.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
+    x = current.join(q, key, "left")
+    new = lambda f: F.when(F.col(f"_{f}").isNotNull() & ~F.array_contains(F.coalesce("locked", F.array().cast("array<string>")), f), F.col(f"_{f}")).otherwise(F.col(f))
+    return x.select(*[new(c).alias(c) if c in fields else F.col(c) for c in current.columns])
+
+
+def longer_support(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(symbol, path, points): of two series of a symbol the one with more points; of equal ones the first; both (symbol, date)."""
+    n = [x.groupBy("symbol").agg(F.count("*").alias(c)) for x, c in ((a, "_a"), (b, "_b"))]
+    x = n[0].join(n[1], "symbol", "full_outer").fillna(0, ["_a", "_b"])
+    return x.select("symbol", F.when(F.col("_a") >= F.col("_b"), "first").otherwise("second").alias("path"), F.greatest("_a", "_b").alias("points"))
