@@ -91,6 +91,27 @@ def _(t: Tables) -> DataFrame:
     return extract.html_trades(extract.html_tables(t.nation.select(k.alias("id"), F.concat(heads, row).alias("html")), "id", "html"))
 
 
+def house_reports(t: Tables) -> DataFrame:
+    """A row with a wrapped name and amount, one that is whole, one whose range is none; notes, and a footer with a row after it."""
+    k = F.col("n_nationkey")
+    first = F.concat(F.when(k % 2 == 0, "SP ").otherwise(""), F.lit("Acme "), F.col("n_name"), F.lit(" P 03/05/2024 03/06/2024 $1,001 -\nCommon Stock (AC"), F.char(k + 65), F.lit(") [ST] $15,000\nF S: New\nignored $5"))
+    second = F.lit("Beta Fund [MF] S (partial) 3/7/2024 3/9/2024 Over $50,000,000\nD: a note\nmore of it")
+    third = F.lit("Gamma (GM) [ZZ] E 3/8/2024 3/9/2024 $1,001 - $2,000")
+    body = F.when(k % 5 == 4, "no table here").otherwise(F.concat_ws("\n", F.lit("Transactions"), first, second, third, F.lit("I CERTIFY that"), second))
+    return t.nation.select(k.alias("id"), body.alias("text"))
+
+
+@query("ext01_text_trades", """select n_nationkey as id, 1::bigint as nth, case when n_nationkey % 2 = 0 then 'spouse' else 'self' end as owner, 'AC' || chr(65 + n_nationkey::int) as ticker, 'Acme ' || n_name || ' Common Stock (AC' || chr(65 + n_nationkey::int) || ')' as asset, 'ST' as code, 'stock' as class, 'buy' as side, false as partial, date '2024-03-05' as date, '$1,001 - $15,000' as amount from nation where n_nationkey % 5 <> 4
+union all select n_nationkey, 2, 'self', null, 'Beta Fund', 'MF', 'fund', 'sell', true, date '2024-03-07', 'Over $50,000,000' from nation where n_nationkey % 5 <> 4""")
+def _(t: Tables) -> DataFrame:
+    return extract.house_trades(house_reports(t))[0]
+
+
+@query("ext01_report_status", "select n_nationkey as id, case when n_nationkey % 5 = 4 then 'needs_manual_review' else 'parsed' end as status, case when n_nationkey % 5 = 4 then 0 else 2 end::bigint as read, case when n_nationkey % 5 = 4 then 0 else 1 end::bigint as dropped from nation")
+def _(t: Tables) -> DataFrame:
+    return extract.house_trades(house_reports(t))[1]
+
+
 @query("src13_embedded_array", "select n_nationkey as id, n_name as name, n_regionkey + 0.25::double as value from nation")
 def _(t: Tables) -> DataFrame:
     page = F.concat(F.lit('<script>var xData = [{"name":"'), "n_name", F.lit('","value":'), (F.col("n_regionkey") + F.lit(0.25)).cast("string"), F.lit("},];</script>"))
