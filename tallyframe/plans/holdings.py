@@ -16,7 +16,7 @@ MER = "mer as (select n_name as instrument, case when n_nationkey % 4 = 3 then n
 
 def current(t: Tables) -> DataFrame:
     last = t.versions.groupBy("model_key").agg(F.max("effective_date").alias("effective_date"))
-    return t.version_holdings.join(F.broadcast(last), ["model_key", "effective_date"]).select("model_key", "instrument", "weight")
+    return t.version_holdings.join(last, ["model_key", "effective_date"]).select("model_key", "instrument", "weight")
 
 
 def instruments(t: Tables) -> DataFrame:
@@ -25,7 +25,8 @@ def instruments(t: Tables) -> DataFrame:
 
 
 def segments(t: Tables) -> list[str]:
-    return SEGMENTS
+    """All models, a column each in the pivot: a name for each, not a row of a holding, comes to the driver."""
+    return [r["model_key"] for r in t.models.select("model_key").orderBy("model_key").collect()]
 
 
 @query("joi13_model_pairs", f"""with {LATEST}, p as (select a.model_key as a, b.model_key as b, b.risk_rank = a.risk_rank + 1 as adjacent from models a join models b on a.risk_rank < b.risk_rank),
@@ -110,7 +111,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("joi01_held_instruments", f"with {LATEST}, {MER} select m.model_key, risk_rank, instrument, weight, region from cur c join models m on m.model_key = c.model_key join mer using (instrument)", "models version_holdings")
 def _(t: Tables) -> DataFrame:
-    return current(t).join(F.broadcast(t.models), "model_key").join(F.broadcast(instruments(t)), "instrument").select("model_key", "risk_rank", "instrument", "weight", "region")
+    return current(t).join(t.models, "model_key").join(instruments(t), "instrument").select("model_key", "risk_rank", "instrument", "weight", "region")
 
 
 @query("joi16_held_by", f"with {LATEST} select instrument, count(*) as models, list(model_key order by model_key) as held_by from cur group by 1", "version_holdings")

@@ -335,7 +335,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     me = month_levels(t)
     n = me.select(F.countDistinct("symbol").alias("n"))
-    return me.groupBy("month").agg(F.count("*").alias("m")).join(F.broadcast(n), F.col("m") == F.col("n")).select("month")
+    return me.groupBy("month").agg(F.count("*").alias("m")).join(n, F.col("m") == F.col("n")).select("month")
 
 
 @query("agg30_first_added", "select model_key, instrument, min(effective_date) as first_added from version_holdings group by 1, 2", "version_holdings")
