@@ -126,19 +126,17 @@ def quotas(units: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
         tiers.append(tiers[-1] * FAN)
     nodes = numbered.select("at", "n", F.lit(0).alias("low"), F.lit(shards).alias("width"))
     for level in range(max(0, math.ceil(math.log2(shards)))):
-        left = F.ceil(F.col("width") / 2).cast("int")
-        rooms = nodes.groupBy("low", "width").agg(F.sum("n").alias("total")).withColumn("half", left)
-        rooms = rooms.select("low", "width", "half", F.lit(0).cast("long").alias("path"), F.floor(F.col("total") * F.col("half") / F.col("width")).cast("long").alias("room"))
-        rooms = materialize(rooms, "rooms")
-        above = rooms.select("low", "path", "room")
+        nodes = nodes.withColumn("half", F.ceil(F.col("width") / 2).cast("int"))
+        rooms = nodes.groupBy("low", "width", "half").agg(F.sum("n").alias("total"))
+        above = rooms.select("low", F.lit(0).cast("long").alias("path"), F.floor(F.col("total") * F.col("half") / F.col("width")).cast("long").alias("room"))
         for tier in reversed(tiers):
             # The parts of this tier, gathered by the part of the tier above.
             own, up = F.floor(F.col("at") / tier).cast("long"), F.floor(F.col("at") / (tier * FAN)).cast("long")
             parts = nodes.groupBy("low", up.alias("path"), own.alias("part")).agg(F.sum("n").alias("n"))
             gathered = parts.groupBy("low", "path").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("k"))
-            above = materialize(draw_children(gathered.join(above, ["low", "path"]), level * 8 + len(tiers), seed).select("low", F.col("part").alias("path"), "n", "room"), "drawn")
-            above = above.select("low", "path", "room")
-        split = nodes.join(above.withColumnRenamed("path", "at"), ["low", "at"]).join(rooms.select("low", "half"), "low")
+            # Draws follow from the seed and the node, so nothing need be kept between tiers.
+            above = draw_children(gathered.join(above, ["low", "path"]), level * 64 + tiers.index(tier), seed).select("low", F.col("part").alias("path"), "room")
+        split = nodes.join(above.withColumnRenamed("path", "at"), ["low", "at"])
         halves = F.array(
             F.struct(F.col("low").alias("low"), F.col("half").alias("width"), F.col("room").alias("n")),
             F.struct((F.col("low") + F.col("half")).alias("low"), (F.col("width") - F.col("half")).alias("width"), (F.col("n") - F.col("room")).alias("n")),
