@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text as x
-from tallyframe.operators import disclosures, extract, holdings, names, risk, series, writes
+from tallyframe.operators import disclosures, extract, holdings, names, ranks, risk, series, writes
 from tallyframe.streaming import alerts
 
 D = dt.date
@@ -198,3 +198,36 @@ def test_upsert_last_incoming_wins(spark):
 def test_missing_status_counts_as_member(spark, status, n):
     df = spark.createDataFrame([("candidate",), ("member",), (None,)], "filer_status string")
     assert df.where(disclosures.by_filer(status)).count() == n
+
+
+def test_optimized_mix_beats_a_grid_of_mixes():
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    months = pd.date_range("2020-01-01", periods=48, freq="MS")
+    true = {"a": (0.012, 0.04), "b": (0.008, 0.02), "c": (0.001, 0.05)}
+    pdf = pd.DataFrame([("m", s, w, cap, d, m + v * x) for (s, (m, v)), w, cap in zip(true.items(), (0.5, 0.3, 0.1), (0.5, 0.6, 1.0)) for d, x in zip(months, r.standard_normal(48))], columns=["model_key", "symbol", "weight", "cap", "month", "r"])
+    short = pd.DataFrame([("m", "d", 0.1, 1.0, months[0], 0.5)], columns=pdf.columns)
+    rows, stats = risk._optimize(pd.concat([pdf, short]), 0.04)
+    w = dict(zip(rows["symbol"], rows["weight"]))
+    assert w["d"] == 0 and not rows.set_index("symbol").loc["d", "usable"] and w["a"] <= 0.5 + 1e-6 and w["b"] <= 0.6 + 1e-6 and sum(w.values()) <= 1 + 1e-6
+    now = dict(zip(rows["symbol"], rows["current_weight"]))
+    assert math.isclose(now["a"], 0.5 / 0.9, abs_tol=1e-6) and math.isclose(stats["excluded_weight"].iloc[0], 0.1)
+    wide = pdf.pivot(index="month", columns="symbol", values="r")
+    mu, sigma = wide.mean().to_numpy() * 12, wide.cov().to_numpy() * 12
+    grid = [np.array([i, j, k]) / 50 for i in range(26) for j in range(31) for k in range(51) if i + j + k <= 50 and i + j + k > 0]
+    best = max((x @ (mu - 0.04)) / np.sqrt(x @ sigma @ x) for x in grid)
+    assert stats.set_index("side").loc["optimized", "sharpe"] >= best - 1e-3
+    assert stats.set_index("side").loc["optimized", "sharpe"] > stats.set_index("side").loc["current", "sharpe"]
+
+
+def test_row_numbers_by_ranges(spark):
+    r = np.random.default_rng(6)
+    data = [(str(g), int(v), i) for i, (g, v) in enumerate(zip(r.integers(0, 3, 300), r.integers(0, 20, 300)))]
+    df = spark.createDataFrame(data, "g string, v int, i int").repartition(5)
+    got = {x.i: x["rank"] for x in ranks.numbered(df, [F.desc("v"), F.col("i")]).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda t: t[1])] == [i for _, _, i in sorted(data, key=lambda t: (-t[1], t[2]))] and set(got.values()) == set(range(1, 301))
+    by = ranks.numbered(df, [F.col("v"), F.col("i")], by=["g"]).collect()
+    for g in "012":
+        mine = sorted((x for x in by if x.g == g), key=lambda x: x["rank"])
+        assert [x.i for x in mine] == [i for _, _, i in sorted((t for t in data if t[0] == g), key=lambda t: (t[1], t[2]))] and [x["rank"] for x in mine] == list(range(1, len(mine) + 1))
