@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import books
+from ..operators import books, disclosures
 from ..sources.tables import Tables
 from .records import cases_sql, choose, choose_sql
 from .registry import query
@@ -116,3 +116,95 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     y = t.orders.select(F.year("o_orderdate").alias("year")).distinct()
     return y.select(F.col("year").cast("long").alias("year"), F.make_date("year", F.lit(1), F.lit(1)).alias("start"), F.make_date("year", F.lit(12), F.lit(31)).alias("until"))
+
+
+@query("jsn03_normal_settings", """with s as (select n_nationkey as id, case n_nationkey % 4 when 0 then 15.0 when 1 then 250.0 when 2 then -3.0 else null end as threshold, n_nationkey % 3 as flag from nation)
+select id, case when threshold is null then 10.0::double else least(90, greatest(1, threshold))::double end as threshold, flag = 1 as enabled, left('note of ' || id::varchar || repeat('x', 40), 20) as note from s""")
+def _(t: Tables) -> DataFrame:
+    """Settings as stored JSON: numbers clamped or defaulted, flags read strictly, text cut, unknown keys dropped."""
+    k = F.col("n_nationkey")
+    threshold = F.when(k % 4 == 0, '"15"').when(k % 4 == 1, "250").when(k % 4 == 2, "-3").otherwise('"x"')
+    doc = F.concat(F.lit('{"thresholdPct":'), threshold, F.lit(',"enabled":'), F.when(k % 3 == 1, "true").otherwise('"yes"'), F.lit(',"note":"note of '), k.cast("string"), F.lit("x" * 40 + '","other":1}'))
+    s = t.nation.select(k.alias("id"), doc.alias("doc"))
+    number = F.get_json_object("doc", "$.thresholdPct").try_cast("double")
+    return s.select(
+        "id", F.when(number.isNotNull(), F.least(F.lit(90.0), F.greatest(F.lit(1.0), number))).otherwise(10.0).alias("threshold"), (F.get_json_object("doc", "$.enabled") == "true").alias("enabled"), F.left(F.get_json_object("doc", "$.note"), F.lit(20)).alias("note")
+    )
+
+
+@query("rec06_defaults", "select p_partkey, coalesce(nullif(left(trim(p_name), 12), ''), 'Unnamed') as name, case when p_size % 3 = 0 then 'stock' else 'etf' end as type, case when p_size % 4 = 0 then date '2024-01-31' end as as_of from part")
+def _(t: Tables) -> DataFrame:
+    """A written instrument with defaults: names are cut, an unknown type is a stock, a date that is none is left out."""
+    kind = F.when(F.col("p_size") % 3 == 0, "gadget").otherwise("etf")
+    date = F.when(F.col("p_size") % 4 == 0, "2024-01-31").otherwise("2024-13-99")
+    return t.part.select(
+        "p_partkey", F.coalesce(F.nullif(F.left(F.trim("p_name"), F.lit(12)), F.lit("")), F.lit("Unnamed")).alias("name"),
+        F.when(kind.isin("stock", "etf", "mutualfund", "cash", "alt"), kind).otherwise("stock").alias("type"), F.try_to_date(date, "yyyy-MM-dd").alias("as_of"),
+    )
+
+
+@query("rec15_net_lines", """with n as (select ticker, count(*) filter (tx_type = 'buy') as b, count(*) filter (tx_type = 'sell') as s from trades where ticker is not null and tx_type in ('buy', 'sell') group by 1 having count(*) filter (tx_type = 'buy') > 0 and count(*) filter (tx_type = 'sell') > 0)
+select ticker, ticker || ': ' || b || ' bought, ' || s || ' sold, net ' || case when b > s then '+' else '' end || (b - s) as line from n""", "trades")
+def _(t: Tables) -> DataFrame:
+    n = disclosures.nets(t.trades, ["ticker"])
+    text = F.concat("ticker", F.lit(": "), F.col("buys").cast("string"), F.lit(" bought, "), F.col("sells").cast("string"), F.lit(" sold, net "), F.when(F.col("net_count") > 0, "+").otherwise(""), F.col("net_count").cast("string"))
+    return n.select("ticker", text.alias("line"))
+
+
+@query("rec16_evaluation", """with p as (select symbol, count(*) as n from daily_points where date >= date '2024-01-08' group by 1), v as (select symbol, count(*) as n from daily_points where date < date '2024-01-08' and ascii(symbol) % 2 = 0 group by 1)
+select s.symbol, case when v.n is not null then 'value' when p.n is not null then 'price' else 'none' end as basis, case when s.symbol like 'c%' then 'not priced' when v.n is null and p.n is null then 'no history' end as skipped from (select distinct symbol from daily_points) s left join p using (symbol) left join v using (symbol)""", "daily_points")
+def _(t: Tables) -> DataFrame:
+    """A holding's own values go before its prices; what is skipped says why."""
+    d = t.daily_points
+    price = d.where("date >= '2024-01-08'").select("symbol", F.lit("price").alias("basis"), F.lit(1).alias("rank")).distinct()
+    value = d.where((F.col("date") < "2024-01-08") & (F.ascii("symbol") % 2 == 0)).select("symbol", F.lit("value").alias("basis"), F.lit(0).alias("rank")).distinct()
+    best = price.unionByName(value).groupBy("symbol").agg(F.min_by("basis", "rank").alias("basis"))
+    x = d.select("symbol").distinct().join(best, "symbol", "left").withColumn("basis", F.coalesce("basis", F.lit("none")))
+    return x.withColumn("skipped", F.when(F.col("symbol").startswith("c"), "not priced").when(F.col("basis") == "none", "no history"))
+
+
+@query("rec23_nested_summary", "select office, list_sort(list({'status': parse_status, 'n': n})) as statuses, sum(n)::bigint as total from (select office, parse_status, count(*) as n from filings group by 1, 2) group by 1", "filings")
+def _(t: Tables) -> DataFrame:
+    g = t.filings.groupBy("office", "parse_status").agg(F.count("*").alias("n"))
+    return g.groupBy("office").agg(F.array_sort(F.collect_list(F.struct(F.col("parse_status").alias("status"), "n"))).alias("statuses"), F.sum("n").alias("total"))
+
+
+@query("rec26_run_health", "select c_custkey, case when last is null then 'never' when date '1998-08-01' - last > 30 then 'stale' else 'fresh' end as health from customer left join (select o_custkey, max(cast(o_orderdate as date)) as last from orders group by 1) on o_custkey = c_custkey")
+def _(t: Tables) -> DataFrame:
+    last = t.orders.groupBy("o_custkey").agg(F.max(F.to_date("o_orderdate")).alias("last"))
+    x = t.customer.join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
+    age = F.datediff(F.lit("1998-08-01").cast("date"), "last")
+    return x.select("c_custkey", F.when(F.col("last").isNull(), "never").when(age > 30, "stale").otherwise("fresh").alias("health"))
+
+
+@query("rec27_source_labels", "select p_partkey, case when p_size % 4 = 0 then 'Series' when p_size % 4 = 1 then 'Live quote' when p_size % 4 = 2 then 'Typed in' else 'No price' end as label, case p_partkey % 3 when 0 then 'daily' when 1 then 'monthly' else '—' end as cadence from part")
+def _(t: Tables) -> DataFrame:
+    source = choose(F.col("p_size"), ["series", "auto", "manual", None])
+    label = labels.named(source, {"series": "Series", "auto": "Live quote", "manual": "Typed in"}, F.lit("No price"))
+    cadence = labels.named(choose(F.col("p_partkey"), ["stock", "mutualfund", "cash"]), {"stock": "daily", "etf": "daily", "mutualfund": "monthly", "alt": "monthly"}, F.lit("—"))
+    return t.part.select("p_partkey", label.alias("label"), cadence.alias("cadence"))
+
+
+@query("rec29_save_accounting", "select o_custkey, count(*) as sent, count(*) filter (o_orderkey % 3 <> 0) as inserted, count(*) filter (o_orderkey % 3 = 0) as present, count(*) filter (o_orderkey % 3 = 0) = count(*) as nothing_new from orders group by 1")
+def _(t: Tables) -> DataFrame:
+    """What a bundle of children adds beside those that are stored."""
+    sent = t.orders.select("o_custkey", "o_orderkey")
+    x = sent.join(sent.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(True).alias("there")), "o_orderkey", "left")
+    return x.groupBy("o_custkey").agg(F.count("*").alias("sent"), F.count_if(F.col("there").isNull()).alias("inserted"), F.count_if("there").alias("present"), (F.count_if("there") == F.count("*")).alias("nothing_new"))
+
+
+@query("rec30_work_queue", "select key, min(rank) = 0 as pending from (select o_orderkey as key, 0 as rank from orders where o_orderkey % 11 = 0 union all select o_orderkey, 1 from orders where o_orderkey % 5 = 0) where key % 2 = 1 group by 1")
+def _(t: Tables) -> DataFrame:
+    """Pending keys and fresh ones of the index, without those that are settled."""
+    k = t.orders.select(F.col("o_orderkey").alias("key"))
+    both = k.where("key % 11 = 0").withColumn("rank", F.lit(0)).unionByName(k.where("key % 5 = 0").withColumn("rank", F.lit(1)))
+    return both.join(k.where("key % 2 = 0"), "key", "left_anti").groupBy("key").agg((F.min("rank") == 0).alias("pending"))
+
+
+@query("rec31_replace_parse", """with old as (select l_orderkey as parent, l_linenumber as child, 1 as version from lineitem), again as (select distinct l_orderkey as parent from lineitem where l_orderkey % 6 = 0 and l_linenumber <= 2)
+select parent, child, version from old where parent not in (select parent from again) union all select parent, child, 2 from old where parent in (select parent from again) and child <= 2""")
+def _(t: Tables) -> DataFrame:
+    """Rows of an older parser are read again; what comes out replaces all that it gave."""
+    old = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("child"), F.lit(1).alias("version"))
+    new = old.where("parent % 6 = 0 and child <= 2").withColumn("version", F.lit(2))
+    return books.replace_children(old, new, "parent")
