@@ -187,7 +187,7 @@ m as (
   select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, len(ls) as n_lines,
-    len(list_intersect(ws, [{stops}])) as n_stop_words, len(list_distinct(ws)) as n_different_words, length(regexp_replace(t, '[^!]', '', 'g')) as n_exclaims,
+    len(list_filter(ws, lambda x: list_contains([{stops}], x))) as n_stop_words, len(list_distinct(ws)) as n_different_words, length(regexp_replace(t, '[^!]', '', 'g')) as n_exclaims,
     length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as n_upper,
     len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*•·]'))) as n_bullet_lines,
     len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) as n_ellipsis_lines
@@ -195,7 +195,7 @@ m as (
 q as (
   select *, coalesce(word_chars / nullif(n_words, 0), 0) as mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) as symbol_ratio,
     coalesce(n_upper / nullif(word_chars, 0), 0) as upper_ratio, coalesce(n_exclaims / nullif(n_words, 0), 0) as exclaim_ratio,
-    coalesce(n_stop_words / nullif(n_different_words, 0), 0) as stop_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) as dup_line_ratio,
+    coalesce(n_stop_words / nullif(n_words, 0), 0) as stop_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) as dup_line_ratio,
     coalesce(n_bullet_lines / nullif(n_lines, 0), 0) as bullet_line_ratio, coalesce(n_ellipsis_lines / nullif(n_lines, 0), 0) as ellipsis_line_ratio,
     n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed
   from m)
