@@ -43,14 +43,30 @@ def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, *without: str) -> Column:
+    """The columns of df but some, as one struct: no name in it can clash with a name that an operator uses."""
+    return F.struct(F.lit(True).alias("_"), *(F.col(quoted(c)).alias(c) for c in df.columns if c not in (*without, "_")))
+
+
+def unpacked(df: DataFrame, row: str, added: list[str]) -> DataFrame:
+    """The columns packed in row, but those that an added one has the name of, and the added ones."""
+    taken = {a.lower() for a in added}
+    names = [c for c in df.schema[row].dataType.names if c != "_" and c.lower() not in taken]
+    return df.select(*(F.col(f"{row}.{quoted(c)}").alias(c) for c in names), *added)
+
+
 def map_columns(
-    df: DataFrame, prepare: Callable[[], Callable[..., dict[str, list]]], reads: list[str], adds: str, drops: tuple[str, ...] = ()
+    df: DataFrame, prepare: Callable[[], Callable[..., dict[str, list]]], reads: list[str], adds: str, drops: tuple[str, ...] = (), arrow: bool = False
 ) -> DataFrame:
     """df without drops and with the columns of adds (DDL), which a function computes from the columns reads.
 
     prepare runs once in a task and gives that function: one list per column of reads in, one list per added
     column out, in the order of the rows. All other columns pass as Arrow arrays, so a key of any type and
-    size comes out as it went in, beside nulls too.
+    size comes out as it went in, beside nulls too. With arrow, the function gets Arrow arrays in place of lists.
     """
     added = StructType.fromDDL(adds)
     kept = [f for f in df.schema.fields if f.name not in drops and f.name not in added.names]
@@ -61,7 +77,7 @@ def map_columns(
         compute = prepare()
         for batch in batches:
             if batch.num_rows:
-                got = compute(*(batch.column(r).to_pylist() for r in reads))
+                got = compute(*(batch.column(r) if arrow else batch.column(r).to_pylist() for r in reads))
                 arrays = [batch.column(n) for n in names] + [pa.array(got[k.name], k.type) for k in kinds]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
