@@ -20,9 +20,12 @@ distinct. The table is joined back on (kind, entity); nothing is collected.
 
 Defined results: null text stays null; empty texts and texts without entities come back unchanged; very long texts are
 searched whole; overlapping matches go to the longest kind in the order of PATTERNS; repeated rows get the same text;
-ids of any type and null ones pass as they are; an empty table gives no rows; all other columns are kept, and n_chars,
-where there is one, follows the text. The names _text, _new_text, _th, _swaps and _n_entities are reserved: rows with such a
-column raise an error.
+ids of any type and null ones pass as they are; an empty table gives no rows; all other columns are kept, whatever their
+names (but _n_entities, which an own one takes the place of), and n_chars, where there is one, follows the text.
+
+A domain is replaced by its own surrogate, so addresses of one domain keep one domain, with as many labels, in their scripts,
+and the same top-level name. Surrogates that run out get longer (names and local parts after a few attempts, phone numbers
+after 32); numbers of social security and IP addresses come from ranges that are not in use for 16 attempts, then from all.
 """
 
 from __future__ import annotations
@@ -34,17 +37,17 @@ import re
 import secrets
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import lru_cache, reduce
+from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialize, small_batches
+from .common import documents, map_columns, materialize, packed, quoted, small_batches
 
 KEY_SETTING = "tallyframe.pii.key"
 MAX_ROUNDS = 64
-RESERVED = ("_text", "_new_text", "_th", "_swaps", "_n_entities")
 
 # Titles by gender.
 MALE = "Mr Herr Monsieur Sr Señor Don Sir г-н господин".split()
@@ -79,7 +82,7 @@ PATTERNS = (
 _ALL = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS))
 #: What Spark asks first; every pattern above needs one of these. The last is slow, so it is asked only where one of the
 #: words stands at all.
-MARKS, KEY_STARTS = "[@0-9=:]", ("AKIA", "ASIA", "ghp_", "sk-", "xox")
+MARKS, KEY_STARTS = r"[@=:\p{Nd}]", ("AKIA", "ASIA", "ghp_", "sk-", "xox")
 NAME_WORDS = (*MALE, *FEMALE, *NEUTRAL, *(c[1:] for c in CUES))
 NAMED = r"(?:" + TITLES + r")\.?[  ]\p{L}|(?:" + CUE + r")[  ]\p{L}"
 
@@ -89,9 +92,14 @@ _SYLLABLES = {
 }
 
 
+def digits_of(surface: str) -> str:
+    """The digits of any script, as ASCII ones."""
+    return "".join(str(unicodedata.decimal(c)) for c in surface if c.isdecimal())
+
+
 def national(surface: str) -> str:
     """A phone number's digits without country code and trunk zero."""
-    digits = re.sub(r"\D", "", surface)
+    digits = digits_of(surface)
     if surface.startswith("+") or digits.startswith("00"):
         digits = digits.removeprefix("00")
         n = 1 if digits[:1] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
@@ -107,7 +115,7 @@ def canonical(kind: str, surface: str) -> str:
     if kind == "phone":
         return national(surface)
     if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", surface)
+        return digits_of(surface)
     if kind == "ip6":
         return ipaddress.IPv6Address(surface).exploded
     if kind in ("given", "family"):
@@ -147,15 +155,20 @@ def entities(text: str) -> list[tuple[str, int, int, str, str]]:
     return out
 
 
-@cache
+@lru_cache(maxsize=1024)
+def _pool(low: int, high: int, category: str) -> str:
+    """Letters of a range and category that composing leaves as they are."""
+    letters = (chr(i) for i in range(low, high + 1))
+    return "".join(c for c in letters if unicodedata.category(c) == category and unicodedata.normalize("NFC", c) == c)
+
+
 def letters_like(c: str) -> str:
-    """Letters of a character's script and case."""
+    """Letters of a character's script and case; the character alone where its range has no others that stay as they are."""
     if "a" <= c <= "z" or "A" <= c <= "Z":
-        first = ord("a" if c >= "a" else "A")
-        return "".join(map(chr, range(first, first + 26)))
+        return ascii_lowercase if c >= "a" else ascii_uppercase
+    c = unicodedata.normalize("NFC", c)[0]
     low, high = next(((x, y) for x, y in SCRIPTS if x <= ord(c) <= y), (ord(c) & ~63, ord(c) | 63))
-    kind = unicodedata.category(c)
-    return "".join(chr(i) for i in range(low, high + 1) if unicodedata.category(chr(i)) == kind and unicodedata.normalize("NFC", chr(i)) == chr(i))
+    return _pool(low, high, unicodedata.category(c)) or c
 
 
 def _digits(seed: bytes, n: int) -> list[int]:
@@ -192,11 +205,12 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes, gender: str = ""
     r = _digits(seed, max(16, len(entity) + 4))
     if kind == "ip":
         # Private and reserved networks: 16 first bytes, so 268 million addresses.
-        return f"{(10, *range(240, 255))[r[3] % 16]}.{r[0] % 256}.{r[1] % 256}.{1 + r[2] % 254}"
+        first = (10, *range(240, 255))[r[3] % 16] if attempt < 16 else 1 + r[3] % 254
+        return f"{first}.{r[0] % 256}.{r[1] % 256}.{1 + r[2] % 254}"
     if kind == "ip6":
         return ":".join(["2001", "0db8", *(f"{x:04x}" for x in r[:6])])
     if kind == "ssn":
-        return f"9{r[0] % 100:02d}{r[1] % 100:02d}{r[2] % 10000:04d}"
+        return f"{9 if attempt < 16 else r[3] % 10}{r[0] % 100:02d}{r[1] % 100:02d}{r[2] % 10000:04d}"
     if kind == "phone":
         # The first digit is never 0 or 1. Where one length has no free number left, later attempts are longer.
         n = len(entity) + attempt // 32
@@ -206,11 +220,11 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes, gender: str = ""
         want = _luhn(entity)
         return next(body + c for c in "0123456789" if _luhn(body + c)) if want else body + str(r[-1] % 10)
     if kind == "email":
-        local, _, domain = entity.partition("@")
-        labels = domain.split(".")
-        shape = f"{local}@{'.'.join(labels[:-2]) or 'mail'}"
-        shaped = _same_shape(shape, _digits(seed, len(shape)))
-        return f"{shaped}.example.{labels[-1] if labels[-1] in ('com', 'net', 'org') else 'com'}"
+        local, _, domain = entity.rpartition("@")
+        local = _same_shape(local, _digits(seed, len(local))) + "".join(chr(ord("a") + x % 26) for x in r[: attempt // 8])
+        labels, _, top = domain.rpartition(".")
+        own = hmac.new(key, f"domain\0{domain}".encode(), hashlib.sha256).digest()
+        return f"{local}@{_same_shape(labels, _digits(own, len(labels)))}.{top}"
     if kind in ("secret", "access_key"):
         lead = re.match(r"AKIA|ASIA|ghp_|sk-|xox[bp]-", entity)
         n = lead.end() if lead else 0
@@ -229,12 +243,13 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes, gender: str = ""
 def render(kind: str, surface: str, new: str) -> str:
     """A canonical replacement in the format of the text it stands for; a phone number's code and trunk zero stay."""
     if kind in ("card", "phone", "ssn"):
-        n = sum(c.isdigit() for c in surface)
+        n = sum(c.isdecimal() for c in surface)
         keep = n - len(national(surface)) if kind == "phone" else 0
         digits, out = iter(new), []
         for c in surface:
-            keep -= c.isdigit()
-            out.append(next(digits) if c.isdigit() and keep < 0 else c)
+            keep -= c.isdecimal()
+            # In the digits of the text's script.
+            out.append(chr(ord(c) - unicodedata.decimal(c) + int(next(digits))) if c.isdecimal() and keep < 0 else c)
         return "".join([*out, *digits])
     if kind in ("given", "family"):
         return new.upper() if surface.isupper() else new.capitalize()
@@ -307,27 +322,26 @@ def _rewrite() -> Callable[[list, list], dict[str, list]]:
 
 def replace(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """The rows of docs with their text rewritten, and _n_entities."""
-    if taken := set(RESERVED) & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(taken)}")
     key = key or key_of(docs.sparkSession)
     small_batches(docs.sparkSession)
-    suspect = F.coalesce(is_suspect(F.col(text)), F.lit(False))
-    maybe = docs.where(suspect).withColumns({"_text": F.col(text), "_th": F.xxhash64(text, F.lit(23))})
+    held = docs.select(packed(docs, text, "_n_entities").alias("_row"), F.col(text).alias("_text"))
+    suspect = F.coalesce(is_suspect(F.col("_text")), F.lit(False))
+    maybe = held.where(suspect).withColumn("_th", F.xxhash64("_text", F.lit(23)))
     # By text: copies share their entities and their places.
     found = materialize(maybe.select("_th", "_text").mapInPandas(_detect, f"_th bigint, found {ENTITIES}").dropDuplicates(["_th"]), "found")
     spots = found.select("_th", F.explode("found").alias("f")).select("_th", "f.*")
     swaps = spots.join(distinct_surrogates(spots, key), ["kind", "entity"]).groupBy("_th")
     swaps = materialize(swaps.agg(F.collect_list(F.struct("kind", "start", "end", "new")).alias("_swaps")), "swaps")
-    names = [c for c in docs.columns if c != text]
-    rows = maybe.select(*names, "_text", "_th").join(swaps, "_th", "left")
-    changed = rows.where("_swaps is not null").withColumn("_n_entities", F.size("_swaps").cast("long")).drop("_th")
-    changed = map_columns(changed, _rewrite, ["_text", "_swaps"], "_new_text string", ("_text", "_swaps")).withColumnRenamed("_new_text", text)
-    same = rows.where("_swaps is null").drop("_swaps", "_th").withColumnRenamed("_text", text).withColumn("_n_entities", F.lit(0).cast("long"))
-    rest = docs.where(~suspect).withColumn("_n_entities", F.lit(0).cast("long"))
-    out = rest.unionByName(same).unionByName(changed)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "_n_entities")
+    rows = maybe.join(swaps, "_th", "left")
+    changed = map_columns(rows.where("_swaps is not null"), _rewrite, ["_text", "_swaps"], "_new_text string", ("_text", "_th"))
+    changed = changed.select("_row", F.col("_new_text").alias("_text"), F.size("_swaps").cast("long").alias("_n_entities"))
+    same = rows.where("_swaps is null").select("_row", "_text").unionByName(held.where(~suspect)).withColumn("_n_entities", F.lit(0).cast("long"))
+    out = same.unionByName(changed)
+    new = {text: F.col("_text"), "_n_entities": F.col("_n_entities")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        new["n_chars"] = F.when(F.col("_n_entities") > 0, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))
+    names = [c for c in docs.columns if c != "_n_entities"]
+    return out.select(*(new.get(c, F.col(f"_row.{quoted(c)}")).alias(c) for c in [*names, "_n_entities"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

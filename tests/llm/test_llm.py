@@ -316,8 +316,9 @@ def test_every_script_and_spelling(spark):
     assert got[9].split()[1:] == got[2].split("Dr. ")[1].split()  # one person by either title
     other = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key=b"other").collect()}
     assert other[3] != got[3]
-    with pytest.raises(ValueError, match="reserved"):
-        pii.replace(spark.createDataFrame([(1, "x", 1)], "doc_id long, text string, _th long"))
+    clash = spark.createDataFrame([(1, "x a@b.org", 1, 2, 3)], "doc_id long, text string, _th long, _text long, _n_entities int")
+    row = pii.replace(clash).first()
+    assert (row.doc_id, row._th, row._text, row._n_entities) == (1, 1, 2, 1) and "a@b.org" not in row.text
 
 
 # ---- language model -------------------------------------------------------------------------------------
