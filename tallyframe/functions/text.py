@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,8 +14,22 @@ NO_TICKER = ("--", "-", "N/A", "NA", "NONE", "NULL", "UNKNOWN")
 TICKER_WORDS = ("INC", "LLC", "LTD", "CO", "CORP", "ETF", "ADR", "NEW", "THE", "AND", "FOR", "USD", "CAD", "NYSE", "NASDAQ")
 # Suffix of a listing, its currency and exchange.
 LISTINGS = ((".TO", "CAD", "TSX"), (".V", "CAD", "TSXV"), (".NE", "CAD", "NEO"), (".L", "GBP", "LSE"), (".PA", "EUR", "Paris"), (".DE", "EUR", "Xetra"))
-# Accented letters and their plain forms.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+# Forms of address and of descent that are no part of a name.
+HONORIFICS = "jr sr ii iii iv hon mr mrs ms dr".split()
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Characters that decompose to one letter or digit, and those; then combining marks, which stand for nothing."""
+    pairs, marks = [], [chr(i) for i in range(0x300, 0x370)]
+    for i in range(0x80, 0x20000):
+        if not 0xD800 <= i < 0xE000 and (d := unicodedata.normalize("NFKD", chr(i))) != chr(i):
+            bare = "".join(c for c in d if c not in marks).lower()
+            if len(bare) == 1 and bare.isascii() and bare.isalnum():
+                pairs.append((chr(i), bare))
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+ACCENTS = _plain_letters()
 LEGAL_SUFFIXES = "inc incorporated corp corporation co company ltd limited plc llc lp sa nv ag the".split()
 #: Asset class by description: the first rule that fits decides.
 CLASS_RULES = (
@@ -31,18 +46,26 @@ def canonical_ticker(raw: Column) -> Column:
     return F.when(~bare.isin(*NO_TICKER) & ~s.isin(*TICKER_WORDS) & s.rlike(r"^[A-Z][A-Z0-9.]{0,11}$"), s)
 
 
-def fold(name: Column) -> Column:
+def plain(text: Column) -> Column:
     """Lower case, plain letters, single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(name), *ACCENTS), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, *ACCENTS)), r"[^a-z0-9]+", " "))
+
+
+def fold(name: Column) -> Column:
+    """A name in plain letters, without forms of address and descent."""
+    bare = F.regexp_replace(F.lower(F.translate(name, *ACCENTS)), rf"(?<![a-z0-9_])({'|'.join(HONORIFICS)})(?![a-z0-9_])", " ")
+    return F.trim(F.regexp_replace(bare, r"[^a-z0-9]+", " "))
 
 
 def person_key(office: Column, last: Column, first: Column) -> Column:
-    return F.concat_ws(":", F.lower(office), F.regexp_replace(fold(last), " ", "-"), F.regexp_replace(fold(first), " ", "-"))
+    """Office, last name and first given name; what is empty is left out."""
+    parts = F.array(office, plain(last), F.substring_index(plain(first), " ", 1))
+    return F.array_join(F.filter(parts, lambda p: p != ""), ":")
 
 
 def asset_stem(name: Column) -> Column:
-    """Folded company name without legal suffixes at its end."""
-    return F.trim(F.regexp_replace(fold(F.regexp_replace(name, "&", " and ")), rf"( ({'|'.join(LEGAL_SUFFIXES)}))+$", ""))
+    """Company name in plain letters without legal suffixes at its end."""
+    return F.trim(F.regexp_replace(plain(F.regexp_replace(name, "&", " and ")), rf"( ({'|'.join(LEGAL_SUFFIXES)}))+$", ""))
 
 
 def similarity(a: Column, b: Column) -> Column:

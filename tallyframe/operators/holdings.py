@@ -72,15 +72,53 @@ def largest_remainder(rows: DataFrame, by: Sequence[str], weight: str, total: in
     return x.withColumn("units", F.col("_f") + (F.col("_k") <= F.col("_short")).cast("long")).drop("_x", "_f", "_short", "_k")
 
 
-def fund_new(holdings: DataFrame, share: float, cash: str = "CASH") -> DataFrame:
-    """(model_key, instrument, weight): all holdings scaled down to make room for a new one of the given share.
+#: Weights count in hundredths of a percent; a book within half a percent of the whole counts as whole.
+WHOLE, NEARLY = 10_000, 50
 
-    Weights come out in hundredths of a percent; the residual of rounding lies with the largest holding.
+
+def _units(weight: Column | float) -> Column:
+    return F.round((F.lit(weight) if isinstance(weight, float) else weight) * WHOLE, 0).cast("long")
+
+
+def fund_proportional(holdings: DataFrame, share: float, cash: Column) -> DataFrame:
+    """(model_key, instrument, weight, can_add): the other holdings shrink by the room that the new one leaves, cash takes the
+    residual; where that is negative, or there is no cash or nothing else, all shrink to the room in proportion.
+
+    cash: whether a holding is cash. The new one keeps its share exactly; rounding lies with the largest remainders of the others.
+    """
+    w, room = Window.partitionBy("model_key"), 1 - share
+    x = holdings.withColumns({"_cash": cash, "_all": F.sum("weight").over(w), "_other": F.sum(F.when(~cash, F.col("weight"))).over(w), "_held": F.sum(F.when(cash, F.col("weight"))).over(w), "_n": F.count_if(cash).over(w)})
+    left = room - F.col("_other") * room
+    split = F.when(F.col("_held") > 0, F.col("weight") / F.col("_held")).otherwise(1 / F.col("_n"))
+    by_room = F.when(F.col("_cash"), split * left).otherwise(F.col("weight") * room)
+    kept = (F.col("_n") > 0) & F.col("_other").isNotNull() & (left >= -1e-8)
+    x = x.where("_all > 0").select("model_key", "instrument", F.when(kept, by_room).otherwise(F.col("weight") * room / F.col("_all")).alias("weight"))
+    x = largest_remainder(x, ["model_key"], "weight", WHOLE - round(share * WHOLE), "instrument").select("model_key", "instrument", (F.col("units") / F.lit(float(WHOLE))).alias("weight"))
+    new = holdings.select("model_key").distinct().select("model_key", F.lit("NEW").alias("instrument"), (_units(share) / F.lit(float(WHOLE))).alias("weight"))
+    return x.unionByName(new).withColumn("can_add", F.lit(True))
+
+
+def fund_from_cash(holdings: DataFrame, share: float, cash: Column) -> DataFrame:
+    """(model_key, instrument, weight, can_add): the first cash holding, by instrument, gives the new one's share. A book that
+    was nearly whole is made whole by it. Without cash, or with too little, nothing can be added.
     """
     w = Window.partitionBy("model_key")
-    new = holdings.select("model_key").distinct().select("model_key", F.lit("NEW").alias("instrument"), F.lit(share).alias("weight"))
-    scaled = holdings.select("model_key", "instrument", (F.col("weight") / F.sum("weight").over(w) * (1 - share)).alias("weight"))
-    return largest_remainder(scaled.unionByName(new), ["model_key"], "weight", 10_000, "instrument").select("model_key", "instrument", (F.col("units") / F.lit(10_000.0)).alias("weight"))
+    x = holdings.select("model_key", "instrument", "weight", cash.alias("_cash"), _units(F.col("weight")).alias("_u"))
+    x = x.withColumns({"_giver": F.min(F.when(F.col("_cash"), F.col("instrument"))).over(w), "_total": F.sum("_u").over(w)})
+    gives = F.coalesce(F.col("instrument") == F.col("_giver"), F.lit(False))
+    x = x.withColumns({"_after": F.max(F.when(gives, F.col("_u") - _units(share))).over(w), "_others": F.sum(F.when(~gives, F.col("_u"))).over(w)})
+    whole = WHOLE - F.coalesce("_others", F.lit(0)) - _units(share)
+    given = F.when((F.col("_after") >= 0) & (F.abs(F.col("_total") - WHOLE) <= NEARLY) & (whole >= 0), whole).otherwise(F.col("_after"))
+    can = F.coalesce(F.col("_after") >= 0, F.lit(False))
+    weight = F.when(F.col("_giver").isNull(), F.col("weight")).when(gives, given / F.lit(float(WHOLE))).otherwise(F.col("_u") / F.lit(float(WHOLE)))
+    new = x.groupBy("model_key").agg(F.first(can).alias("can_add")).select("model_key", F.lit("NEW").alias("instrument"), (_units(share) / F.lit(float(WHOLE))).alias("weight"), "can_add")
+    return x.select("model_key", "instrument", weight.alias("weight"), can.alias("can_add")).unionByName(new)
+
+
+def fund_manual(holdings: DataFrame, share: float) -> DataFrame:
+    """(model_key, instrument, weight, can_add): the new holding beside the others, which stay; the sum may exceed the whole."""
+    new = holdings.select("model_key").distinct().select("model_key", F.lit("NEW").alias("instrument"), (_units(share) / F.lit(float(WHOLE))).alias("weight"))
+    return holdings.select("model_key", "instrument", "weight").unionByName(new).withColumn("can_add", F.lit(True))
 
 
 def tie_slices(rows: DataFrame, by: Sequence[str], amount: str, named: int = 12, cap: int = 16) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import holdings as h
@@ -83,12 +83,37 @@ def _(t: Tables) -> DataFrame:
     return h.largest_remainder(current(t), ["model_key"], "weight", 100, "instrument").select("model_key", "instrument", "units")
 
 
-@query("fin27_fund_new_holding", f"""with {LATEST}, u as (select model_key, instrument, weight / sum(weight) over (partition by model_key) * (1 - 0.05::double) as weight from cur union all select distinct model_key, 'NEW', 0.05::double from cur),
-x as (select *, weight * 10000 / sum(weight) over (partition by model_key) as x from u), f as (select *, floor(round(x, 9))::bigint as f from x),
-g as (select *, 10000 - sum(f) over (partition by model_key) as short, row_number() over (partition by model_key order by round(x - f, 9) desc, instrument) as k from f)
-select model_key, instrument, (f + case when k <= short then 1 else 0 end) / 10000.0::double as weight from g""", "version_holdings")
+#: Books to fund: cash in two of them at most, one at 97 %, one within half a percent of the whole, one with hardly any cash.
+BOOKS = f"""{LATEST}, book as (select model_key, instrument, weight * case model_key when 'BUILDING' then 0.97 when 'FURNITURE' then 0.997 else 1 end::double * case when model_key = 'MACHINERY' and instrument in ('BRAZIL', 'CHINA') then 0.001 else 1 end::double as weight,
+  instrument in ('BRAZIL', 'CHINA') and model_key <> 'HOUSEHOLD' as cash from cur)"""
+
+
+def books(t: Tables) -> tuple[DataFrame, Column]:
+    cash = F.col("instrument").isin("BRAZIL", "CHINA")
+    part = F.when(F.col("model_key") == "BUILDING", 0.97).when(F.col("model_key") == "FURNITURE", 0.997).otherwise(1.0) * F.when((F.col("model_key") == "MACHINERY") & cash, 0.001).otherwise(1.0)
+    return current(t).withColumn("weight", F.col("weight") * part), cash & (F.col("model_key") != "HOUSEHOLD")
+
+
+@query("fin27_fund_new_holding", f"""with {BOOKS}, a as (select model_key, sum(weight) as s, sum(weight) filter (not cash) as nc, sum(weight) filter (cash) as c, count(*) filter (cash) as n from book group by 1),
+r as (select b.model_key, instrument, case when n = 0 or nc is null or 0.95::double - 0.95::double * nc < -1e-8 then weight * 0.95::double / s when cash then weight / c * (0.95::double - 0.95::double * nc) else weight * 0.95::double end as weight from book b join a using (model_key)),
+x as (select *, weight * 9500 / sum(weight) over (partition by model_key) as x from r), f as (select *, floor(round(x, 9))::bigint as f from x),
+g as (select *, 9500 - sum(f) over (partition by model_key) as short, row_number() over (partition by model_key order by round(x - f, 9) desc, instrument) as k from f)
+select model_key, instrument, (f + case when k <= short then 1 else 0 end) / 10000.0::double as weight, true as can_add from g union all select distinct model_key, 'NEW', 0.05::double, true from book""", "version_holdings")
+def _(t: Tables) -> DataFrame:
+    return h.fund_proportional(books(t)[0], 0.05, books(t)[1])
+
+
+@query("fin27_from_cash", f"""with {BOOKS}, u as (select *, round(weight * 10000)::bigint as u, min(instrument) filter (cash) over (partition by model_key) as giver, sum(round(weight * 10000)::bigint) over (partition by model_key) as total from book),
+m as (select *, max(u - 500) filter (instrument = giver) over (partition by model_key) as after, sum(u) filter (instrument is distinct from giver) over (partition by model_key) as others from u),
+r as (select model_key, instrument, case when giver is null then weight when instrument = giver then (case when after >= 0 and abs(total - 10000) <= 50 and others <= 9500 then 9500 - others else after end) / 10000.0::double else u / 10000.0::double end as weight, coalesce(after >= 0, false) as can_add from m)
+select * from r union all select distinct model_key, 'NEW', 0.05::double, can_add from r""", "version_holdings")
+def _(t: Tables) -> DataFrame:
+    return h.fund_from_cash(books(t)[0], 0.05, books(t)[1])
+
+
+@query("fin27_manual", f"with {BOOKS} select model_key, instrument, weight, true as can_add from book union all select distinct model_key, 'NEW', 0.05::double, true from book", "version_holdings")
 def _(t: Tables) -> DataFrame:
-    return h.fund_new(current(t), 0.05)
+    return h.fund_manual(books(t)[0], 0.05)
 
 
 @query("win18_tie_slices", """with recursive i as (select o_orderpriority as grp, n_name as item, count(*) as amount from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),

@@ -19,14 +19,16 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", x.canonical_ticker(raw).alias("ticker"))
 
 
-@query("str05_fold_words", r"select doc_id, trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
+@query("str05_fold_words", r"select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '\b(jr|sr|ii|iii|iv|hon|mr|mrs|ms|dr)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", x.fold(F.col("text")).alias("folded"))
 
 
-@query("str06_person_key", r"select c_custkey, concat_ws(':', lower(c_mktsegment), replace(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), lower(left(c_mktsegment, 3))) as key from customer")
+@query("str06_person_key", r"""with p as (select c_custkey, c_mktsegment as office, c_name as last, case when c_nationkey % 3 = 0 then '' else left(c_mktsegment, 3) || ' ' || c_mktsegment end as first from customer)
+select c_custkey, concat_ws(':', office, trim(regexp_replace(lower(last), '[^a-z0-9]+', ' ', 'g')), nullif(split_part(trim(regexp_replace(lower(first), '[^a-z0-9]+', ' ', 'g')), ' ', 1), '')) as key from p""")
 def _(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", x.person_key(F.col("c_mktsegment"), F.col("c_name"), F.left("c_mktsegment", F.lit(3))).alias("key"))
+    first = F.when(F.col("c_nationkey") % 3 == 0, "").otherwise(F.concat_ws(" ", F.left("c_mktsegment", F.lit(3)), "c_mktsegment"))
+    return t.customer.select("c_custkey", x.person_key(F.col("c_mktsegment"), F.col("c_name"), first).alias("key"))
 
 
 @query("str07_asset_stem", r"""select p_partkey, trim(regexp_replace(trim(regexp_replace(lower(replace(p_name || case when p_size % 2 = 0 then ' & Co., Inc.' else ' Ltd' end, '&', ' and ')), '[^a-z0-9]+', ' ', 'g')),
