@@ -124,13 +124,6 @@ def _(t: Tables) -> DataFrame:
     return extract.html_tables(t.nation.select(F.col("n_nationkey").alias("id"), page.alias("html")), "id", "html")
 
 
-@query("win22_text_lines", "select l_orderkey as doc, 1 as page, l_linenumber - 1 as line, string_agg(w, ' ' order by w) as text from (select l_orderkey, dense_rank() over (partition by l_orderkey order by l_linenumber) as l_linenumber, l_partkey::varchar as w from lineitem) group by 1, 3")
-def _(t: Tables) -> DataFrame:
-    li = t.lineitem.withColumn("nth", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
-    words = li.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), (F.col("nth") * 10.0).alias("y"), F.col("l_partkey").cast("string").alias("x"), F.col("l_partkey").cast("string").alias("text"))
-    return extract.text_lines(words)
-
-
 _STEM = "trim(regexp_replace(trim(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g')), '( (inc|incorporated|corp|corporation|co|company|ltd|limited|plc|llc|lp|sa|nv|ag|the))+$', ''))"
 
 
