@@ -1,24 +1,84 @@
-"""Entity resolution: asset names to tickers by exact stem, then by close spelling inside blocks."""
+"""Entity resolution: asset names to tickers in stages, each an equi-join on the stem of a name.
+
+The catalog and the lists beside it (curated funds, listings of share classes, aliases) are tables that the caller gives.
+What several stages read (the catalog's index, the forms of names, exact hits) is written once to the shared folder.
+Names are resolved by different text, so copies cost nothing; close spellings are found by pieces that they share.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import asset_stem, similarity
+from ..functions.assets import asset_name, described_class, is_preferred, never_matched
+from ..functions.labels import split_suffix
+from ..functions.text import canonical_ticker, similarity
+from ..sources.kept import kept
 
 LEAST, GAP = 0.94, 0.04
+# The shortest stem that is compared by spelling, and the shortest that it is compared with.
+SHORTEST, SHORTEST_LISTED = 12, 8
+# Last letters of tickers of shares that are not issued yet, and of those that are no class of common shares.
+WHEN_ISSUED, NOT_COMMON = "MNVWZ", "DEFHIJLQRSTUVWYZ"
+NO_LIST = "select cast(null as string) name, cast(null as string) ticker, cast(null as string) class, cast(null as string) share_class where false"
+
+
+def exchange_tier(exchange: Column) -> Column:
+    """1 for the large exchanges, 2 for others, 3 over the counter."""
+    e = F.lower(F.trim(F.coalesce(exchange, F.lit(""))))
+    return F.when(e == "otc", 3).when(e.contains("nasdaq") | e.contains("nyse") | e.isin("cboe", "txse"), 1).otherwise(2)
+
+
+def _without_tails(tickers: Column, letters: str, keep: Column | None = None) -> Column:
+    """Tickers but those that are another one and one of the letters."""
+    shorter = lambda t: F.left(t, F.length(t) - 1)
+    tail = lambda t: (F.length(t) > 1) & F.right(t, F.lit(1)).isin(*letters) & F.array_contains(tickers, shorter(t))
+    return F.filter(tickers, lambda t: ~tail(t) if keep is None else (F.array_contains(keep, t) | ~tail(t)))
+
 
+def _stemmed(rows: DataFrame, *more: str) -> DataFrame:
+    x = rows.select(asset_name(F.col("name")).alias("n"), canonical_ticker(F.col("ticker")).alias("ticker"), *more)
+    return x.select("n.*", "ticker", *more).where("ticker is not null and stem <> ''")
 
-def catalog_index(catalog: DataFrame) -> DataFrame:
-    """(stem, ticker): one ticker per stem; a stem whose best exchange tier has several tickers is left out.
 
-    catalog: (name, ticker, tier), a lower tier is preferred.
+def class_listings(listings: DataFrame) -> DataFrame:
+    """(stem, share_class, ticker) of (name, share_class, ticker): tickers whose class letter is not at their end."""
+    x = listings.select(asset_name(F.col("name"))["stem"].alias("stem"), F.lower("share_class").alias("share_class"), canonical_ticker(F.col("ticker")).alias("ticker"))
+    return x.where("ticker is not null and stem <> ''").groupBy("stem", "share_class").agg(F.max("ticker").alias("ticker"))
+
+
+def catalog_index(catalog: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stem, share_class, ticker, class), and (stem, known, classed, mapped) of a catalog (name, ticker, exchange).
+
+    Of a stem's tickers only those of its best tier of exchanges count. Of its tickers without a class letter, those that are
+    another one and a letter for when-issued or for no common shares go, unless a listing of classes names them; then it
+    has a ticker if just one is left. So has each class with just one, and, where there is no other, the stem through it.
     """
-    c = catalog.select(asset_stem(F.col("name")).alias("stem"), "ticker", "tier").where("stem <> ''")
-    best = F.min("tier").over(Window.partitionBy("stem"))
-    c = c.withColumn("best", best).where("tier = best").groupBy("stem").agg(F.countDistinct("ticker").alias("n"), F.min("ticker").alias("ticker"))
-    return c.where("n = 1").select("stem", "ticker")
+    rows = _stemmed(catalog.select("name", "ticker", exchange_tier(F.col("exchange")).alias("tier")), "tier").where("length(stem) > 1")
+    x = rows.withColumn("best", F.min("tier").over(Window.partitionBy("stem"))).where("tier = best")
+    letter = F.lower(F.regexp_extract("ticker", r"\.([A-Z])$", 1))
+    kind = F.when(F.col("etf"), 2).when(F.col("fund"), 1).otherwise(0)
+    x = x.groupBy("stem", letter.alias("share_class")).agg(F.collect_set("ticker").alias("tickers"), F.max(kind).alias("kind"))
+    mapped = listings.groupBy("stem").agg(F.collect_set("ticker").alias("protect"))
+    by_stem = x.groupBy("stem").agg(
+        F.max("kind").alias("kind"), F.flatten(F.collect_list("tickers")).alias("known"), F.flatten(F.collect_list(F.when(F.col("share_class") == "", F.col("tickers")))).alias("plain"),
+        F.collect_list(F.when(F.col("share_class") != "", F.struct("share_class", "tickers"))).alias("classes"),
+    ).join(mapped, "stem", "left")
+    protect = F.coalesce("protect", F.array().cast("array<string>"))
+    one = F.filter("classes", lambda c: F.size(c["tickers"]) == 1)
+    by_stem = by_stem.withColumn("plain", _without_tails(F.col("plain"), WHEN_ISSUED)).withColumn("plain", _without_tails(F.col("plain"), NOT_COMMON, protect))
+    by_stem = by_stem.withColumns({"one": one, "mapped": F.arrays_overlap("known", protect), "class": F.element_at(F.array(F.lit("stock"), F.lit("fund"), F.lit("etf")), F.col("kind") + 1)})
+    by_stem = kept(by_stem, "catalog")
+    whole = F.when(F.size("plain") == 1, F.get("plain", F.lit(0))).when((F.size("plain") == 0) & (F.size("classes") == 1) & (F.size("one") == 1), F.get("one", F.lit(0))["tickers"][0])
+    entries = F.concat(F.transform("one", lambda c: F.struct(c["share_class"].alias("share_class"), c["tickers"][0].alias("ticker"))), F.array(F.struct(F.lit("").alias("share_class"), whole.alias("ticker"))))
+    index = by_stem.select("stem", "class", F.explode(entries).alias("e")).select("stem", "e.share_class", "e.ticker", "class").where("ticker is not null")
+    return index, by_stem.select("stem", "known", (F.size("one") > 0).alias("classed"), F.coalesce("mapped", F.lit(False)).alias("mapped"))
+
+
+def unambiguous(rows: DataFrame, *more: str) -> DataFrame:
+    """(stem, ticker, more) of named rows: a stem with two tickers has a null one."""
+    x = _stemmed(rows.select("name", "ticker", *more), *more).groupBy("stem")
+    return x.agg(F.when(F.countDistinct("ticker") == 1, F.min("ticker")).alias("ticker"), *(F.min(m).alias(m) for m in more))
 
 
 def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFrame:
@@ -41,23 +101,100 @@ def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFram
     return left.join(right, ["head", "m", "i", "piece"]).select("stem", "head", "other", "ticker").distinct()
 
 
-def match_names(names: DataFrame, catalog: DataFrame, least: float = LEAST, gap: float = GAP) -> DataFrame:
-    """(id, ticker, stage, confidence) of every name: exact, else fuzzy, else null.
+def close_names(stems: DataFrame, listed: DataFrame, least: float = LEAST, gap: float = GAP) -> DataFrame:
+    """(stem, share_class, ticker, class, score): for each (stem, share_class) the listed (stem, share_class, ticker, class) of that class that is
+    spelled most like it, if it reaches least and no other ticker comes within gap. First letters agree, and first words of four letters or more.
+    """
+    head = F.concat_ws("|", "share_class", F.left("stem", F.lit(1))).alias("head")
+    others = listed.where(F.length("stem") >= SHORTEST_LISTED).select(F.col("stem").alias("other"), head, F.struct("ticker", "class").alias("ticker"))
+    cand = shared_pieces(stems.where(F.length("stem") >= SHORTEST).select("stem", head), others, least)
+    first = F.substring_index("stem", " ", 1)
+    cand = cand.where((F.length(first) < 4) | (F.substring_index("other", " ", 1) == first)).withColumn("score", similarity(F.col("stem"), F.col("other"))).where(F.col("score") >= least)
+    best = cand.groupBy("stem", "head", "ticker.ticker").agg(F.max(F.struct("score", "ticker.class")).alias("s"))
+    w = Window.partitionBy("stem", "head").orderBy(F.desc("s.score"), "ticker")
+    best = best.withColumns({"k": F.row_number().over(w), "runner": F.lead("s.score").over(w)}).where("k = 1")
+    best = best.where(F.col("runner").isNull() | (F.round(F.col("s.score") - F.col("runner"), 9) > gap))
+    return best.select("stem", F.substring_index("head", "|", 1).alias("share_class"), "ticker", "s.class", "s.score")
+
+
+def forms_of(asset: Column) -> Column:
+    """(nth, form, name): the name as written, and others that it may stand for: its suffix set apart, without a mark for
+    foreign shares, without a mark for a real estate trust.
+    """
+    text = F.coalesce(asset, F.lit(""))
+    other = (("repaired", split_suffix(text)), ("foreign", F.regexp_replace(text, r"(?i)\s+F$", "")), ("reit", F.regexp_replace(F.regexp_replace(text, r"(?i)(?:\s+REIT)+$", ""), r"(?i)\s+RE\s+IT$", "")))
+    form = lambda n, name, c: F.struct(F.lit(n).alias("nth"), F.lit(name).alias("form"), c.alias("name"))
+    made = F.array(form(0, "written", text), *(F.when(c != text, form(n, name, c)) for n, (name, c) in enumerate(other, 1)))
+    return F.filter(made, lambda f: f.isNotNull())
+
+
+def match_names(
+    names: DataFrame, catalog: DataFrame, curated: DataFrame | None = None, listings: DataFrame | None = None, aliases: DataFrame | None = None, least: float = LEAST, gap: float = GAP
+) -> DataFrame:
+    """(id, ticker, class, stage, form, confidence) of names (id, name), by the first stage that decides:
+
+    blocked (debt, option, crypto, private, preferred: never a ticker); as written: curated, exact by stem and class, then
+    fuzzy; another form, curated or exact; an alias. A preferred or numbered series of a name with an alias is "preferred",
+    without a ticker, even where a stage before found one. Else the stage is none.
 
-    Fuzzy matches are looked for among stems with the same first token and a like length; the best must reach
-    `least` and lead the runner-up by `gap`. Names are matched by different stem, so copies cost nothing. Stems that are
-    alike share a piece (see shared_pieces), so a first token that many names have is no block of all pairs.
+    catalog: (name, ticker, exchange); curated: (name, ticker, class); listings: (name, share_class, ticker); aliases: (name, ticker).
     """
-    index = catalog_index(catalog)
-    n = names.select("id", asset_stem(F.col("name")).alias("stem"))
-    stems = n.select("stem").distinct().join(index, "stem", "left")
-    exact = stems.where("ticker is not null").select("stem", "ticker", F.lit("exact").alias("stage"), F.lit(100).cast("long").alias("confidence"))
-    rest = stems.where("ticker is null and stem <> ''").select("stem", F.split("stem", " ")[0].alias("head"))
-    others = index.select(F.col("stem").alias("other"), "ticker", F.split("stem", " ")[0].alias("head"))
-    cand = shared_pieces(rest, others, least)
-    cand = cand.withColumn("s", similarity(F.col("stem"), F.col("other"))).where(F.col("s") >= least)
-    w = Window.partitionBy("stem").orderBy(F.desc("s"), "ticker")
-    cand = cand.withColumns({"k": F.row_number().over(w), "runner": F.lead("s").over(w)}).where("k = 1")
-    close = cand.where(F.col("runner").isNull() | (F.col("s") - F.col("runner") >= gap))
-    fuzzy = close.select("stem", "ticker", F.lit("fuzzy").alias("stage"), F.round(F.col("s") * 100).cast("long").alias("confidence"))
-    return n.join(exact.unionByName(fuzzy), "stem", "left").select("id", "ticker", "stage", "confidence")
+    spark = names.sparkSession
+    none = spark.sql(NO_LIST)
+    classes = class_listings(listings if listings is not None else none)
+    index, stems = catalog_index(catalog, classes)
+    funds = unambiguous(curated if curated is not None else none, "class")
+    alias = unambiguous(aliases if aliases is not None else none)
+    real = catalog.select(canonical_ticker(F.col("ticker")).alias("ticker")).where("ticker is not null").distinct()
+
+    texts = names.select(F.coalesce("name", F.lit("")).alias("asset")).distinct()
+    forms = texts.select("asset", F.explode(forms_of(F.col("asset"))).alias("f")).select("asset", "f.nth", "f.form", "f.name")
+    forms = forms.withColumns({"n": asset_name(F.col("name")), "blocked": never_matched(F.col("name"))}).select("asset", "nth", "form", "n.*", "blocked", described_class(F.col("name")).alias("described"))
+    forms = kept(forms, "forms")
+
+    # Exact stages: one equi-join for each table.
+    keyed = index.where("share_class <> ''").select("stem", "share_class", F.struct("ticker", "class").alias("keyed"))
+    whole = index.where("share_class = ''").select("stem", F.struct("ticker", "class").alias("whole"))
+    by_map = classes.join(stems.select("stem", "known"), "stem").where(F.array_contains("known", F.col("ticker"))).select("stem", "share_class", F.struct("ticker", F.lit("stock").alias("class")).alias("by_map"))
+    x = forms.where("blocked is null").join(funds.where("ticker is not null").select("stem", F.struct("ticker", F.col("class").alias("class")).alias("fund_hit")), "stem", "left")
+    x = x.join(keyed, ["stem", "share_class"], "left").join(by_map, ["stem", "share_class"], "left").join(whole, "stem", "left").join(stems.select("stem", "classed", "mapped"), "stem", "left")
+    single = F.when((F.col("share_class") == "") | ~(F.coalesce("classed", F.lit(False)) | F.coalesce("mapped", F.lit(False))), F.col("whole"))
+    exact = F.coalesce(F.col("keyed"), F.col("by_map"), single)
+    own = lambda found: F.when(F.col("etf"), "etf").when(F.col("fund"), "fund").otherwise(found)
+    x = x.withColumn("e", exact).where("fund_hit is not null or e is not null")
+    fund_class = F.coalesce("fund_hit.class", F.when(F.col("etf"), "etf").otherwise("fund"))
+    hit = F.when(F.col("fund_hit").isNotNull(), F.struct(F.col("fund_hit.ticker").alias("ticker"), fund_class.alias("class"), F.lit("curated").alias("stage"), "form", F.lit(100).alias("confidence")))
+    hit = hit.otherwise(F.struct(F.col("e.ticker").alias("ticker"), own(F.col("e.class")).alias("class"), F.lit("exact").alias("stage"), "form", F.lit(100).alias("confidence")))
+    found = kept(x.groupBy("asset").agg(F.min_by(hit, "nth").alias("hit"), F.min("nth").alias("nth")), "found")
+
+    # As written: what is blocked, the alias that its stem begins with, and what is spelled like it where no exact one was found.
+    unfound = forms.where("nth = 0 and blocked is null").join(found.where("nth = 0").select("asset"), "asset", "left_anti")
+    listed = index.unionByName(funds.where("ticker is not null").select("stem", F.lit("").alias("share_class"), "ticker", "class").join(whole.select("stem"), "stem", "left_anti").select("stem", "share_class", "ticker", "class"))
+    close = close_names(unfound.select("stem", "share_class").distinct(), listed, least, gap).select("stem", "share_class", F.struct("ticker", "class", "score").alias("close"))
+    words = F.split("stem", " ")
+    prefixes = forms.where("nth = 0 and stem <> ''").select(F.col("stem").alias("of"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("stem")).distinct()
+    keys = prefixes.join(alias.withColumnRenamed("ticker", "alias"), "stem").where(F.col("alias").isNotNull() | (F.col("stem") == F.col("of")))
+    keys = keys.groupBy(F.col("of").alias("stem")).agg(F.max_by(F.struct(F.col("stem").alias("key"), F.col("alias").alias("ticker")), F.length("stem")).alias("key"))
+    keys = keys.join(real.select(F.col("ticker").alias("_t"), F.lit(True).alias("is_real")), F.col("key.ticker") == F.col("_t"), "left").drop("_t")
+
+    y = forms.where("nth = 0").drop("nth", "form").join(found, "asset", "left").join(close, ["stem", "share_class"], "left").join(keys, "stem", "left")
+    series = is_preferred(F.col("asset")) | F.col("asset").rlike(r"(?i)\bseries\b")
+    result = lambda ticker, kind, stage, form, conf: F.struct(ticker.cast("string").alias("ticker"), kind.alias("class"), stage.alias("stage"), form.cast("string").alias("form"), conf.cast("int").alias("confidence"))
+    null, lit = F.lit(None), F.lit
+    fuzzy = F.when(F.col("close").isNotNull(), result(F.col("close.ticker"), own(F.col("close.class")), lit("fuzzy"), lit("written"), F.round(F.col("close.score") * 100)))
+    ready = F.when(F.col("hit").isNotNull(), result(F.col("hit.ticker"), F.col("hit.class"), F.col("hit.stage"), F.col("hit.form"), F.col("hit.confidence")))
+    ranked = F.coalesce(F.when(F.col("nth") == 0, ready), fuzzy, ready)
+    blocked_class = named_class(F.col("blocked"))
+    preferred = result(null, lit("other"), lit("preferred"), null, null)
+    usable = F.col("key.ticker").isNotNull() & F.coalesce("is_real", lit(False))
+    by_alias = F.when(usable & series, preferred).when(usable & (F.col("key.key") == F.col("stem")), result(F.col("key.ticker"), lit("stock"), lit("alias"), lit("written"), lit(100)))
+    final = (
+        F.when(F.col("blocked").isNotNull(), result(null, blocked_class, F.col("blocked"), null, null)).when(ranked.isNotNull() & series & F.col("key").isNotNull(), preferred)
+        .otherwise(F.coalesce(ranked, by_alias, result(null, F.col("described"), lit("none"), null, null)))
+    )
+    return names.select("id", F.coalesce("name", F.lit("")).alias("asset")).join(y.select("asset", final.alias("r")), "asset").select("id", "r.*")
+
+
+def named_class(reason: Column) -> Column:
+    """The class of what is never matched."""
+    return F.when(reason == "debt", "bond").when(reason.isin("option", "crypto"), reason).otherwise("other")

@@ -343,10 +343,12 @@ def _(t: Tables) -> DataFrame:
     return current(t).join(instruments(t), "instrument").groupBy("region").agg(F.round(mean, 8).alias("mer"), F.round(known, 8).alias("known"))
 
 
-@query("fin31_catalog", f"with c as (select {_STEM} as stem, ticker, tier from (select p_type || ' ' || p_brand || case when p_size % 2 = 0 then ' Inc.' else ' Corp' end as n, 'T' || p_size as ticker, p_size % 4 as tier from part)), b as (select *, min(tier) over (partition by stem) as best from c) select stem, min(ticker) as ticker from b where tier = best and stem <> '' group by 1 having count(distinct ticker) = 1")
+@query("fin31_catalog", f"with c as (select {_STEM} as stem, ticker, tier from (select p_type || ' ' || p_brand || case when p_size % 2 = 0 then ' Inc.' else ' Corp' end as n, 'T' || p_size as ticker, p_size % 3 as tier from part)), b as (select *, min(tier) over (partition by stem) as best from c) select stem, min(ticker) as ticker from b where tier = best and stem <> '' group by 1 having count(distinct ticker) = 1")
 def _(t: Tables) -> DataFrame:
     name = F.concat("p_type", F.lit(" "), "p_brand", F.when(F.col("p_size") % 2 == 0, " Inc.").otherwise(" Corp"))
-    return names.catalog_index(t.part.select(name.alias("name"), F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("ticker"), (F.col("p_size") % 4).alias("tier")))
+    exchange = F.element_at(F.array(*map(F.lit, ("NYSE", "Toronto", "OTC"))), F.col("p_size") % 3 + 1)
+    rows = t.part.select(name.alias("name"), F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("ticker"), exchange.alias("exchange"))
+    return names.catalog_index(rows, names.class_listings(rows.selectExpr("name", "'' as share_class", "ticker").where("false")))[0].select("stem", "ticker")
 
 
 @query("rec22_amount_bounds", "select * from (values " + ", ".join(f"('{label}', {low}::bigint, {'null' if high is None else high}::bigint)" for label, low, high in AMOUNT_RANGES) + ") as v(amount_range, low, high)")

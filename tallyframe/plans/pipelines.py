@@ -138,9 +138,10 @@ select nm.id, coalesce(ex.ticker, fz.ticker) as ticker, case when ex.id is not n
 from nm left join ex using (id) left join fz using (id)""")
 def _(t: Tables) -> DataFrame:
     s = t.supplier
-    cat = s.where("s_suppkey % 3 <> 0").select(F.concat("s_name", F.lit(" Holdings Inc.")).alias("name"), F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lit(0).alias("tier"))
+    cat = s.where("s_suppkey % 3 <> 0").select(F.concat("s_name", F.lit(" Holdings Inc.")).alias("name"), F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lit("NYSE").alias("exchange"))
     nm = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(" Holdings"))).otherwise(F.concat("s_name", F.lit(" Holdingz Corp"))).alias("name"))
-    return names.match_names(nm, cat)
+    found = names.match_names(nm, cat)
+    return found.select("id", "ticker", F.nullif("stage", F.lit("none")).alias("stage"), F.col("confidence").cast("long").alias("confidence"))
 
 
 def _stored(t: Tables) -> DataFrame:

@@ -159,10 +159,10 @@ def test_tickers_dates_and_classes(spark):
 
 
 def test_close_spellings_need_a_clear_lead(spark):
-    cat = spark.createDataFrame([("Alpha Industries Inc", "AAA", 1), ("Alpha Industriez Inc", "AAB", 1), ("Omega Semiconductor Corp", "OMG", 1)], "name string, ticker string, tier int")
+    cat = spark.createDataFrame([("Alpha Industries Inc", "AAA", "NYSE"), ("Alpha Industriez Inc", "AAB", "NYSE"), ("Omega Semiconductor Corp", "OMG", "Nasdaq")], "name string, ticker string, exchange string")
     nm = spark.createDataFrame([(1, "Alpha Industriee"), (2, "Omega Semiconducter"), (3, "Omega Semiconductor"), (4, "Zeta")], "id int, name string")
     got = {r.id: (r.ticker, r.stage) for r in names.match_names(nm, cat).collect()}
-    assert got == {1: (None, None), 2: ("OMG", "fuzzy"), 3: ("OMG", "exact"), 4: (None, None)}
+    assert got == {1: (None, "none"), 2: ("OMG", "fuzzy"), 3: ("OMG", "exact"), 4: (None, "none")}
 
 
 def test_unread_amount_lines_make_a_filing_unreliable(spark):
