@@ -129,7 +129,16 @@ def _starts(token: str):
     return lambda w: w.startswith(token)
 
 
-def unique_match(left: DataFrame, right: DataFrame, keys: list[str], value: str, left_id: str) -> DataFrame:
-    """left with the value of right where the keys have exactly one partner, else null."""
+def unique_match(left: DataFrame, right: DataFrame, keys: list[str], value: str, narrow: str | None = None) -> DataFrame:
+    """left with the value of right where the keys have exactly one partner, else null.
+
+    With narrow, a column of both, several partners of the keys are narrowed to those that have left's value of it; one has to be left.
+    """
     one = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(value).alias("_v"))
-    return left.join(one, keys, "left").withColumn(value, F.when(F.col("_n") == 1, F.col("_v"))).drop("_n", "_v")
+    out = left.join(one, keys, "left")
+    found = F.when(F.col("_n") == 1, F.col("_v"))
+    if narrow:
+        among = right.groupBy(*keys, narrow).agg(F.count("*").alias("_m"), F.first(value).alias("_w"))
+        out = out.join(among, [*keys, narrow], "left")
+        found = found.when((F.col("_n") > 1) & (F.col("_m") == 1), F.col("_w"))
+    return out.withColumn(value, found).select(*left.columns, value)

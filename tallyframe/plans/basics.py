@@ -138,9 +138,9 @@ def _(t: Tables) -> DataFrame:
     return t.customer.join(g, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "newest").orderBy(F.asc_nulls_first("newest"), "c_custkey").limit(8)
 
 
-@query("agg25_range_totals", "select person_key, count(*) as n, sum(low)::bigint as low, case when count(*) filter (low is not null and high is null) = 0 then sum(high)::bigint end as high, bool_or(low is not null and high is null) as open_ended from bounded where tx_type = 'exchange' group by 1", "bounded")
+@query("agg25_range_totals", "select person_key, count(*) as n, sum(low)::bigint as low, case when count(*) filter (low is not null and high is null) = 0 then sum(high)::bigint end as high, bool_or(low is not null and high is null) as open_ended from bounded group by 1", "bounded")
 def _(t: Tables) -> DataFrame:
-    x = disclosures.with_bounds(t.trades.where("tx_type = 'exchange'"))
+    x = disclosures.with_bounds(t.trades)
     open_row = F.col("low").isNotNull() & F.col("high").isNull()
     return x.groupBy("person_key").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.when(F.count_if(open_row) == 0, F.sum("high")).alias("high"), F.bool_or(open_row).alias("open_ended"))
 

@@ -179,12 +179,15 @@ def _(t: Tables) -> DataFrame:
     return t.supplier.where(d.word_prefix_match(words, "supp 0000")).select("s_suppkey", "s_name")
 
 
-@query("joi17_unique_match", """with r as (select c_nationkey, c_mktsegment, count(*) as n, any_value(c_name) as v from customer where c_acctbal > 9000 group by 1, 2)
-select s_suppkey, seg, case when n = 1 then v end as c_name from (select s_suppkey, s_nationkey, 'BUILDING' as seg from supplier) s left join r on s_nationkey = c_nationkey and seg = c_mktsegment""")
-def _(t: Tables) -> DataFrame:
-    left = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
-    out = d.unique_match(left, t.customer.where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment", "c_name"), ["c_nationkey", "c_mktsegment"], "c_name", "s_suppkey")
-    return out.select("s_suppkey", F.col("c_mktsegment").alias("seg"), "c_name")
+@query("joi17_unique_match", """with r as (select c_nationkey as state, c_custkey % 7 as district, c_mktsegment as last, c_custkey % 5 as first, c_name from customer),
+l as (select s_suppkey, s_nationkey as state, s_suppkey % 7 as district, 'BUILDING' as last, s_suppkey % 5 as first from supplier),
+a as (select state, district, last, count(*) as n, any_value(c_name) as v from r group by all), b as (select state, district, last, first, count(*) as n, any_value(c_name) as v from r group by all)
+select s_suppkey, case when a.n = 1 then a.v when a.n > 1 and b.n = 1 then b.v end as c_name from l left join a using (state, district, last) left join b using (state, district, last, first)""")
+def _(t: Tables) -> DataFrame:
+    """By state, district and last name; several of one name by their first names."""
+    right = t.customer.select(F.col("c_nationkey").alias("state"), (F.col("c_custkey") % 7).alias("district"), F.col("c_mktsegment").alias("last"), (F.col("c_custkey") % 5).alias("first"), "c_name")
+    left = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("state"), (F.col("s_suppkey") % 7).alias("district"), F.lit("BUILDING").alias("last"), (F.col("s_suppkey") % 5).alias("first"))
+    return d.unique_match(left, right, ["state", "district", "last"], "c_name", "first").select("s_suppkey", "c_name")
 
 
 @query("rec03_current_filing", """with k as (select *, row_number() over (partition by person_key order by filed_date desc, filing_id desc) as j, row_number() over (partition by person_key, year(filed_date), parse_status <> 'needs_manual_review' order by filed_date desc, filing_id desc) as jy from filings),

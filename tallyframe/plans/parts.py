@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import books, disclosures, extract, names, risk, series, writes
+from ..operators import books, disclosures, extract, names, risk, series, sheets, writes
 from ..operators import holdings as h
 from ..sources import files
 from ..sources.kept import shared_folder
@@ -28,13 +28,13 @@ def _(t: Tables) -> DataFrame:
     return files.store_json(t.spark, path, "instruments array<struct<id:bigint,name:string>>").select(F.inline("instruments"))
 
 
-@query("src08_price_csv", "select distinct date, close from daily_points where symbol = (select min(symbol) from daily_points) and close > 0", "daily_points")
+@query("src08_price_csv", "select symbol, date, close from daily_points where close > 0", "daily_points")
 def _(t: Tables) -> DataFrame:
-    d = t.daily_points
-    one = d.join(d.agg(F.min("symbol").alias("symbol")), "symbol", "left_semi")
+    """All symbols, a folder of files each."""
     path = shared_folder(t.spark, "prices")
-    one.select(F.col("date").alias("Date"), F.lit(1).alias("Open"), F.lit(1).alias("High"), F.lit(1).alias("Low"), F.col("close").alias("Close"), F.lit("x").alias("Volume")).write.option("header", True).csv(path)
-    return files.price_csv(t.spark, path)
+    sheet = t.daily_points.select("symbol", F.col("date").alias("Date"), F.lit(1).alias("Open"), F.lit(1).alias("High"), F.lit(1).alias("Low"), F.col("close").alias("Close"), F.lit("x").alias("Volume"))
+    sheet.write.partitionBy("symbol").option("header", True).csv(path)
+    return files.price_csv(t.spark, path, ("symbol",))
 
 
 @query("src14_member_index", "select s_suppkey::varchar as doc_id, s_name as last, 'Ann' as first, case when s_suppkey % 2 = 0 then 'P' else 'O' end as kind, case when s_suppkey % 3 <> 0 then date '2024-03-01' + cast(s_suppkey % 28 as int) end as filed_date from supplier")
@@ -369,16 +369,50 @@ def _(t: Tables) -> DataFrame:
     return current(t).select("instrument").distinct()
 
 
-@query("src09_pasted_prices", "select c_custkey as id, date '2020-01-01' + cast(c_custkey % 300 as int) as date, 10.25::double + c_custkey % 7 as close from customer")
+@query("src09_pasted_prices", "select c_custkey as id, date '2020-01-01' + cast(c_custkey % 300 as int) as date, 10.25::double + c_custkey % 7 + case when c_custkey % 3 = 0 then 5 else 0 end as close from customer")
 def _(t: Tables) -> DataFrame:
     """Comma separated, with a line that holds no date and one without a price."""
     d = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "yyyy-MM-dd")
     close = (F.lit(10.25) + F.col("c_custkey") % 7).cast("string")
-    row = F.concat(d, F.lit(";1;2;3;"), close, F.lit(";99"))
-    rows = t.customer.select(F.col("c_custkey").alias("id"), F.concat_ws("\n", F.lit("Date;Open;High;Low;Close;Volume"), row, F.lit("dividend;0.1"), F.concat(d, F.lit(";-"))).alias("text"))
+    adjusted = (F.lit(15.25) + F.col("c_custkey") % 7).cast("string")
+    third = F.col("c_custkey") % 3 == 0
+    row = F.concat(d, F.lit(";1;2;3;"), close, F.when(third, F.concat(F.lit(";"), adjusted)).otherwise(""), F.lit(";99"))
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.concat_ws("\n", F.when(third, "Date;Open;High;Low;Close;Adj Close;Volume").otherwise("Date;Open;High;Low;Close;Volume"), row, F.lit("dividend;0.1"), F.concat(d, F.lit(";-"))).alias("text"))
     return extract.price_history(rows)[0]
 
 
+def price_sheets(t: Tables) -> DataFrame:
+    """A sheet a customer: with a header and an adjusted close, comma separated with quoted volumes, without a header (six and two numbers)."""
+    k = F.col("c_custkey")
+    day = lambda n, form: F.date_format(F.date_add(F.lit("2021-01-04").cast("date"), (k % 200 + n).cast("int")), form)
+    price = lambda x: F.format_number(k % 90 + F.lit(1000.5 + x), 2)
+    bare = lambda x: F.replace(price(x), F.lit(","), F.lit(""))
+    tab = F.concat_ws("\n", F.lit("Historical prices\nDate  Open  High  Low  Close  Adj Close  Volume"), F.concat_ws("   ", day(0, "MMM d, yyyy"), F.lit("1"), F.lit("2"), F.lit("3"), price(0), price(-1), F.lit("1,000")), F.concat_ws("  ", day(1, "MMM d, yyyy"), F.lit("0.24 Dividend")), F.concat_ws("  ", day(2, "MMM d, yyyy"), F.lit("4:1 Stock Splits")), F.concat_ws("  ", day(3, "MMM d, yyyy"), F.lit("1"), F.lit("2")))
+    csv = F.concat_ws("\n", F.lit("Date,Close,Volume"), F.concat(day(0, "yyyy-MM-dd"), F.lit(","), bare(0), F.lit(',"900,000"')), F.concat(day(0, "yyyy-MM-dd"), F.lit(","), bare(5), F.lit(',"1"')), F.concat(day(1, "yyyy-MM-dd"), F.lit(",,5")), F.lit("2021-02-30,7,8"))
+    six = F.concat_ws("\n", F.concat_ws(" ", day(0, "M/d/yyyy"), F.lit("1 2 3"), price(0), price(1), F.lit("77")), F.concat_ws(" ", day(1, "M/d/yyyy"), F.lit("1 2 3 9.5 9.5 77")), F.concat_ws(" ", day(2, "M/d/yyyy"), F.lit("1 2 3")))
+    two = F.concat_ws("\n", F.concat_ws(" ", day(0, "M/d/yyyy"), price(0), price(2)), F.concat_ws(" ", day(1, "M/d/yyyy"), F.lit("closed")))
+    return t.customer.select(k.alias("id"), F.when(k % 4 == 0, tab).when(k % 4 == 1, csv).when(k % 4 == 2, six).otherwise(two).alias("text"))
+
+
+_SHEET = "s as (select c_custkey as id, c_custkey % 4 as k, date '2021-01-04' + cast(c_custkey % 200 as int) as d, c_custkey % 90 + 1000.5::double as p from customer)"
+
+
+@query("src10_sheet_points", f"""with {_SHEET} select id, d as date, p as close, p - 1 as adj, false as sudden from s where k = 0 union all select id, d, p + 5, null, false from s where k = 1
+union all select id, d, p, p + 1, false from s where k = 2 union all select id, d + 1, 9.5, 9.5, true from s where k = 2 union all select id, d, p, p + 2, false from s where k = 3""")
+def _(t: Tables) -> DataFrame:
+    return sheets.price_sheet(price_sheets(t))[0]
+
+
+@query("src10_sheet_events", f"with {_SHEET} select id, d + 1 as date, 'dividend' as kind, 0.24::double as amount from s where k = 0 union all select id, d + 2, 'split', null from s where k = 0")
+def _(t: Tables) -> DataFrame:
+    return sheets.price_sheet(price_sheets(t))[1].drop("raw")
+
+
+@query("src10_sheet_counts", f"""with {_SHEET} select id, case k when 2 then 2 else 1 end::bigint as points, (k = 0)::bigint as dividends, (k = 0)::bigint as splits, 1::bigint as incomplete, (k = 1)::bigint as duplicates, (k = 1)::bigint as invalid, (k = 1)::bigint as "unlike" from s""")
+def _(t: Tables) -> DataFrame:
+    return sheets.price_sheet(price_sheets(t))[2]
+
+
 @query("src10_history_counters", "select c_custkey as id, 1::bigint as rows, 3::bigint as skipped from customer")
 def _(t: Tables) -> DataFrame:
     rows = t.customer.select(F.col("c_custkey").alias("id"), F.lit("Date\tClose\n2024-01-02\t5.5\nsplit 2:1\n2024-01-03\t-1\n").alias("text"))

@@ -197,11 +197,11 @@ def _(t: Tables) -> DataFrame:
     return x.select("c_custkey", F.when(F.col("d").isNull(), 0).when(F.col("d") < "1998-06-01", 1).otherwise(2).alias("freshness"))
 
 
-@query("srt12_digest_order", """with x as (select filing_id || ':' || row_index as id, ticker, disclosed_date, coalesce(ticker in (select p_brand || '-' || p_type from part where p_size = 25), false) as held from trades where disclosed_date >= date '1998-06-01'),
+@query("srt12_digest_order", """with x as (select filing_id || ':' || row_index as id, ticker, disclosed_date, coalesce(ticker in (select p_brand || '-' || p_type from part where p_size = 25), false) as held from trades),
 k as (select *, row_number() over (order by held desc, disclosed_date desc nulls last, id) as place from x) select place, id, ticker, held, (select greatest(0, count(*) - 30) from x) as overflow from k where place <= 30""", "trades")
 def _(t: Tables) -> DataFrame:
     held = t.part.where("p_size = 25").select(F.concat_ws("-", "p_brand", "p_type").alias("ticker")).distinct()
-    x = t.trades.where("disclosed_date >= '1998-06-01'").select(F.concat_ws(":", "filing_id", "row_index").alias("id"), "ticker", "disclosed_date")
+    x = t.trades.select(F.concat_ws(":", "filing_id", "row_index").alias("id"), "ticker", "disclosed_date")
     return books.digest(x, held)
 
 
@@ -285,12 +285,11 @@ def _(t: Tables) -> DataFrame:
     return d.select("symbol", *[F.date_sub("d", n).alias(c) for c, n in (("y1", 365), ("y2", 730), ("y5", 1825))])
 
 
-@query("dat13_today_in_zone", "select event_id, cast(ts - interval 5 hour as date) as new_york from events where ts < timestamp '2024-03-01'")
+@query("dat13_today_in_zone", "select event_id, cast((k.at at time zone 'UTC') at time zone 'America/New_York' as date) as new_york from (select event_id, ts + to_days(cast(event_id % 366 as int)) as at from events) k")
 def _(t: Tables) -> DataFrame:
-    """Stamps are UTC; before March, New York is five hours behind."""
-    x = t.events.where(F.col("ts") < at("2024-03-01"))
-    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts").cast("timestamp_ntz"))
-    return x.select("event_id", F.to_date(local).alias("new_york"))
+    """Stamps are UTC, over the whole year: New York is five hours behind, in summer four."""
+    moved = F.col("ts").cast("timestamp_ntz") + F.make_interval(days=(F.col("event_id") % 366).cast("int"))
+    return t.events.select("event_id", F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), moved)).alias("new_york"))
 
 
 @query("mth06_rounding", "select o_orderkey, round(o_totalprice::varchar::decimal(38,12), 1)::double as one, round(o_totalprice::varchar::decimal(38,12), 0)::double as whole from orders")

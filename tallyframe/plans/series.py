@@ -14,15 +14,16 @@ MONTHS = "me as (select symbol, cast(date_trunc('month', date) as date) as month
 GRID = f"""{MONTHS}, g as (select symbol, month from (select distinct symbol from me), (select cast(unnest(generate_series(min(month), max(month), interval 1 month)) as date) as month from me)),
 lv as (select symbol, month, last_value(level ignore nulls) over (partition by symbol order by month rows unbounded preceding) as level from g left join me using (symbol, month)),
 rt as (select symbol, month, level, level / nullif(lag(level) over (partition by symbol order by month), 0) - 1 as r from lv)"""
-BOOK = "bk as (select symbol, (9 - i) / 36.0::double as weight from (select distinct symbol, dense_rank() over (order by symbol) as i from price_points) where i <= 8), bm as (select symbol, case i when 9 then 0.6::double else 0.4::double end as weight from (select distinct symbol, dense_rank() over (order by symbol) as i from price_points) where i in (9, 10))"
+BOOK = """sy as (select symbol, row_number() over (order by symbol) as i, count(*) over () as n from (select distinct symbol from price_points)),
+bk as (select symbol, (n + 1 - i) / (n * (n + 1) / 2.0::double) as weight from sy), bm as (select symbol, i / (n * (n + 1) / 2.0::double) as weight from sy)"""
 
 
 def book(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Fixed weights: the first eight symbols by name, 8/36 down to 1/36; the benchmark: the next two, 0.6 and 0.4."""
-    s = grid_returns(t).select("symbol").distinct().withColumn("i", F.row_number().over(Window.orderBy("symbol")))
-    weights = s.where("i <= 8").select("symbol", ((9 - F.col("i")) / F.lit(36.0)).alias("weight"))
-    bench = s.where("i in (9, 10)").select("symbol", F.when(F.col("i") == 9, 0.6).otherwise(0.4).alias("weight"))
-    return weights, bench
+    """Fixed weights of all n symbols by name, in proportion to n down to 1; the benchmark's from 1 up to n."""
+    s = grid_returns(t).select("symbol").distinct()
+    s = s.withColumns({"i": F.row_number().over(Window.orderBy("symbol")), "n": F.count("*").over(Window.partitionBy())})  # a row for each symbol
+    whole = F.col("n") * (F.col("n") + 1) / F.lit(2.0)
+    return s.select("symbol", ((F.col("n") + 1 - F.col("i")) / whole).alias("weight")), s.select("symbol", (F.col("i") / whole).alias("weight"))
 
 
 def month_levels(t: Tables) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(date, close) of a daily price file: a header with Date and, fifth, Close."""
+def price_csv(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, date, close) of daily price files: a header with Date and, fifth, Close; by: columns that the folders' names hold."""
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(F.try_to_date(raw.columns[0], "yyyy-MM-dd").alias("date"), F.col(raw.columns[4]).try_cast("double").alias("close")).where("date is not null and close > 0")
+    return raw.select(*by, F.try_to_date(raw.columns[0], "yyyy-MM-dd").alias("date"), F.col(raw.columns[4]).try_cast("double").alias("close")).where("date is not null and close > 0")
 
 
 def store_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -95,10 +95,9 @@ class Tables:
         return self.version_holdings.select("model_key", "effective_date").distinct()
 
     @cached_property
-    def filings(self) -> DataFrame:
-        """One filing per order."""
-        li = self.lineitem.groupBy("l_orderkey").agg(F.max(F.to_date("l_shipdate")).alias("last_ship"))
-        o = self.orders.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    def filing_heads(self) -> DataFrame:
+        """What a filing has of its order, with the order's date in place of its own."""
+        o = self.orders
         c = self.customer.select("c_custkey", "c_name", "c_nationkey")
         n = self.nation.select("n_nationkey", "n_regionkey")
         o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -109,16 +108,25 @@ class Tables:
         return o.select(
             F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").alias("person_key"), F.col("c_name").alias("person_name"), office.alias("office"), party.alias("party"),
             F.when(F.col("o_orderpriority") == "5-LOW", "candidate").when(F.col("o_orderpriority") == "1-URGENT", F.lit(None)).otherwise("member").alias("filer_status"),
-            F.greatest(F.to_date("o_orderdate"), F.col("last_ship")).alias("filed_date"), status.alias("parse_status"),
+            F.to_date("o_orderdate").alias("filed_date"), status.alias("parse_status"),
         )
 
+    @cached_property
+    def filings(self) -> DataFrame:
+        """One filing per order, filed on the order's date, or when the last line was shipped."""
+        li = self.lineitem.groupBy("l_orderkey").agg(F.max(F.to_date("l_shipdate")).alias("last_ship"))
+        x = self.filing_heads.join(li, F.col("filing_id") == F.col("l_orderkey"), "left")
+        return x.withColumn("filed_date", F.greatest("filed_date", "last_ship")).select(*self.filing_heads.columns)
+
     @cached_property
     def trades(self) -> DataFrame:
-        """One trade per line."""
+        """One trade per line. The filing's date comes from a window over the same lines, so they are read once."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-        li = self.lineitem.withColumn("row_index", F.row_number().over(order).cast("long"))
+        last_ship = F.max(F.to_date("l_shipdate")).over(Window.partitionBy("l_orderkey"))
+        li = self.lineitem.withColumns({"row_index": F.row_number().over(order).cast("long"), "last_ship": last_ship})
         p = self.part.select("p_partkey", "p_brand", "p_type", "p_size")
-        x = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(self.filings, F.col("l_orderkey") == F.col("filing_id"))
+        x = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(self.filing_heads, F.col("l_orderkey") == F.col("filing_id"))
+        x = x.withColumn("filed_date", F.greatest("filed_date", "last_ship"))
         amount = F.floor(F.col("l_extendedprice") * F.col("l_quantity") * F.col("l_quantity") / 2)
         kind = F.when(F.col("p_size") % 7 == 0, "option").when(F.col("p_size") % 5 == 0, "etf").when(F.col("p_size") % 11 == 0, "bond").otherwise("stock")
         return x.select(
