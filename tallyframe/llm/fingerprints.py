@@ -13,8 +13,8 @@ Likeness is the number of common hashes over the geometric mean of both numbers
 keeps its likeness when a richer passage is put in), by words where both texts have them, else by code points; two texts without hashes are alike (1), one with and one without are not (0), as are two
 texts that have no kind in common (their lengths then differ by half or more).
 
-Neighbours: the next document by ascending key comes from a window inside key ranges taken from the keys'
-quantiles; the first documents of each range also go, marked, into the range before it (the first range's
+Neighbours: the next document by ascending key comes from a window inside key ranges: of numbers taken from their
+quantiles, of other keys from a sample of whole keys by hash (``SAMPLED`` a range at most come to the driver); the first documents of each range also go, marked, into the range before it (the first range's
 into the last), so no window spans the table and each text is shuffled once.
 
 Defined results: a null text is empty; equal keys are ordered by text, null keys come last, keys may be numbers or texts; the last document's
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import documents, text_of
 
@@ -36,6 +37,7 @@ BY_WORDS = (3, 4)
 BY_CHARS = (3, 4)
 PLACE_BITS = 28
 RANGE_ROWS = 64
+SAMPLED = 16
 COARSE = 64
 
 
@@ -116,30 +118,34 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_string(a: str) -> Column:
-    """The hash sets in text order, in hexadecimal: words, a bar, code points."""
-    part = lambda c: F.coalesce(F.array_join(F.transform(c, lambda h: F.hex(h)), "."), F.lit("-"))
+    """The kept hashes with their places, in text order, as hexadecimal hash:place: words, a bar, code points."""
+    mask = F.lit((1 << PLACE_BITS) - 1)
+    one = lambda x: F.concat(F.hex(F.shiftrightunsigned(x, PLACE_BITS)), F.lit(":"), F.hex(mask - x.bitwiseAND(mask)))
+    part = lambda c: F.coalesce(F.array_join(F.transform(c, one), "."), F.lit("-"))
     return F.concat(part(f"{a}_words"), F.lit("|"), part(f"{a}_chars"))
 
 
-def in_order(docs: DataFrame, key: str) -> Column:
-    """A number that grows with the key: the key itself, or the first seven bytes of a text."""
-    if dict(docs.dtypes)[key] in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return F.col(key)
+def bounds_of(docs: DataFrame, key: str) -> list:
+    """Sorted first keys of ranges with about RANGE_ROWS rows, at most COARSE * COARSE of them; none where all keys are null."""
+    most = COARSE * COARSE
+    if isinstance(docs.schema[key].dataType, NumericType):
+        got = docs.agg(F.count("*").alias("n"), F.min(key).alias("least"), F.percentile_approx(F.col(key), [i / most for i in range(most)], 100_000).alias("b")).first()
+        points = max(1, min(most, got["n"] // RANGE_ROWS))
+        return sorted({got["least"], *(got["b"][i * most // points] for i in range(points))}) if got["b"] else []
+    n, least = docs.agg(F.count("*"), F.min(key)).first()
+    if least is None:
+        return []
+    points = max(1, min(most, n // RANGE_ROWS))
+    some = docs.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key, F.lit(29)), F.lit(max(1, n // (points * SAMPLED)))) == 0))
+    keys = sorted(r[0] for r in some.limit(2 * SAMPLED * points).collect())
+    return sorted({least, *(keys[i * len(keys) // points] for i in range(points) if keys)})
 
 
 def with_ranges(docs: DataFrame, key: str) -> DataFrame:
     """Adds _range and _guest; the first documents of a range stand in the range before it as guests."""
-    docs = docs.withColumn("_order", in_order(docs, key))
-    key = "_order"
-    n = docs.count()
-    points = max(1, min(COARSE * COARSE, n // RANGE_ROWS))
-    shares = [i / points for i in range(points)]
-    found = docs.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(key), shares, 100_000))).alias("b")).first()["b"] or []
-    if not found:
-        return docs.withColumns({"_range": F.lit(0), "_guest": F.explode(F.array(F.lit(0), F.lit(1)))}).drop("_order")
-    least = docs.agg(F.min(key)).first()[0]
-    bounds = sorted({least, *found})
+    bounds = bounds_of(docs, key)
+    if not bounds:
+        return docs.withColumns({"_range": F.lit(0), "_guest": F.explode(F.array(F.lit(0), F.lit(1)))})
     all_bounds = F.array(*[F.lit(b) for b in bounds])
     heads = F.array(*[F.lit(b) for b in bounds[::COARSE]])
     last = len(bounds) - 1
@@ -151,7 +157,7 @@ def with_ranges(docs: DataFrame, key: str) -> DataFrame:
     before = F.when(F.col("_range") == 0, F.lit(last)).otherwise(F.col("_range") - 1)
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("g"))
     spots = F.when(first, F.array(own, F.struct(before.alias("r"), F.lit(1).alias("g")))).otherwise(F.array(own))
-    return docs.withColumn("_spot", F.explode(spots)).withColumns({"_range": F.col("_spot.r"), "_guest": F.col("_spot.g")}).drop("_spot", "_order")
+    return docs.withColumn("_spot", F.explode(spots)).withColumns({"_range": F.col("_spot.r"), "_guest": F.col("_spot.g")}).drop("_spot")
 
 
 def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -167,10 +173,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("_text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), quarter))
     docs = docs.withColumn("_edited", edited).drop("_next")
     docs = winnow(winnow(docs, "_text", "_o"), "_edited", "_e")
-    kinds = [f"{a}{b}" for a in ("_o", "_e") for b in ("_words", "_chars")]
-    docs = docs.withColumns({c: hashes_of(c) for c in kinds})
     docs = docs.withColumns({f"_n{b}": F.lead(f"_o{b}").over(order) for b in ("_words", "_chars")}).where("_guest = 0")
-    return docs.select(
-        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_string("_o").alias("fingerprint"), as_string("_e").alias("edited_fingerprint"),
-        likeness("_o", "_e").alias("near_edited"), likeness("_o", "_n").alias("near_next"),
-    )
+    strings = {"fingerprint": as_string("_o"), "edited_fingerprint": as_string("_e")}
+    docs = docs.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), *(c.alias(n) for n, c in strings.items()), *(hashes_of(f"{a}{b}").alias(f"{a}{b}") for a in ("_o", "_e", "_n") for b in ("_words", "_chars")))
+    return docs.select("doc_id", "n_chars", "edited_sha256", *strings, likeness("_o", "_e").alias("near_edited"), likeness("_o", "_n").alias("near_next"))
