@@ -5,9 +5,9 @@ pairs of character kinds (letters, capitals, digits, marks ...), and how often w
 top: an encoding layer, gated attention weights (tanh times sigmoid, soft-maximum over the document's
 passages) and a logistic score of the weighted mean, so a document is judged by the passages that tell.
 
-Fitting uses at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id, whose crc32(id) mod 4 is not 2, and of
-each at most ``FIT_PASSAGES`` passages, evenly spread: these go to the driver (the documented bound, 134 MB). Scoring
-covers every row and every passage, inside Spark tasks; a very long text is encoded in groups of ``GROUP_BYTES``. The label, language, source and id are never inputs of a score.
+Fitting uses labelled rows whose crc32(id) mod 4 is not 2, in the order of a hash of the id: at most ``FIT_ROWS``, and no more
+than have ``FIT_BYTES`` of text together. All passages of these rows go to the driver, 522 bytes for each (the documented
+bound: 137 MB where words have one letter, some 42 MB in prose). Scoring covers every row and every passage, inside Spark tasks; a very long text is encoded in groups of ``GROUP_BYTES``. The label, language, source and id are never inputs of a score.
 
 Defined results: a null text is empty, and an empty text is one passage of zeros, scored like any other; rows
 without a label or with a null one teach nothing; repeated rows are scored each; without any label all scores
@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_columns, small_batches, text_of
 
 PASSAGE = 64
 FIT_ROWS = 4000
-FIT_PASSAGES = 64
+FIT_BYTES = 32 << 20
 KEEP_FROM = 0.7
 KINDS = 16
 ENCODED = 24
@@ -212,16 +212,19 @@ def _encode_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labels = pdf["label"].to_numpy()
         for first, last, x, counts in bags(texts):
             bag = [x[e - c : e] for c, e in zip(counts, np.cumsum(counts), strict=True)]
-            bag = [b[np.linspace(0, len(b) - 1, FIT_PASSAGES).astype(int)] if len(b) > FIT_PASSAGES else b for b in bag]
             yield pd.DataFrame({"label": labels[first:last], "n": [len(b) for b in bag], "x": [b.astype(np.float16).tobytes() for b in bag]})
 
 
-def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> Attention | None:
-    """The model of at most rows labelled rows; labels: (key, label)."""
+def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Attention | None:
+    """The model of at most rows labelled rows with at most size bytes of text; labels: (key, label)."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(F.col(key))).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = known.join(docs.select(F.col(key).alias("_id")).distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(rows)
-    # At most rows rows: safe to send to every task.
-    pairs = docs.select(F.col(key).alias("_id"), text_of(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")
+    # At most rows rows: safe to send to every task, and to sum in one.
+    texts = docs.select(F.col(key).alias("_id"), text_of(text).alias("text"))
+    sized = texts.select("_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("_id", F.lit(3)), "_id", "label").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sized.withColumn("upto", upto).where(F.col("upto") <= size).select("_id", "label")
+    pairs = texts.join(F.broadcast(chosen), "_id").select("text", "label")
     got = pairs.mapInPandas(_encode_rows, "label int, n bigint, x binary").collect()
     if not got:
         return None
