@@ -20,9 +20,9 @@ def digest_states(trades: DataFrame, sent: DataFrame, since, shown: int = SHOWN)
     """(id, state) of trades (id, created, disclosed, pending): historical (first stored before since, so never sent), sent (in the ledger),
     due (the newest disclosed, at most shown), waiting (pending beyond those) or none.
 
-    sent: (id), any number of times. A trade given twice has one state: its latest row's.
+    sent: (id), any number of times. A trade given twice has one state: that of its latest row, of equal ones a pending one.
     """
-    x = trades.groupBy("id").agg(F.max_by(F.struct("created", "disclosed", "pending"), "created").alias("t")).select("id", "t.*")
+    x = trades.groupBy("id").agg(F.max(F.struct("created", "pending", "disclosed")).alias("t")).select("id", "t.*")
     x = x.join(sent.select("id", F.lit(True).alias("_sent")).distinct(), "id", "left")
     open_ = F.col("_sent").isNull() & (F.col("created") >= F.lit(since)) & F.coalesce("pending", F.lit(False))
     due = x.where(open_).orderBy(F.col("disclosed").desc_nulls_last(), F.desc("id")).limit(shown).select("id", F.lit(True).alias("_due"))
