@@ -280,3 +280,76 @@ def schedule_holdings(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((n("holdings") == 0) & (n("unreadable") > 0) & (n("excluded") == 0), "needs_manual_review").when(n("unreadable") > 0, "partial").otherwise("parsed")
     )
     return holdings, out.select("doc", status.alias("status"), F.coalesce("none_disclosed", F.lit(False)).alias("none_disclosed"), n("holdings").alias("holdings"), n("excluded").alias("excluded"), n("unreadable").alias("unreadable"))
+
+
+# ---- assets by part -------------------------------------------------------------------------------------
+
+# Whose assets each part lists, how far its columns reach beside the header's words, and rows that are none.
+PART_OWNERS = {"2": "self", "5": "spouse", "6": "unknown"}
+DESCRIPTION_LEFT, COLUMN_RIGHT, NO_INCOME_TYPE = 4, 2, 140
+PART_FURNITURE = ("instructions for part", "filer's name", "filers name", "oge form", "note:", "page number", "#", "description")
+
+
+def _part_bands(words: Column) -> Column:
+    at = lambda test: F.get(F.filter(words, lambda w: test(F.lower(w["text"]))), F.lit(0))["x"]
+    name, eif, value, income = at(lambda t: t == "description"), at(lambda t: t == "eif"), at(lambda t: t == "value"), at(lambda t: t.contains("income type"))
+    bands = F.struct(
+        (name - DESCRIPTION_LEFT).alias("name"), (F.coalesce(eif, value) - COLUMN_RIGHT).alias("name_end"), (value - DESCRIPTION_LEFT).alias("value"), (F.coalesce(income, value + NO_INCOME_TYPE) - COLUMN_RIGHT).alias("end")
+    )
+    return F.when(name.isNotNull() & value.isNotNull(), bands)
+
+
+def _continued_parts(rows: Column) -> Column:
+    """As _continued: a description with a value begins a holding, one without carries it on, and so does a value after a dash."""
+
+    def step(acc: Column, r: Column) -> Column:
+        named_, valued = r["asset"] != "", r["value"] != ""
+        starts = ~r["ends"] & named_ & F.lower(r["value"]).rlike(r"^(none|over\s+\$|\$[0-9,]+)")
+        carries = ~r["ends"] & ~starts & acc["open"] & ((named_ & ~valued) | (valued & acc["broken"]))
+        n = acc["n"] + starts.cast("int")
+        broken = F.when((starts | carries) & valued, r["value"].rlike("-$")).otherwise(~r["ends"] & acc["broken"])
+        return F.struct((~r["ends"] & (acc["open"] | starts)).alias("open"), broken.alias("broken"), n.alias("n"), F.concat(acc["of"], F.array(F.when(starts | carries, n).otherwise(0))).alias("of"))
+
+    start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("broken"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("of"))
+    return F.aggregate(rows, start, step, lambda acc: acc["of"])
+
+
+def part_holdings(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Holdings (doc, nth, asset, ticker, class, owner, bound, low, high, mid, label) of executive annual reports' boxes, and (doc, status,
+    report_year, holdings, excluded, unreadable).
+
+    A title of part 2, 5 or 6 sets the owner, and a header the columns, each up to the end of its page. Titles end the open
+    holding; other pages' rows carry it on. Values that are no range, and names without a word, are unreadable.
+    """
+    w = Window.partitionBy("doc", "page").orderBy("line")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = print_lines(boxes).withColumns({"_head": _part_bands(F.col("words")), "_part": F.regexp_extract("text", r"(?i)part\s*([256])\s*:", 1)})
+    who = named(F.col("_part"), PART_OWNERS, F.lit(None).cast("string"))
+    x = x.withColumn("_who", who).withColumns({"owner": F.last("_who", ignorenulls=True).over(upto), "_bands": F.last("_head", ignorenulls=True).over(upto)})
+    asset, value = _between(F.col("words"), F.col("_bands.name"), F.col("_bands.name_end")), _between(F.col("words"), F.col("_bands.value"), F.col("_bands.end"))
+    ends = F.col("_who").isNotNull()
+    reads = F.col("_bands").isNotNull() & F.col("_head").isNull() & F.col("owner").isNotNull()
+    x = x.withColumns({"asset": F.when(reads, asset).otherwise(""), "value": F.when(reads, value).otherwise(""), "ends": ends})
+    x = x.where(ends | (reads & ((F.col("asset") != "") | (F.col("value") != "")) & ~F.lower("asset").isin(*PART_FURNITURE)))
+    # A title's line may hold a row too: the end comes first.
+    each = F.when(F.col("ends"), F.array(F.struct(F.lit(0).alias("k"), F.lit(True).alias("ends"), F.lit("").alias("asset"), F.lit("").alias("value")))).otherwise(F.array().cast("array<struct<k:int,ends:boolean,asset:string,value:string>>"))
+    row = F.array(F.struct(F.lit(1).alias("k"), F.lit(False).alias("ends"), "asset", "value"))
+    x = x.select("doc", "page", "line", "owner", F.explode(F.concat(each, row)).alias("r")).select("doc", "page", "line", "r.k", "r.ends", "r.asset", "r.value", "owner")
+    docs = x.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "line", "k", "ends", "asset", "value", "owner"))).alias("rows"))
+    parts = docs.select("doc", F.posexplode(F.arrays_zip(_continued_parts(F.col("rows")).alias("nth"), F.col("rows").alias("r"))).alias("at", "v")).where("v.nth > 0")
+    joined = lambda c: squeezed(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("c")))), lambda s: s["c"]), lambda s: s != ""), " "))
+    y = parts.groupBy("doc", F.col("v.nth").alias("nth")).agg(joined("v.r.asset").alias("asset"), joined("v.r.value").alias("written"), F.min_by("v.r.owner", "at").alias("owner"))
+    y = y.withColumn("asset", F.trim(F.regexp_replace("asset", r"\s+\*+$", ""))).withColumn("v", F.when(F.col("asset").rlike("[A-Za-z]{3,}"), asset_value(F.col("written"))))
+    tickers = F.filter(F.transform(F.regexp_extract_all("asset", F.lit(r"\(([A-Z][A-Z0-9.]{0,8})\)"), F.lit(1)), canonical_ticker), lambda s: s.isNotNull())
+    good, excluded = F.coalesce(F.col("v.kind").isin("range", "at_least"), F.lit(False)), F.coalesce(F.col("v.kind") == "excluded", F.lit(False))
+    holdings = y.where(good).select("doc", "nth", "asset", F.get(tickers, F.size(tickers) - 1).alias("ticker"), asset_class(F.col("asset")).alias("class"), "owner", F.col("v.kind").alias("bound"), "v.low", "v.high", "v.mid", "v.label")
+    counts = y.groupBy("doc").agg(F.count_if(good).alias("holdings"), F.count_if(excluded).alias("excluded"), F.count_if(~good & ~excluded).alias("unreadable"))
+    year = F.nullif(F.regexp_extract("text", r"(?i)year\s*\(annual\b[^0-9]{0,40}(20\d\d)", 1), F.lit("")).cast("int")
+    saw = print_lines(boxes).groupBy("doc").agg(F.bool_or(F.col("text").rlike(r"(?i)part\s*[256]\s*:")).alias("_saw"), F.min_by(year, F.when(year.isNotNull(), F.struct("page", "line"))).alias("report_year"))
+    letters = boxes.groupBy("doc").agg(F.sum(F.length(F.regexp_replace("text", "[^A-Za-z]", ""))).alias("_letters"))
+    out = letters.join(saw, "doc", "left").join(counts, "doc", "left")
+    n, sees = (lambda c: F.coalesce(c, F.lit(0))), F.coalesce("_saw", F.lit(False))
+    status = (
+        F.when(~sees & (n("_letters") < SCAN_LETTERS), "pending_ocr").when(~sees | ((n("holdings") == 0) & (n("excluded") == 0)), "needs_manual_review").when(n("unreadable") > 0, "partial").otherwise("parsed")
+    )
+    return holdings, out.select("doc", status.alias("status"), "report_year", *(n(c).alias(c) for c in ("holdings", "excluded", "unreadable")))

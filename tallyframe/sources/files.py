@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,30 @@ def price_csv(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataF
     return raw.select(*by, F.try_to_date(raw.columns[0], "yyyy-MM-dd").alias("date"), F.col(raw.columns[4]).try_cast("double").alias("close")).where("date is not null and close > 0")
 
 
+PAGE = "recordsFiltered bigint, data array<struct<docDate:string,title:string,type:string,name:string>>"
+
+
+def paged_json(spark: SparkSession, path: str) -> DataFrame:
+    """(start, row, docDate, title, type, name) of an answer in pages: a JSON document each, in folders start=0, start=100 ...; a task a page."""
+    pages = spark.read.schema(PAGE).json(path)
+    return pages.select("start", F.posexplode("data").alias("row", "r")).select("start", "row", "r.*")
+
+
+def page_order(rows: DataFrame) -> DataFrame:
+    """(direction, unordered): whether pages (start, docDate) go up or down in time by their dates' spans, and the pages that do not fit.
+
+    A direction is that of most neighbours; a page without dates fits anywhere, and one page alone has no direction.
+    """
+    day = F.left("docDate", F.lit(10))
+    spans = rows.where(day.rlike(r"^\d{4}-\d\d-\d\d$")).groupBy("start").agg(F.min(day).alias("old"), F.max(day).alias("new"))
+    w = Window.partitionBy().orderBy("start")  # a row for each page
+    x = spans.withColumns({"up": F.col("old") >= F.lag("new").over(w), "down": F.col("new") <= F.lag("old").over(w)})
+    ups, downs = F.count_if(F.col("up") & ~F.col("down")), F.count_if(F.col("down") & ~F.col("up"))
+    both = x.agg(ups.alias("u"), downs.alias("d"), F.array_sort(F.collect_list(F.when(~F.col("up"), F.col("start")))).alias("not_up"), F.array_sort(F.collect_list(F.when(~F.col("down"), F.col("start")))).alias("not_down"))
+    direction = F.when(F.col("u") > F.col("d"), "ascending").when(F.col("d") > F.col("u"), "descending")
+    return both.select(direction.alias("direction"), F.when(direction == "ascending", F.col("not_up")).when(direction == "descending", F.col("not_down")).otherwise(F.array().cast("array<int>")).alias("unordered"))
+
+
 def store_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A store kept as one JSON document per file."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
