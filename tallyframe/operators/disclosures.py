@@ -142,3 +142,39 @@ def unique_match(left: DataFrame, right: DataFrame, keys: list[str], value: str,
         out = out.join(among, [*keys, narrow], "left")
         found = found.when((F.col("_n") > 1) & (F.col("_m") == 1), F.col("_w"))
     return out.withColumn(value, found).select(*left.columns, value)
+
+
+def current_filing(filings: DataFrame) -> DataFrame:
+    """(person_key, filing_id, parse_status, newer_unreadable): each person's newest filing; an unreadable one falls back to the newest
+    readable one of the same year only.
+    """
+    f = filings.withColumns({"y": F.year("filed_date"), "bad": ~F.col("parse_status").isin("parsed", "partial")})
+    years = f.groupBy("person_key", "y").agg(F.max(F.struct("filed_date", "filing_id", "bad", "parse_status")).alias("newest"), F.max(F.when(~F.col("bad"), F.struct("filed_date", "filing_id", "parse_status"))).alias("readable"))
+    last = years.groupBy("person_key").agg(F.max(F.struct("newest", "readable")).alias("m"))
+    falls = F.col("m.newest.bad") & F.col("m.readable").isNotNull()
+    pick = lambda c: F.when(falls, F.col(f"m.readable.{c}")).otherwise(F.col(f"m.newest.{c}")).alias(c)
+    return last.select("person_key", pick("filing_id"), pick("parse_status"), F.col("m.newest.bad").alias("newer_unreadable"))
+
+
+def presented_holdings(filings: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How a person's annual holdings are shown: (person_key, status, filing_id, newer_unreadable, n, low, high, mid, undetermined), and (person_key,
+    class, n, low, mid, share) of the classes, by their middles.
+
+    holdings: (filing_id, class, bound, low, high, mid). Undetermined values are counted apart and are in no total; one open end opens the
+    total. A report that nobody could read, or that waits for a scan's reading, has no totals and no classes.
+    """
+    now = current_filing(filings)
+    shown = F.col("parse_status").isin("parsed", "partial")
+    status = F.when(shown, F.col("parse_status")).when(F.col("parse_status") == "pending_ocr", "pending_ocr").otherwise("unreadable")
+    rows = now.where(shown).select("person_key", "filing_id").join(holdings, "filing_id")
+    valued = F.col("low").isNotNull() & F.col("mid").isNotNull() & F.col("bound").isin("range", "at_least")
+    totals = rows.groupBy("person_key").agg(
+        F.count_if(valued).alias("n"), F.sum(F.when(valued, F.col("low"))).alias("low"), F.when(F.count_if(valued & F.col("high").isNull()) == 0, F.sum(F.when(valued, F.col("high")))).alias("high"),
+        F.sum(F.when(valued, F.col("mid"))).alias("mid"), F.count_if(F.col("bound") == "undetermined").alias("undetermined"),
+    )
+    head = now.select("person_key", status.alias("status"), "filing_id", "newer_unreadable").join(totals, "person_key", "left")
+    zero = F.when(F.col("status").isin("parsed", "partial"), 0)
+    head = head.select("person_key", "status", "filing_id", "newer_unreadable", *(F.coalesce(c, zero).cast("long").alias(c) for c in ("n", "low")), F.when(F.col("n").isNull(), zero.cast("long")).otherwise(F.col("high")).alias("high"), *(F.coalesce(c, zero).cast("long").alias(c) for c in ("mid", "undetermined")))
+    classes = rows.where(valued).groupBy("person_key", "class").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("mid").alias("mid"))
+    whole = rows.where(valued).groupBy("person_key").agg(F.sum("mid").alias("_all"))
+    return head, classes.join(whole, "person_key").select("person_key", "class", "n", "low", "mid", (F.col("mid") / F.col("_all")).alias("share"))

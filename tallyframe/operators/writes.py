@@ -49,3 +49,20 @@ def batch_status(payload: DataFrame, instruments: DataFrame) -> DataFrame:
     last = F.max("ord").over(Window.partitionBy("id", "date"))
     status = F.when(F.col("type").isNull(), "unknown").when((F.col("type") == "cash") | F.col("value").isNull(), "skipped").when(F.col("d").isNull(), "bad_date")
     return x.withColumn("status", status.when(F.col("value") <= 0, "bad_value").when(F.col("ord") < last, "superseded").otherwise("accepted")).drop("d", "type")
+
+
+def migrate_series(history: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points (symbol, date, close) that a one-time move of series adds, and the history (symbol, series) after it.
+
+    history: series as an array of JSON objects. Of one day the first element counts whose date is a date and whose price, under
+    close, price or nav, is a positive plain number; stored points stay. A series is cleared once its symbol has points. Run again, it adds nothing.
+    """
+    x = history.select(F.upper("symbol").alias("symbol"), F.posexplode("series").alias("ord", "e"))
+    field = lambda name: F.get_json_object("e", f"$.{name}")
+    raw, day = F.coalesce(field("close"), field("price"), field("nav")), field("date")
+    x = x.select("symbol", "ord", F.when(day.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(day, "yyyy-MM-dd")).alias("date"), F.when(raw.rlike(r"^[0-9]+([.][0-9]+)?$"), raw.try_cast("double")).alias("close"))
+    first = x.where("date is not null and close > 0").groupBy("symbol", "date").agg(F.min_by("close", "ord").alias("close"))
+    added = first.join(points.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    moved = points.select("symbol").unionByName(added.select("symbol")).distinct().select(F.col("symbol").alias("_s"), F.lit(True).alias("_moved"))
+    after = history.join(moved, F.upper("symbol") == F.col("_s"), "left")
+    return added, after.select("symbol", F.when(F.col("_moved"), F.array().cast("array<string>")).otherwise(F.col("series")).alias("series"))

@@ -195,12 +195,7 @@ n as (select * from k where j = 1), f as (select person_key, year(filed_date) as
 select n.person_key, case when n.parse_status <> 'needs_manual_review' then n.filing_id else coalesce(f.filing_id, n.filing_id) end as filing_id, n.parse_status = 'needs_manual_review' as newer_unreadable
 from n left join f on f.person_key = n.person_key and f.y = year(n.filed_date)""", "filings")
 def _(t: Tables) -> DataFrame:
-    # The newest filing; an unreadable one falls back to a readable one of the same year only.
-    f = t.filings.withColumns({"y": F.year("filed_date"), "bad": F.col("parse_status") == "needs_manual_review"})
-    years = f.groupBy("person_key", "y").agg(F.max(F.struct("filed_date", "filing_id", "bad")).alias("newest"), F.max(F.when(~F.col("bad"), F.struct("filed_date", "filing_id"))).alias("readable"))
-    last = years.groupBy("person_key").agg(F.max(F.struct("newest", "readable")).alias("m"))
-    chosen = F.when(F.col("m.newest.bad"), F.coalesce("m.readable.filing_id", "m.newest.filing_id")).otherwise(F.col("m.newest.filing_id"))
-    return last.select("person_key", chosen.alias("filing_id"), F.col("m.newest.bad").alias("newer_unreadable"))
+    return d.current_filing(t.filings).drop("parse_status")
 
 
 @query("rec05_person_page", "select person_key, max(person_name) as person_name, count(*) filter (tx_type = 'buy') as buys, count(*) filter (tx_type = 'sell') as sells, count(distinct ticker) as tickers, max(disclosed_date) as newest, avg(date_diff('day', tx_date, disclosed_date)) as mean_lag from trades group by 1", "trades")

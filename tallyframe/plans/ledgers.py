@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import filings, ledger
+from ..functions import inputs, money
+from ..operators import disclosures, filings, ledger, writes
 from ..sources.tables import Tables
 from .entities import NAMES, TICKER, _by_name, entity_tables, written
 from .registry import query
@@ -44,8 +45,6 @@ select source || ':' || k || ':' || nth as id, source || ':' || k as filing_id,
 case when l_partkey % 5 = 0 then 'name_match' when l_partkey % 3 < 2 then 'filing' end as ticker_source, case when l_quantity > 40 then null else least(100, greatest(0, round(l_quantity * 4 - 20)))::int end as confidence, (filed_date - l_shipdate::date)::int as lag_days
 from l join h on l_orderkey = k""")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     records = filings.filing_records(heads(t))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     source = F.when(F.col("l_orderkey") % 4 < 2, "house").otherwise("senate")
@@ -125,3 +124,68 @@ def _(t: Tables) -> DataFrame:
         F.when(k.isin(1, 2), F.lit(date(2020, 1, 1))).when(k == 3, F.lit(date(2024, 3, 5))).alias("matched_at"), F.when(k == 2, ledger.MATCHER_VERSION).when(k == 3, ledger.MATCHER_VERSION - 1).alias("matched_by"),
     )
     return ledger.rematched(stored, FETCHED, **entity_tables(t)).drop("asset")
+
+
+#: What is typed, by event: as it is, with marks, and in ways that are no share or value. SQL of both engines.
+TYPED = "case cast(event_id % 9 as int) when 0 then cast(cast(value as decimal(12,2)) as varchar(20)) when 1 then concat(' $', cast(cast(value as decimal(12,2)) as varchar(20)), ' ') when 2 then '' when 3 then '-' when 4 then '0' when 5 then '0.004' when 6 then 'abc' when 7 then '-5' else '99.996' end"
+_SHARE = f"""case cast(event_id % 9 as int) when 0 then case when cast(value as decimal(12,2)) > 100 then '{inputs.OUT_OF_RANGE}' when cast(value as decimal(12,2)) = 0 then '{inputs.NEEDS_SHARE}' end when 1 then '{inputs.NO_NUMBER}' when 2 then '{inputs.NEEDS_SHARE}' when 3 then '{inputs.NEEDS_SHARE}'
+ when 4 then '{inputs.NEEDS_SHARE}' when 5 then '{inputs.TOO_SMALL}' when 6 then '{inputs.NO_NUMBER}' when 7 then '{inputs.OUT_OF_RANGE}' end"""
+
+
+@query("str24_nav_inputs", f"""select event_id, event_id % 9 = 2 as empty, case when event_id % 9 in (0, 1) and cast(value as decimal(12,2)) > 0 then cast(value as decimal(12,2))::double when event_id % 9 = 5 then 0.004 when event_id % 9 = 8 then 99.996 end as value,
+case when event_id % 9 in (3, 6, 7) then '{inputs.NAV_NUMBER}' when event_id % 9 = 4 or (event_id % 9 in (0, 1) and cast(value as decimal(12,2)) = 0) then '{inputs.NAV_POSITIVE}' end as error from events""")
+def _(t: Tables) -> DataFrame:
+    return t.events.select("event_id", inputs.nav_input(F.expr(TYPED)).alias("i")).select("event_id", "i.*")
+
+
+@query("str24_gates", f"""with m as (select event_id, event_type, value, {_SHARE} as message from events)
+select event_id, message is null as valid, case when message is null then case when event_id % 9 = 8 then 100.0 else cast(value as decimal(12,2))::double end when event_id % 9 = 5 then 0.004 when message = '{inputs.NEEDS_SHARE}' and event_id % 9 in (0, 4) then 0.0 end as value,
+case when event_type <> 'view' then coalesce(message, case when event_type = 'error' then '{inputs.NEEDS_TICKER}' when event_type = 'click' then '{inputs.NO_TICKER}' end) end as preview,
+coalesce(message, case when event_type = 'signup' then '{inputs.HAS_CASH}' when event_type = 'click' then '{inputs.HAS_SYMBOL}' when event_type = 'error' then '{inputs.NEEDS_NAME}' when event_type = 'view' then '{inputs.UNFUNDED}' end) as adding from m""")
+def _(t: Tables) -> DataFrame:
+    raw, kind = F.expr(TYPED), F.col("event_type")
+    symbol = F.when(kind == "click", "two words").when(kind != "error", "ab")
+    share = t.events.select("event_id", "event_type", inputs.allocation(raw).alias("a"), inputs.preview_gate(kind != "view", raw, symbol, F.lit(False)).alias("preview"), inputs.add_gate(raw, kind == "signup", kind == "click", kind == "error", kind != "view", F.lit(None).cast("string")).alias("adding"))
+    return share.select("event_id", "a.valid", "a.value", "preview", "adding")
+
+
+def stored_series(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every symbol's days as JSON under three names, days twice and days that are none; points of some are stored already."""
+    d = t.daily_points.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+    name = F.when(F.col("n") % 3 == 0, "close").when(F.col("n") % 3 == 1, "price").otherwise("nav")
+    item = lambda x: F.concat(F.lit('{"date":"'), F.date_format("date", "yyyy-MM-dd"), F.when(F.col("n") % 7 == 0, "T00").otherwise(""), F.lit('","'), name, F.lit('":"'), x, F.lit('"}'))
+    both = d.select(F.lower("symbol").alias("symbol"), "n", F.explode(F.array(F.struct(F.lit(0).alias("k"), item(F.when(F.col("n") % 5 == 0, "x").otherwise(F.col("close").cast("decimal(18,2)").cast("string"))).alias("e")), F.struct(F.lit(1).alias("k"), item(F.lit("7.5")).alias("e")))).alias("v"))
+    series = both.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v.k", "v.e"))), lambda s: s["e"]).alias("series"))
+    return series, d.where("n % 4 = 0").select(F.upper("symbol").alias("symbol"), "date", F.lit(1.0).alias("close"))
+
+
+@query("snk11_moved_points", """with d as (select upper(symbol) as key, *, row_number() over (partition by symbol order by date) as n from daily_points)
+select key as symbol, date, case when n % 5 = 0 or close::decimal(18,2) <= 0 then 7.5::double else close::decimal(18,2)::double end as close from d where n % 7 <> 0 and n % 4 <> 0""", "daily_points")
+def _(t: Tables) -> DataFrame:
+    return writes.migrate_series(*stored_series(t))[0]
+
+
+_BOUND = "case when row_index % 6 = 5 then 'undetermined' when low is null then 'unreadable' when high is null then 'at_least' else 'range' end"
+_SHOWN = f"""with k as (select *, parse_status = 'needs_manual_review' as bad, year(filed_date) as y from filings), w as (select *, row_number() over (partition by person_key order by filed_date desc, filing_id desc) as j, row_number() over (partition by person_key, y, bad order by filed_date desc, filing_id desc) as jy from k),
+now as (select n.person_key, coalesce(case when n.bad then r.filing_id end, n.filing_id) as filing_id, coalesce(case when n.bad then r.parse_status end, n.parse_status) as parse_status, n.bad as newer_unreadable from (select * from w where j = 1) n left join (select * from w where jy = 1 and not bad) r on r.person_key = n.person_key and r.y = n.y),
+h as (select now.person_key, asset_class as class, {_BOUND} as bound, low, high, case when high is not null then floor((low + high) / 2.0 + 0.5)::bigint else low end as mid from now join bounded using (filing_id) where parse_status <> 'needs_manual_review'),
+v as (select * from h where bound in ('range', 'at_least'))"""
+
+
+@query("fin30_presented_totals", f"""{_SHOWN}, t as (select person_key, count(*) filter (bound in ('range', 'at_least')) as n, sum(low) filter (bound in ('range', 'at_least'))::bigint as low, case when count(*) filter (bound = 'at_least') = 0 then sum(high) filter (bound = 'range') end::bigint as high,
+sum(mid) filter (bound in ('range', 'at_least'))::bigint as mid, count(*) filter (bound = 'undetermined') as undetermined from h group by 1)
+select person_key, case when parse_status = 'needs_manual_review' then 'unreadable' else parse_status end as status, filing_id, newer_unreadable, case when parse_status <> 'needs_manual_review' then coalesce(n, 0) end as n, case when parse_status <> 'needs_manual_review' then coalesce(low, 0) end as low,
+case when n is null and parse_status <> 'needs_manual_review' then 0 else high end as high, case when parse_status <> 'needs_manual_review' then coalesce(mid, 0) end as mid, case when parse_status <> 'needs_manual_review' then coalesce(undetermined, 0) end as undetermined from now left join t using (person_key)""", "filings bounded")
+def _(t: Tables) -> DataFrame:
+    return disclosures.presented_holdings(t.filings, annual_holdings(t))[0]
+
+
+@query("fin30_presented_classes", f"{_SHOWN} select person_key, class, count(*) as n, sum(low)::bigint as low, sum(mid)::bigint as mid, round(sum(mid) / sum(sum(mid)) over (partition by person_key), 9) as share from v group by 1, 2", "filings bounded")
+def _(t: Tables) -> DataFrame:
+    return disclosures.presented_holdings(t.filings, annual_holdings(t))[1].withColumn("share", F.round("share", 9))
+
+
+def annual_holdings(t: Tables) -> DataFrame:
+    """The lines of a filing as its holdings; every sixth has no determined value."""
+    x = disclosures.with_bounds(t.trades)
+    return x.select("filing_id", F.col("asset_class").alias("class"), F.expr(_BOUND).alias("bound"), "low", "high", F.coalesce(money.middle(F.col("low"), F.col("high")), F.col("low")).alias("mid"))
