@@ -64,7 +64,7 @@ def side_ranking(trades: DataFrame, top: int | None = 10) -> DataFrame:
         # A limit in each task first, then over the few rows that are left; the count is an aggregate.
         ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy("tx_type").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     else:
-        ranked = numbered(g, order, by=["tx_type"])
+        return numbered(g, order, by=["tx_type"], total="side_tickers")
     return ranked.join(g.groupBy("tx_type").agg(F.count("*").alias("side_tickers")), "tx_type").select(*g.columns, "rank", "side_tickers")
 
 

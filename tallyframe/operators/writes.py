@@ -51,6 +51,17 @@ def batch_status(payload: DataFrame, instruments: DataFrame) -> DataFrame:
     return x.withColumn("status", status.when(F.col("value") <= 0, "bad_value").when(F.col("ord") < last, "superseded").otherwise("accepted")).drop("d", "type")
 
 
+def append_versions(stored: DataFrame, incoming: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """The rows (key, effective_date, instrument, weight) that are appended: incoming versions of keys whose last stored version is another
+    set of weights, or that have none. A version of a day that is stored, or before the last, is not appended.
+    """
+    last = stored.withColumn("_last", F.max("effective_date").over(Window.partitionBy("key"))).where("effective_date = _last")
+    both = incoming.select("key", "instrument", F.col("weight").alias("_new"), F.col("effective_date").alias("_day")).join(last.select("key", "instrument", F.col("weight").alias("_old"), "_last"), ["key", "instrument"], "full_outer")
+    differs = F.bool_or(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))) > eps)
+    keys = both.groupBy("key").agg(differs.alias("_differs"), F.max("_last").alias("_last"), F.max("_day").alias("_day")).where("_differs and _day is not null and (_last is null or _day > _last)")
+    return incoming.join(keys.select("key"), "key", "left_semi")
+
+
 def migrate_series(history: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The points (symbol, date, close) that a one-time move of series adds, and the history (symbol, series) after it.
 

@@ -96,3 +96,16 @@ def _(t: Tables) -> DataFrame:
     """One ticker a stem and class: best tier, none when-issued or of bonds, none of two common ones."""
     x = entity_tables(t)
     return names.catalog_index(x["catalog"], names.class_listings(x["listings"]))[0].select("ticker", "share_class", "class")
+
+
+#: A description and its class; null reason: a name that may have a ticker.
+DESCRIBED: list[tuple[str, str, str | None]] = [
+    ("{B} ETF Note", "etf", None), ("{B} Municipal", "bond", "debt"), ("{B} 4.5% notes", "bond", "debt"), ("{B} due Sept 5, 2031", "bond", "debt"), ("U.S. Treasury {B}", "bond", "debt"), ("{B} T-Bills", "bond", "debt"),
+    ("{B} puts", "option", "option"), ("{B} Bitcoin Trust", "crypto", "crypto"), ("{B} exchange traded", "etf", None), ("{B} Growth Fund", "fund", None), ("{B} hedge fund note", "other", "private"), ("{B} common", "other", None), ("{B} warrants", "other", "preferred"), ("{B} Treasury bill", "bond", "debt"),
+]
+
+
+@query("str23_described_class", f"select p_partkey, {_by_name([d[1] for d in DESCRIBED], 'varchar')} as class, {_by_name([d[2] for d in DESCRIBED], 'varchar')} as reason from part")
+def _(t: Tables) -> DataFrame:
+    text = F.expr(written([d[0] for d in DESCRIBED]))
+    return t.part.select("p_partkey", assets.described_class(text).alias("class"), assets.never_matched(text).alias("reason"))

@@ -90,3 +90,12 @@ select key, ts, action, until, strikes::int as strikes, reason from f where n >
 def _(t: Tables) -> DataFrame:
     out = backoff.replay(price_attempts(t))
     return out.select("key", F.unix_micros("ts").alias("ts"), "action", F.unix_micros("until").alias("until"), "strikes", "reason")
+
+
+@query("dat15_waits", f"""with x as (select event_id, event_id % 12 - 1 as n, case event_id % 3 when 0 then '429' when 1 then 'blocked' else 'not-found' end as reason, event_id % 5 <> 0 as known from events)
+select event_id, case reason when 'not-found' then {24 * 60} else least(20 * (1 << least(greatest(n, 0), 8)), case when known then 180 else 30 end) end::bigint as price_minutes, case reason when 'blocked' then {12 * 60} else least(case reason when '429' then 15 else 5 end * (1 << least(greatest(n, 0), 6)), 360) end::bigint as source_minutes from x""")
+def _(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    strikes, reason, known = (k % 12 - 1).cast("int"), F.element_at(F.array(*map(F.lit, ("429", "blocked", "not-found"))), (k % 3 + 1).cast("int")), k % 5 != 0
+    minutes = lambda p: F.floor(backoff.waits(p, strikes, reason, known) / backoff.MINUTE)
+    return t.events.select("event_id", minutes(backoff.PRICES).alias("price_minutes"), minutes(backoff.SOURCES).alias("source_minutes"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import holdings as h
+from ..operators import writes
+from ..sources.kept import kept
 from ..sources.tables import Tables
 from .registry import query
 
@@ -15,8 +17,12 @@ MER = "mer as (select n_name as instrument, case when n_nationkey % 4 = 3 then n
 
 
 def current(t: Tables) -> DataFrame:
-    last = t.versions.groupBy("model_key").agg(F.max("effective_date").alias("effective_date"))
-    return t.version_holdings.join(last, ["model_key", "effective_date"]).select("model_key", "instrument", "weight")
+    """Each model's last version: one pass over the versions, written once for all parts of a query."""
+    if "current" not in t.__dict__:
+        last = F.max("effective_date").over(Window.partitionBy("model_key"))
+        x = t.version_holdings.withColumn("last", last).where("effective_date = last").select("model_key", "instrument", "weight")
+        t.__dict__["current"] = kept(x, "current")
+    return t.__dict__["current"]
 
 
 def instruments(t: Tables) -> DataFrame:
@@ -88,10 +94,10 @@ BOOKS = f"""{LATEST}, book as (select model_key, instrument, weight * case model
   instrument in ('BRAZIL', 'CHINA') and model_key <> 'HOUSEHOLD' as cash from cur)"""
 
 
-def books(t: Tables) -> tuple[DataFrame, Column]:
+def books(t: Tables, share: float) -> tuple[DataFrame, float, Column]:
     cash = F.col("instrument").isin("BRAZIL", "CHINA")
     part = F.when(F.col("model_key") == "BUILDING", 0.97).when(F.col("model_key") == "FURNITURE", 0.997).otherwise(1.0) * F.when((F.col("model_key") == "MACHINERY") & cash, 0.001).otherwise(1.0)
-    return current(t).withColumn("weight", F.col("weight") * part), cash & (F.col("model_key") != "HOUSEHOLD")
+    return current(t).withColumn("weight", F.col("weight") * part), share, cash & (F.col("model_key") != "HOUSEHOLD")
 
 
 @query("fin27_fund_new_holding", f"""with {BOOKS}, a as (select model_key, sum(weight) as s, sum(weight) filter (not cash) as nc, sum(weight) filter (cash) as c, count(*) filter (cash) as n from book group by 1),
@@ -100,7 +106,7 @@ x as (select *, weight * 9500 / sum(weight) over (partition by model_key) as x f
 g as (select *, 9500 - sum(f) over (partition by model_key) as short, row_number() over (partition by model_key order by round(x - f, 9) desc, instrument) as k from f)
 select model_key, instrument, (f + case when k <= short then 1 else 0 end) / 10000.0::double as weight, true as can_add from g union all select distinct model_key, 'NEW', 0.05::double, true from book""", "version_holdings")
 def _(t: Tables) -> DataFrame:
-    return h.fund_proportional(books(t)[0], 0.05, books(t)[1])
+    return h.fund_proportional(*books(t, 0.05))
 
 
 @query("fin27_from_cash", f"""with {BOOKS}, u as (select *, round(weight * 10000)::bigint as u, min(instrument) filter (cash) over (partition by model_key) as giver, sum(round(weight * 10000)::bigint) over (partition by model_key) as total from book),
@@ -108,12 +114,12 @@ m as (select *, max(u - 500) filter (instrument = giver) over (partition by mode
 r as (select model_key, instrument, case when giver is null then weight when instrument = giver then (case when after >= 0 and abs(total - 10000) <= 50 and others <= 9500 then 9500 - others else after end) / 10000.0::double else u / 10000.0::double end as weight, coalesce(after >= 0, false) as can_add from m)
 select * from r union all select distinct model_key, 'NEW', 0.05::double, can_add from r""", "version_holdings")
 def _(t: Tables) -> DataFrame:
-    return h.fund_from_cash(books(t)[0], 0.05, books(t)[1])
+    return h.fund_from_cash(*books(t, 0.05))
 
 
 @query("fin27_manual", f"with {BOOKS} select model_key, instrument, weight, true as can_add from book union all select distinct model_key, 'NEW', 0.05::double, true from book", "version_holdings")
 def _(t: Tables) -> DataFrame:
-    return h.fund_manual(books(t)[0], 0.05)
+    return h.fund_manual(*books(t, 0.05)[:2])
 
 
 @query("win18_tie_slices", """with recursive i as (select o_orderpriority as grp, n_name as item, count(*) as amount from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
@@ -176,3 +182,19 @@ q as (select *, 1000 - sum(p) over () as rest, row_number() over (order by total
 def _(t: Tables) -> DataFrame:
     g = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("class")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("total"))
     return h.percent_slices(g, [], "total", "class")
+
+
+@query("snk07_appended_versions", f"""with {LATEST}, d as (select model_key, max(effective_date) as day from version_holdings group by 1),
+i as (select model_key as key, case model_key when 'FURNITURE' then day when 'MACHINERY' then day - 400 else day + 30 end as effective_date, instrument, case when model_key in ('BUILDING', 'FURNITURE', 'MACHINERY') and instrument = (select min(instrument) from cur c where c.model_key = cur.model_key) then weight + 0.001 else weight end as weight from cur join d using (model_key)
+  union all select 'NEW', date '1999-01-01', 'X', 1.0::double) select * from i where key in ('BUILDING', 'NEW')""", "version_holdings")
+def _(t: Tables) -> DataFrame:
+    """A changed version, equal ones, changed ones of a stored day and of an earlier one, and one of a new model."""
+    stored = t.version_holdings.withColumnRenamed("model_key", "key")
+    w = Window.partitionBy("model_key")
+    day = t.version_holdings.groupBy("model_key").agg(F.max("effective_date").alias("day"))
+    x = current(t).join(day, "model_key").withColumn("first", F.min("instrument").over(w) == F.col("instrument"))
+    date = F.when(F.col("model_key") == "FURNITURE", F.col("day")).when(F.col("model_key") == "MACHINERY", F.date_sub("day", 400)).otherwise(F.date_add("day", 30))
+    moved = F.col("model_key").isin("BUILDING", "FURNITURE", "MACHINERY") & F.col("first")
+    incoming = x.select(F.col("model_key").alias("key"), date.alias("effective_date"), "instrument", (F.col("weight") + F.when(moved, 0.001).otherwise(0.0)).alias("weight"))
+    new = t.spark.sql("select 'NEW' as key, date '1999-01-01' as effective_date, 'X' as instrument, double(1) as weight")
+    return writes.append_versions(stored, incoming.unionByName(new))

@@ -57,6 +57,16 @@ def next_state(policy: Policy, until: int | None, strikes: int, held: str | None
     return "miss", ts + wait, strikes + 1, reason
 
 
+def waits(policy: Policy, strikes: Column, reason: Column, known: Column) -> Column:
+    """The wait after a miss, in microseconds, by the misses before it."""
+    number = lambda x: F.lit(x).cast("bigint")
+    base = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in policy.base.items() for x in (F.lit(k), number(v)))), reason), number(policy.base[""]))
+    climbed = base * F.pow(F.lit(2.0), F.least(F.greatest(strikes, F.lit(0)), F.lit(policy.most_doublings))).cast("bigint")
+    capped = F.least(climbed, F.when(known, number(policy.longest)).otherwise(number(min(policy.longest, policy.longest_unknown))))
+    fixed = [x for k, v in policy.fixed.items() for x in (F.lit(k), number(v[0]))]
+    return F.coalesce(F.try_element_at(F.create_map(*fixed), reason), capped)
+
+
 def replay(attempts: DataFrame, policy: Policy = PRICES) -> DataFrame:
     """(key, ts, action, until, strikes, reason) of all attempts (key, ts, reason, known, resumes): a fold over each key's history.
 
@@ -68,11 +78,8 @@ def replay(attempts: DataFrame, policy: Policy = PRICES) -> DataFrame:
     number = lambda x: F.lit(x).cast("bigint")
 
     def wait(acc: Column, a: Column) -> Column:
-        base = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in policy.base.items() for x in (F.lit(k), number(v)))), a["reason"]), number(policy.base[""]))
-        climbed = base * F.pow(F.lit(2.0), F.least(acc["strikes"], F.lit(policy.most_doublings))).cast("bigint")
-        capped = F.least(climbed, F.when(a["known"], number(policy.longest)).otherwise(number(min(policy.longest, policy.longest_unknown))))
-        capped = F.when((a["reason"] == ALL_WAIT) & (a["resumes"] > a["ts"]), F.least(capped, a["resumes"] - a["ts"])).otherwise(capped)
-        return F.coalesce(F.try_element_at(F.create_map(*(x for k, v in policy.fixed.items() for x in (F.lit(k), number(v[0])))), a["reason"]), capped)
+        usual = waits(policy, acc["strikes"], a["reason"], a["known"])
+        return F.when((a["reason"] == ALL_WAIT) & (a["resumes"] > a["ts"]), F.least(usual, a["resumes"] - a["ts"])).otherwise(usual)
 
     def step(acc: Column, a: Column) -> Column:
         skipped, answered = F.coalesce(a["ts"] < acc["until"], F.lit(False)), a["reason"].isNull()

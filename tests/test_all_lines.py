@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.01"
 def test_lines_of_all_orders(spark):
     orders = defaultdict(lambda: defaultdict(list))
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect():
-        orders[r.l_orderkey][r.l_linenumber].append(str(r.l_partkey))
-    want = {(k, n): " ".join(sorted(lines[at])) for k, lines in orders.items() for n, at in enumerate(sorted(lines))}
+        orders[r.l_orderkey][r.l_linenumber].append(r.l_partkey)
+    want = {(k, n): " ".join(map(str, sorted(lines[at]))) for k, lines in orders.items() for n, at in enumerate(sorted(lines))}
     got = QUERIES["win22_text_lines"](spark, SF).collect()
     assert max(orders) > 2000 and len(got) == len(want) and {(r.doc, r.line): r.text for r in got} == want
 
