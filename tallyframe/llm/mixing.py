@@ -294,10 +294,15 @@ def mix(
 
 
 def shard_rows(mixed: DataFrame, shard: str = "shard") -> DataFrame:
-    """The mix itself: one row per copy with its shard (in a column of that name), each shard shuffled within."""
+    """The mix itself: one row per copy with its shard (in a column of that name), each shard shuffled within.
+
+    A shard is dealt into pieces by place, so that all of them are as many as the cluster's shuffle partitions, eight at least.
+    """
+    tasks = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(8, -(-tasks // SHARDS))
     keep = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_taken", "_passes", shard)]
     rows = mixed.select(*keep, F.explode("_passes").alias("_p")).select(*keep, F.col("_p.shard").alias(shard), F.col("_p.place").alias("_place"))
-    return rows.repartition(shard, F.pmod("_place", F.lit(8))).sortWithinPartitions(shard, "_place").drop("_place")
+    return rows.repartition(shard, F.pmod("_place", F.lit(pieces))).sortWithinPartitions(shard, "_place").drop("_place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
