@@ -52,6 +52,30 @@ def risk_metrics(joint: DataFrame, by: list[str], rf: float = 0.04, decimals: in
     return a.join(drawdown, by) if by else a.crossJoin(drawdown)  # without keys both have one row
 
 
+# The measures by which a proposed book is held against the one there is.
+COMPARED = ("sharpe", "sortino", "info_ratio", "volatility", "max_drawdown", "beta", "tracking_error", "ann_return")
+
+
+def static_deltas(metrics: DataFrame) -> DataFrame:
+    """(measure, baseline, proposed, delta) of risk_metrics by side, which is baseline or proposed; a delta needs both."""
+    long = metrics.select("side", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in COMPARED))).alias("m"))
+    one = lambda s: F.max(F.when(F.col("side") == s, F.col("m.v")))
+    x = long.groupBy("m.measure").agg(one("baseline").alias("baseline"), one("proposed").alias("proposed"))
+    return x.select("measure", "baseline", "proposed", (F.col("proposed") - F.col("baseline")).alias("delta"))
+
+
+def projection_coverage(weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """(symbol, weight, covered, coverage) of a proposed book: whether a symbol has a monthly return, and the share of all weight that has."""
+    from pyspark.sql import Window
+
+    there = returns.where(F.col("r").isNotNull()).select("symbol", F.lit(True).alias("_there")).distinct()
+    x = weights.join(there, "symbol", "left").withColumn("covered", F.coalesce("_there", F.lit(False)))
+    every = Window.partitionBy()  # a book has a row for each holding
+    total = F.sum("weight").over(every)
+    share = F.coalesce(F.sum(F.when(F.col("covered"), F.col("weight"))).over(every), F.lit(0.0)) / total
+    return x.select("symbol", "weight", "covered", F.when(total > 0, share).otherwise(0.0).alias("coverage"))
+
+
 def mu_sigma(returns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Yearly means (symbol, mu, n) of symbols with three months or more, and pairwise complete covariances (a, b, cov).
 

@@ -353,3 +353,27 @@ def _(t: Tables) -> DataFrame:
 @query("dat03_last_complete_month", "select symbol, date, cast(case when date >= last_day(date) then date_trunc('month', date) else date_trunc('month', date) - interval 1 month end as date) as month from daily_points", "daily_points")
 def _(t: Tables) -> DataFrame:
     return t.daily_points.select("symbol", "date", series.last_complete_month(F.col("date")).alias("month"))
+
+
+def _side_sql(bk: str) -> str:
+    """The risk of a book with other weights."""
+    own = "bk as (select symbol, (n + 1 - i) / (n * (n + 1) / 2.0::double) as weight from sy)"
+    return _RISK.replace(own, f"bk as ({bk})")
+
+
+@query("fin13_deltas", f"with b as ({_RISK}), p as ({_side_sql('select symbol, 1 / n::double as weight from sy')}) " + " union all ".join(f"select '{m}' as measure, b.{m} as baseline, p.{m} as proposed, round(p.{m} - b.{m}, 7) as delta from b, p" for m in risk.COMPARED), "price_points")
+def _(t: Tables) -> DataFrame:
+    """The book against one of equal weights, all measures with the benchmark."""
+    weights, bench = book(t)
+    equal = weights.select("symbol", (1 / F.count("*").over(Window.partitionBy())).alias("weight"))
+    sides = weights.withColumn("side", F.lit("baseline")).unionByName(equal.withColumn("side", F.lit("proposed")))
+    r = grid_returns(t)
+    b = series.blend(r, bench).select("month", F.col("r").alias("b"))
+    joined = series.blend(r, sides, by=["side"]).join(b, "month", "left").select("side", "month", "r", "b")
+    return risk.static_deltas(risk.risk_metrics(joined, ["side"])).withColumn("delta", F.round("delta", 7))
+
+
+@query("fin13_coverage", f"with {GRID}, w as (select n_name as symbol, 0.5 + n_nationkey::double as weight from nation union all select 'NONE', 10.0), c as (select w.*, symbol in (select symbol from rt where r is not null) as covered from w) select *, round(sum(weight) filter (covered) over () / sum(weight) over (), 9) as coverage from c", "price_points")
+def _(t: Tables) -> DataFrame:
+    weights = t.nation.select(F.col("n_name").alias("symbol"), (F.lit(0.5) + F.col("n_nationkey")).alias("weight")).unionByName(t.spark.sql("select 'NONE' as symbol, double(10) as weight"))
+    return risk.projection_coverage(weights, grid_returns(t)).withColumn("coverage", F.round("coverage", 9))
