@@ -29,7 +29,9 @@ SPELLED = ("plc", "llc", "nv", "sa", "ag", "lp")
 # Words that say what a share is, not whose: of funds, and of others.
 FUND_NOISE, SHARE_NOISE = "etf fund trust shares share shs".split(), "common ordinary stock shares share shs".split()
 MOST_TAILS, MOST_RECEIPTS = 8, 4
-_CLASS = r"\b(?:class|cl|series)(?: (?:class|cl|series))* ([a-c])\b"
+# Words before a share's class letter, any number of them.
+CLASS_WORDS = ("class", "cl", "series")
+_CLASS = rf"\b(?:(?:{'|'.join(CLASS_WORDS)}) )+([a-c])\b"
 
 
 def is_traded_fund(text: Column) -> Column:
@@ -71,38 +73,53 @@ def asset_name(raw: Column) -> Column:
 
 # ---- what a description says ----------------------------------------------------------------------------
 
-# Words of each kind.
-DEBT_WORDS = "bond bonds note notes debenture debentures muni munis municipal municipals callable".split()
+# Words and phrases of each kind.
+PRIVATE = ["private equity", "private fund", "private credit", "private investment", "hedge fund"]
+DEBT = (
+    "bond bonds note notes debenture debentures muni munis municipal municipals callable tbill tbills t-bill t-bills tnote tnotes t-note t-notes tbond tbonds t-bond t-bonds".split()
+    + ["treasury bill", "treasury bills", "treasury security", "treasury securities"]
+)
+TREASURIES = ["us treasur", "u s treasur", "united states treasur"]
+PREFERRED = ["warrant", "warrants", "pfd", "perp", "perpetual", "depositary share", "depositary shares", "preferred stock", "preferred shares", "preferred series"]
+OPTIONS, COINS = ["call", "calls", "put", "puts", "option", "options"], ["bitcoin", "ethereum", "crypto"]
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
-def _any_word(text: Column, words: list[str]) -> Column:
-    return text.rlike(rf"(?i)\b(?:{'|'.join(words)})\b")
+def _says(text: Column, phrases: list[str]) -> Column:
+    """Whether a text holds one of the phrases as whole words, in any case and spacing."""
+    return text.rlike(rf"(?i)\b(?:{'|'.join(p.replace(' ', '[ ]+') for p in phrases)})\b")
 
 
 def is_private_fund(text: Column) -> Column:
-    return text.rlike(r"(?i)\bprivate\s+(?:equity|fund|credit|investment)\b|\bhedge\s+fund\b")
+    return _says(text, PRIVATE)
+
+
+def _has_due_date(text: Column) -> Column:
+    """Whether the word due stands before a year, a date in figures, or a month and a day."""
+    after = F.regexp_extract_all(text, F.lit(r"(?i)\bdue +(\S+(?: +\S+)?)"), F.lit(1))
+    figures = lambda d: d.rlike(r"^[0-9]{4}") | d.rlike(r"^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2}")
+    month = lambda d: F.lower(F.left(d, F.lit(3))).isin(*MONTHS) & d.rlike(r"^[A-Za-z]+[.]? +[0-9]")
+    return F.exists(after, lambda d: figures(d) | month(d))
 
 
 def is_debt(text: Column) -> Column:
     """Words for debt, treasuries, a due date, or a coupon; never a fund that is traded."""
-    treasury = text.rlike(r"(?i)\b(?:u\.?\s*s\.?|united states)\s+treasur|\btreasur(?:y|ies)\s+(?:bill|securit)|\bt-?bills?\b")
-    due = text.rlike(rf"(?i)\bdue\s+(?:\d{{4}}|\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|(?:{'|'.join(MONTHS)})[a-z]*\.?\s+\d)")
-    coupon = text.rlike(r"\b\d{1,2}(?:\.\d+)?\s*%")
-    return ~is_traded_fund(text) & (_any_word(text, DEBT_WORDS) | text.rlike(r"(?i)\bt-?(?:notes?|bonds?)\b") | treasury | due | coupon)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), "[.]", ""), " +", " ")
+    treasury = reduce(lambda c, t: c | bare.startswith(t) | bare.contains(f" {t}"), TREASURIES, F.lit(False))
+    coupon = text.rlike(r"\b[0-9]{1,2}([.][0-9]+)? *%")
+    return ~is_traded_fund(text) & (_says(text, DEBT) | treasury | _has_due_date(text) | coupon)
 
 
 def is_preferred(text: Column) -> Column:
     """Preferred shares, perpetuals, depositary shares and warrants; never a fund that is traded."""
-    marks = _any_word(text, ["warrant", "warrants", "pfd", "perp", "perpetual"]) | text.rlike(r"(?i)\bdepositary\s+shares?\b|\bpreferred\s+(?:stock|shares|series)\b")
-    return ~is_traded_fund(text) & marks
+    return ~is_traded_fund(text) & _says(text, PREFERRED)
 
 
 def described_class(text: Column) -> Column:
     """other (private funds too), bond, option, crypto, etf or fund, the first that fits."""
     return (
-        F.when(is_private_fund(text), "other").when(is_debt(text), "bond").when(_any_word(text, ["call", "calls", "put", "puts", "option", "options"]), "option")
-        .when(_any_word(text, ["bitcoin", "ethereum", "crypto"]), "crypto").when(is_traded_fund(text), "etf").when(_any_word(text, ["fund"]), "fund").otherwise("other")
+        F.when(is_private_fund(text), "other").when(is_debt(text), "bond").when(_says(text, OPTIONS), "option")
+        .when(_says(text, COINS), "crypto").when(is_traded_fund(text), "etf").when(_says(text, ["fund"]), "fund").otherwise("other")
     )
 
 

@@ -29,8 +29,11 @@ def _names_status(text: Column, *codes: int) -> Column:
 def is_spent(message: Column, status: Column) -> Column:
     """Whether a source has refused for now: too many requests, forbidden, or a quota that is used up."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    told = _names_status(m, 429, 403) | (m.rlike(r"\b(?:429|403)\b") & _has(m, REFUSED)) | _has(m, SPENT) | m.rlike(r"out of .{0,60}credits")
-    free_key = m.rlike(r"alpha vantage:\s*(?:note|information|.*limit|.*premium)")
+    spent = F.regexp_extract(m, "out of (.{0,67})", 1).contains("credits")
+    told = _names_status(m, 429, 403) | (m.rlike(r"\b(?:429|403)\b") & _has(m, REFUSED)) | _has(m, SPENT) | spent
+    # This source says so in a message beside an answer that is in order.
+    said = F.trim(F.substring_index(F.concat(m, F.lit("alpha vantage:")), "alpha vantage:", -2))
+    free_key = m.contains("alpha vantage:") & (said.startswith("note") | said.startswith("information") | _has(said, ("limit", "premium")))
     return F.coalesce(status.isin(429, 403), F.lit(False)) | told | free_key
 
 

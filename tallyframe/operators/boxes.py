@@ -73,7 +73,10 @@ def print_lines(boxes: DataFrame) -> DataFrame:
 # ---- scanned trades -------------------------------------------------------------------------------------
 
 DATE = r"\d{1,2}/\d{1,2}/\d{4}"
-OWNER_PREFIX = r"(?i)^(spouse|joint|dependent child|child)\s*[:-]\s*"
+# Owners that may stand before an asset's name, with a colon or a dash; what a scan puts before one.
+OWNER_WORDS = ("spouse", "joint", "dependent child", "child")
+OWNER_PREFIX = rf"(?i)^({'|'.join(OWNER_WORDS)}) ?[:-] ?"
+SPECKS = "0123456789|_-–—. "
 
 
 def scanned_trades(words: DataFrame, this_year: int) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +100,7 @@ def scanned_trades(words: DataFrame, this_year: int) -> tuple[DataFrame, DataFra
     read = F.filter(F.array("_side.confidence", "_dated.confidence", first["confidence"], F.get("_sums", F.lit(1))["confidence"]), lambda c: c.isNotNull())
     edge = F.coalesce(F.col("_side.x"), F.col("_dated.x"), F.lit(float("inf")))
     name_words = F.filter("words", lambda w: (w["x"] < edge - 2) & ~F.trim(w["text"]).rlike(r"^\d{1,3}$"))
-    name = F.regexp_replace(squeezed(F.array_join(text_of(name_words), " ")), r"^[0-9|_\-–—.\s]+", "")
+    name = F.ltrim(squeezed(F.array_join(text_of(name_words), " ")), F.lit(SPECKS))
     rows = rows.withColumns({
         "_name": F.trim(name), "date": loose_date(F.regexp_extract("_dated.text", DATE, 0)), "confidence": F.round(F.coalesce(F.array_min(read), F.lit(0)), 0).cast("int"),
         "amount": F.when(F.size("_sums") >= 2, amount_range(F.concat_ws(" - ", first["text"], last["text"]))), "_word": type_word(F.col("_side.text")),

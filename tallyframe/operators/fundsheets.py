@@ -73,8 +73,9 @@ def periods(text: Column, kind: Column) -> Column:
     table = F.regexp_extract(text, rf"(?is)((?:(?:\d+\s*(?:mth|yr)s?|since incep(?:tion)?\.?)\s+){{3,}})trailing return\s*%?\s+((?:{_NUMBER}\s*)+)", 0)
     names = F.transform(F.regexp_extract_all(F.regexp_extract(table, r"(?is)^(.*?)trailing return", 1), F.lit(f"({head})"), F.lit(1)), lambda n: _period(F.regexp_replace(n, r"(?i)(\d)\s*(mth|yr)s?", "$1 $2")))
     rowed = _zipped(names, F.regexp_extract_all(F.regexp_extract(table, r"(?is)trailing return\s*%?\s+(.*)$", 1), F.lit(f"({_NUMBER})"), F.lit(1)))
-    decade = F.regexp_extract(text, rf"(?is)ten years ago.{{0,240}}?annual compound return of\s*({_NUMBER})\s*%", 1)
-    whole = F.regexp_extract(text, rf"(?is)annual compound return of\s*({_NUMBER})\s*%", 1)
+    compound = rf"(?i)annual compound return of +({_NUMBER}) ?%"
+    decade = F.regexp_extract(F.regexp_extract(text, "(?is)ten years ago(.{0,300})", 1), compound, 1)
+    whole = F.regexp_extract(text, compound, 1)
     told = _zipped(F.array(F.when(decade != "", "y10ann").otherwise("inceptionAnn")), F.array(F.when(decade != "", decade).otherwise(whole)))
     return F.when(kind == "pulse", listed).when(kind == "monthly", rowed).otherwise(told)
 
@@ -106,11 +107,13 @@ def fund_sheets(docs: DataFrame) -> DataFrame:
     performed = pick(lambda k: {"pulse": F.coalesce(day_after(F.col("text"), r"performance\s*\(class"), day_after(F.col("text"), "standard period returns")), "monthly": F.coalesce(day_after(F.col("text"), "performance analysis for series"), day_after(F.col("text"), "portfolio analysis as of")), "facts": day_after(F.col("text"), r"series\s+[A-Z0-9]+\s")}[k])
     allotted = pick(lambda k: {"pulse": F.coalesce(day_after(F.col("text"), r"\nallocation\s*\n"), day_after(F.col("text"), "asset mix")), "monthly": day_after(F.col("text"), "portfolio analysis as of"), "facts": day_after(F.col("text"), "investment mix|as of|as at")}[k])
     mer = F.regexp_extract("text", r"(?i)\b(?:MER|management expense ratio)\b[^0-9\n]{0,40}(\d+(?:\.\d+)?)\s*%?", 1).try_cast("double")
-    nav = rf"(?is)NAV\s*[-–]\s*Class\s+[A-Z0-9]+\s*\$?\s*([\d.]+)\s*\(\s*as at\s+({DAY})\s*\)"
-    plain = r"(?i)Series\s+[A-Z0-9]+\s+NAV\s*\$?\s*([\d.]+)"
+    # What follows the class, or the series, of a price: a sum of dollars, and in brackets its day.
+    priced = F.regexp_extract("text", "(?is)NAV *[-–] *Class(.{0,80})", 1)
+    dollars = lambda c: F.regexp_extract(c, r"[$] ?([0-9]+[.]?[0-9]*)", 1)
+    listed = F.regexp_extract("text", "(?is)Series +[A-Z0-9]+ +NAV(.{0,30})", 1)
     x = x.withColumns({"sectors": weights(sectors), "countries": weights(countries), "performed": performed, "allotted": allotted, "mer": F.when((mer > 0) & (mer < 10), mer)})
-    nav_value = F.when(F.col("kind") == "monthly", F.regexp_extract("text", plain, 1)).otherwise(F.regexp_extract("text", nav, 1)).try_cast("double")
-    nav_day = F.when(F.col("kind") == "monthly", F.coalesce("performed", "allotted")).otherwise(_day(F.regexp_extract("text", nav, 2)))
+    nav_value = F.when(F.col("kind") == "monthly", dollars(listed)).otherwise(dollars(priced)).try_cast("double")
+    nav_day = F.when(F.col("kind") == "monthly", F.coalesce("performed", "allotted")).otherwise(day_after(priced, r"[(]"))
     there = (nav_value > 0) & nav_day.isNotNull()
     geo = F.when(F.col("kind") == "monthly", F.filter("countries", lambda r: r["label"].isin(*GEOGRAPHY))).otherwise(F.col("countries"))
     return x.select(

@@ -19,7 +19,6 @@ SUDDEN, NEIGHBOURS = 0.4, 5
 HEADINGS = {"date": "date", "open": "open", "high": "high", "low": "low", "close": "close", "adjclose": "adj", "volume": "volume", "vol": "volume"}
 MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 DATED = rf"(?i)^({MONTH} +\d{{1,2}}, +20\d\d|\d{{4}}-\d\d-\d\d|\d{{1,2}}/\d{{1,2}}/20\d\d)"
-NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 FIELDS = "abcdefgh"
 
 
@@ -51,7 +50,7 @@ def sheet_rows(docs: DataFrame) -> DataFrame:
     fields = F.from_csv(F.substring("rest", 2, 1 << 20), F.lit(", ".join(f"{f} string" for f in FIELDS)))
     is_csv = F.col("rest").startswith(",")
     listed = F.array(*(_value(fields[f]) for f in FIELDS))
-    loose = F.transform(F.regexp_extract_all("rest", F.lit(NUMBER), F.lit(0)), _value)
+    loose = F.filter(F.transform(F.split(F.trim("rest"), r"\s+"), _value), lambda n: n.isNotNull())
     x = x.withColumns({"_csv": is_csv, "v": F.when(is_csv & F.col("head").isNotNull(), listed).when(is_csv, F.filter(listed, lambda n: n.isNotNull())).otherwise(loose)})
     n = F.least(F.size("v"), F.lit(6))
     counted = F.try_element_at(F.create_map(*(c for k, names in BY_COUNT.items() for c in (F.lit(k), F.array(*map(F.lit, names))))), n)
