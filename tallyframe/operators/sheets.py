@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import detected_currency, detected_ticker, same_listing
 from ..functions.text import loose_date
 from .extract import lines
 
@@ -16,6 +17,8 @@ BY_COUNT = {1: ["close"], 2: ["close", "adj"], 4: ["open", "high", "low", "close
 AROUND = ("historical prices", "related tickers", "currency in", "delayed quote", "copyright", "premium plans", "all rights reserved")
 # A move between neighbouring days that is worth a warning, and how far apart these may be.
 SUDDEN, NEIGHBOURS = 0.4, 5
+#: Days of a preview's head and tail.
+ENDS = 5
 HEADINGS = {"date": "date", "open": "open", "high": "high", "low": "low", "close": "close", "adjclose": "adj", "volume": "volume", "vol": "volume"}
 MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 DATED = rf"(?i)^({MONTH} +\d{{1,2}}, +20\d\d|\d{{4}}-\d\d-\d\d|\d{{1,2}}/\d{{1,2}}/20\d\d)"
@@ -84,3 +87,29 @@ def price_sheet(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     same = days.groupBy("id").agg(F.count("*").alias("points"), (F.sum("n") - F.count("*")).alias("duplicates"), F.count_if(F.col("prices") > 1).alias("unlike"))
     counts = docs.select("id").join(kinds, "id", "left").join(same, "id", "left")
     return points, events, counts.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("points", "dividends", "splits", "incomplete", "duplicates", "invalid", "unlike")))
+
+
+def preview(docs: DataFrame, existing: DataFrame, holdings: DataFrame) -> DataFrame:
+    """What an upload (id, text) would do to its holding (id, symbol, currency), a row each: its ticker and currency, how many days it has and from
+    when to when, the first and last five of more than ten, whether the ticker is the holding's (null: it names none), whether the currencies differ, and
+    how many days are added, changed and unchanged beside those that exist (id, date, close).
+    """
+    points, _, counts = price_sheet(docs)
+    one = F.struct("date", "close", "adj")
+    series = points.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("s"), F.count_if("sudden").alias("sudden"))
+    old = existing.select("id", "date", F.col("close").alias("_old"))
+    both = points.select("id", "date", "close").join(old, ["id", "date"], "left")
+    overlap = both.groupBy("id").agg(F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(F.col("_old") != F.col("close")).alias("changed"), F.count_if(F.col("_old") == F.col("close")).alias("unchanged"))
+    told = docs.select("id", detected_ticker(F.col("text")).alias("ticker"), detected_currency(F.col("text")).alias("currency"))
+    x = told.join(holdings.select("id", "symbol", F.col("currency").alias("_held")), "id", "left").join(series, "id", "left").join(overlap, "id", "left").join(counts.select("id", (F.col("dividends") + F.col("splits") + F.col("incomplete") + F.col("duplicates") + F.col("invalid")).alias("skipped")), "id")
+    n = F.coalesce(F.size("s"), F.lit(0))
+    ends = n > 2 * ENDS
+    none = F.array().cast(x.schema["s"].dataType)
+    part = lambda first, many: F.slice("s", first, many)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return x.select(
+        "id", "ticker", "currency", F.when(n > 0, n).otherwise(0).cast("long").alias("rows"), F.get("s", F.lit(0))["date"].alias("first_date"), F.get("s", n - 1)["date"].alias("last_date"), F.get("s", n - 1)["close"].alias("last_close"),
+        F.coalesce(F.when(ends, part(1, ENDS)).otherwise(F.col("s")), none).alias("head"), F.when(ends, part(-ENDS, ENDS)).otherwise(none).alias("tail"),
+        F.when(F.col("ticker").isNotNull() & F.col("symbol").isNotNull(), same_listing(F.col("ticker"), F.col("symbol"))).alias("ticker_match"), F.coalesce(F.upper("currency") != F.upper("_held"), F.lit(False)).alias("currency_mismatch"),
+        number("skipped"), number("sudden"), number("added"), number("changed"), number("unchanged"),
+    )

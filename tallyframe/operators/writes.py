@@ -51,6 +51,12 @@ def batch_status(payload: DataFrame, instruments: DataFrame) -> DataFrame:
     return x.withColumn("status", status.when(F.col("value") <= 0, "bad_value").when(F.col("ord") < last, "superseded").otherwise("accepted")).drop("d", "type")
 
 
+def seed_if_empty(stored: DataFrame, seed: DataFrame) -> DataFrame:
+    """The stored rows, or the seed where there is none: the seed's scan is skipped by a join with at most one row."""
+    any_row = stored.limit(1).select(F.lit(True).alias("_any"))
+    return stored.unionByName(seed.join(F.broadcast(any_row), F.lit(True), "left_anti"))
+
+
 def append_versions(stored: DataFrame, incoming: DataFrame, eps: float = 1e-6) -> DataFrame:
     """The rows (key, effective_date, instrument, weight) that are appended: incoming versions of keys whose last stored version is another
     set of weights, or that have none. A version of a day that is stored, or before the last, is not appended.

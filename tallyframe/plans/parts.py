@@ -417,3 +417,30 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.customer.select(F.col("c_custkey").alias("id"), F.lit("Date\tClose\n2024-01-02\t5.5\nsplit 2:1\n2024-01-03\t-1\n").alias("text"))
     return extract.price_history(rows)[1]
+
+
+@query("rec10_upload_previews", """with k as (select c_custkey as id, c_custkey % 4 as k, c_custkey % 14 as n, c_custkey % 5 as h, date '2021-01-04' + cast(c_custkey % 200 as int) as d from customer),
+s as (select id, d + i::int as date, 100.5 + i::double as close, case when i % 2 = 0 then 99.5 + i::double end as adj, i from k, range(14) r(i) where i < n), a as (select id, list({'date': date, 'close': close, 'adj': adj} order by date) as s, count(*) as rows, min(date) as first_date, max(date) as last_date, max(close) as last_close from s group by 1)
+select k.id, case when k = 0 then null else 'ABC' end as ticker, case when k = 1 then null else 'USD' end as currency, coalesce(rows, 0) as rows, first_date, last_date, last_close, case when rows > 10 then s[1:5] else coalesce(s, []) end as head, case when rows > 10 then s[-5:] else [] end as tail,
+case when k <> 0 then h <> 0 end as ticker_match, k <> 1 and h = 1 as currency_mismatch, 1::bigint as skipped, 0::bigint as sudden, greatest(n - 3, 0)::bigint as added, (n > 1)::bigint as changed, least(greatest(n, 0), 3)::bigint - (n > 1)::bigint as unchanged from k left join a using (id)""")
+def _(t: Tables) -> DataFrame:
+    """Uploads of up to 13 days; three days are stored, one of them otherwise."""
+    k = F.col("c_custkey")
+    first = F.date_add(F.lit("2021-01-04").cast("date"), (k % 200).cast("int"))
+    day = lambda i: F.concat_ws("  ", F.date_format(F.date_add(first, i), "MMM d, yyyy"), (F.lit(100.5) + i).cast("string"), F.when(i % 2 == 0, (F.lit(99.5) + i).cast("string")))
+    days = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(13)), lambda i: i < k % 14), day), "\n")
+    head = F.concat_ws("\n", F.when(k % 4 != 0, "Acme Inc. (ABC)"), F.when(k % 4 != 1, "Currency in USD"), F.lit("Date  Close  Adj Close"))
+    docs = t.customer.select(k.alias("id"), F.concat_ws("\n", head, days, F.lit("Jan 5, 2021  no trade")).alias("text"))
+    stored = t.customer.select(k.alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.date_add(first, i).alias("date"), (F.lit(100.5) + F.when(i == 1, 50).otherwise(i)).alias("close")))).alias("p")).select("id", "p.*")
+    holdings = t.customer.select(k.alias("id"), F.when(k % 5 == 0, "XYZ").otherwise("abc").alias("symbol"), F.when(k % 5 == 1, "CAD").otherwise("usd").alias("currency"))
+    return sheets.preview(docs, stored, holdings)
+
+
+@query("rec17_seeded", "select 'kept' as part, n_nationkey as id from nation union all select 'seeded', r_regionkey from region")
+def _(t: Tables) -> DataFrame:
+    """A table that has rows keeps them; one that has none gets the seed."""
+    seed = t.region.select(F.col("r_regionkey").alias("id"))
+    stored = t.nation.select(F.col("n_nationkey").alias("id"))
+    both = ((n, writes.seed_if_empty(s, seed)) for n, s in (("kept", stored), ("seeded", stored.where("id < 0"))))
+    out = [x.select(F.lit(n).alias("part"), "id") for n, x in both]
+    return out[0].unionByName(out[1])
