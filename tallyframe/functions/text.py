@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ CLASS_RULES = (
 )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_ticker(raw: Column) -> Column:
     """Upper case without spaces, class marks as a dot; null where it is no ticker."""
     bare = F.regexp_replace(F.upper(F.trim(raw)), r"\s+", "")
@@ -93,9 +99,12 @@ def compact_dollars(x: Column) -> Column:
 
 def loose_date(text: Column) -> Column:
     """A date in one of several written forms; null if it is none or out of range."""
-    forms = ("yyyy-MM-dd", "M/d/yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd", "MMMM d, yyyy")
-    d = F.coalesce(*[F.try_to_date(F.trim(text), f) for f in forms])
-    return F.when(F.year(d).between(1990, 2100), d)
+    # The marks between its parts leave one form that can fit: each that does not would cost an exception.
+    read = lambda t: (
+        F.when(t.contains(","), F.when(F.instr(t, " ") == 4, F.try_to_date(t, "MMM d, yyyy")).otherwise(F.try_to_date(t, "MMMM d, yyyy"))).when(t.contains("/"), F.try_to_date(t, "M/d/yyyy"))
+        .when(t.contains("-"), F.try_to_date(t, "yyyy-MM-dd")).when(t.contains(" "), F.try_to_date(t, "d MMM yyyy")).when(F.length(t) >= 8, F.try_to_date(t, "yyyyMMdd"))
+    )
+    return once(once(F.trim(text), read), lambda d: F.when(F.year(d).between(1990, 2100), d))
 
 
 def escape_html(text: Column) -> Column:

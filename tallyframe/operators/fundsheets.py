@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import between_marks, is_no_label
-from ..functions.text import loose_date
+from ..functions.text import loose_date, once
 from .extract import labelled_percents
 
 # Periods as they are written, and their keys.
@@ -47,8 +47,8 @@ def day_after(text: Column, heading: str) -> Column:
 
 def weights(section: Column) -> Column:
     """(label, weight) of a section's labelled percents: positive ones, the first of each label, with one decimal, the largest first."""
-    rows = F.filter(labelled_percents(F.coalesce(section, F.lit(""))), lambda r: (r["percent"] > 0) & ~is_no_label(r["label"]))
-    first = F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["label"]), r["label"]) == i + 1)
+    rows = once(F.coalesce(section, F.lit("")), lambda s: F.filter(labelled_percents(s), lambda r: (r["percent"] > 0) & ~is_no_label(r["label"])))
+    first = once(rows, lambda xs: F.filter(xs, lambda r, i: F.array_position(F.transform(xs, lambda x: x["label"]), r["label"]) == i + 1))
     ranked = F.array_sort(F.transform(first, lambda r, i: F.struct((-r["percent"]).alias("k"), i.alias("i"), r["label"].alias("label"), F.round(r["percent"], 1).alias("weight"))))
     return F.transform(ranked, lambda r: F.struct(r["label"].alias("label"), r["weight"].alias("weight")))
 

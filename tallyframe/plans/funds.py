@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fundsheets
+from ..sources.kept import spread
 from ..sources.tables import Tables
 from .registry import query
 
@@ -22,7 +23,7 @@ def sheets(t: Tables) -> DataFrame:
     pulse = F.concat(F.lit("Sector Mix (%)\nTechnology "), a, F.lit(" %\nCountry Mix (%)\nJapan 10 %\nSource: x\nPerformance (Class F) as at June 30, 2026\nStandard Period Returns\n1 Mo "), b, F.lit("\n3 Year 5.5\nSince Inception -2\nCalendar Year Returns\nYTD 2025 2024\n1.5\n"), s(k % 7), F.lit("\n-3.25\n\nNAV - Class F $"), s(k % 30 + F.lit(10.5)), F.lit(" (as at June 30, 2026)"))
     monthly = F.concat(F.lit("Performance analysis for Series F as of May 31, 2026\n1 Mth 3 Mth 6 Mth 1 Yr 3 Yr Since incep.\nTrailing return % "), b, F.lit(" 2 3 -4.5 5 6\nCalendar returns % 2024 2025 YTD\n7.5 "), s(k % 7), F.lit(" 1.25 Fund\nPortfolio analysis as of May 31, 2026\nAsset mix\nCanada 55.5%\nOil 4%\nEquity style\nEquity sector allocation\nUtilities "), a, F.lit("%\nDisclosure\nSeries F NAV $ "), s(k % 30 + F.lit(10.5)), F.lit("\nSeries F MER % 2.5"))
     made = F.array(facts, F.when(k % 2 == 0, pulse).when(k % 5 == 1, monthly))
-    return t.customer.select(k.alias("id"), F.explode(F.filter(made, lambda x: x.isNotNull())).alias("text"))
+    return spread(t.customer.select(_K)).select(k.alias("id"), F.explode(F.filter(made, lambda x: x.isNotNull())).alias("text"))
 
 
 _FACTS = """c as (select c_custkey as id, c_custkey % 50 + 20.5::double as a, c_custkey % 9 + 1.25::double as b, c_custkey % 7 as y, c_custkey % 30 + 10.5::double as nav, c_custkey % 3 <> 0 as lists, case when c_custkey % 2 = 0 then 'pulse' when c_custkey % 5 = 1 then 'monthly' end as other from customer),

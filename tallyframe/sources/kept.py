@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tallyframe-{os.getpid()}-{uuid.uuid4().hex}/{name}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores: a small file comes in one task, however dear the work on each of its rows is."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to a new shared folder and read back, so its plan runs once and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
