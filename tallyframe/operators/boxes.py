@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import named, owner, type_word
 from ..functions.money import amount_range, asset_value, begins_with, squeezed
 from ..functions.text import asset_class, canonical_ticker, loose_date
+from ..sources.kept import kept
 
 # How far words of one line lie apart at most: in a scan at least LEAST units, else a share of the median height.
 LEAST_GAP, GAP_SHARE, DEFAULT_HEIGHT = 8.0, 0.55, 12.0
@@ -238,8 +239,8 @@ def schedule_rows(boxes: DataFrame) -> DataFrame:
     event = F.when(title, True).when(other, False).when(holds & F.col("_a") & F.col("_saw"), True)
     x = x.withColumn("_in", F.coalesce(F.last(event, ignorenulls=True).over(before), F.lit(False)))
     inside = F.col("_in") | F.col("_a")
-    kept = x.where((plain & inside & (none | holds)) | (other & ~F.col("_closed")))
-    return kept.select("doc", "page", "line", other.alias("ends"), "asset", named(F.col("_own"), OWNER_CODES, F.lit(None).cast("string")).alias("owner"), "value", (plain & none).alias("none"))
+    inner = x.where((plain & inside & (none | holds)) | (other & ~F.col("_closed")))
+    return inner.select("doc", "page", "line", other.alias("ends"), "asset", named(F.col("_own"), OWNER_CODES, F.lit(None).cast("string")).alias("owner"), "value", (plain & none).alias("none"))
 
 
 def schedule_holdings(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +250,7 @@ def schedule_holdings(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Assets whose value is none or not disclosed are counted as excluded, those whose value is no statutory range as
     unreadable; neither is guessed. Reports without the schedule wait for a scan's reading where they hold hardly any letters.
     """
-    rows = schedule_rows(boxes)
+    rows = kept(schedule_rows(boxes), "schedule")
     docs = rows.where("not none").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "line", "ends", "asset", "owner", "value"))).alias("rows"))
     parts = docs.select("doc", F.posexplode(F.arrays_zip(_continued(F.col("rows")).alias("nth"), F.col("rows").alias("r"))).alias("at", "v")).where("v.nth > 0")
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c.alias("c")))), lambda s: s["c"])

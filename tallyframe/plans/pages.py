@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import index_rows
 from ..operators import boxes, extract
+from ..operators.ranks import numbered
 from ..sources import files
-from ..sources.kept import shared_folder
+from ..sources.kept import shared_folder, spread
 from ..sources.tables import Tables
 from .registry import query
 
@@ -33,7 +34,7 @@ def _(t: Tables) -> DataFrame:
 #: A scan a part: a good trade, and by the part's key one whose word for the side, date, sum, confidence or name is not good enough.
 def scans(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    docs = t.part.select(k.alias("doc"), "p_partkey", "p_name")
+    docs = spread(t.part.select("p_partkey", "p_name")).select(k.alias("doc"), "p_partkey", "p_name")
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % 6 + 1).cast("int"))
     items = [
         (None, 1, 5, 10, "#"), (None, 1, 40, 10, "Description"),
@@ -61,7 +62,7 @@ def _(t: Tables) -> DataFrame:
 #: that are no ranges; without the schedule.
 def reports(t: Tables) -> DataFrame:
     k = F.col("c_custkey") % 5
-    docs = t.customer.select(F.col("c_custkey").alias("doc"), "c_custkey", "c_name")
+    docs = spread(t.customer.select("c_custkey", "c_name")).select(F.col("c_custkey").alias("doc"), "c_custkey", "c_name")
     whole, none, odd = k == 0, k == 1, k == 3
     table = whole | odd
     head = lambda page, y, a, o, v, i: [(table, page, a, y, "Asset"), (table, page, o, y + 1, "Owner"), (table, page, v, y, "Value of Asset"), (table, page, i, y + 2, "Income Type(s)")]
@@ -98,7 +99,7 @@ def _(t: Tables) -> DataFrame:
 #: An executive report a supplier: the filer's assets, the spouse's on the same page, and on the next those without an owner.
 def executive_reports(t: Tables) -> DataFrame:
     k = F.col("s_suppkey") % 3
-    docs = t.supplier.select(F.col("s_suppkey").alias("doc"), "s_suppkey", "s_name")
+    docs = spread(t.supplier.select("s_suppkey", "s_name")).select(F.col("s_suppkey").alias("doc"), "s_suppkey", "s_name")
     whole, odd = k == 0, k == 1
     head = lambda page, y, shift: [(None if page == 1 else whole, page, 20 + shift, y, "#"), (None if page == 1 else whole, page, 40 + shift, y, "Description"), (None if page == 1 else whole, page, 300 + shift, y, "EIF"), (None if page == 1 else whole, page, 340 + shift, y, "Value"), (None if page == 1 else whole, page, 500 + shift, y, "Income Type")]
     items = [
@@ -132,7 +133,7 @@ def asset_pages(t: Tables) -> DataFrame:
     who = F.element_at(F.array(*map(F.lit, ("Self", "Child", "Joint", ""))), (k % 4 + 1).cast("int"))
     row = F.concat(F.lit("<tr>"), cell(F.lit("1")), cell(link), cell(F.lit("Corporate Securities<div>Stock</div>")), cell(who), cell(value), F.lit("</tr>"))
     heads = F.when(k % 5 == 4, "<tr><th>Asset</th><th>Owner</th></tr>").otherwise("<tr><th></th><th>Asset</th><th>Asset Type</th><th>Owner</th><th>Value</th></tr>")
-    return t.part.select(k.alias("id"), F.concat(F.lit("<table><tr><th>Other</th></tr><tr><td>x</td></tr></table><table>"), heads, row, F.lit("</table>")).alias("html"))
+    return spread(t.part.select("p_partkey", "p_name")).select(k.alias("id"), F.concat(F.lit("<table><tr><th>Other</th></tr><tr><td>x</td></tr></table><table>"), heads, row, F.lit("</table>")).alias("html"))
 
 
 @query("ext07_annual_holdings", """select p_partkey as id, 1 as row, p_name as asset, case when p_partkey % 3 = 0 then 'AC' || chr(65 + (p_partkey % 26)::int) end as ticker, 'Corporate Securities' as kind, 'Stock' as subkind, case p_partkey % 4 when 0 then 'self' when 3 then 'self' end as owner,
@@ -147,22 +148,23 @@ def _(t: Tables) -> DataFrame:
 
 
 #: Index records of a quarter of all orders each: posted, to be requested, of another kind, undated.
-def answered(t: Tables) -> DataFrame:
-    k, day = F.col("o_orderkey"), F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd")
+def answered(orders: DataFrame) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.date_format("day", "yyyy-MM-dd")
     kind = F.when(k % 4 == 0, F.concat(F.lit("<a href='https://a.b/0123456789ABCDE"), F.hex(k % 16), F.lit("/$FILE/x.pdf'>278 Transaction</a>"))).when(k % 4 == 1, "<b>278 Transaction</b> Request this Document").when(k % 4 == 2, "278 Annual").otherwise("278  Transaction")
     title = F.when(k % 3 == 0, "President ").when(k % 3 == 1, "Vice President").otherwise("Secretary")
-    return t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.when(k % 4 == 3, "").otherwise(F.concat(day, F.lit("T00:00:00"))).alias("docDate"), title.alias("title"), kind.alias("type"), F.concat(F.lit("Doe, Ann "), k.cast("string")).alias("name"))
+    return orders.select("*", F.when(k % 4 == 3, "").otherwise(F.concat(day, F.lit("T00:00:00"))).alias("docDate"), title.alias("title"), kind.alias("type"), F.concat(F.lit("Doe, Ann "), k.cast("string")).alias("name"))
 
 
 def written_pages(t: Tables) -> str:
-    """Pages of 100, newest first; the third page is swapped with the last."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("day"), "o_orderkey")) - 1
-    x = answered(t).withColumn("start", (F.floor(n / 100) * 100).cast("int"))
-    last = F.max("start").over(Window.partitionBy(F.lit(0)))
-    x = x.withColumn("start", F.when(F.col("start") == 200, last).when(F.col("start") == last, 200).otherwise(F.col("start")))
+    """Pages of 100, newest first, a line each; the third page is swapped with the last."""
+    orders = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    x = numbered(orders, [F.desc("day"), F.asc("o_orderkey")], "n", total="_all")
+    first = lambda n: (F.floor((n - 1) / 100) * 100).cast("int")
+    start, last = first(F.col("n")), first(F.col("_all"))
+    x = answered(x).withColumn("start", F.when(start == 200, last).when(start == last, 200).otherwise(start))
     path = shared_folder(t.spark, "pages")
-    body = x.groupBy("start").agg(F.to_json(F.struct(F.count("*").alias("recordsFiltered"), F.collect_list(F.struct("docDate", "title", "type", "name")).alias("data"))).alias("value"))
-    body.repartition("start").write.partitionBy("start").text(path)
+    body = x.groupBy("start").agg(F.count("*").alias("recordsFiltered"), F.collect_list(F.struct("docDate", "title", "type", "name")).alias("data"))
+    body.write.json(path)
     return path
 
 
@@ -191,6 +193,7 @@ def _(t: Tables) -> DataFrame:
     label = F.when(k % 3 == 2, "Annual Report for CY 2023 (Amendment 1)").otherwise("Periodic Transaction Report")
     cells = F.array(F.lit(" Ann "), F.lit("Doe"), F.lit("Senator"), F.concat(F.lit('<a href="'), path, F.lit('">'), label, F.lit("</a>")), F.date_format(F.to_date("o_orderdate"), "MM/dd/yyyy"))
     cells = F.when(k % 5 == 4, F.slice(cells, 1, 4)).otherwise(cells)
-    rows = lambda annual: t.orders.select(k.alias("k"), F.inline(F.array_compact(F.array(index_rows.senate_row(cells, annual)))))
+    orders = spread(t.orders.select("o_orderkey", "o_orderdate"))
+    rows = lambda annual: orders.select(k.alias("k"), F.inline(F.array_compact(F.array(index_rows.senate_row(cells, annual)))))
     host = F.when(F.col("url").startswith(index_rows.SENATE), index_rows.SENATE).otherwise("")
     return rows(False).unionByName(rows(True)).select("k", "filing_key", "kind", "filed_date", "report_year", "filing_kind", host.alias("host"))

@@ -12,11 +12,13 @@ def price_csv(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataF
     return raw.select(*by, F.try_to_date(raw.columns[0], "yyyy-MM-dd").alias("date"), F.col(raw.columns[4]).try_cast("double").alias("close")).where("date is not null and close > 0")
 
 
-PAGE = "recordsFiltered bigint, data array<struct<docDate:string,title:string,type:string,name:string>>"
+PAGE = "start int, recordsFiltered bigint, data array<struct<docDate:string,title:string,type:string,name:string>>"
 
 
 def paged_json(spark: SparkSession, path: str) -> DataFrame:
-    """(start, row, docDate, title, type, name) of an answer in pages: a JSON document each, in folders start=0, start=100 ...; a task a page."""
+    """(start, row, docDate, title, type, name) of an answer in pages: a JSON document each, in folders start=0, start=100 ..., or lines that hold
+    their start, many to a file.
+    """
     pages = spark.read.schema(PAGE).json(path)
     return pages.select("start", F.posexplode("data").alias("row", "r")).select("start", "row", "r.*")
 
