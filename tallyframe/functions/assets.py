@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .labels import named
-from .text import ACCENTS
+from .text import ACCENTS, once
 
 # Words that stand for nothing at a name's end: legal forms and states.
 TAIL_WORDS = (
@@ -56,7 +56,10 @@ def asset_name(raw: Column) -> Column:
     depositary receipts, up to eight legal forms or states at its end (one letter may be wrong), and words for shares.
     """
     text = F.lower(F.translate(F.coalesce(raw, F.lit("")), *ACCENTS))
-    text = F.regexp_replace(F.regexp_replace(text, "&", " and "), "[’']", "")
+    return once(F.regexp_replace(F.regexp_replace(text, "&", " and "), "[’']", ""), _name_of)
+
+
+def _name_of(text: Column) -> Column:
     etf, fund = is_traded_fund(text), text.rlike(r"\bfund\b")
     text = F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
     share_class = F.regexp_extract(text, _CLASS, 1)
@@ -67,7 +70,7 @@ def asset_name(raw: Column) -> Column:
     text = reduce(lambda t, s: F.regexp_replace(t, f" {' '.join(s)}$", f" {s}"), SPELLED, text)
     words = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_TAILS)), F.split(text, " "), lambda acc, _: _without_tail(acc))
     noise = F.when(etf | fund, F.array(*map(F.lit, FUND_NOISE))).otherwise(F.array(*map(F.lit, SHARE_NOISE)))
-    stem = F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(noise, w)), " ")
+    stem = once(noise, lambda bare: F.array_join(F.filter(words, lambda w: (w != "") & ~F.array_contains(bare, w)), " "))
     return F.struct(stem.alias("stem"), share_class.alias("share_class"), etf.alias("etf"), fund.alias("fund"))
 
 

@@ -38,7 +38,8 @@ def _without_tails(tickers: Column, letters: str, keep: Column | None = None) ->
 
 def _stemmed(rows: DataFrame, *more: str) -> DataFrame:
     x = rows.select(asset_name(F.col("name")).alias("n"), canonical_ticker(F.col("ticker")).alias("ticker"), *more)
-    return x.select("n.*", "ticker", *more).where("ticker is not null and stem <> ''")
+    # Written, as a condition on the stem would be worked out beside it.
+    return kept(x.select("n.*", "ticker", *more), "stems").where("ticker is not null and stem <> ''")
 
 
 def class_listings(listings: DataFrame) -> DataFrame:
@@ -105,10 +106,11 @@ def close_names(stems: DataFrame, listed: DataFrame, least: float = LEAST, gap:
     """(stem, share_class, ticker, class, score): for each (stem, share_class) the listed (stem, share_class, ticker, class) of that class that is
     spelled most like it, if it reaches least and no other ticker comes within gap. First letters agree, and first words of four letters or more.
     """
-    head = F.concat_ws("|", "share_class", F.left("stem", F.lit(1))).alias("head")
-    others = listed.where(F.length("stem") >= SHORTEST_LISTED).select(F.col("stem").alias("other"), head, F.struct("ticker", "class").alias("ticker"))
-    cand = shared_pieces(stems.where(F.length("stem") >= SHORTEST).select("stem", head), others, least)
+    # A long first word has to agree as it is, so it is part of what is joined: words at a name's end that all share pair nothing by themselves.
     first = F.substring_index("stem", " ", 1)
+    by_letter, by_word = F.concat_ws("|", "share_class", F.left("stem", F.lit(1))), F.concat_ws("|", "share_class", first, F.lit(""))
+    others = listed.where(F.length("stem") >= SHORTEST_LISTED).select(F.col("stem").alias("other"), F.explode(F.array(by_letter, F.when(F.length(first) >= 4, by_word))).alias("head"), F.struct("ticker", "class").alias("ticker")).where("head is not null")
+    cand = shared_pieces(stems.where(F.length("stem") >= SHORTEST).select("stem", F.when(F.length(first) >= 4, by_word).otherwise(by_letter).alias("head")), others, least)
     cand = cand.where((F.length(first) < 4) | (F.substring_index("other", " ", 1) == first)).withColumn("score", similarity(F.col("stem"), F.col("other"))).where(F.col("score") >= least)
     best = cand.groupBy("stem", "head", "ticker.ticker").agg(F.max(F.struct("score", "ticker.class")).alias("s"))
     w = Window.partitionBy("stem", "head").orderBy(F.desc("s.score"), "ticker")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import assets
 from ..operators import names
+from ..sources.kept import spread
 from ..sources.tables import Tables
 from .registry import query
 
@@ -57,9 +58,10 @@ LISTED: list[list[tuple[str, str, str]]] = [
 
 def _stock_list(t: Tables, pick: dict[int, list[tuple]], columns: list[str]) -> DataFrame:
     """Rows of a list for each part, by its key: columns of texts, in which {B} and {T} stand for the part's word and ticker."""
-    rows = [(k, *r) for k, rs in pick.items() for r in rs]
-    arrays = F.array(*[F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(c) for c, v in zip(columns, r))) for k, *r in rows])
-    x = t.part.select(F.expr(BASE).alias("_b"), F.expr(TICKER).alias("_t"), F.expr(f"cast(p_partkey % {len(NAMES)} as int)").alias("_k"), F.explode(arrays).alias("r")).where("r.k = _k")
+    of_key = lambda rs: F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, r))) for r in rs))
+    lists = F.create_map(*(c for k, rs in pick.items() if rs for c in (F.lit(k), of_key(rs))))
+    part = spread(t.part.select("p_partkey").where(F.expr(f"cast(p_partkey % {len(NAMES)} as int)").isin(*pick)))
+    x = part.select(F.expr(BASE).alias("_b"), F.expr(TICKER).alias("_t"), F.explode(F.try_element_at(lists, F.expr(f"cast(p_partkey % {len(NAMES)} as int)"))).alias("r"))
     return x.select(*(F.replace(F.replace(F.col(f"r.{c}"), F.lit("{B}"), F.col("_b")), F.lit("{T}"), F.col("_t")).alias(c) for c in columns))
 
 
@@ -83,7 +85,7 @@ def _by_name(values: list, kind: str) -> str:
 )
 def _(t: Tables) -> DataFrame:
     """Every stage and form, each for a share of all parts."""
-    wanted = t.part.select(F.col("p_partkey").alias("id"), F.expr(written([n[0] for n in NAMES])).alias("name"))
+    wanted = spread(t.part.select("p_partkey")).select(F.col("p_partkey").alias("id"), F.expr(written([n[0] for n in NAMES])).alias("name"))
     return names.match_names(wanted, **entity_tables(t))
 
 

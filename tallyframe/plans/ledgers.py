@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inputs, money
 from ..operators import disclosures, filings, ledger, writes
+from ..sources.kept import spread
 from ..sources.tables import Tables
 from .entities import NAMES, TICKER, _by_name, entity_tables, written
 from .registry import query
@@ -75,7 +76,7 @@ case when p_partkey % 5 not in (1, 4) then {_by_name(_CLASSES, 'varchar')} when
 )
 def _(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    rows = t.part.select(
+    rows = spread(t.part.select("p_partkey")).select(
         k.alias("id"), F.expr(written([n[0] for n in NAMES])).alias("asset"), F.when(k % 7 == 0, "ab").when(k % 7 == 1, "--").alias("ticker"), F.element_at(F.array(*map(F.lit, _CLASSES)), (k % 5 + 1).cast("int")).alias("class"), F.when(k % 11 == 0, "OP").otherwise("ST").alias("code")
     )
     return filings.annotated_holdings(rows, **entity_tables(t)).select("id", "ticker", "ticker_source", "confidence", "class")
@@ -119,7 +120,7 @@ case when k in (2, 3, 4) then date '{FETCHED}' when k = 1 then date '2020-01-01'
 def _(t: Tables) -> DataFrame:
     """By part: a printed ticker; none, as the filing says; matched before the catalog; by an older matcher; never."""
     k = F.col("p_partkey") % 5
-    stored = t.part.select(
+    stored = spread(t.part.select("p_partkey")).select(
         F.col("p_partkey").alias("id"), F.expr(written([n[0] for n in NAMES])).alias("asset"), F.when(k == 0, "OLD").alias("ticker"), F.when(k < 2, "filing").alias("ticker_source"), F.lit(None).cast("int").alias("confidence"),
         F.when(k.isin(1, 2), F.lit(date(2020, 1, 1))).when(k == 3, F.lit(date(2024, 3, 5))).alias("matched_at"), F.when(k == 2, ledger.MATCHER_VERSION).when(k == 3, ledger.MATCHER_VERSION - 1).alias("matched_by"),
     )

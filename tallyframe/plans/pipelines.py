@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import extract, names, writes
+from ..sources.kept import spread
 from ..sources.tables import Tables
 from ..streaming import alerts
 from .registry import query
@@ -54,7 +55,7 @@ def _(t: Tables) -> DataFrame:
     close = 10 + F.col("c_custkey") % 7
     row = lambda day, c: F.concat_ws("\t", F.date_format(day, "MMM d, yyyy"), F.lit("1"), F.lit("2"), F.lit("3"), c.cast("string"), F.lit("1,000"))
     text = F.concat_ws("\n", F.lit("Date\tOpen\tHigh\tLow\tClose\tVolume"), row(d, close), row(F.date_add(d, 1), close + F.lit(99)), row(F.date_add(d, 1), close + F.lit(1.5)), F.lit("Currency in USD"))
-    return extract.price_history(t.customer.select(F.col("c_custkey").alias("id"), text.alias("text")))[0]
+    return extract.price_history(spread(t.customer.select("c_custkey")).select(F.col("c_custkey").alias("id"), text.alias("text")))[0]
 
 
 @query("ext03_numbered_trades", "select p_partkey as id, 1::bigint as row, p_name as asset, case when p_size % 2 = 0 then 'purchase' else 'sale' end as side, date '2024-03-09' as date, '$1,001 - $15,000' as amount, p_size % 3 <> 0 as reliable from part")
@@ -137,7 +138,7 @@ k as (select *, row_number() over w as k, lead(s) over w as runner from cd where
 select nm.id, coalesce(ex.ticker, fz.ticker) as ticker, case when ex.id is not null then 'exact' when fz.id is not null then 'fuzzy' end as stage, case when ex.id is not null then 100 else round(fz.s * 100)::bigint end as confidence
 from nm left join ex using (id) left join fz using (id)""")
 def _(t: Tables) -> DataFrame:
-    s = t.supplier
+    s = spread(t.supplier.select("s_suppkey", "s_name"))
     cat = s.where("s_suppkey % 3 <> 0").select(F.concat("s_name", F.lit(" Holdings Inc.")).alias("name"), F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lit("NYSE").alias("exchange"))
     nm = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(" Holdings"))).otherwise(F.concat("s_name", F.lit(" Holdingz Corp"))).alias("name"))
     found = names.match_names(nm, cat)
