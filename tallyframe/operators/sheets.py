@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import detected_currency, detected_ticker, same_listing
 from ..functions.text import loose_date
+from ..sources.kept import kept
 from .extract import lines
 
 # Columns of a sheet by how many numbers a row has, where no header says.
@@ -74,18 +75,19 @@ def price_sheet(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, date, close, adj, sudden), one row a day, the last of it; (id, date, kind, amount, raw) of dividends and splits; and (id,
     points, dividends, splits, incomplete, duplicates, invalid, unlike) of every text; unlike: days given twice with two prices.
     """
-    rows = sheet_rows(docs)
+    rows = kept(sheet_rows(docs), "rows")
     days = rows.where("kind = 'point'").groupBy("id", "date").agg(
-        F.max_by(F.struct("close", "adj"), "line_no").alias("p"), F.count("*").alias("n"), F.countDistinct("close").alias("prices")
+        F.max_by(F.struct("close", "adj"), "line_no").alias("p"), F.count("*").alias("n"), (F.min("close") < F.max("close")).alias("two")
     )
+    days = kept(days, "days")
     w = Window.partitionBy("id").orderBy("date")
     moved = F.abs(F.col("p.close") / F.lag("p.close").over(w) - 1) > SUDDEN
     near = F.datediff("date", F.lag("date").over(w)) <= NEIGHBOURS
     points = days.select("id", "date", "p.close", "p.adj", F.coalesce(moved & near, F.lit(False)).alias("sudden"))
     events = rows.where("kind in ('dividend', 'split')").select("id", "date", "kind", "amount", "raw")
     kinds = rows.groupBy("id").agg(*(F.count_if(F.col("kind") == k).alias(a) for k, a in (("dividend", "dividends"), ("split", "splits"), ("incomplete", "incomplete"), ("invalid", "invalid"))))
-    same = days.groupBy("id").agg(F.count("*").alias("points"), (F.sum("n") - F.count("*")).alias("duplicates"), F.count_if(F.col("prices") > 1).alias("unlike"))
-    counts = docs.select("id").join(kinds, "id", "left").join(same, "id", "left")
+    same = days.groupBy("id").agg(F.count("*").alias("points"), (F.sum("n") - F.count("*")).alias("duplicates"), F.count_if("two").alias("unlike"))
+    counts = docs.select("id").join(kinds.hint("merge"), "id", "left").join(same.hint("merge"), "id", "left")
     return points, events, counts.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("points", "dividends", "splits", "incomplete", "duplicates", "invalid", "unlike")))
 
 
@@ -98,10 +100,12 @@ def preview(docs: DataFrame, existing: DataFrame, holdings: DataFrame) -> DataFr
     one = F.struct("date", "close", "adj")
     series = points.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("s"), F.count_if("sudden").alias("sudden"))
     old = existing.select("id", "date", F.col("close").alias("_old"))
-    both = points.select("id", "date", "close").join(old, ["id", "date"], "left")
+    both = points.select("id", "date", "close").join(old.hint("merge"), ["id", "date"], "left")
     overlap = both.groupBy("id").agg(F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(F.col("_old") != F.col("close")).alias("changed"), F.count_if(F.col("_old") == F.col("close")).alias("unchanged"))
     told = docs.select("id", detected_ticker(F.col("text")).alias("ticker"), detected_currency(F.col("text")).alias("currency"))
-    x = told.join(holdings.select("id", "symbol", F.col("currency").alias("_held")), "id", "left").join(series, "id", "left").join(overlap, "id", "left").join(counts.select("id", (F.col("dividends") + F.col("splits") + F.col("incomplete") + F.col("duplicates") + F.col("invalid")).alias("skipped")), "id")
+    # A row for each upload on every side: none of them is small enough for the driver, whatever their files' size says.
+    skipped = counts.select("id", (F.col("dividends") + F.col("splits") + F.col("incomplete") + F.col("duplicates") + F.col("invalid")).alias("skipped"))
+    x = told.join(holdings.select("id", "symbol", F.col("currency").alias("_held")).hint("merge"), "id", "left").join(series.hint("merge"), "id", "left").join(overlap.hint("merge"), "id", "left").join(skipped.hint("merge"), "id")
     n = F.coalesce(F.size("s"), F.lit(0))
     ends = n > 2 * ENDS
     none = F.array().cast(x.schema["s"].dataType)

@@ -9,7 +9,7 @@ from ..functions import money, text
 from ..operators import books, disclosures, extract, names, risk, series, sheets, writes
 from ..operators import holdings as h
 from ..sources import files
-from ..sources.kept import shared_folder
+from ..sources.kept import shared_folder, spread
 from ..sources.tables import AMOUNT_RANGES, Tables
 from .disclosures import NET, WINDOW, recent
 from .holdings import LATEST, MER, current, instruments
@@ -430,7 +430,7 @@ def _(t: Tables) -> DataFrame:
     day = lambda i: F.concat_ws("  ", F.date_format(F.date_add(first, i), "MMM d, yyyy"), (F.lit(100.5) + i).cast("string"), F.when(i % 2 == 0, (F.lit(99.5) + i).cast("string")))
     days = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(13)), lambda i: i < k % 14), day), "\n")
     head = F.concat_ws("\n", F.when(k % 4 != 0, "Acme Inc. (ABC)"), F.when(k % 4 != 1, "Currency in USD"), F.lit("Date  Close  Adj Close"))
-    docs = t.customer.select(k.alias("id"), F.concat_ws("\n", head, days, F.lit("Jan 5, 2021  no trade")).alias("text"))
+    docs = spread(t.customer.select("c_custkey")).select(k.alias("id"), F.concat_ws("\n", head, days, F.lit("Jan 5, 2021  no trade")).alias("text"))
     stored = t.customer.select(k.alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.date_add(first, i).alias("date"), (F.lit(100.5) + F.when(i == 1, 50).otherwise(i)).alias("close")))).alias("p")).select("id", "p.*")
     holdings = t.customer.select(k.alias("id"), F.when(k % 5 == 0, "XYZ").otherwise("abc").alias("symbol"), F.when(k % 5 == 1, "CAD").otherwise("usd").alias("currency"))
     return sheets.preview(docs, stored, holdings)
