@@ -11,7 +11,9 @@ the forest only if the two whole signatures (TREES * DEPTH values) agree in as m
 makes them expect, six standard errors below the threshold, so chance members of a node join nothing. After each level
 the recall is estimated from the links at hand: a link of similarity s had the chance 1 - (1 - s^k)^TREES to share a
 prefix of k values in some tree, so it stands for one over that many. The prefix is shortened until those found are
-``RECALL`` of those that they stand for, or a chance of RECALL is reached at the threshold itself.
+``RECALL`` of those that they stand for, or a chance of RECALL is reached at the threshold itself. Two members may be
+alike where neither is like their node's least member, so at the last level, whose nodes hold those of all before, every
+two members of a node that the links so far leave in different components meet as well.
 
 Verification. Connected components of the forest's links bound where true links can be. Members of a component are
 dealt into blocks by hash, and each pair of blocks is one unit of work: a task counts common shingles of a block pair
@@ -155,7 +157,21 @@ def forest_links(classes: DataFrame) -> DataFrame:
         n, stands_for = links.where(F.col("like") >= THRESHOLD).agg(F.count("*"), F.sum(1 / chance)).first()
         if n and n >= RECALL * stands_for:
             break
-    return links.select("a", "b")
+    links = links.select("a", "b")
+    return links.unionByName(links_between(spots, signatures, links, k))
+
+
+def links_between(spots: DataFrame, signatures: DataFrame, links: DataFrame, prefix: int) -> DataFrame:
+    """(a, b): links between members of one node that other links leave in different components."""
+    parts = spots.join(components(links).withColumnRenamed("node", "cid"), "cid", "left")
+    nodes = materialize(parts.select("cid", F.xxhash64("tree", F.substring("path", 1, prefix)).alias("node"), F.coalesce("label", "cid").alias("part")), "parts")
+    mixed = nodes.groupBy("node").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("node")
+    nodes = materialize(nodes.join(materialize(mixed, "mixed"), "node", "left_semi"), "mixed_parts")
+    other = nodes.select("node", F.col("cid").alias("b"), F.col("part").alias("_part"))
+    pairs = nodes.withColumnRenamed("cid", "a").join(other, "node").where("part < _part").select("a", "b").distinct()
+    for end in "ab":
+        pairs = pairs.join(signatures.select(F.col("cid").alias(end), F.col("signature").alias(f"s{end}")), end)
+    return materialize(map_columns(pairs, _agree, ["sa", "sb"], "like double", ("sa", "sb")).where(F.col("like") >= LINK), "between").select("a", "b")
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -50,6 +50,17 @@ def test_one_of_each_group_beside_clashing_names(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3] and {r._th for r in out.collect()} == {"_th"}
 
 
+def test_links_between_members_that_are_unlike_their_node(spark):
+    """2 and 3 share a node with 1 only, which is like neither."""
+    r = np.random.default_rng(5)
+    one, two = (r.integers(0, 256, ngram_join.TREES * ngram_join.DEPTH, dtype=np.uint8) for _ in "ab")
+    two[: ngram_join.DEPTH] = one[: ngram_join.DEPTH]
+    three = two.copy()
+    three[ngram_join.DEPTH :: ngram_join.DEPTH] += 1
+    df = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in ((1, one), (2, two), (3, three))], "cid long, signature binary")
+    assert {frozenset((x.a, x.b)) for x in ngram_join.forest_links(df).collect()} == {frozenset((2, 3))}
+
+
 def plain_score(model, passages):
     """The attention's score of one text by loops over its passages."""
     encoded = [[math.tanh(sum((x - m) / s * w for x, m, s, w in zip(p, model.mean, model.scale, model.w["enc"][:, j])) + model.w["enc_b"][j]) for j in range(len(model.w["enc_b"]))] for p in passages]
