@@ -13,7 +13,8 @@ the recall is estimated from the links at hand: a link of similarity s had the c
 prefix of k values in some tree, so it stands for one over that many. The prefix is shortened until those found are
 ``RECALL`` of those that they stand for, or a chance of RECALL is reached at the threshold itself. Two members may be
 alike where neither is like their node's least member, so at the last level, whose nodes hold those of all before, every
-two members of a node that the links so far leave in different components meet as well.
+two members of a node that the links so far leave in different components meet as well: in pairs of blocks of a node, each
+of which gives the links that span it, never its pairs.
 
 Verification. Connected components of the forest's links bound where true links can be. Members of a component are
 dealt into blocks by hash, and each pair of blocks is one unit of work: a task counts common shingles of a block pair
@@ -49,6 +50,8 @@ TREES = 32
 DEPTH = 8
 RECALL = 0.99999
 BLOCK = 192
+#: Members of a node that meet in one piece of work, with as many others.
+NODE_BLOCK = 1024
 #: Similarity from which on signatures link: six standard errors of their estimate below the threshold.
 LINK = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH)) ** 0.5
 
@@ -162,16 +165,73 @@ def forest_links(classes: DataFrame) -> DataFrame:
 
 
 def links_between(spots: DataFrame, signatures: DataFrame, links: DataFrame, prefix: int) -> DataFrame:
-    """(a, b): links between members of one node that other links leave in different components."""
+    """(a, b): links between members of one node that other links leave in different components; of each unit's, those that span.
+
+    A node's members are dealt into blocks by their ids, and each pair of blocks is one unit of work, so that pairs are
+    neither joined nor emitted. Nodes of the same members are one.
+    """
     parts = spots.join(components(links).withColumnRenamed("node", "cid"), "cid", "left")
     nodes = materialize(parts.select("cid", F.xxhash64("tree", F.substring("path", 1, prefix)).alias("node"), F.coalesce("label", "cid").alias("part")), "parts")
-    mixed = nodes.groupBy("node").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("node")
-    nodes = materialize(nodes.join(materialize(mixed, "mixed"), "node", "left_semi"), "mixed_parts")
-    other = nodes.select("node", F.col("cid").alias("b"), F.col("part").alias("_part"))
-    pairs = nodes.withColumnRenamed("cid", "a").join(other, "node").where("part < _part").select("a", "b").distinct()
-    for end in "ab":
-        pairs = pairs.join(signatures.select(F.col("cid").alias(end), F.col("signature").alias(f"s{end}")), end)
-    return materialize(map_columns(pairs, _agree, ["sa", "sb"], "like double", ("sa", "sb")).where(F.col("like") >= LINK), "between").select("a", "b")
+    both = [F.bit_xor(F.xxhash64("cid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    mixed = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), *both).where("least < most")
+    mixed = mixed.groupBy("n", "x1", "x2").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("n") / NODE_BLOCK).cast("int").alias("blocks"))
+    members = nodes.join(materialize(mixed, "mixed"), "node").join(signatures, "cid")
+    mine, other = F.pmod(F.col("cid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = members.withColumns({"block": mine, "_other": other}).select("node", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "cid", "part", "signature")
+    units = members.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "cid")
+    return materialize(units.mapInPandas(_between, "a bigint, b bigint"), "between").distinct()
+
+
+def spanned(link: np.ndarray) -> np.ndarray:
+    """The least index of each one's component, of a symmetric matrix of links."""
+    n = len(link)
+    root = np.arange(n)
+    if link.any():  # least index over neighbours until nothing moves
+        while True:
+            new = np.minimum(root, np.where(link, root[None, :], n).min(1))
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+    return root
+
+
+def meet(cids: np.ndarray, block: np.ndarray, part: np.ndarray, signatures: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """(a, b): links that span those between two blocks, or within one, of members of different parts whose signatures agree."""
+    link = part[:, None] != part[None, :]
+    if not same:
+        link &= block[:, None] != block[None, :]
+    least = ((LINK * 255 + 1) / 256 - 1e-12) * signatures.shape[1]
+    step = max(1, 32_000_000 // max(1, signatures.size))
+    for at in range(0, len(cids), step):
+        link[at : at + step] &= (signatures[at : at + step, None, :] == signatures[None, :, :]).sum(2, dtype=np.int16) >= least
+    return [(int(cids[k]), int(cids[r])) for k, r in enumerate(spanned(link)) if k != r]
+
+
+def _between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Units arrive in order, members of one after another."""
+    held: list[tuple] = []
+    key = None
+
+    def done() -> list[tuple[int, int]]:
+        cids, block, part, data = zip(*held, strict=True)
+        signatures = np.frombuffer(b"".join(data), np.uint8).reshape(len(held), -1)
+        return meet(np.array(cids), np.array(block), np.array(part), signatures, key[1] == key[2])
+
+    out: list[tuple] = []
+    for pdf in batches:
+        for node, i, j, *member in zip(*(pdf[c] for c in ("node", "i", "j", "block", "cid", "part", "signature")), strict=True):
+            if (node, i, j) != key:
+                if len(held) > 1:
+                    out += done()
+                held, key = [], (node, i, j)
+            block, cid, part, signature = member
+            held.append((cid, block, part, signature))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out = []
+    if len(held) > 1 and (out := done()):
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,14 +288,7 @@ def verify(cids: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[n
     if not same:
         link &= block[:, None] != block[None, :]
     links = link @ copies
-    root = np.arange(n)
-    if link.any():  # least index over neighbours until nothing moves
-        while True:
-            new = np.minimum(root, np.where(link, root[None, :], n).min(1))
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+    root = spanned(link)
     return [(int(cids[k]), int(links[k]), int(cids[root[k]])) for k in range(n) if links[k]]
 
 

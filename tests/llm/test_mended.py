@@ -97,3 +97,38 @@ def test_whole_texts_are_fitted_within_the_bound(spark, monkeypatch):
     assert 200 in seen[0][1] and seen[0][0] == sum(seen[0][1]) and len(seen[0][1]) > 20
     quality_classifier.train_on(docs, labels, size=500)
     assert 200 not in seen[1][1] and 0 < len(seen[1][1]) < len(seen[0][1])
+
+
+def test_members_of_one_node_meet_in_blocks_and_not_in_pairs(spark, monkeypatch):
+    """A node of a head that is like none, 40 like one another and 40 like nobody; few rows come out, however the blocks lie."""
+    r = np.random.default_rng(6)
+    width = ngram_join.TREES * ngram_join.DEPTH
+    draw = lambda: r.integers(0, 256, width, dtype=np.uint8)
+    head, one, rows = draw(), draw(), []
+    for n in range(81):
+        x = head.copy() if n == 0 else one.copy() if n <= 40 else draw()
+        if n and n <= 40:  # of each tree's path one value of its own, so no tree's prefix is shared but the first
+            x[ngram_join.DEPTH :: ngram_join.DEPTH] = n
+        x[: ngram_join.DEPTH] = head[: ngram_join.DEPTH]
+        rows.append((n, bytearray(x.tobytes())))
+    df = spark.createDataFrame(rows, "cid long, signature binary")
+    for size in (1024, 7):
+        monkeypatch.setattr(ngram_join, "NODE_BLOCK", size)
+        links = [(x.a, x.b) for x in ngram_join.forest_links(df).collect()]
+        spanned = {x.node: x.label for x in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert spanned == dict.fromkeys(range(1, 41), 1)
+        assert len(links) == 39 if size == 1024 else len(links) < 40 * 39 / 2
+
+
+def test_links_of_a_unit_equal_plain_loops():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 256, (4, 256), dtype=np.uint8)
+    signatures = np.where(r.random((60, 256)) < 0.15, r.integers(0, 256, (60, 256)), base[r.integers(0, 4, 60)]).astype(np.uint8)
+    cids, block, part = np.arange(60) * 3 - 50, r.integers(0, 2, 60), r.integers(0, 30, 60)
+    for same in (True, False):
+        pairs = [(a, b) for a in range(60) for b in range(a) if part[a] != part[b] and (same or block[a] != block[b]) and ((signatures[a] == signatures[b]).mean() * 256 - 1) / 255 >= ngram_join.LINK]
+        root = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        assert sorted(ngram_join.meet(cids, block, part, signatures, same)) == sorted((cids[k], cids[v]) for k, v in enumerate(root) if k != v)
