@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.assets import asset_name, described_class, is_preferred, never_matched
 from ..functions.labels import split_suffix
 from ..functions.text import canonical_ticker, similarity
-from ..sources.kept import kept
+from ..sources.kept import kept, spread
 
 LEAST, GAP = 0.94, 0.04
 # The shortest stem that is compared by spelling, and the shortest that it is compared with.
@@ -149,7 +149,8 @@ def match_names(
     alias = unambiguous(aliases if aliases is not None else none)
     real = catalog.select(canonical_ticker(F.col("ticker")).alias("ticker")).where("ticker is not null").distinct()
 
-    texts = names.select(F.coalesce("name", F.lit("")).alias("asset")).distinct()
+    # Few bytes and dear work: after the shuffle of distinct the names would lie in a task or two.
+    texts = spread(names.select(F.coalesce("name", F.lit("")).alias("asset")).distinct())
     forms = texts.select("asset", F.explode(forms_of(F.col("asset"))).alias("f")).select("asset", "f.nth", "f.form", "f.name")
     forms = forms.withColumns({"n": asset_name(F.col("name")), "blocked": never_matched(F.col("name"))}).select("asset", "nth", "form", "n.*", "blocked", described_class(F.col("name")).alias("described"))
     forms = kept(forms, "forms")
