@@ -2,7 +2,7 @@
 
 The catalog and the lists beside it (curated funds, listings of share classes, aliases) are tables that the caller gives.
 What several stages read (the catalog's index, the forms of names, exact hits) is written once to the shared folder.
-Names are resolved by different text, so copies cost nothing; close spellings are found by pieces that they share.
+Names are resolved by different text, so copies cost nothing; close spellings are found by what they have in common less an edit, or by pieces.
 """
 
 from __future__ import annotations
@@ -82,24 +82,44 @@ def unambiguous(rows: DataFrame, *more: str) -> DataFrame:
     return x.agg(F.when(F.countDistinct("ticker") == 1, F.min("ticker")).alias("ticker"), *(F.min(m).alias(m) for m in more))
 
 
+def _edits(m: Column, least: float) -> Column:
+    """The most edits that a name alike by least to one of m letters can have."""
+    return F.floor((1 - least) * m / least + 1e-9).cast("int")
+
+
+def one_edit_apart(stems: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(stem, head, other, ticker): all pairs of one head that are equal or one edit apart, of others that allow no more.
+
+    An equi-join on whole names, on those less a letter, and on a place and the name less the letter there: however long a part
+    all names share, it pairs only names that are that near.
+    """
+    shorter = lambda s, tag: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(tag(i), F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    whole, less, place = (lambda _: F.lit("w:")), (lambda _: F.lit("d:")), (lambda i: F.concat(i.cast("string"), F.lit(":")))
+    key = lambda *arrays: F.explode(F.array_distinct(F.concat(*arrays))).alias("key")
+    n, s, o = F.length("stem"), F.col("stem"), F.col("other")
+    left = stems.where(_edits(F.ceil(n * least - 1e-9), least) <= 1).select("stem", "head", key(F.array(F.concat(F.lit("w:"), s)), shorter(s, less), shorter(s, place)))
+    right = others.where(_edits(F.length("other"), least) <= 1).select("head", "other", "ticker", key(F.array(F.concat(F.lit("w:"), o), F.concat(F.lit("d:"), o)), shorter(o, whole), shorter(o, place)))
+    return left.join(right, ["head", "key"]).select("stem", "head", "other", "ticker").distinct()
+
+
 def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFrame:
     """(stem, head, other, ticker): all pairs of one head that can be alike by least, and few that cannot.
 
-    A stem of m letters allows k = (1 - least) m / least edits at most. Of k + 1 pieces that it is cut into, one is
-    untouched, and lies in the like stem at most k places away: an equi-join by length, piece and its letters finds it.
+    Others that allow one edit at most are found by :func:`one_edit_apart`. One of m letters that allows more, k = (1 - least) m / least, is
+    cut into k + 1 pieces. One is untouched, and lies in the like stem at most k places away: an equi-join by length, piece and its letters finds it.
     """
-    edits = lambda m: F.floor((1 - least) * m / least + 1e-9).cast("int")
+    edits = lambda m: _edits(m, least)
     start = lambda i, m: F.floor(i * m / (edits(m) + 1)).cast("int")
     m, i = F.col("m"), F.col("i")
     size = start(i + 1, m) - start(i, m)
-    right = others.withColumn("m", F.length("other")).withColumn("i", F.explode(F.sequence(F.lit(0), edits(m))))
+    right = others.withColumn("m", F.length("other")).where(edits(m) > 1).withColumn("i", F.explode(F.sequence(F.lit(0), edits(m))))
     right = right.select("head", "m", "i", "other", "ticker", F.substring("other", start(i, m) + 1, size).alias("piece"))
     n = F.length("stem")
-    left = stems.select("stem", "head", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m"))
+    left = stems.select("stem", "head", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m")).where(edits(m) > 1)
     left = left.withColumn("i", F.explode(F.sequence(F.lit(0), edits(m)))).withColumn("d", F.explode(F.sequence(-edits(m), edits(m))))
     at = start(i, m) + F.col("d")
     left = left.where((at >= 0) & (at + size <= n)).select("stem", "head", "m", "i", F.substring("stem", at + 1, size).alias("piece")).distinct()
-    return left.join(right, ["head", "m", "i", "piece"]).select("stem", "head", "other", "ticker").distinct()
+    return left.join(right, ["head", "m", "i", "piece"]).select("stem", "head", "other", "ticker").distinct().unionByName(one_edit_apart(stems, others, least))
 
 
 def close_names(stems: DataFrame, listed: DataFrame, least: float = LEAST, gap: float = GAP) -> DataFrame:
