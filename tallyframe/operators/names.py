@@ -18,6 +18,8 @@ from ..sources.kept import kept, spread
 LEAST, GAP = 0.94, 0.04
 # The shortest stem that is compared by spelling, and the shortest that it is compared with.
 SHORTEST, SHORTEST_LISTED = 12, 8
+#: Listed names that may have a piece in common before it stands for nothing.
+HEAVY = 64
 # Last letters of tickers of shares that are not issued yet, and of those that are no class of common shares.
 WHEN_ISSUED, NOT_COMMON = "MNVWZ", "DEFHIJLQRSTUVWYZ"
 NO_LIST = "select cast(null as string) name, cast(null as string) ticker, cast(null as string) class, cast(null as string) share_class where false"
@@ -105,21 +107,26 @@ def one_edit_apart(stems: DataFrame, others: DataFrame, least: float) -> DataFra
 def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFrame:
     """(stem, head, other, ticker): all pairs of one head that can be alike by least, and few that cannot.
 
-    Others that allow one edit at most are found by :func:`one_edit_apart`. One of m letters that allows more, k = (1 - least) m / least, is
-    cut into k + 1 pieces. One is untouched, and lies in the like stem at most k places away: an equi-join by length, piece and its letters finds it.
+    A stem of m letters allows k = (1 - least) m / least edits at most. Of k + 1 pieces that it is cut into, one is
+    untouched, and lies in the like stem at most k places away: an equi-join by length, piece and its letters finds it.
+    What has a piece that over HEAVY others have is found by :func:`one_edit_apart` instead, where one edit is all that is allowed.
     """
     edits = lambda m: _edits(m, least)
     start = lambda i, m: F.floor(i * m / (edits(m) + 1)).cast("int")
     m, i = F.col("m"), F.col("i")
     size = start(i + 1, m) - start(i, m)
-    right = others.withColumn("m", F.length("other")).where(edits(m) > 1).withColumn("i", F.explode(F.sequence(F.lit(0), edits(m))))
+    right = others.withColumn("m", F.length("other")).withColumn("i", F.explode(F.sequence(F.lit(0), edits(m))))
     right = right.select("head", "m", "i", "other", "ticker", F.substring("other", start(i, m) + 1, size).alias("piece"))
     n = F.length("stem")
-    left = stems.select("stem", "head", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m")).where(edits(m) > 1)
+    left = stems.select("stem", "head", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m"))
     left = left.withColumn("i", F.explode(F.sequence(F.lit(0), edits(m)))).withColumn("d", F.explode(F.sequence(-edits(m), edits(m))))
     at = start(i, m) + F.col("d")
     left = left.where((at >= 0) & (at + size <= n)).select("stem", "head", "m", "i", F.substring("stem", at + 1, size).alias("piece")).distinct()
-    return left.join(right, ["head", "m", "i", "piece"]).select("stem", "head", "other", "ticker").distinct().unionByName(one_edit_apart(stems, others, least))
+    keys = ["head", "m", "i", "piece"]
+    heavy = kept(right.where(edits(m) <= 1).groupBy(*keys).count().where(F.col("count") > HEAVY).select(*keys), "heavy")
+    near = one_edit_apart(*(x.join(heavy, keys, "left_semi").select(*c).distinct() for x, c in ((left, ["stem", "head"]), (right, ["head", "other", "ticker"]))), least)
+    found = left.join(right.join(heavy, keys, "left_anti"), keys).select("stem", "head", "other", "ticker")
+    return found.unionByName(near).distinct()
 
 
 def close_names(stems: DataFrame, listed: DataFrame, least: float = LEAST, gap: float = GAP) -> DataFrame:

@@ -84,14 +84,17 @@ def test_days_given_twice_with_two_prices(spark):
     assert sheets.price_sheet(docs)[2].first().unlike == 1
 
 
-def test_names_that_share_all_but_a_number_pair_only_near_ones(spark):
+def test_names_that_share_all_but_a_number_pair_only_near_ones(spark, monkeypatch):
     """Every name begins and ends alike, so pieces pair all with all; edits are put in, taken out and changed at all places."""
     stem = lambda i: f"supplier {i * 7919 % 10**6:09d} holdings"
     listed = [stem(i) for i in range(150)]
     wanted = [listed[0][:k] + c + listed[0][k + d :] for k in range(len(listed[0])) for c in ("", "x", "l") for d in (0, 1)] + [stem(i)[:-1] + "z" for i in range(1, 150)] + [listed[0][1:-1]]
     stems = spark.createDataFrame([(s, "h") for s in set(wanted)], "stem string, head string")
     others = spark.createDataFrame([(s, "h", str(i)) for i, s in enumerate(listed)], "other string, head string, ticker string")
-    found = names.shared_pieces(stems, others, 0.94)
     like = stems.crossJoin(others.select("other")).where("levenshtein(stem, other) <= floor(0.06 * greatest(length(stem), length(other)) + 1e-9)")
-    got, want = ({(r.stem, r.other) for r in x.select("stem", "other").collect()} for x in (found, like))
-    assert want and got == want
+    pairs = lambda x: {(r.stem, r.other) for r in x.select("stem", "other").collect()}
+    want = pairs(like)
+    for most in (0, 8):  # pieces stand for nothing, or pair a name with 8 at most
+        monkeypatch.setattr(names, "HEAVY", most)
+        got = pairs(names.shared_pieces(stems, others, 0.94))
+        assert want and (got == want if most == 0 else got >= want and len(got) < len(want) + 8 * len(set(wanted)))
