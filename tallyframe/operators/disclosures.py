@@ -163,7 +163,11 @@ def presented_holdings(filings: DataFrame, holdings: DataFrame) -> tuple[DataFra
     holdings: (filing_id, class, bound, low, high, mid). Undetermined values are counted apart and are in no total; one open end opens the
     total. A report that nobody could read, or that waits for a scan's reading, has no totals and no classes.
     """
-    now = current_filing(filings)
+    return presented(current_filing(filings), holdings)
+
+
+def presented(now: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of filings that are current already; holdings of others may be left out."""
     shown = F.col("parse_status").isin("parsed", "partial")
     status = F.when(shown, F.col("parse_status")).when(F.col("parse_status") == "pending_ocr", "pending_ocr").otherwise("unreadable")
     rows = now.where(shown).select("person_key", "filing_id").join(holdings, "filing_id")
@@ -176,5 +180,6 @@ def presented_holdings(filings: DataFrame, holdings: DataFrame) -> tuple[DataFra
     zero = F.when(F.col("status").isin("parsed", "partial"), 0)
     head = head.select("person_key", "status", "filing_id", "newer_unreadable", *(F.coalesce(c, zero).cast("long").alias(c) for c in ("n", "low")), F.when(F.col("n").isNull(), zero.cast("long")).otherwise(F.col("high")).alias("high"), *(F.coalesce(c, zero).cast("long").alias(c) for c in ("mid", "undetermined")))
     classes = rows.where(valued).groupBy("person_key", "class").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("mid").alias("mid"))
-    whole = rows.where(valued).groupBy("person_key").agg(F.sum("mid").alias("_all"))
-    return head, classes.join(whole, "person_key").select("person_key", "class", "n", "low", "mid", (F.col("mid") / F.col("_all")).alias("share"))
+    # The whole is summed over the classes, so rows are joined once.
+    whole = F.sum("mid").over(Window.partitionBy("person_key"))
+    return head, classes.select("person_key", "class", "n", "low", "mid", (F.col("mid") / whole).alias("share"))

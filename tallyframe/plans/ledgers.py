@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inputs, money
 from ..operators import disclosures, filings, ledger, writes
-from ..sources.kept import spread
+from ..sources.kept import kept, spread
 from ..sources.tables import Tables
 from .entities import NAMES, TICKER, _by_name, entity_tables, written
 from .registry import query
@@ -178,15 +178,21 @@ sum(mid) filter (bound in ('range', 'at_least'))::bigint as mid, count(*) filter
 select person_key, case when parse_status = 'needs_manual_review' then 'unreadable' else parse_status end as status, filing_id, newer_unreadable, case when parse_status <> 'needs_manual_review' then coalesce(n, 0) end as n, case when parse_status <> 'needs_manual_review' then coalesce(low, 0) end as low,
 case when n is null and parse_status <> 'needs_manual_review' then 0 else high end as high, case when parse_status <> 'needs_manual_review' then coalesce(mid, 0) end as mid, case when parse_status <> 'needs_manual_review' then coalesce(undetermined, 0) end as undetermined from now left join t using (person_key)""", "filings bounded")
 def _(t: Tables) -> DataFrame:
-    return disclosures.presented_holdings(t.filings, annual_holdings(t))[0]
+    return presented(t)[0]
 
 
 @query("fin30_presented_classes", f"{_SHOWN} select person_key, class, count(*) as n, sum(low)::bigint as low, sum(mid)::bigint as mid, round(sum(mid) / sum(sum(mid)) over (partition by person_key), 9) as share from v group by 1, 2", "filings bounded")
 def _(t: Tables) -> DataFrame:
-    return disclosures.presented_holdings(t.filings, annual_holdings(t))[1].withColumn("share", F.round("share", 9))
+    return presented(t)[1].withColumn("share", F.round("share", 9))
 
 
-def annual_holdings(t: Tables) -> DataFrame:
-    """The lines of a filing as its holdings; every sixth has no determined value."""
-    x = disclosures.with_bounds(t.trades)
+def presented(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Each person's current filing is found first, and only its lines are made holdings."""
+    now = kept(disclosures.current_filing(t.filings), "current")
+    return disclosures.presented(now, annual_holdings(t, now))
+
+
+def annual_holdings(t: Tables, filings: DataFrame) -> DataFrame:
+    """The lines of some filings as their holdings; every sixth has no determined value."""
+    x = disclosures.with_bounds(t.trades_of(filings))
     return x.select("filing_id", F.col("asset_class").alias("class"), F.expr(_BOUND).alias("bound"), "low", "high", F.coalesce(money.middle(F.col("low"), F.col("high")), F.col("low")).alias("mid"))

@@ -121,11 +121,20 @@ class Tables:
     @cached_property
     def trades(self) -> DataFrame:
         """One trade per line. The filing's date comes from a window over the same lines, so they are read once."""
+        return self._trades(self.lineitem, self.filing_heads)
+
+    def trades_of(self, filings: DataFrame) -> DataFrame:
+        """The trades of some filings (filing_id): other lines go before any is numbered or joined."""
+        chosen = filings.select("filing_id")
+        lines = self.lineitem.join(chosen.withColumnRenamed("filing_id", "l_orderkey"), "l_orderkey", "left_semi")
+        return self._trades(lines, self.filing_heads.join(chosen, "filing_id", "left_semi"))
+
+    def _trades(self, lines: DataFrame, heads: DataFrame) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
         last_ship = F.max(F.to_date("l_shipdate")).over(Window.partitionBy("l_orderkey"))
-        li = self.lineitem.withColumns({"row_index": F.row_number().over(order).cast("long"), "last_ship": last_ship})
+        li = lines.withColumns({"row_index": F.row_number().over(order).cast("long"), "last_ship": last_ship})
         p = self.part.select("p_partkey", "p_brand", "p_type", "p_size")
-        x = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(self.filing_heads, F.col("l_orderkey") == F.col("filing_id"))
+        x = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(heads, F.col("l_orderkey") == F.col("filing_id"))
         x = x.withColumn("filed_date", F.greatest("filed_date", "last_ship"))
         amount = F.floor(F.col("l_extendedprice") * F.col("l_quantity") * F.col("l_quantity") / 2)
         kind = F.when(F.col("p_size") % 7 == 0, "option").when(F.col("p_size") % 5 == 0, "etf").when(F.col("p_size") % 11 == 0, "bond").otherwise("stock")

@@ -98,3 +98,15 @@ def test_names_that_share_all_but_a_number_pair_only_near_ones(spark, monkeypatc
         monkeypatch.setattr(names, "HEAVY", most)
         got = pairs(names.shared_pieces(stems, others, 0.94))
         assert want and (got == want if most == 0 else got >= want and len(got) < len(want) + 8 * len(set(wanted)))
+
+
+def test_only_lines_of_current_filings_are_numbered(spark, sf_dir):
+    """Lines of all filings were numbered and joined once, and for the classes twice."""
+    for name in ("fin30_presented_classes", "fin30_presented_totals"):
+        lines = plan(QUERIES[name](spark, sf_dir)).splitlines()
+        numbers = [i for i, line in enumerate(lines) if "Window [row_number()" in line]
+        assert len(numbers) == 1 and any("LeftSemi" in line for line in lines[numbers[0] :])
+    t = Tables(spark, sf_dir)
+    some = t.filings.where("filing_id % 3 = 0")
+    rows = lambda x: sorted(map(repr, x.collect()))
+    assert rows(t.trades_of(some)) == rows(t.trades.where("filing_id % 3 = 0"))
