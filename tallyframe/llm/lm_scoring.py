@@ -135,32 +135,66 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def attend(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None, start: int = 0) -> np.ndarray:
-    """Hidden states of a batch of windows (n, WINDOW) of classes, from place start on; each place sees itself and those before it."""
-    h0 = w["emb"][x]
+def projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights of queries (scaled), keys and values side by side, so that one product makes all three."""
+    return np.concatenate((w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]), 1)
+
+
+def after_attention(w: dict[str, np.ndarray], own: np.ndarray, c: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Hidden states of rows (own: their inputs, c: what they attend to)."""
+    h1 = c @ w["o"]
+    h1 += own
+    t = h1 @ w["w1"]
+    t += w["b1"]
+    np.maximum(t, 0, out=t)
+    if keep is not None:
+        keep.update(h1=h1, t=t)
+    h2 = t @ w["w2"]
+    h2 += h1
+    return h2
+
+
+def attend(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Hidden states of a batch of windows (n, WINDOW) of classes; each place sees itself and those before it."""
+    h0 = w["emb"].take(x, axis=0)
     h0 += w["pos"]
-    rows = h0.reshape(-1, WIDTH)
-    k, v = ((rows @ w[name]).reshape(h0.shape) for name in "kv")
-    own = h0[:, start:]
-    q = (np.ascontiguousarray(own).reshape(-1, WIDTH) @ (w["q"] * np.float32(WIDTH**-0.5))).reshape(own.shape)
+    rows, project = h0.reshape(-1, WIDTH), projections(w)
+    qkv = (rows @ project).reshape(*x.shape, 3 * WIDTH)
+    q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a += _MASK[start:]
+    a += _MASK
     np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    total = a.sum(-1, keepdims=True)
-    if keep is None:
-        c = a @ v
-        c /= total
-    else:
-        a /= total
-        c = a @ v
-    h1 = own + (c.reshape(-1, WIDTH) @ w["o"]).reshape(own.shape)
-    t = h1.reshape(-1, WIDTH) @ w["w1"]
-    t += w["b1"]
-    np.maximum(t, 0, out=t)
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*x.shape, 1)
+    c = a @ v
     if keep is not None:
-        keep.update(x=x, h0=h0, q=q, k=k, v=v, a=a, c=c, h1=h1, t=t.reshape(*own.shape[:2], HIDDEN))
-    return h1 + (t @ w["w2"]).reshape(own.shape)
+        keep.update(h0=rows, project=project, q=q, k=k, v=v, a=a, c=c)
+    return after_attention(w, rows, c.reshape(-1, WIDTH), keep).reshape(h0.shape)
+
+
+class Reader:
+    """Hidden states of windows with fixed weights. What a place attends with and to depends on its class and its place
+    alone, so it is worked out once for each class and place and then looked up.
+    """
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w = w
+        h0 = (w["pos"][:, None] + w["emb"]).reshape(-1, WIDTH)
+        made = h0 @ projections(w)
+        # A one beside the values: their weighted sum then holds the sum of the weights too.
+        self.asks, self.seen = np.concatenate((made[:, :WIDTH], h0), 1), np.concatenate((made[:, WIDTH:], np.ones((len(h0), 1), h0.dtype)), 1)
+        self.places = np.arange(WINDOW) * CLASSES
+
+    def __call__(self, x: np.ndarray, start: int) -> np.ndarray:
+        """(rows, WIDTH) of windows (n, WINDOW) of classes, from place start on."""
+        at = x + self.places
+        seen, asks = self.seen.take(at, axis=0), self.asks.take(at[:, start:], axis=0)
+        a = asks[..., :WIDTH] @ seen[..., :WIDTH].transpose(0, 2, 1)
+        a += _MASK[start:]
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        c = (a @ seen[..., WIDTH:]).reshape(-1, WIDTH + 1)
+        return after_attention(self.w, asks[..., WIDTH:].reshape(-1, WIDTH), c[:, :WIDTH] / c[:, WIDTH:])
 
 
 def exponentials(z: np.ndarray) -> np.ndarray:
@@ -177,80 +211,88 @@ def log_shares(
 
     With grad: adds the output weights' gradients of the summed loss to it and returns that of h too.
     """
-    group = y // GROUP
-    p = h @ w["gout"]
-    p += w["gbias"]
-    p += pairs[0][x]
-    rows = np.arange(len(y))
-    picked = p[rows, group]
-    sums = exponentials(p)
-    out = np.minimum(picked, 60) - np.log(sums)
-    dh = None
-    if grad is not None:
-        p /= sums[:, None]
-        p[rows, group] -= 1
-        grad["gout"], grad["gbias"] = h.T @ p, p.sum(0)
-        grad["out"], grad["bias"] = np.zeros_like(w["out"]), np.zeros_like(w["bias"])
-        dh = p @ w["gout"].T
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    hs, xs, inner = h[order], x[order], (y - group * GROUP)[order]
-    got, ds = np.empty(len(y), out.dtype), None if dh is None else np.empty_like(h)
-    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    table = pairs[1].reshape(CLASSES, GROUPS, GROUP)
-    for g in range(GROUPS):
-        at = slice(ends[g], ends[g + 1])
-        if at.start == at.stop:
-            continue
-        span = slice(g * GROUP, (g + 1) * GROUP)
-        p = hs[at] @ w["out"][:, span]
-        p += w["bias"][span]
-        p += table[xs[at], g]
-        mine = np.arange(len(p))
-        picked = p[mine, inner[at]]
-        sums = exponentials(p)
-        got[at] = np.minimum(picked, 60) - np.log(sums)
-        if grad is not None:
-            p /= sums[:, None]
-            p[mine, inner[at]] -= 1
-            grad["out"][:, span], grad["bias"][span] = hs[at].T @ p, p.sum(0)
-            ds[at] = p @ w["out"][:, span].T
-    out[order] += got
-    if dh is not None:
-        dh[order] += ds
+    n = len(y)
+    order = np.argsort((y // GROUP).astype(np.uint8), kind="stable")
+    xs, ys = x.take(order).astype(np.int64), y.take(order).astype(np.int64)
+    group = ys // GROUP
+    # A one beside the states, as the biases stand below the weights; rows of a group follow one another.
+    hs = np.ones((n, WIDTH + 1), h.dtype)
+    hs[:, :WIDTH] = h.take(order, axis=0)
+    p = hs @ np.concatenate((w["gout"], w["gbias"][None]))
+    p += pairs[0].take(xs, axis=0)
+    blocks = np.concatenate((w["out"], w["bias"][None])).reshape(WIDTH + 1, GROUPS, GROUP).transpose(1, 0, 2).copy()
+    ends = np.searchsorted(group, np.arange(GROUPS + 1))
+    spans = [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g] < ends[g + 1]]
+    r = np.empty((n, GROUP), p.dtype)
+    for g, at in spans:
+        np.matmul(hs[at], blocks[g], out=r[at])
+    r += pairs[1].reshape(-1, GROUP).take(xs * GROUPS + group, axis=0)
+    rows = np.arange(n)
+    mine, own = rows * GROUPS + group, rows * GROUP + ys - group * GROUP
+    got = np.minimum(p.ravel().take(mine), 60) + np.minimum(r.ravel().take(own), 60)
+    sums, inner = exponentials(p), exponentials(r)
+    got -= np.log(sums)
+    got -= np.log(inner)
+    out = np.empty_like(got)
+    out[order] = got
+    if grad is None:
+        return out, None
+    p /= sums[:, None]
+    r /= inner[:, None]
+    p.ravel()[mine] -= 1
+    r.ravel()[own] -= 1
+    outer, of_blocks, ds = hs.T @ p, np.zeros_like(blocks), np.empty((n, WIDTH), r.dtype)
+    for g, at in spans:
+        np.matmul(hs[at].T, r[at], out=of_blocks[g])
+        np.matmul(r[at], blocks[g, :WIDTH].T, out=ds[at])
+    ds += p @ w["gout"].T
+    flat_blocks = of_blocks.transpose(1, 0, 2).reshape(WIDTH + 1, CLASSES)
+    grad["gout"], grad["gbias"], grad["out"], grad["bias"] = outer[:-1], outer[-1], flat_blocks[:-1], flat_blocks[-1]
+    dh = np.empty_like(ds)
+    dh[order] = ds
     return out, dh
 
 
 def gradients(w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the valid places of a batch and its gradient."""
     m: dict = {}
-    h2 = attend(w, x, m)
-    n = np.float32(max(1, int(valid.sum())))
-    two = lambda a: a.reshape(-1, a.shape[-1])
+    h2 = attend(w, x, m).reshape(-1, WIDTH)
+    at = np.flatnonzero(valid)
+    n = np.float32(max(1, len(at)))
     g: dict[str, np.ndarray] = {}
-    logs, dh = log_shares(w, pairs, h2[valid], x[valid], y[valid], g)
+    logs, dh = log_shares(w, pairs, h2.take(at, axis=0), x.take(at), y.take(at), g)
     for k in g:
         g[k] /= n
     dh2 = np.zeros_like(h2)
-    dh2[valid] = dh / n
-    g["w2"] = two(m["t"]).T @ two(dh2)
-    dt = (two(dh2) @ w["w2"].T).reshape(m["t"].shape) * (m["t"] > 0)
-    g["w1"], g["b1"] = two(m["h1"]).T @ two(dt), two(dt).sum(0)
-    dh1 = dh2 + (two(dt) @ w["w1"].T).reshape(dh2.shape)
-    g["o"] = two(m["c"]).T @ two(dh1)
-    dc = (two(dh1) @ w["o"].T).reshape(dh1.shape)
-    dv = m["a"].transpose(0, 2, 1) @ dc
-    da = dc @ m["v"].transpose(0, 2, 1)
-    ds = m["a"] * (da - (dc * m["c"]).sum(-1, keepdims=True))
+    dh /= n
+    dh2[at] = dh
+    g["w2"] = m["t"].T @ dh2
+    dt = dh2 @ w["w2"].T
+    dt *= m["t"] > 0
+    g["w1"], g["b1"] = m["h1"].T @ dt, np.ones(len(dt), dt.dtype) @ dt
+    dh1 = dt @ w["w1"].T
+    dh1 += dh2
+    g["o"] = m["c"].reshape(-1, WIDTH).T @ dh1
+    dc = (dh1 @ w["o"].T).reshape(m["c"].shape)
+    made = np.empty((*x.shape, 3 * WIDTH), dc.dtype)
+    np.matmul(m["a"].transpose(0, 2, 1), dc, out=made[..., 2 * WIDTH :])
+    ds = dc @ m["v"].transpose(0, 2, 1)
+    ds -= ((dc * m["c"]).reshape(-1, WIDTH) @ np.ones(WIDTH, dc.dtype)).reshape(*x.shape, 1)
+    ds *= m["a"]
+    np.matmul(ds, m["k"], out=made[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), m["q"], out=made[..., WIDTH : 2 * WIDTH])
+    made = made.reshape(-1, 3 * WIDTH)
+    project = m["h0"].T @ made
     # The kept queries are scaled already.
-    dq, dk = ds @ m["k"] * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ m["q"]
-    dh0 = dh1 + sum((two(d) @ w[name].T).reshape(dh1.shape) for name, d in (("q", dq), ("k", dk), ("v", dv)))
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = two(m["h0"]).T @ two(d)
-    g["pos"] = dh0.sum(0)
-    order = np.argsort(x.ravel(), kind="stable")
-    seen, first = np.unique(x.ravel()[order], return_index=True)
+    g["q"], g["k"], g["v"] = project[:, :WIDTH] * np.float32(WIDTH**-0.5), project[:, WIDTH : 2 * WIDTH], project[:, 2 * WIDTH :]
+    dh0 = made @ m["project"].T
+    dh0 += dh1
+    g["pos"] = dh0.reshape(*x.shape, WIDTH).sum(0)
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+    classes_in = x.ravel().take(order)
+    first = np.flatnonzero(np.concatenate(([True], classes_in[1:] != classes_in[:-1])))
     g["emb"] = np.zeros_like(w["emb"])
-    g["emb"][seen] = np.add.reduceat(two(dh0)[order], first)
+    g["emb"][classes_in[first]] = np.add.reduceat(dh0.take(order, axis=0), first)
     return -float(logs.mean()) if len(logs) else 0.0, g
 
 
@@ -258,8 +300,12 @@ class Trainer:
     """Adam over batches of windows (n, WINDOW + 1) of classes; PAD marks places after a text's end."""
 
     def __init__(self, w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], seed: int, rate: float = RATE):
-        self.w, self.pairs, self.rate, self.step = {k: v.copy() for k, v in w.items()}, pairs, rate, 0
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.pairs, self.rate, self.step = pairs, rate, 0
+        # All weights in one array, and by name as parts of it.
+        self.all = np.concatenate([v.ravel() for v in w.values()])
+        ends = np.cumsum([v.size for v in w.values()])
+        self.w = {k: self.all[end - v.size : end].reshape(v.shape) for (k, v), end in zip(w.items(), ends, strict=True)}
+        self.m, self.s = np.zeros_like(self.all), np.zeros_like(self.all)
         self.random = np.random.default_rng(seed)
 
     def learn(self, windows: np.ndarray) -> None:
@@ -272,10 +318,10 @@ class Trainer:
             valid = part[:, 1:] != PAD
             part = np.where(part == PAD, 0, part).astype(np.int64)
             _, g = gradients(self.w, self.pairs, part[:, :-1], part[:, 1:], valid)
-            for k, v in self.w.items():
-                self.m[k] += 0.1 * (g[k] - self.m[k])
-                self.s[k] += 0.01 * (g[k] ** 2 - self.s[k])
-                v -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.s[k] / (1 - 0.99**self.step)) + 1e-8)
+            g = np.concatenate([g[k].ravel() for k in self.w])
+            self.m += 0.1 * (g - self.m)
+            self.s += 0.01 * (g**2 - self.s)
+            self.all -= self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.s / (1 - 0.99**self.step)) + 1e-8)
 
 
 def cut(classes: np.ndarray, starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -368,16 +414,18 @@ class Model:
         begin = (np.cumsum(lengths) - lengths)[doc]  # where the texts' predictions begin
         nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
         out = np.empty(int(lengths.sum()), np.float64)
+        read = Reader(self.weights)
         for start in (0, OVERLAP):
             own = np.flatnonzero(first == start)
             for at in range(0, len(own), 128):
                 pick = own[at : at + 128]
                 part = windows[pick]
-                scored = part[:, 1 + start :] != PAD
+                scored = np.flatnonzero(part[:, 1 + start :] != PAD)
                 part = np.where(part == PAD, 0, part)
-                h = attend(self.weights, part[:, :-1], start=start)
-                place = begin[pick][:, None] + nth[pick][:, None] * (WINDOW - OVERLAP) + np.arange(start, WINDOW)
-                out[place[scored]] = log_shares(self.weights, self.pairs, h[scored], part[:, start:-1][scored], part[:, 1 + start :][scored])[0]
+                h = read(part[:, :-1], start)
+                place = (begin[pick] + nth[pick] * (WINDOW - OVERLAP))[:, None] + np.arange(start, WINDOW)
+                last, following = part[:, start:-1].ravel(), part[:, 1 + start :].ravel()
+                out[place.ravel().take(scored)] = log_shares(self.weights, self.pairs, h.take(scored, axis=0), last.take(scored), following.take(scored))[0]
         return out
 
 
@@ -598,15 +646,17 @@ def score_texts(shared, ends: int, size: float):
         owns[is_word] += model.logs[known_as]
         bases = np.full(len(sizes), end)
         bases[is_word] = model.bases[known_as]
-        place = 0
-        for ws in texts:
-            n = len(ws)
-            own, base = owns[place : place + n + 1], bases[place : place + n + 1]
-            place += n + 1
-            known = ~np.isnan(base)
-            mixed = np.logaddexp(own[known] + half, base[known] * np.log(10) - size + other)
-            rare = [{"word": ws[i], "own": float(own[i])} for i in np.flatnonzero(~known)]
-            yield n + 1, int(known.sum()) - (ends == 0), float(base[known].sum()), float(mixed.sum()), float(own.sum()), rare
+        known = ~np.isnan(bases)
+        mixed = np.logaddexp(owns[known] + half, bases[known] * np.log(10) - size + other)
+        doc = np.repeat(np.arange(len(texts)), n_words + 1)
+        sums = [np.bincount(doc[known], values, len(texts)).tolist() for values in (None, bases[known], mixed)] + [np.bincount(doc, owns, len(texts)).tolist()]
+        rare: list[list[dict]] = [[] for _ in texts]
+        lost = np.flatnonzero(~known)
+        inner = lost - (np.cumsum(n_words + 1) - n_words - 1)[doc[lost]]
+        for i, at, own in zip(doc[lost].tolist(), inner.tolist(), owns[lost].tolist(), strict=True):
+            rare[i].append({"word": texts[i][at], "own": own})
+        for n, count, base, score, own, words_left in zip(n_words.tolist(), *sums, rare, strict=True):
+            yield n + 1, count - (ends == 0), base, score, own, words_left
 
     def prepare():
         model = shared.value

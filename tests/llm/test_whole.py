@@ -1,6 +1,7 @@
 """Operators do the whole job: cases that earlier versions left out."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -186,3 +187,30 @@ def test_fingerprints_with_text_ids_and_their_likeness(spark, tmp_path):
         assert x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(x.near_next - like(x.fingerprint, got[nxt[0]].fingerprint)) < 1e-9
         assert abs(x.near_edited - like(x.fingerprint, x.edited_fingerprint)) < 1e-9
+
+
+def test_scores_of_windows_by_plain_loops():
+    """Windows are read by looked-up projections: the same as training's attention, and as loops over places of a whole text."""
+    r = np.random.default_rng(3)
+    w = {k: v + r.standard_normal(v.shape).astype(np.float32) * 0.1 for k, v in lm_scoring.new_weights().items()}
+    model = lm_scoring.classes({i: 1 for i in range(400)}, 1, lm_scoring.VOCABULARY)
+    model.weights, model.pairs = w, lm_scoring.output_bias(r.integers(0, 9, (lm_scoring.CLASSES, lm_scoring.CLASSES)).astype(float))
+    seq = np.concatenate([[0], r.integers(1, 480, 75), [0], [0, 0]]).astype(np.uint16)
+    x = seq[: lm_scoring.WINDOW][None].astype(np.int64)
+    for start in (0, lm_scoring.OVERLAP):
+        assert np.allclose(lm_scoring.Reader(w)(x, start), lm_scoring.attend(w, x)[0, start:], atol=1e-4)
+    got, want = model.log_classes(seq, np.array([0, 77])), []
+    for text in (seq[:77], seq[77:]):
+        for i in range(len(text) - 1):
+            # The first window shows the first places, each later one those after its overlap.
+            first = max(0, (i - lm_scoring.OVERLAP) // (lm_scoring.WINDOW - lm_scoring.OVERLAP)) * (lm_scoring.WINDOW - lm_scoring.OVERLAP)
+            h = [w["emb"][int(text[j])] + w["pos"][j - first] for j in range(first, i + 1)]
+            a = [math.exp(float((h[-1] @ w["q"]) @ (v @ w["k"])) / lm_scoring.WIDTH**0.5) for v in h]
+            h1 = h[-1] + sum(p * (v @ w["v"]) for p, v in zip(a, h, strict=True)) / sum(a) @ w["o"]
+            h2 = h1 + np.maximum(h1 @ w["w1"] + w["b1"], 0) @ w["w2"]
+            group, y, last = int(text[i + 1]) // lm_scoring.GROUP, int(text[i + 1]), int(text[i])
+            one = h2 @ w["gout"] + w["gbias"] + model.pairs[0][last]
+            span = slice(group * lm_scoring.GROUP, (group + 1) * lm_scoring.GROUP)
+            two = h2 @ w["out"][:, span] + w["bias"][span] + model.pairs[1][last, span]
+            want.append(one[group] - np.log(np.exp(one).sum()) + two[y - span.start] - np.log(np.exp(two).sum()))
+    assert np.allclose(got, want, atol=1e-3)
