@@ -36,14 +36,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +70,10 @@ RATE = 8e-3
 SHARE = 0.5
 FREQUENT = 100_000
 CACHE = 300_000
+#: Windows that are read at a time.
+READ = 512
+#: Words that a task counts at a time.
+COUNTED = 1 << 21
 SHARD = 16384
 GROUP_WORDS = 100_000
 
@@ -83,6 +87,14 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same for an Arrow array of texts: all their words (binary) in order, and the number of words of each."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts))
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().cast(pa.binary()), n
+
+
 _ENCODERS: dict[str, object] = {}
 
 
@@ -136,100 +148,132 @@ _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
 def projections(w: dict[str, np.ndarray]) -> np.ndarray:
-    """Weights of queries (scaled), keys and values side by side, so that one product makes all three."""
-    return np.concatenate((w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]), 1)
+    """What a place attends with and gives, (WIDTH, 2 * WIDTH): queries (scaled) times keys, and values times outputs.
+
+    Both products are of weights alone, so a place's input takes the part of its key and its value needs no output projection.
+    """
+    return np.concatenate((w["q"] @ w["k"].T * np.float32(WIDTH**-0.5), w["v"] @ w["o"]), 1)
 
 
-def after_attention(w: dict[str, np.ndarray], own: np.ndarray, c: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Hidden states of rows (own: their inputs, c: what they attend to)."""
-    h1 = c @ w["o"]
-    h1 += own
+def capped(z: np.ndarray) -> np.ndarray:
+    """Logits, at most 60, in place. They hardly ever reach that, and a maximum is found faster than one is set."""
+    if z.size and not z.max() <= 60:
+        np.minimum(z, 60, out=z)
+    return z
+
+
+def after_attention(w: dict[str, np.ndarray], h1: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Hidden states of rows from their inputs and what they attend to (h1: the sum); with keep, a one beside each."""
     t = h1 @ w["w1"]
-    t += w["b1"]
-    np.maximum(t, 0, out=t)
-    if keep is not None:
-        keep.update(h1=h1, t=t)
-    h2 = t @ w["w2"]
-    h2 += h1
+    # Rows by sixteen: numpy adds a long row faster than many short ones.
+    wide = t.reshape(-1, 16 * HIDDEN)
+    wide += np.tile(w["b1"], 16)
+    np.maximum(wide, np.zeros(16 * HIDDEN, t.dtype), out=wide)
+    if keep is None:
+        h2 = t @ w["w2"]
+        h2 += h1
+        return h2
+    keep.update(h1=h1, t=t)
+    h2 = np.ones((len(h1), WIDTH + 1), h1.dtype)
+    np.add(t @ w["w2"], h1, out=h2[:, :WIDTH])
     return h2
 
 
-def attend(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Hidden states of a batch of windows (n, WINDOW) of classes; each place sees itself and those before it."""
+def attended(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """Hidden states (rows, WIDTH; with keep, a one beside each) of a batch of windows (n, WINDOW) of classes; each place sees itself and those before it."""
     h0 = w["emb"].take(x, axis=0)
     h0 += w["pos"]
     rows, project = h0.reshape(-1, WIDTH), projections(w)
-    qkv = (rows @ project).reshape(*x.shape, 3 * WIDTH)
-    q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-    a = q @ k.transpose(0, 2, 1)
+    made = (rows @ project).reshape(*x.shape, 2 * WIDTH)
+    q, v = made[..., :WIDTH], made[..., WIDTH:]
+    a = q @ h0.transpose(0, 2, 1)
     a += _MASK
-    np.minimum(a, 60, out=a)
+    capped(a)
     np.exp(a, out=a)
     a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*x.shape, 1)
     c = a @ v
     if keep is not None:
-        keep.update(h0=rows, project=project, q=q, k=k, v=v, a=a, c=c)
-    return after_attention(w, rows, c.reshape(-1, WIDTH), keep).reshape(h0.shape)
+        keep.update(h0=h0, project=project, q=q, v=v, a=a, c=c)
+    return after_attention(w, c.reshape(-1, WIDTH) + rows, keep)
+
+
+def attend(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    return attended(w, x).reshape(*x.shape, WIDTH)
+
+
+def blocks_of(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Output weights of each group's classes, the biases below them: (GROUPS, WIDTH + 1, GROUP)."""
+    return np.concatenate((w["out"], w["bias"][None])).reshape(WIDTH + 1, GROUPS, GROUP).transpose(1, 0, 2).copy()
 
 
 class Reader:
-    """Hidden states of windows with fixed weights. What a place attends with and to depends on its class and its place
-    alone, so it is worked out once for each class and place and then looked up.
+    """Hidden states of windows with fixed weights. What a place asks with and gives is the sum of what its class and its
+    place do, so each is worked out once for all classes and places and then looked up.
     """
 
-    def __init__(self, w: dict[str, np.ndarray]):
-        self.w = w
-        h0 = (w["pos"][:, None] + w["emb"]).reshape(-1, WIDTH)
-        made = h0 @ projections(w)
-        # A one beside the values: their weighted sum then holds the sum of the weights too.
-        self.asks, self.seen = np.concatenate((made[:, :WIDTH], h0), 1), np.concatenate((made[:, WIDTH:], np.ones((len(h0), 1), h0.dtype)), 1)
-        self.places = np.arange(WINDOW) * CLASSES
+    def __init__(self, w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray] | None = None):
+        self.w, project = w, projections(w)
+        self.by_class, self.by_place = (
+            (h, np.ascontiguousarray(h @ project[:, :WIDTH]), np.ascontiguousarray(h @ project[:, WIDTH:])) for h in (w["emb"], w["pos"])
+        )
+        # The output's biases go to the log shares of pairs.
+        self.outer, self.blocks = w["gout"], np.ascontiguousarray(blocks_of(w)[:, :WIDTH])
+        self.pairs = None if pairs is None else (pairs[0] + w["gbias"], pairs[1] + w["bias"])
 
     def __call__(self, x: np.ndarray, start: int) -> np.ndarray:
         """(rows, WIDTH) of windows (n, WINDOW) of classes, from place start on."""
-        at = x + self.places
-        seen, asks = self.seen.take(at, axis=0), self.asks.take(at[:, start:], axis=0)
-        a = asks[..., :WIDTH] @ seen[..., :WIDTH].transpose(0, 2, 1)
+        x = x.astype(np.intp)
+        h0, q, v = (c.take(at, axis=0) for c, at in zip(self.by_class, (x, x[:, start:], x), strict=True))
+        h0 += self.by_place[0]
+        q += self.by_place[1][start:]
+        v += self.by_place[2]
+        a = q @ h0.transpose(0, 2, 1)
         a += _MASK[start:]
-        np.minimum(a, 60, out=a)
+        capped(a)
         np.exp(a, out=a)
-        c = (a @ seen[..., WIDTH:]).reshape(-1, WIDTH + 1)
-        return after_attention(self.w, asks[..., WIDTH:].reshape(-1, WIDTH), c[:, :WIDTH] / c[:, WIDTH:])
+        h1 = (a @ v).reshape(-1, WIDTH)
+        h1 /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype))[:, None]
+        h1 += h0[:, start:].reshape(-1, WIDTH)
+        return after_attention(self.w, h1)
 
 
 def exponentials(z: np.ndarray) -> np.ndarray:
-    """Turns logits, in place, into their exponentials; returns the sums. Logits are log shares plus small terms."""
-    np.minimum(z, 60, out=z)
+    """Turns logits (at most 60), in place, into their exponentials; returns the sums. Logits are log shares plus small terms."""
     np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], np.float32)
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def log_shares(
-    w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], h: np.ndarray, x: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None
-) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log P(class y) for rows of hidden states h whose last class is x, in two steps: group, then class.
+    outer: np.ndarray, blocks: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], h: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray,
+    grad: dict[str, np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log P(class y) for the rows at of hidden states h and of the last classes x, in two steps: group, then class.
 
-    With grad: adds the output weights' gradients of the summed loss to it and returns that of h too.
+    outer and blocks are the output weights, the biases below them where the states have a one beside them. With grad: puts the output weights' gradients
+    of the summed loss into it and returns that of h too, nothing for the other rows.
     """
-    n = len(y)
+    y = y.take(at)
     order = np.argsort((y // GROUP).astype(np.uint8), kind="stable")
-    xs, ys = x.take(order).astype(np.int64), y.take(order).astype(np.int64)
-    group = ys // GROUP
-    # A one beside the states, as the biases stand below the weights; rows of a group follow one another.
-    hs = np.ones((n, WIDTH + 1), h.dtype)
-    hs[:, :WIDTH] = h.take(order, axis=0)
-    p = hs @ np.concatenate((w["gout"], w["gbias"][None]))
+    ys, rows_of = y.take(order).astype(np.int64), at.take(order)
+    group, xs = ys // GROUP, x.take(rows_of).astype(np.int64)
+    n = len(ys)
+    # Rows of a group follow one another.
+    hs = h.take(rows_of, axis=0)
+    p = hs @ outer
     p += pairs[0].take(xs, axis=0)
-    blocks = np.concatenate((w["out"], w["bias"][None])).reshape(WIDTH + 1, GROUPS, GROUP).transpose(1, 0, 2).copy()
-    ends = np.searchsorted(group, np.arange(GROUPS + 1))
+    ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
     spans = [(g, slice(ends[g], ends[g + 1])) for g in range(GROUPS) if ends[g] < ends[g + 1]]
-    r = np.empty((n, GROUP), p.dtype)
-    for g, at in spans:
-        np.matmul(hs[at], blocks[g], out=r[at])
-    r += pairs[1].reshape(-1, GROUP).take(xs * GROUPS + group, axis=0)
-    rows = np.arange(n)
-    mine, own = rows * GROUPS + group, rows * GROUP + ys - group * GROUP
-    got = np.minimum(p.ravel().take(mine), 60) + np.minimum(r.ravel().take(own), 60)
+    xs *= GROUPS
+    xs += group
+    r = np.empty((n, GROUP), hs.dtype)
+    for g, span in spans:
+        np.matmul(hs[span], blocks[g], out=r[span])
+    r += pairs[1].reshape(-1, GROUP).take(xs, axis=0)
+    mine, own = np.arange(0, n * GROUPS, GROUPS), np.arange(0, n * GROUP, GROUP)
+    mine += group
+    own += ys
+    own -= group * GROUP
+    got = capped(p).ravel().take(mine) + capped(r).ravel().take(own)
     sums, inner = exponentials(p), exponentials(r)
     got -= np.log(sums)
     got -= np.log(inner)
@@ -241,58 +285,54 @@ def log_shares(
     r /= inner[:, None]
     p.ravel()[mine] -= 1
     r.ravel()[own] -= 1
-    outer, of_blocks, ds = hs.T @ p, np.zeros_like(blocks), np.empty((n, WIDTH), r.dtype)
-    for g, at in spans:
-        np.matmul(hs[at].T, r[at], out=of_blocks[g])
-        np.matmul(r[at], blocks[g, :WIDTH].T, out=ds[at])
-    ds += p @ w["gout"].T
+    # The last row is for rows without a loss.
+    by_outer, of_blocks, ds = hs.T @ p, np.zeros_like(blocks), np.zeros((n + 1, WIDTH), r.dtype)
+    for g, span in spans:
+        np.matmul(hs[span].T, r[span], out=of_blocks[g])
+        np.matmul(r[span], blocks[g, :WIDTH].T, out=ds[span])
+    ds[:n] += p @ outer[:WIDTH].T
     flat_blocks = of_blocks.transpose(1, 0, 2).reshape(WIDTH + 1, CLASSES)
-    grad["gout"], grad["gbias"], grad["out"], grad["bias"] = outer[:-1], outer[-1], flat_blocks[:-1], flat_blocks[-1]
-    dh = np.empty_like(ds)
-    dh[order] = ds
-    return out, dh
+    grad["gout"], grad["gbias"], grad["out"], grad["bias"] = by_outer[:-1], by_outer[-1], flat_blocks[:-1], flat_blocks[-1]
+    back = np.full(len(h), n)
+    back[rows_of] = np.arange(n)
+    return out, ds.take(back, axis=0)
 
 
 def gradients(w: dict[str, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the valid places of a batch and its gradient."""
     m: dict = {}
-    h2 = attend(w, x, m).reshape(-1, WIDTH)
+    h2 = attended(w, x, m)
     at = np.flatnonzero(valid)
     n = np.float32(max(1, len(at)))
     g: dict[str, np.ndarray] = {}
-    logs, dh = log_shares(w, pairs, h2.take(at, axis=0), x.take(at), y.take(at), g)
+    x_flat = x.ravel()
+    logs, dh2 = log_shares(np.concatenate((w["gout"], w["gbias"][None])), blocks_of(w), pairs, h2, at, x_flat, y.ravel(), g)
     for k in g:
         g[k] /= n
-    dh2 = np.zeros_like(h2)
-    dh /= n
-    dh2[at] = dh
+    dh2 /= n
     g["w2"] = m["t"].T @ dh2
     dt = dh2 @ w["w2"].T
     dt *= m["t"] > 0
     g["w1"], g["b1"] = m["h1"].T @ dt, np.ones(len(dt), dt.dtype) @ dt
     dh1 = dt @ w["w1"].T
     dh1 += dh2
-    g["o"] = m["c"].reshape(-1, WIDTH).T @ dh1
-    dc = (dh1 @ w["o"].T).reshape(m["c"].shape)
-    made = np.empty((*x.shape, 3 * WIDTH), dc.dtype)
-    np.matmul(m["a"].transpose(0, 2, 1), dc, out=made[..., 2 * WIDTH :])
+    dc = dh1.reshape(m["c"].shape)
+    made = np.empty((*x.shape, 2 * WIDTH), dc.dtype)
+    np.matmul(m["a"].transpose(0, 2, 1), dc, out=made[..., WIDTH:])
     ds = dc @ m["v"].transpose(0, 2, 1)
     ds -= ((dc * m["c"]).reshape(-1, WIDTH) @ np.ones(WIDTH, dc.dtype)).reshape(*x.shape, 1)
     ds *= m["a"]
-    np.matmul(ds, m["k"], out=made[..., :WIDTH])
-    np.matmul(ds.transpose(0, 2, 1), m["q"], out=made[..., WIDTH : 2 * WIDTH])
-    made = made.reshape(-1, 3 * WIDTH)
-    project = m["h0"].T @ made
-    # The kept queries are scaled already.
-    g["q"], g["k"], g["v"] = project[:, :WIDTH] * np.float32(WIDTH**-0.5), project[:, WIDTH : 2 * WIDTH], project[:, 2 * WIDTH :]
+    np.matmul(ds, m["h0"], out=made[..., :WIDTH])
+    made = made.reshape(-1, 2 * WIDTH)
+    project = m["h0"].reshape(-1, WIDTH).T @ made
+    asked, given = project[:, :WIDTH] * np.float32(WIDTH**-0.5), project[:, WIDTH:]
+    g["q"], g["k"], g["v"], g["o"] = asked @ w["k"], asked.T @ w["q"], given @ w["o"].T, w["v"].T @ given
     dh0 = made @ m["project"].T
     dh0 += dh1
+    dh0 += (ds.transpose(0, 2, 1) @ m["q"]).reshape(-1, WIDTH)
     g["pos"] = dh0.reshape(*x.shape, WIDTH).sum(0)
-    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
-    classes_in = x.ravel().take(order)
-    first = np.flatnonzero(np.concatenate(([True], classes_in[1:] != classes_in[:-1])))
-    g["emb"] = np.zeros_like(w["emb"])
-    g["emb"][classes_in[first]] = np.add.reduceat(dh0.take(order, axis=0), first)
+    at_weight = (x_flat.astype(np.int64) * WIDTH)[:, None] + np.arange(WIDTH)
+    g["emb"] = np.bincount(at_weight.ravel(), dh0.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(dh0.dtype)
     return -float(logs.mean()) if len(logs) else 0.0, g
 
 
@@ -305,7 +345,7 @@ class Trainer:
         self.all = np.concatenate([v.ravel() for v in w.values()])
         ends = np.cumsum([v.size for v in w.values()])
         self.w = {k: self.all[end - v.size : end].reshape(v.shape) for (k, v), end in zip(w.items(), ends, strict=True)}
-        self.m, self.s = np.zeros_like(self.all), np.zeros_like(self.all)
+        self.m, self.s, self.room = np.zeros_like(self.all), np.zeros_like(self.all), np.empty_like(self.all)
         self.random = np.random.default_rng(seed)
 
     def learn(self, windows: np.ndarray) -> None:
@@ -319,9 +359,19 @@ class Trainer:
             part = np.where(part == PAD, 0, part).astype(np.int64)
             _, g = gradients(self.w, self.pairs, part[:, :-1], part[:, 1:], valid)
             g = np.concatenate([g[k].ravel() for k in self.w])
-            self.m += 0.1 * (g - self.m)
-            self.s += 0.01 * (g**2 - self.s)
-            self.all -= self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.s / (1 - 0.99**self.step)) + 1e-8)
+            # In place: all -= rate * (m / (1 - 0.9^step)) / (sqrt(s / (1 - 0.99^step)) + 1e-8).
+            self.m *= 0.9
+            self.m += np.multiply(g, 0.1, out=self.room)
+            g *= g
+            g *= 0.01
+            self.s *= 0.99
+            self.s += g
+            scale = (1 - 0.99**self.step) ** 0.5
+            np.sqrt(self.s, out=g)
+            g += 1e-8 * scale
+            np.divide(self.m, g, out=g)
+            g *= self.rate * scale / (1 - 0.9**self.step)
+            self.all -= g
 
 
 def cut(classes: np.ndarray, starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,11 +383,14 @@ def cut(classes: np.ndarray, starts: np.ndarray, overlap: int = OVERLAP) -> tupl
     n = np.diff(np.append(starts, len(classes))) - 1  # predictions of each text
     count = 1 + np.maximum(0, -(-(n - WINDOW) // stride))
     doc = np.repeat(np.arange(len(n)), count)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    at = nth[:, None] * stride + np.arange(WINDOW + 1)
-    inside = at <= n[doc][:, None]
-    out = np.full(at.shape, PAD, np.uint16)
-    out[inside] = classes[(starts[doc][:, None] + at)[inside]]
+    last = np.cumsum(count) - 1
+    nth = np.arange(len(doc)) - np.repeat(last - count + 1, count)
+    padded = np.concatenate((classes, np.full(WINDOW + 1, PAD, np.uint16)))
+    out = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[starts[doc] + nth * stride]
+    # Only a text's last window reaches past its end.
+    tails = out[last]
+    tails[np.arange(WINDOW + 1) > (n - nth[last] * stride)[:, None]] = PAD
+    out[last] = tails
     return out, doc, np.where(nth > 0, overlap, 0)
 
 
@@ -358,7 +411,7 @@ class Model:
     cache: dict[bytes, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("sizes", "logs", "bases", "offsets", "pool", "used")} | {"cache": {}, "known": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("sizes", "logs", "bases", "offsets", "pool", "used", "reader")} | {"cache": {}, "known": None}
 
     def learn(self, new: list[bytes]) -> None:
         """Puts words into the cache, all encoded in one call; what is known of them goes into arrays by their number."""
@@ -383,29 +436,37 @@ class Model:
         self.used += len(ids)
         self.cache.update(zip(new, range(at.start, at.stop), strict=True))
 
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+    def numbers(self, texts: pa.Array | list[list[bytes]]) -> np.ndarray:
         """The cache's numbers of all words of some texts, in order."""
-        flat = list(chain.from_iterable(texts))
-        different = set(flat)
-        new = [w for w in different if w not in self.cache]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(list(chain.from_iterable(texts)), pa.binary())
+        coded = texts.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        known_as = np.fromiter(map(self.cache.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(known_as < 0)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = list(different)
-        if new or not self.cache:
-            self.learn(new)
-        return np.fromiter(map(self.cache.__getitem__, flat), np.int64, len(flat))
+            new = np.arange(len(different))
+        if len(new) or not self.cache:
+            known_as[new] = np.arange(len(self.cache), len(self.cache) + len(new))
+            self.learn([different[i] for i in new.tolist()])
+        return known_as.take(coded.indices.to_numpy())
 
     def sequence(self, words: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes of the texts one after another, each between two ends, and where each begins."""
-        size = self.sizes[words]
+        size = self.sizes.take(words)
         doc = np.repeat(np.arange(len(n_words)), n_words)
         before = np.cumsum(size) - size
-        begin = before + 2 * doc + 1
-        inner = np.arange(int(size.sum())) - np.repeat(before, size)
-        out = np.zeros(int(size.sum()) + 2 * len(n_words), np.uint16)
-        out[np.repeat(begin, size) + inner] = self.pool[np.repeat(self.offsets[words], size) + inner]
-        lengths = np.bincount(doc, size, len(n_words)).astype(np.int64) + 2
-        return out, np.cumsum(lengths) - lengths
+        total = int(size.sum())
+        at = np.repeat(self.offsets.take(words) - before, size)
+        at += np.arange(total)
+        # A text's ids stand after two ends for each text before it, and its own first one.
+        of_text = np.bincount(doc, size, len(n_words)).astype(np.int64)
+        inside = np.ones(total + 2 * len(n_words), bool)
+        inside[np.cumsum(of_text + 2) - 1] = inside[np.cumsum(of_text + 2) - of_text - 2] = False
+        out = np.zeros(len(inside), np.uint16)
+        out[inside] = self.pool.take(at)
+        return out, np.cumsum(of_text + 2) - of_text - 2
 
     def log_classes(self, classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log P of each class of the texts in turn, each text's end included; batches of windows."""
@@ -414,18 +475,20 @@ class Model:
         begin = (np.cumsum(lengths) - lengths)[doc]  # where the texts' predictions begin
         nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
         out = np.empty(int(lengths.sum()), np.float64)
-        read = Reader(self.weights)
+        if getattr(self, "reader", None) is None or self.reader.w is not self.weights:
+            self.reader = Reader(self.weights, self.pairs)
+        read = self.reader
         for start in (0, OVERLAP):
             own = np.flatnonzero(first == start)
-            for at in range(0, len(own), 128):
-                pick = own[at : at + 128]
+            for at in range(0, len(own), READ):
+                pick = own[at : at + READ]
                 part = windows[pick]
                 scored = np.flatnonzero(part[:, 1 + start :] != PAD)
                 part = np.where(part == PAD, 0, part)
                 h = read(part[:, :-1], start)
                 place = (begin[pick] + nth[pick] * (WINDOW - OVERLAP))[:, None] + np.arange(start, WINDOW)
                 last, following = part[:, start:-1].ravel(), part[:, 1 + start :].ravel()
-                out[place.ravel().take(scored)] = log_shares(self.weights, self.pairs, h.take(scored, axis=0), last.take(scored), following.take(scored))[0]
+                out[place.ravel().take(scored)] = log_shares(read.outer, read.blocks, read.pairs, h, scored, last, following)[0]
         return out
 
 
@@ -456,16 +519,20 @@ def classes(counts: dict[int, int], ends: int, path: str) -> Model:
 # ---- the Spark side --------------------------------------------------------------------------------------
 
 
-def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter = Counter()
-    for pdf in batches:
-        for t in pdf["text"]:
-            total.update(words(t))
-        if len(total) > CACHE:
-            yield pd.DataFrame({"word": list(total.keys()), "c": list(total.values())})
-            total.clear()
-    if total:
-        yield pd.DataFrame({"word": list(total.keys()), "c": list(total.values())})
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Array] = []
+
+    def counted() -> pa.RecordBatch:
+        got = pa.concat_arrays(held).value_counts()
+        held.clear()
+        return pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], ["word", "c"])
+
+    for batch in batches:
+        held.append(split(batch.column(0))[0])
+        if sum(map(len, held)) > COUNTED:
+            yield counted()
+    if held:
+        yield counted()
 
 
 def count_ids(path: str):
@@ -490,14 +557,13 @@ def count_pairs(shared):
         model, block = shared.value, 0
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for pdf in batches:
-            texts = [words(t) for t in pdf["text"]]
-            if not texts:
+            if not len(pdf):
                 continue
-            seq, starts = model.sequence(model.numbers(texts), np.array([len(ws) for ws in texts]))
+            of_texts, n_words = split(pa.array(pdf["text"], pa.string()))
+            seq, starts = model.sequence(model.numbers(of_texts), n_words)
             first = seq[:-1].astype(np.int64) * CLASSES + seq[1:]
-            across = starts[1:] - 1  # a text's end and the next one's beginning
             pairs += np.bincount(first, minlength=CLASSES * CLASSES)
-            pairs -= np.bincount(first[across], minlength=CLASSES * CLASSES)
+            pairs[0] -= len(starts) - 1  # a text's end and the next one's beginning, both class 0
             windows, _, _ = cut(seq, starts, 0)
             for at in range(0, len(windows), 256):
                 part = windows[at : at + 256]
@@ -586,7 +652,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[Model, DataFrame, int,
     """The trained model, the table of word counts (word, c), N, V and the number of texts; docs: training texts (text)."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    counts = docs.mapInPandas(count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = docs.mapInArrow(count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "words")
     ends = docs.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -631,9 +697,8 @@ def score_texts(shared, ends: int, size: float):
     """
     end, half, other = float(np.log10(ends + 1)), np.log(SHARE), np.log(1 - SHARE)
 
-    def score_group(model: Model, texts: list[list[bytes]]) -> Iterator[tuple]:
-        n_words = np.array([len(ws) for ws in texts])
-        known_as = model.numbers(texts)
+    def score_group(model: Model, of_texts: pa.Array, n_words: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+        known_as = model.numbers(of_texts)
         seq, starts = model.sequence(known_as, n_words)
         logs = model.log_classes(seq, starts)
         # An end after the words of each text.
@@ -641,31 +706,33 @@ def score_texts(shared, ends: int, size: float):
         sizes = np.ones(int(closing[-1]) + 1, np.int64)
         is_word = np.ones(len(sizes), bool)
         is_word[closing] = False
-        sizes[is_word] = model.sizes[known_as]
+        sizes[is_word] = model.sizes.take(known_as)
         owns = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-        owns[is_word] += model.logs[known_as]
+        owns[is_word] += model.logs.take(known_as)
         bases = np.full(len(sizes), end)
-        bases[is_word] = model.bases[known_as]
+        bases[is_word] = model.bases.take(known_as)
         known = ~np.isnan(bases)
         mixed = np.logaddexp(owns[known] + half, bases[known] * np.log(10) - size + other)
-        doc = np.repeat(np.arange(len(texts)), n_words + 1)
-        sums = [np.bincount(doc[known], values, len(texts)).tolist() for values in (None, bases[known], mixed)] + [np.bincount(doc, owns, len(texts)).tolist()]
-        rare: list[list[dict]] = [[] for _ in texts]
+        n = len(n_words)
+        doc = np.repeat(np.arange(n), n_words + 1)
         lost = np.flatnonzero(~known)
-        inner = lost - (np.cumsum(n_words + 1) - n_words - 1)[doc[lost]]
-        for i, at, own in zip(doc[lost].tolist(), inner.tolist(), owns[lost].tolist(), strict=True):
-            rare[i].append({"word": texts[i][at], "own": own})
-        for n, count, base, score, own, words_left in zip(n_words.tolist(), *sums, rare, strict=True):
-            yield n + 1, count - (ends == 0), base, score, own, words_left
+        # Before a word stand its text's number of ends.
+        rare = pa.StructArray.from_arrays([of_texts.take(pa.array(lost - doc[lost])), pa.array(owns[lost])], ["word", "own"])
+        ends_of = np.concatenate(([0], np.cumsum(np.bincount(doc[lost], minlength=n))))
+        return {
+            "n": n_words + 1, "known": np.bincount(doc[known], minlength=n) - (ends == 0), "base": np.bincount(doc[known], bases[known], n),
+            "score": np.bincount(doc[known], mixed, n), "own": np.bincount(doc, owns, n), "rare": pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), rare),
+        }
 
     def prepare():
         model = shared.value
-        names = ["n", "known", "base", "score", "own", "rare"]
 
-        def run(texts: list[str]) -> dict[str, list]:
-            lists = [words(t) for t in texts]
-            rows = [row for at in groups([len(ws) for ws in lists]) for row in score_group(model, lists[at])]
-            return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+        def run(texts: pa.Array) -> dict[str, pa.Array]:
+            of_texts, n_words = split(texts)
+            ends_at, parts = np.concatenate(([0], np.cumsum(n_words))).tolist(), []
+            for at in groups(n_words.tolist()):
+                parts.append(score_group(model, of_texts.slice(ends_at[at.start], ends_at[at.stop] - ends_at[at.start]), n_words[at]))
+            return {k: pa.concat_arrays([p[k] if k == "rare" else pa.array(p[k]) for p in parts]) for k in parts[0]}
 
         return run
 
@@ -680,7 +747,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     model, counts, n, v, ends = fit(rows.where(~F.col("held_out")).select("text"), path)
     size = float(np.log(n + v + 1))
     shared = spark.sparkContext.broadcast(model)
-    scored = map_columns(rows, score_texts(shared, ends, size), ["text"], SCORES, ("text",)).withColumn("rid", F.monotonically_increasing_id())
+    scored = map_columns(rows, score_texts(shared, ends, size), ["text"], SCORES, ("text",), arrow=True).withColumn("rid", F.monotonically_increasing_id())
     scored = materialize(scored, "scored")
     rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.own").join(counts, "word", "left")
     # A word of the training texts has a share of both; one that they lack has the attention's alone.

@@ -5,9 +5,10 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyframe.llm import fingerprints, ngram_join, quality_classifier
+from tallyframe.llm import fingerprints, lm_scoring, ngram_join, quality_classifier
 
 
 def test_text_ids_of_one_prefix_are_spread(spark):
@@ -132,3 +133,56 @@ def test_links_of_a_unit_equal_plain_loops():
             for a, b in pairs:
                 root[a] = root[b] = min(root[a], root[b])
         assert sorted(ngram_join.meet(cids, block, part, signatures, same)) == sorted((cids[k], cids[v]) for k, v in enumerate(root) if k != v)
+
+
+def test_each_different_word_is_looked_up_once():
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *x):
+            Counted.looks += 1
+            return dict.get(self, *x)
+
+        def __contains__(self, x):
+            Counted.looks += 1
+            return dict.__contains__(self, x)
+
+        def __getitem__(self, x):
+            Counted.looks += 1
+            return dict.__getitem__(self, x)
+
+    model = lm_scoring.classes({i: 1 for i in range(400)}, 1, lm_scoring.VOCABULARY)
+    model.cache = Counted()
+    texts = [[f"w{i * k % 30}".encode() for i in range(500)] for k in range(1, 5)]
+    got = model.numbers(texts)
+    assert Counted.looks <= 30 and len(set(got.tolist())) == 30
+    assert np.array_equal(model.numbers(texts), got) and Counted.looks <= 60
+    assert [k for n in got.tolist() for k, v in model.cache.items() if v == n] == [w for ws in texts for w in ws]
+
+
+def test_words_of_an_array_are_those_of_each_text():
+    texts = ["", " \t\x0b\x0c\r\n", "A bC\n\nd ", "\u00c9t\u00e9 \u00a0x\u2003y \x1c z", "x" * 5000 + "  Y", " one", "\U0001f600\x00 \x85"]
+    flat, n = lm_scoring.split(pa.array(texts))
+    assert n.tolist() == [len(lm_scoring.words(t)) for t in texts] and flat.to_pylist() == [w for t in texts for w in lm_scoring.words(t)]
+    flat, n = lm_scoring.split(pa.array(texts).slice(2, 3))
+    assert n.tolist() == [3, 4, 2] and len(flat) == 9 and len(lm_scoring.split(pa.array([], pa.string()))[0]) == 0
+
+
+def test_steps_of_training_in_place_are_those_of_adam():
+    r = np.random.default_rng(5)
+    pairs = lm_scoring.output_bias(r.integers(0, 9, (lm_scoring.CLASSES, lm_scoring.CLASSES)).astype(float))
+    windows = r.integers(0, 480, (lm_scoring.FIRST_BATCH * 3, lm_scoring.WINDOW + 1)).astype(np.uint16)
+    windows[::5, 20:] = lm_scoring.PAD
+    trainer = lm_scoring.Trainer(lm_scoring.new_weights(), pairs, 11)
+    order = np.random.default_rng(11).permutation(len(windows))
+    trainer.learn(windows)
+    w = {k: v.copy() for k, v in lm_scoring.new_weights().items()}
+    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    for step in (1, 2, 3):
+        part = windows[order[(step - 1) * lm_scoring.FIRST_BATCH : step * lm_scoring.FIRST_BATCH]]
+        x = np.where(part == lm_scoring.PAD, 0, part).astype(np.int64)
+        _, g = lm_scoring.gradients(w, pairs, x[:, :-1], x[:, 1:], part[:, 1:] != lm_scoring.PAD)
+        for k in w:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            w[k] = w[k] - lm_scoring.RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+    assert all(np.allclose(trainer.w[k], w[k], atol=1e-4) for k in w)
