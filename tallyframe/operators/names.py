@@ -38,10 +38,17 @@ def _without_tails(tickers: Column, letters: str, keep: Column | None = None) ->
     return F.filter(tickers, lambda t: ~tail(t) if keep is None else (F.array_contains(keep, t) | ~tail(t)))
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the names, never by a broadcast: of a written table Spark guesses a few columns' size
+    from its compressed files, a twentieth of what the driver would then hold.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _stemmed(rows: DataFrame, *more: str) -> DataFrame:
     x = rows.select(asset_name(F.col("name")).alias("n"), canonical_ticker(F.col("ticker")).alias("ticker"), *more)
     # Written, as a condition on the stem would be worked out beside it.
-    return kept(x.select("n.*", "ticker", *more), "stems").where("ticker is not null and stem <> ''")
+    return kept(x.select("n.*", "ticker", *more), "stems").where("ticker is not null")
 
 
 def class_listings(listings: DataFrame) -> DataFrame:
@@ -51,36 +58,47 @@ def class_listings(listings: DataFrame) -> DataFrame:
 
 
 def catalog_index(catalog: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stem, share_class, ticker, class), and (stem, known, classed, mapped) of a catalog (name, ticker, exchange).
+    """(stem, share_class, ticker, class), and all of a stem in a row, of a catalog (name, ticker, exchange) and class_listings."""
+    return _index_of(_catalog_stems(catalog), listings)
+
+
+def _catalog_stems(catalog: DataFrame) -> DataFrame:
+    return _stemmed(catalog.select("name", "ticker", exchange_tier(F.col("exchange")).alias("tier")), "tier")
+
+
+def _index_of(rows: DataFrame, listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stem, share_class, ticker, class), and (stem, class, known, classed, mapped, one, whole, by_class) of a catalog's stems: tickers by
+    class where there is one, that of the stem, and what listings say of its classes.
 
     Of a stem's tickers only those of its best tier of exchanges count. Of its tickers without a class letter, those that are
     another one and a letter for when-issued or for no common shares go, unless a listing of classes names them; then it
     has a ticker if just one is left. So has each class with just one, and, where there is no other, the stem through it.
     """
-    rows = _stemmed(catalog.select("name", "ticker", exchange_tier(F.col("exchange")).alias("tier")), "tier").where("length(stem) > 1")
-    x = rows.withColumn("best", F.min("tier").over(Window.partitionBy("stem"))).where("tier = best")
+    x = rows.where("length(stem) > 1").withColumn("best", F.min("tier").over(Window.partitionBy("stem"))).where("tier = best")
     letter = F.lower(F.regexp_extract("ticker", r"\.([A-Z])$", 1))
     kind = F.when(F.col("etf"), 2).when(F.col("fund"), 1).otherwise(0)
     x = x.groupBy("stem", letter.alias("share_class")).agg(F.collect_set("ticker").alias("tickers"), F.max(kind).alias("kind"))
-    mapped = listings.groupBy("stem").agg(F.collect_set("ticker").alias("protect"))
+    mapped = listings.groupBy("stem").agg(F.collect_set("ticker").alias("protect"), F.collect_list(F.struct("share_class", "ticker")).alias("by_class"))
     by_stem = x.groupBy("stem").agg(
         F.max("kind").alias("kind"), F.flatten(F.collect_list("tickers")).alias("known"), F.flatten(F.collect_list(F.when(F.col("share_class") == "", F.col("tickers")))).alias("plain"),
         F.collect_list(F.when(F.col("share_class") != "", F.struct("share_class", "tickers"))).alias("classes"),
-    ).join(mapped, "stem", "left")
+    )
+    by_stem = _sorted_join(by_stem, mapped, "stem", "left")
     protect = F.coalesce("protect", F.array().cast("array<string>"))
     one = F.filter("classes", lambda c: F.size(c["tickers"]) == 1)
     by_stem = by_stem.withColumn("plain", _without_tails(F.col("plain"), WHEN_ISSUED)).withColumn("plain", _without_tails(F.col("plain"), NOT_COMMON, protect))
-    by_stem = by_stem.withColumns({"one": one, "mapped": F.arrays_overlap("known", protect), "class": F.element_at(F.array(F.lit("stock"), F.lit("fund"), F.lit("etf")), F.col("kind") + 1)})
-    by_stem = kept(by_stem, "catalog")
+    by_stem = by_stem.withColumns({"one": one, "mapped": F.coalesce(F.arrays_overlap("known", protect), F.lit(False)), "class": F.element_at(F.array(F.lit("stock"), F.lit("fund"), F.lit("etf")), F.col("kind") + 1)})
     whole = F.when(F.size("plain") == 1, F.get("plain", F.lit(0))).when((F.size("plain") == 0) & (F.size("classes") == 1) & (F.size("one") == 1), F.get("one", F.lit(0))["tickers"][0])
-    entries = F.concat(F.transform("one", lambda c: F.struct(c["share_class"].alias("share_class"), c["tickers"][0].alias("ticker"))), F.array(F.struct(F.lit("").alias("share_class"), whole.alias("ticker"))))
+    by_stem = by_stem.withColumns({"whole": whole, "classed": F.size("one") > 0, "one": F.transform("one", lambda c: F.struct(c["share_class"].alias("share_class"), c["tickers"][0].alias("ticker")))})
+    by_stem = kept(by_stem.select("stem", "class", "known", "classed", "mapped", "one", "whole", "by_class"), "catalog")
+    entries = F.concat("one", F.array(F.struct(F.lit("").alias("share_class"), F.col("whole").alias("ticker"))))
     index = by_stem.select("stem", "class", F.explode(entries).alias("e")).select("stem", "e.share_class", "e.ticker", "class").where("ticker is not null")
-    return index, by_stem.select("stem", "known", (F.size("one") > 0).alias("classed"), F.coalesce("mapped", F.lit(False)).alias("mapped"))
+    return index, by_stem
 
 
 def unambiguous(rows: DataFrame, *more: str) -> DataFrame:
     """(stem, ticker, more) of named rows: a stem with two tickers has a null one."""
-    x = _stemmed(rows.select("name", "ticker", *more), *more).groupBy("stem")
+    x = _stemmed(rows.select("name", "ticker", *more), *more).where("stem <> ''").groupBy("stem")
     return x.agg(F.when(F.countDistinct("ticker") == 1, F.min("ticker")).alias("ticker"), *(F.min(m).alias(m) for m in more))
 
 
@@ -101,7 +119,7 @@ def one_edit_apart(stems: DataFrame, others: DataFrame, least: float) -> DataFra
     n, s, o = F.length("stem"), F.col("stem"), F.col("other")
     left = stems.where(_edits(F.ceil(n * least - 1e-9), least) <= 1).select("stem", "head", key(F.array(F.concat(F.lit("w:"), s)), shorter(s, less), shorter(s, place)))
     right = others.where(_edits(F.length("other"), least) <= 1).select("head", "other", "ticker", key(F.array(F.concat(F.lit("w:"), o), F.concat(F.lit("d:"), o)), shorter(o, whole), shorter(o, place)))
-    return left.join(right, ["head", "key"]).select("stem", "head", "other", "ticker").distinct()
+    return _sorted_join(left, right, ["head", "key"]).select("stem", "head", "other", "ticker").distinct()
 
 
 def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFrame:
@@ -119,13 +137,13 @@ def shared_pieces(stems: DataFrame, others: DataFrame, least: float) -> DataFram
     right = right.select("head", "m", "i", "other", "ticker", F.substring("other", start(i, m) + 1, size).alias("piece"))
     n = F.length("stem")
     left = stems.select("stem", "head", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))).alias("m"))
-    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), edits(m)))).withColumn("d", F.explode(F.sequence(-edits(m), edits(m))))
-    at = start(i, m) + F.col("d")
-    left = left.where((at >= 0) & (at + size <= n)).select("stem", "head", "m", "i", F.substring("stem", at + 1, size).alias("piece")).distinct()
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), edits(m))))
+    at = F.filter(F.transform(F.sequence(-edits(m), edits(m)), lambda d: start(i, m) + d), lambda a: (a >= 0) & (a + size <= n))
+    left = left.select("stem", "head", "m", "i", F.explode(F.array_distinct(F.transform(at, lambda a: F.substring("stem", a + 1, size)))).alias("piece"))
     keys = ["head", "m", "i", "piece"]
     heavy = kept(right.where(edits(m) <= 1).groupBy(*keys).count().where(F.col("count") > HEAVY).select(*keys), "heavy")
-    near = one_edit_apart(*(x.join(heavy, keys, "left_semi").select(*c).distinct() for x, c in ((left, ["stem", "head"]), (right, ["head", "other", "ticker"]))), least)
-    found = left.join(right.join(heavy, keys, "left_anti"), keys).select("stem", "head", "other", "ticker")
+    near = one_edit_apart(*(_sorted_join(x, heavy, keys, "left_semi").select(*c).distinct() for x, c in ((left, ["stem", "head"]), (right, ["head", "other", "ticker"]))), least)
+    found = _sorted_join(left, _sorted_join(right, heavy, keys, "left_anti"), keys).select("stem", "head", "other", "ticker")
     return found.unionByName(near).distinct()
 
 
@@ -171,10 +189,11 @@ def match_names(
     spark = names.sparkSession
     none = spark.sql(NO_LIST)
     classes = class_listings(listings if listings is not None else none)
-    index, stems = catalog_index(catalog, classes)
+    rows = _catalog_stems(catalog)
+    index, stems = _index_of(rows, classes)
     funds = unambiguous(curated if curated is not None else none, "class")
     alias = unambiguous(aliases if aliases is not None else none)
-    real = catalog.select(canonical_ticker(F.col("ticker")).alias("ticker")).where("ticker is not null").distinct()
+    alias = _sorted_join(alias, rows.select("ticker", F.lit(True).alias("is_real")).distinct(), "ticker", "left")
 
     # Few bytes and dear work: after the shuffle of distinct the names would lie in a task or two.
     texts = spread(names.select(F.coalesce("name", F.lit("")).alias("asset")).distinct())
@@ -182,14 +201,14 @@ def match_names(
     forms = forms.withColumns({"n": asset_name(F.col("name")), "blocked": never_matched(F.col("name"))}).select("asset", "nth", "form", "n.*", "blocked", described_class(F.col("name")).alias("described"))
     forms = kept(forms, "forms")
 
-    # Exact stages: one equi-join for each table.
-    keyed = index.where("share_class <> ''").select("stem", "share_class", F.struct("ticker", "class").alias("keyed"))
-    whole = index.where("share_class = ''").select("stem", F.struct("ticker", "class").alias("whole"))
-    by_map = classes.join(stems.select("stem", "known"), "stem").where(F.array_contains("known", F.col("ticker"))).select("stem", "share_class", F.struct("ticker", F.lit("stock").alias("class")).alias("by_map"))
-    x = forms.where("blocked is null").join(funds.where("ticker is not null").select("stem", F.struct("ticker", F.col("class").alias("class")).alias("fund_hit")), "stem", "left")
-    x = x.join(keyed, ["stem", "share_class"], "left").join(by_map, ["stem", "share_class"], "left").join(whole, "stem", "left").join(stems.select("stem", "classed", "mapped"), "stem", "left")
+    # Exact stages: equi-joins on the stem with all that is known of it.
+    x = _sorted_join(forms.where("blocked is null"), stems, "stem", "left")
+    x = _sorted_join(x, funds.where("ticker is not null").select("stem", F.struct("ticker", F.col("class").alias("class")).alias("fund_hit")), "stem", "left")
+    of_class = lambda entries: F.get(F.filter(entries, lambda e: e["share_class"] == F.col("share_class")), F.lit(0))["ticker"]
+    hit_of = lambda ticker, kind: F.when(ticker.isNotNull(), F.struct(ticker.alias("ticker"), kind.alias("class")))
+    by_map = F.when(F.array_contains("known", of_class(F.col("by_class"))), of_class(F.col("by_class")))
     single = F.when((F.col("share_class") == "") | ~(F.coalesce("classed", F.lit(False)) | F.coalesce("mapped", F.lit(False))), F.col("whole"))
-    exact = F.coalesce(F.col("keyed"), F.col("by_map"), single)
+    exact = F.coalesce(hit_of(of_class(F.col("one")), F.col("class")), hit_of(by_map, F.lit("stock")), hit_of(single, F.col("class")))
     own = lambda found: F.when(F.col("etf"), "etf").when(F.col("fund"), "fund").otherwise(found)
     x = x.withColumn("e", exact).where("fund_hit is not null or e is not null")
     fund_class = F.coalesce("fund_hit.class", F.when(F.col("etf"), "etf").otherwise("fund"))
@@ -198,16 +217,17 @@ def match_names(
     found = kept(x.groupBy("asset").agg(F.min_by(hit, "nth").alias("hit"), F.min("nth").alias("nth")), "found")
 
     # As written: what is blocked, the alias that its stem begins with, and what is spelled like it where no exact one was found.
-    unfound = forms.where("nth = 0 and blocked is null").join(found.where("nth = 0").select("asset"), "asset", "left_anti")
-    listed = index.unionByName(funds.where("ticker is not null").select("stem", F.lit("").alias("share_class"), "ticker", "class").join(whole.select("stem"), "stem", "left_anti").select("stem", "share_class", "ticker", "class"))
+    unfound = _sorted_join(forms.where("nth = 0 and blocked is null"), found.where("nth = 0").select("asset"), "asset", "left_anti")
+    more = _sorted_join(funds.where("ticker is not null"), stems.where("whole is not null").select("stem"), "stem", "left_anti")
+    listed = index.unionByName(more.select("stem", F.lit("").alias("share_class"), "ticker", "class"))
     close = close_names(unfound.select("stem", "share_class").distinct(), listed, least, gap).select("stem", "share_class", F.struct("ticker", "class", "score").alias("close"))
     words = F.split("stem", " ")
-    prefixes = forms.where("nth = 0 and stem <> ''").select(F.col("stem").alias("of"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("stem")).distinct()
-    keys = prefixes.join(alias.withColumnRenamed("ticker", "alias"), "stem").where(F.col("alias").isNotNull() | (F.col("stem") == F.col("of")))
-    keys = keys.groupBy(F.col("of").alias("stem")).agg(F.max_by(F.struct(F.col("stem").alias("key"), F.col("alias").alias("ticker")), F.length("stem")).alias("key"))
-    keys = keys.join(real.select(F.col("ticker").alias("_t"), F.lit(True).alias("is_real")), F.col("key.ticker") == F.col("_t"), "left").drop("_t")
+    prefixes = forms.where("nth = 0 and stem <> ''").select("stem").distinct().select(F.col("stem").alias("of"), F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("stem"))
+    keys = _sorted_join(prefixes, alias.withColumnRenamed("ticker", "alias"), "stem").where(F.col("alias").isNotNull() | (F.col("stem") == F.col("of")))
+    keys = keys.groupBy(F.col("of").alias("stem")).agg(F.max_by(F.struct(F.col("stem").alias("key"), F.col("alias").alias("ticker"), "is_real"), F.length("stem")).alias("key"))
 
-    y = forms.where("nth = 0").drop("nth", "form").join(found, "asset", "left").join(close, ["stem", "share_class"], "left").join(keys, "stem", "left")
+    y = _sorted_join(_sorted_join(forms.where("nth = 0").drop("nth", "form"), close, ["stem", "share_class"], "left"), keys, "stem", "left")
+    y = _sorted_join(y, found, "asset", "left")
     series = is_preferred(F.col("asset")) | F.col("asset").rlike(r"(?i)\bseries\b")
     result = lambda ticker, kind, stage, form, conf: F.struct(ticker.cast("string").alias("ticker"), kind.alias("class"), stage.alias("stage"), form.cast("string").alias("form"), conf.cast("int").alias("confidence"))
     null, lit = F.lit(None), F.lit
@@ -216,13 +236,13 @@ def match_names(
     ranked = F.coalesce(F.when(F.col("nth") == 0, ready), fuzzy, ready)
     blocked_class = named_class(F.col("blocked"))
     preferred = result(null, lit("other"), lit("preferred"), null, null)
-    usable = F.col("key.ticker").isNotNull() & F.coalesce("is_real", lit(False))
+    usable = F.col("key.ticker").isNotNull() & F.coalesce("key.is_real", lit(False))
     by_alias = F.when(usable & series, preferred).when(usable & (F.col("key.key") == F.col("stem")), result(F.col("key.ticker"), lit("stock"), lit("alias"), lit("written"), lit(100)))
     final = (
         F.when(F.col("blocked").isNotNull(), result(null, blocked_class, F.col("blocked"), null, null)).when(ranked.isNotNull() & series & F.col("key").isNotNull(), preferred)
         .otherwise(F.coalesce(ranked, by_alias, result(null, F.col("described"), lit("none"), null, null)))
     )
-    return names.select("id", F.coalesce("name", F.lit("")).alias("asset")).join(y.select("asset", final.alias("r")), "asset").select("id", "r.*")
+    return _sorted_join(names.select("id", F.coalesce("name", F.lit("")).alias("asset")), y.select("asset", final.alias("r")), "asset").select("id", "r.*")
 
 
 def named_class(reason: Column) -> Column:

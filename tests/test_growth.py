@@ -110,3 +110,15 @@ def test_only_lines_of_current_filings_are_numbered(spark, sf_dir):
     some = t.filings.where("filing_id % 3 = 0")
     rows = lambda x: sorted(map(repr, x.collect()))
     assert rows(t.trades_of(some)) == rows(t.trades.where("filing_id % 3 = 0"))
+
+
+def test_names_are_joined_without_a_broadcast(spark, sf_dir, monkeypatch):
+    """Sizes of a few columns were guessed from compressed files, so tables of all names went through the driver."""
+    plans = []
+    inner = names.kept
+    monkeypatch.setattr(names, "kept", lambda df, name: plans.append((name, plan(df))) or inner(df, name))
+    for name in ("rec02_holding_tickers", "fin32_match_stages"):
+        plans.append((name, plan(QUERIES[name](spark, sf_dir))))
+        assert {"stems", "catalog", "forms", "found", "heavy", name} <= {n for n, _ in plans} and [n for n, p in plans if "Broadcast" in p] == []
+        assert sum(p.count("SortMergeJoin") for _, p in plans) >= 8
+        plans.clear()
